@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, words
+from .common import BLANKS, Workspace
 
 # Common function words by language.
 COMMON_WORDS = {
@@ -26,8 +26,8 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "que", "est", "dans"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
 }
-CLASSES = ["lower", "upper", "digit", "space", "symbol", "other"]
-SYMBOLS = r"[#*$%&|<>]"
+CLASSES = ["upper case", "digit", "blank", "symbol", "mark", "bytes beyond ASCII", "rest"]
+SYMBOLS, MARKS = r"[#*$%&|<>]", r"[.,;:!?]"
 #: Rejected above these distances, from these lengths on.
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.25, 200
 MAX_WORD_DISTANCE, MIN_WORDS = 0.32, 100
@@ -39,63 +39,68 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _repeat_words(w: Column) -> Column:
-    """Words inside three-word windows that occur twice or more in the text.
-
-    Windows are sorted by content with their positions, so equal ones are neighbours; a covered
-    stretch then adds min(3, gap to the window before it). n log n within one row, no shuffle.
-    """
+def _window_keys(w: Column) -> Column:
+    """A sorted number for each three-word window: 40 bits of hash, then its position; null below four words."""
     n = F.size(w)
     shifted = F.arrays_zip(*(F.slice(w, k, n - 2).alias(f"w{k}") for k in (1, 2, 3)))
-    windows = F.sort_array(F.transform(shifted, lambda x, i: F.struct(F.xxhash64(x["w1"], x["w2"], x["w3"]).alias("h"), F.concat_ws(" ", x["w1"], x["w2"], x["w3"]).alias("t"), i.alias("i"))))
-    return F.when(n >= 4, windows)
+    key = lambda x, i: F.shiftleft(F.xxhash64(x["w1"], x["w2"], x["w3"]), 24).bitwiseOR(i.cast("long"))
+    return F.when(n >= 4, F.sort_array(F.transform(shifted, key)))
+
+
+def _alike(keys: Column, w: Column) -> Column:
+    """Windows (text, position) whose hash occurs twice or more, sorted by text; a superset of the repeated ones."""
+    m = F.size(keys) - 1
+    same = F.zip_with(F.slice(keys, 1, m), F.slice(keys, 2, m), lambda a, b: F.when(F.shiftright(a, 24) == F.shiftright(b, 24), F.array(a, b)))
+    at = F.array_distinct(F.flatten(F.filter(same, lambda p: p.isNotNull())))
+    place = lambda x: x.bitwiseAND((1 << 24) - 1).cast("int")
+    return F.sort_array(F.transform(at, lambda x: F.struct(F.concat_ws(" ", F.get(w, place(x)), F.get(w, place(x) + 1), F.get(w, place(x) + 2)).alias("t"), place(x).alias("i"))))
 
 
 def _repeat_count(windows: Column) -> Column:
+    """Words covered by windows that equal a neighbour in ``windows``, which is sorted by text.
+
+    A covered stretch grows by min(3, gap to the window before it).
+    """
     m = F.size(windows) - 1
-    pairs = F.zip_with(F.slice(windows, 1, m), F.slice(windows, 2, m), lambda a, b: F.when((a["h"] == b["h"]) & (a["t"] == b["t"]), F.array(a["i"], b["i"])))
+    pairs = F.zip_with(F.slice(windows, 1, m), F.slice(windows, 2, m), lambda a, b: F.when(a["t"] == b["t"], F.array(a["i"], b["i"])))
     starts = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
     covered = F.aggregate(
         starts, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
         lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(3), x - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    return F.coalesce(covered, F.lit(0)).cast("long")
+    return F.coalesce(F.when(m > 0, covered), F.lit(0)).cast("long")
 
 
 def histograms(df: DataFrame) -> DataFrame:
-    """Adds h_lang, h_chars (counts by class) and h_words (counts of the common words, then others)."""
-    df = df.withColumns({
-        "_t": F.coalesce("text", F.lit("")),
-        "h_lang": F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise("other"),
-    })
-    counts = [_without(F.col("_t"), p) for p in (r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", BLANK_RUN, SYMBOLS)]
+    """Adds h_lang, h_chars (bytes by class), h_words (counts of the common words, then others), _t and _w (the words).
+
+    Only words written exactly like a common word count as it: the reference is counted alike.
+    """
+    t = F.coalesce("text", F.lit(""))
+    blank = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), BLANKS[1:], t)
     lists = F.create_map(*(x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    # Each word gets a blank of its own on either side, so that counting one never uses up a neighbour's.
-    df = df.withColumns({
-        "_c": F.array(*(c.cast("double") for c in counts), F.length("_t").cast("double")),
-        "_s": F.concat(F.lit(" "), F.regexp_replace(F.lower("_t"), r"[^\p{L}]+", "  "), F.lit(" ")),
-        "_l": lists[F.col("h_lang")],
-    })
-    word = lambda i: F.concat(F.lit(" "), F.col("_l")[i], F.lit(" "))
-    hits = [((F.length("_s") - F.length(F.replace(F.col("_s"), word(i), F.lit("")))) / F.length(word(i))) for i in range(12)]
-    blanks = F.length("_s") - F.length(F.replace(F.col("_s"), F.lit("  "), F.lit(" ")))
-    df = df.withColumns({"_w": F.array(*hits), "_n": (blanks + 1).cast("double")})
-    five = reduce(lambda a, b: a + b, (F.col("_c")[i] for i in range(5)))
-    twelve = reduce(lambda a, b: a + b, (F.col("_w")[i] for i in range(12)))
+    lang = F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise("other")
+    df = df.withColumns({"h_lang": lang, "_t": t, "_b": blank, "_l": lists[lang]})
+    df = df.withColumns({"_w": F.array_remove(F.split("_b", " "), ""), "word_chars": F.length(F.replace("_b", F.lit(" "), F.lit(""))).cast("long")})
+    n = F.length("_t")
+    classes = [_without(F.col("_t"), r"\p{Lu}"), _without(F.col("_t"), "[0-9]"), n - F.col("word_chars"), _without(F.col("_t"), SYMBOLS), _without(F.col("_t"), MARKS), F.octet_length("_t") - n]
+    hits = [F.size("_w") - F.size(F.array_remove("_w", F.col("_l")[i])) for i in range(12)]
+    df = df.withColumns({"_c": F.array(*(c.cast("double") for c in classes)), "_h": F.when(F.col("h_lang") != "other", F.array(*(h.cast("double") for h in hits)))})
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return df.withColumns({
-        "h_chars": F.array(*(F.col("_c")[i] for i in range(5)), F.col("_c")[5] - five),
-        "h_words": F.when(F.col("h_lang") != "other", F.array(*(F.col("_w")[i] for i in range(12)), F.greatest(F.col("_n") - twelve, F.lit(0.0)))),
-    }).drop("_c", "_w", "_s", "_l", "_n", "_t")
+        "h_chars": F.concat("_c", F.array(F.octet_length("_t") - total("_c"))),
+        "h_words": F.concat("_h", F.array(F.size("_w") - total("_h"))),
+    }).drop("_c", "_h", "_b", "_l")
 
 
 def references(hist: DataFrame) -> dict[str, dict[str, list[float]]]:
     """Shares by language over all documents; five rows at most, whatever the input."""
-    sums = [F.sum(F.col("h_chars")[i]).alias(f"c{i}") for i in range(6)] + [F.sum(F.col("h_words")[i]).alias(f"w{i}") for i in range(13)]
+    sums = [F.sum(F.col("h_chars")[i]).alias(f"c{i}") for i in range(7)] + [F.sum(F.col("h_words")[i]).alias(f"w{i}") for i in range(13)]
     out = {}
     for r in hist.groupBy("h_lang").agg(*sums).collect():
         out[r["h_lang"]] = {}
-        for kind, n in (("c", 6), ("w", 13)):
+        for kind, n in (("c", 7), ("w", 13)):
             v = [r[f"{kind}{i}"] or 0.0 for i in range(n)]
             out[r["h_lang"]][kind] = [x / sum(v) for x in v] if sum(v) else [0.0] * n
     return out
@@ -117,29 +122,34 @@ def _distance(counts: Column, refs: dict[str, list[float]]) -> Column:
     return F.when(total > 0, F.coalesce(F.sqrt(F.greatest(jsd, F.lit(0.0))), F.lit(0.0))).otherwise(0.0)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """All rows of ``docs`` (text, lang and others) with the base counts, both distances and ``kept``."""
-    refs = references(histograms(docs.select("text", "lang")))
+def judge(docs: DataFrame, *carry: str) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (which has text and lang) with the base counts, both distances and ``kept``.
+
+    The text is gone through once: counts and histograms are written, then summed for the references
+    and compared with them.
+    """
     df = histograms(docs)
     df = df.withColumns({
-        "char_distance": _distance(F.col("h_chars"), {k: v["c"] for k, v in refs.items()}),
-        "word_distance": F.coalesce(_distance(F.col("h_words"), {k: v["w"] for k, v in refs.items() if k != "other"}), F.lit(0.0)),
-    }).withColumns({"_w": words(F.col("text")), "_t": F.coalesce("text", F.lit(""))})
-    df = df.withColumns({
-        "_win": _repeat_words(F.col("_w")),
+        "_keys": _window_keys(F.col("_w")),
         "n_words": F.size("_w").cast("long"),
         "_lines": F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     })
     df = df.withColumns({
-        "word_chars": F.length(F.regexp_replace("_t", BLANK_RUN, "")).cast("long"),
-        "n_symbols": F.col("h_chars")[4].cast("long"),
+        "_win": _alike(F.col("_keys"), F.col("_w")),
+        "n_symbols": F.col("h_chars")[3].cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": _repeat_count(F.col("_win")),
-    })
+    }).withColumn("n_repeat_words", _repeat_count(F.col("_win")))
     df = df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    far = (F.length("_t") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)
+    df = df.withColumn("n_text", F.length("_t"))
+    df = Workspace(docs.sparkSession, "quality").save(df.select(*carry, "h_lang", "h_chars", "h_words", "n_text", *RESULT[:6]), "counts")
+    refs = references(df)
+    df = df.withColumns({
+        "char_distance": _distance(F.col("h_chars"), {k: v["c"] for k, v in refs.items()}),
+        "word_distance": F.coalesce(_distance(F.col("h_words"), {k: v["w"] for k, v in refs.items() if k != "other"}), F.lit(0.0)),
+    })
+    far = (F.col("n_text") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)
     strange = (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
-    return df.withColumn("kept", ~F.col("base_failed") & ~far & ~strange).drop("_w", "_t", "_win", "_lines", "h_chars", "h_words")
+    return df.withColumn("kept", ~F.col("base_failed") & ~far & ~strange).select(*carry, *RESULT)
 
 
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
@@ -147,9 +157,9 @@ RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return judge(docs).select("doc_id", *RESULT)
+    return judge(docs, "doc_id")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns, whatever their names."""
-    return judge(docs.select(F.struct("*").alias("_row"), "text", "lang")).where("kept").select("_row.*")
+    return judge(docs.select(F.struct("*").alias("_row"), "text", "lang"), "_row").where("kept").select("_row.*")
