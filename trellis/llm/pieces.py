@@ -209,10 +209,11 @@ _CODECS: dict[int, Codec] = {}
 
 
 def _codec(model) -> Codec:
-    if model.id not in _CODECS:
+    key = hash(model.value)
+    if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[model.id] = Codec(model.value)
-    return _CODECS[model.id]
+        _CODECS[key] = Codec(model.value)
+    return _CODECS[key]
 
 
 def _id_arrays(lists: list[list[int]]) -> pa.Array:
