@@ -9,11 +9,15 @@ with about the Jaccard similarity. At 0.8 a link is missed by all bands with pro
 
 Links are found in two rounds, never as all pairs of a large bucket:
 1. every member of a band's bucket against the bucket's smallest id, which joins tight groups;
-2. in buckets whose members are still in several components, the pairs across components; buckets of
-   more than SMALL members instead compare what lies outside the smallest id's component by an exact
-   prefix filter (two sets with similarity s share one of their rarest n - ceil(s n) + 1 shingles).
-Before texts are fetched, pairs are dropped whose set sizes or collision-corrected register estimate
-rule the link out; the rest are compared on their full sets. Components come from ``components``.
+2. in buckets whose members are still in several components, all members on their full sets, as one
+   matrix product per bucket that returns at most one link for each component. A bucket of more than
+   SMALL members would make that product large: there only the members outside the smallest id's
+   component are queries, and run against all members of the buckets that overlap, once for all of
+   them, in blocks of BLOCK by BLOCK documents.
+In the first round pairs are dropped before texts are fetched if set sizes or the collision-corrected
+register estimate rule the link out; the rest are compared on their full sets. Members of one family of
+edited copies resemble each other too much for sketches to tell 0.75 from 0.8, hence round two has no
+estimate. Components come from ``components``.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; a
 null doc_id is linked with nothing, has component null and is kept; rows with one doc_id are one
@@ -38,8 +42,8 @@ ROWS = REGISTERS // BANDS
 EMPTY = 0xFFFF
 #: A link needs 100 * intersection >= PER_CENT * union.
 PER_CENT = 80
-#: Buckets up to this size are compared pair by pair across components.
-SMALL = 64
+#: Buckets up to this size are compared whole; beyond, in blocks of this many documents.
+SMALL, BLOCK = 64, 256
 #: Estimates this many standard deviations below the threshold rule a pair out.
 SIGMAS = 6.0
 _CACHE = 200_000
@@ -193,11 +197,43 @@ def _confirm_batches(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _shingle_batches(batches):
-    for b in _pieces(batches, 128):
-        for i, text in zip(b["id"].to_pylist(), b["text"].to_pylist()):
-            s = shingle_set(text).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s), pa.array(np.full(len(s), len(s), np.int64))], ["id", "shingle", "n"])
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links across components between the queries of a group (query true) and all of its members.
+
+    Counts shared shingles by a matrix product over the shingles two members have; of the links
+    found, those that join components are returned.
+    """
+    ids, comps, asked = (table[c].to_pylist() for c in ("id", "comp", "query"))
+    first = {}
+    for k, i in enumerate(ids):
+        first[i] = k if i not in first or asked[k] else first[i]
+    at = sorted(first.values())
+    texts = table["text"].take(pa.array(at, pa.int64())).to_pylist()
+    sets = [shingle_set(t) for t in texts]
+    sizes = np.array([len(x) for x in sets])
+    shingles, columns = np.unique(np.concatenate(sets), return_inverse=True)
+    matrix = np.zeros((len(at), len(shingles)), np.float32)
+    matrix[np.repeat(np.arange(len(at)), sizes), columns] = 1
+    matrix = matrix[:, matrix.sum(axis=0) > 1]
+    queries = np.flatnonzero([asked[k] for k in at])
+    shared = np.rint(matrix[queries] @ matrix.T).astype(np.int64)
+    linked = 100 * shared >= PER_CENT * (sizes[queries][:, None] + sizes[None, :] - shared)
+    comp = np.array([comps[k] for k in at])
+    linked &= comp[queries][:, None] != comp[None, :]
+    root = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    out = []
+    for q, k in zip(*np.nonzero(linked)):
+        x, y = find(int(comp[queries[q]])), find(int(comp[k]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((ids[at[queries[q]]], ids[at[k]]))
+    return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
 
 class _Confirmer:
@@ -213,7 +249,6 @@ class _Confirmer:
         likely = self.ws.save(likely.mapInArrow(_estimate_batches, "a long, b long"), f"likely{self.k}")
         ids = likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).distinct()
         texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-        # Copies of one document need comparing once: the rows of the representative itself.
         texts = self.ws.save(texts, f"texts{self.k}")
         text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
         links = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
@@ -222,23 +257,23 @@ class _Confirmer:
         return links
 
 
-def _prefix_pairs(ws: Workspace, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Exact candidates between members outside the smallest id's component and all members of large buckets.
+def _blocks(ws: Workspace, large: DataFrame) -> DataFrame:
+    """Rows (part, id, comp, query) of the block comparisons for members of large buckets.
 
-    ``members``: id, comp, outside (boolean), one row per id. Each set gives its rarest shingles only.
+    ``large``: key, id, hub, comp. Buckets that overlap form a family, in which every document occurs
+    once; documents outside the component of one of their buckets' hubs are the family's queries.
     """
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id"), "id", "left_semi")
-    sets = ws.save(texts.mapInArrow(_shingle_batches, "id long, shingle long, n long").distinct(), "sets")
-    freq = sets.groupBy("shingle").agg(F.count("*").alias("df"))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle"))
-    prefix = sets.join(freq, "shingle").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * PER_CENT / 100) + 1)
-    prefix = ws.save(prefix.join(members, "id").select("id", "shingle", "n", "comp", "outside"), "prefix")
-    x = prefix.where("outside").select(F.col("id").alias("x"), "shingle", F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    y = prefix.select(F.col("id").alias("y"), "shingle", F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    near = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= PER_CENT * F.greatest("nx", "ny"))
-    return x.join(y, "shingle").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    family = components(ws, large.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "families")
+    hubs = large.where("id = hub").select("key", F.col("comp").alias("hub_comp"))
+    member = large.join(hubs, "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("hub_comp")).alias("outside"))
+    member = ws.save(member.join(family.withColumnRenamed("component", "family"), "id"), "family_members")
+    size = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("q")).where("q > 0")
+    member = member.join(size, "family")
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = member.select("family", "id", "comp", every("q").alias("i"), of("n").alias("j"), F.lit(False).alias("query"))
+    asked = member.where("outside").select("family", "id", "comp", of("q").alias("i"), every("n").alias("j"), F.lit(True).alias("query"))
+    return rows.unionAll(asked).select(F.concat_ws("/", F.lit("f"), "family", "i", "j").alias("part"), "id", "comp", "query")
 
 
 def cluster(docs: DataFrame) -> DataFrame:
@@ -263,21 +298,19 @@ def cluster(docs: DataFrame) -> DataFrame:
     placed = ws.save(placed.select("key", "id", "hub", "c", "comp"), "placed")
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     placed = ws.save(placed.join(split, "key"), "split")
-    few = placed.where((F.col("c") <= SMALL) & (F.col("id") != F.col("hub")))
-    x, y = (few.select("key", F.col("id").alias(a), F.col("comp").alias(f"c_{a}")) for a in "ab")
-    pairs = x.join(y, "key").where("a < b and c_a != c_b").select("a", "b").distinct()
-    more = [confirm(pairs)]
-    many = placed.where(F.col("c") > SMALL)
-    hubs = many.where("id = hub").select("key", F.col("comp").alias("hub_comp"))
-    outside = many.join(hubs, "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("hub_comp")).alias("outside"))
-    outside = ws.save(outside, "outside")
-    if not outside.where("outside").isEmpty():
-        more.append(confirm(_prefix_pairs(ws, docs, outside)))
-    found = links
-    for m in more:
-        found = found.unionAll(m)
-    if any(not m.isEmpty() for m in more):
-        comp = ws.save(components(ws, found, "second"), "comp2")
+    placed = placed.withColumn("large", F.col("c") > SMALL)
+    parts = placed.where("not large").select(F.col("key").cast("string").alias("part"), "id", "comp", F.lit(True).alias("query"))
+    large = placed.where("large")
+    if not large.isEmpty():
+        parts = parts.unionAll(_blocks(ws, large))
+    parts = ws.save(parts, "parts")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(parts.select("id").distinct(), "id", "left_semi")
+    # Rows with one doc_id are one document: any of their texts may link it.
+    texts = ws.save(texts, "part_texts")
+    more = parts.join(texts, "id").groupBy("part").applyInArrow(_block_links, "a long, b long")
+    more = ws.save(more.distinct(), "links_across")
+    if not more.isEmpty():
+        comp = ws.save(components(ws, links.unionAll(more), "second"), "comp2")
 
     label = reps.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("label"))
     out = sig.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
