@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, line_dedup, near_dedup, pieces, quality
+from . import decontaminate, licenses, line_dedup, near_dedup, pieces, pii, quality, sharding, toxicity, warc
 from .oracles import ORACLES as _SQL
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_sharding": sharding.op3_sharding,
     "op4_quality": quality.op4_quality,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_licenses": licenses.op6_licenses,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_pii": pii.op9_pii,
     "op10_decontamination": decontaminate.op10_decontamination,
     "pipeline": corpus_pipeline.run,
 }
