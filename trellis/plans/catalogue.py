@@ -1,4 +1,150 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries over the star-schema projection, each with DuckDB SQL for the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from ..operators import aspects, closure, context, drift, impact, rules
+from ..sources.star import from_star_schema
+
+C = F.col
+
+# The projection as common table expressions, named like the graph tables.
+CTES = {
+    "npath": "SELECT n_nationkey, 'r'||n_regionkey||'/n'||n_nationkey AS npath FROM nation",
+    "parts": "SELECT p_partkey, p_size, 'lib/'||replace(p_brand,'#','-')||'/p'||p_partkey AS path, 'lib/'||replace(p_brand,'#','-') AS module FROM part",
+    "s_path": "SELECT s_suppkey, s_acctbal, npath||'/s'||s_suppkey AS path, npath FROM supplier JOIN npath ON s_nationkey = n_nationkey",
+    "c_path": "SELECT c_custkey, c_mktsegment, npath||'/c'||c_custkey AS path, npath FROM customer JOIN npath ON c_nationkey = n_nationkey",
+    "nodes0": "SELECT 'r'||r_regionkey AS path, NULL::VARCHAR AS parent_path, 'module' AS type, false AS blackbox FROM region UNION ALL SELECT 'r'||n_regionkey||'/n'||n_nationkey, 'r'||n_regionkey, 'module', false FROM nation UNION ALL SELECT 'lib', NULL, 'module', false UNION ALL SELECT DISTINCT module, 'lib', 'module', false FROM parts UNION ALL SELECT path, npath, 'service', s_acctbal < 0 FROM s_path UNION ALL SELECT path, npath, 'service', false FROM c_path UNION ALL SELECT path, module, 'library', false FROM parts",
+    "nodes": "SELECT *, len(string_split(path,'/'))::BIGINT AS depth FROM nodes0",
+    "deep": "SELECT a.path AS src, 0 AS ord, b.path AS dst, 'extends' AS type, NULL::VARCHAR AS consumes FROM parts a JOIN parts b ON b.p_partkey = a.p_partkey // 2 WHERE a.p_partkey >= 1 UNION ALL SELECT a.path, 1, b.path, 'uses', NULL FROM parts a JOIN parts b ON b.p_partkey = a.p_partkey // 3 WHERE a.p_partkey >= 1",
+    "wide": "SELECT s.path AS src, 2 + p_partkey AS ord, p.path AS dst, 'calls' AS type, consumes FROM (SELECT l_suppkey, l_partkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS consumes FROM lineitem GROUP BY 1, 2) JOIN s_path s ON l_suppkey = s_suppkey JOIN parts p ON l_partkey = p_partkey",
+    "ev": "SELECT DISTINCT CASE WHEN event_type = 'purchase' THEN c.path ELSE p.path END AS src, 0 AS ord, CASE WHEN event_type = 'purchase' THEN p.path ELSE c.path END AS dst, CASE WHEN event_type = 'purchase' THEN 'emits' ELSE 'listens' END AS type, NULL::VARCHAR AS consumes FROM events JOIN parts p ON p_partkey = event_id % 50 JOIN c_path c ON c_custkey = user_id WHERE event_type IN ('purchase', 'view')",
+    "relations": "SELECT * FROM deep UNION ALL SELECT * FROM wide UNION ALL SELECT * FROM ev",
+    "prio": "SELECT DISTINCT o_custkey, substr(o_orderpriority, 1, 1) AS p FROM orders",
+    "node_aspects": "SELECT path, 'size/'||p_size AS aspect FROM parts UNION ALL SELECT DISTINCT module, 'brand/'||substr(module, 5) FROM parts UNION ALL SELECT path, 'seg/'||c_mktsegment FROM c_path",
+    "aspects": "SELECT 'size/'||i AS id FROM range(1, 51) t(i) UNION ALL SELECT DISTINCT 'brand/'||substr(module, 5) FROM parts UNION ALL SELECT DISTINCT 'prio/'||p FROM prio UNION ALL SELECT DISTINCT 'seg/'||c_mktsegment FROM customer",
+    "implies": "SELECT 'size/'||i AS id, 'size/'||(i // 2) AS implied FROM range(2, 51) t(i)",
+    "flow_nodes": "SELECT 'prio-'||p AS flow, path AS node FROM prio JOIN c_path ON o_custkey = c_custkey WHERE o_custkey % 10 = 0 UNION ALL SELECT 'tour', npath FROM npath WHERE n_nationkey = 0",
+    "flow_aspects": "SELECT DISTINCT 'prio-'||p AS flow, 'prio/'||p AS aspect FROM prio UNION ALL SELECT 'tour', 'size/8'",
+    "owner": "SELECT path AS node, doc_id, text, source, CASE doc_id % 3 WHEN 0 THEN 'responsibility.md' WHEN 1 THEN 'interface.md' ELSE 'internals.md' END AS filename FROM documents JOIN parts ON p_partkey = doc_id // 3",
+    "files": "SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS file FROM pages",
+    "mappings": "SELECT DISTINCT 'web/'||split_part(file,'/',1) AS node, split_part(file,'/',1) AS mapping FROM files UNION ALL SELECT DISTINCT 'web/'||split_part(file,'/',1)||'/'||split_part(file,'/',2), split_part(file,'/',1)||'/'||split_part(file,'/',2) FROM files",
+    "state": "SELECT node, 'd'||lpad(doc_id::VARCHAR, 12, '0') AS path, doc_id, text, CASE WHEN source = 'src0' THEN 'graph' ELSE 'source' END AS category FROM owner",
+    "baseline": "SELECT node, path, sha256(text) AS hash, category FROM state WHERE doc_id % 13 <> 5",
+    "curr": "SELECT node, path, sha256(CASE WHEN doc_id % 7 = 0 THEN text||'!' ELSE text END) AS hash, category FROM state WHERE doc_id % 11 <> 3",
+    "anc": "SELECT path AS node, array_to_string(string_split(path,'/')[1:i], '/') AS ancestor, (depth - i)::BIGINT AS distance FROM nodes, range(1, 5) t(i) WHERE i < depth",
+    "impl": "SELECT id AS aspect, implied, 1 AS depth FROM implies UNION ALL SELECT impl.aspect, i.implied, impl.depth + 1 FROM impl JOIN implies i ON impl.implied = i.id",
+    "member": "SELECT DISTINCT node, flow FROM (SELECT node, flow FROM flow_nodes UNION ALL SELECT anc.node, flow FROM anc JOIN flow_nodes f ON f.node = anc.ancestor)",
+    "src": "SELECT path AS node, aspect, 0 AS prio, '0' AS rank, 'own' AS source FROM node_aspects UNION ALL SELECT node, aspect, 1, lpad(distance::VARCHAR, 6, '0'), 'hierarchy '||ancestor FROM anc JOIN node_aspects ON path = ancestor UNION ALL SELECT node, aspect, 2, member.flow, 'flow '||member.flow FROM member JOIN flow_aspects a ON a.flow = member.flow",
+    "eff": "SELECT DISTINCT node, aspect FROM (SELECT node, aspect FROM src UNION ALL SELECT node, implied FROM src JOIN impl ON src.aspect = impl.aspect)",
+    "own_units": "SELECT node, (sum(length(filename) + 5 + length(coalesce(text, ''))) + 2 * (count(*) - 1))::BIGINT AS units FROM owner GROUP BY 1",
+    "layers": "SELECT path AS node, 'global' AS layer_type, 24::BIGINT AS units FROM nodes UNION ALL SELECT path, 'own', length(path) + coalesce(units, 0) FROM nodes LEFT JOIN own_units ON node = path UNION ALL SELECT anc.node, 'hierarchy', length(ancestor) + coalesce(units, 0) FROM anc LEFT JOIN own_units o ON o.node = ancestor UNION ALL SELECT src, 'relational', length(dst) + coalesce(units, 0) FROM deep LEFT JOIN own_units ON node = dst WHERE NOT EXISTS (SELECT 1 FROM anc WHERE anc.node = src AND ancestor = dst) UNION ALL SELECT node, 'flows', length(flow) + 14 FROM member UNION ALL SELECT node, 'aspects', length(aspect) FROM eff",
+    "budget": "SELECT node, tokens, CASE WHEN tokens >= 20000 THEN 'error' WHEN tokens >= 10000 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT node, ceil((sum(units) + 2 * (count(*) - 1)) / 4.0)::BIGINT AS tokens FROM layers GROUP BY 1)",
+    "dfiles": "SELECT coalesce(b.node, c.node) AS node, coalesce(b.path, c.path) AS path, CASE WHEN b.hash IS NULL THEN 'added' WHEN c.hash IS NULL THEN 'deleted' ELSE 'changed' END AS change, coalesce(c.category, b.category) AS category FROM baseline b FULL OUTER JOIN curr c ON b.node = c.node AND b.path = c.path WHERE b.hash IS DISTINCT FROM c.hash",
+    "dstatus": "SELECT n.node, CASE WHEN b.node IS NULL THEN 'source-drift' WHEN c.node IS NULL THEN 'missing' WHEN d.node IS NULL THEN 'ok' WHEN d.g AND d.s THEN 'full-drift' WHEN d.g THEN 'graph-drift' ELSE 'source-drift' END AS status FROM (SELECT node FROM baseline UNION SELECT node FROM curr) n LEFT JOIN (SELECT DISTINCT node FROM baseline) b ON b.node = n.node LEFT JOIN (SELECT DISTINCT node FROM curr) c ON c.node = n.node LEFT JOIN (SELECT node, bool_or(category = 'graph') AS g, bool_or(category = 'source') AS s FROM dfiles GROUP BY 1) d ON d.node = n.node",
+    "node_ok": "SELECT path FROM nodes EXCEPT SELECT path FROM parts WHERE p_partkey % 97 = 13",
+    "aspect_ok": "SELECT id FROM aspects WHERE id <> 'prio/5' AND NOT (id LIKE 'size/%' AND coalesce(try_cast(substr(id, 6) AS INT) % 7, 1) = 0)",
+    "direct": "SELECT dst AS target, src AS dependent, arg_max(type, ord) AS type, coalesce(arg_max(coalesce(consumes, ''), ord), '') AS consumes FROM relations WHERE type IN ('uses', 'calls', 'extends', 'implements') GROUP BY 1, 2",
+    "up": "SELECT DISTINCT dst AS target, src AS node FROM deep UNION SELECT up.target, d.src FROM up JOIN deep d ON d.dst = up.node",
+}
+
+
+def _need(sql: str, found: dict[str, str]) -> None:
+    for name, body in CTES.items():
+        if name not in found and re.search(rf"\b{name}\b", sql):
+            found[name] = body
+            _need(body, found)
+
+
+def _sql(query: str) -> str:
+    """The query with the expressions it uses, in the order of CTES."""
+    found: dict[str, str] = {}
+    _need(query, found)
+    with_ = ", ".join(f"{k} AS ({CTES[k]})" for k in CTES if k in found)
+    return f"WITH RECURSIVE {with_} {query}"
+
+
+def _nodes_ok(spark, d, g):
+    gone = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 97 = 13").select(F.concat(F.lit("lib/"), F.regexp_replace("p_brand", "#", "-"), F.lit("/p"), C("p_partkey").cast("string")).alias("path"))
+    return g.nodes.select("path", "parent_path").join(gone, "path", "left_anti")
+
+
+def _aspects_ok(g):
+    return g.aspects.where("id <> 'prio/5' and not (id like 'size/%' and cast(substring(id, 6) as int) % 7 = 0)")
+
+
+def _star(f):
+    """A query (spark, sf_dir) from a function of the graph, or of (graph, spark, sf_dir)."""
+    def run(spark, sf_dir):
+        g = from_star_schema(spark, sf_dir)
+        return f(g, spark, sf_dir) if f.__code__.co_argcount == 3 else f(g)
+
+    return run
+
+
+def _deep(g):
+    return g.relations.where(C("type").isin("uses", "extends"))
+
+
+def _cycle_edges(spark):
+    return spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x"), ("a", "b"), ("b", "a"), ("s", "s"), ("q", "x")], "src string, dst string")
+
+
+_BOXED = "SELECT * FROM (VALUES ('x','y'),('y','z'),('z','x'),('a','b'),('b','a'),('s','s'),('q','x')) e(src, dst) WHERE src <> 'b' AND dst <> 'b'"
+
+_ALL = {
+    "context_budget": (lambda g: context.budget(g), "SELECT node, tokens, status FROM budget"),
+    "context_layers": (lambda g: context.layers(g).groupBy("node", "layer_type").agg(F.count("*").alias("n_layers"), F.sum("units").alias("units")), "SELECT node, layer_type, count(*) AS n_layers, sum(units)::BIGINT AS units FROM layers GROUP BY 1, 2"),
+    "hierarchy_closure": (lambda g: closure.ancestors(g.nodes), "SELECT node, ancestor, distance FROM anc"),
+    "descendant_counts": (lambda g: closure.ancestors(g.nodes).groupBy(C("ancestor").alias("node")).agg(F.count("*").alias("n")), "SELECT ancestor AS node, count(*) AS n FROM anc GROUP BY 1"),
+    "tree_depth_limited": (lambda g: g.nodes.where("depth <= 2").select(C("path").alias("node"), "depth"), "SELECT path AS node, depth FROM nodes WHERE depth <= 2"),
+    "deps_tree_depth3": (lambda g: closure.dependency_paths(_deep(g), 3), "SELECT src AS root, src||' > '||dst AS path, dst AS node, 1::BIGINT AS depth FROM deep UNION ALL SELECT a.src, a.src||' > '||a.dst||' > '||b.dst, b.dst, 2 FROM deep a JOIN deep b ON a.dst = b.src AND b.dst <> a.src AND b.dst <> a.dst UNION ALL SELECT a.src, a.src||' > '||a.dst||' > '||b.dst||' > '||c.dst, c.dst, 3 FROM deep a JOIN deep b ON a.dst = b.src AND b.dst <> a.src AND b.dst <> a.dst JOIN deep c ON b.dst = c.src AND c.dst NOT IN (a.src, a.dst, b.dst)"),
+    "deps_transitive": (lambda g: closure.reach(_deep(g)).select("root", "node", C("depth").alias("min_depth")), "SELECT root, node, min(d)::BIGINT AS min_depth FROM r GROUP BY 1, 2"),
+    "deps_stages": (lambda g: closure.stages(g.nodes.where("type = 'library'").select(C("path").alias("node")), _deep(g)), "SELECT path AS node, coalesce(max(d) + 1, 1)::BIGINT AS stage FROM parts LEFT JOIN r ON root = path GROUP BY 1"),
+    "impact_direct": (lambda g: impact.direct(g), "SELECT target, dependent, type, consumes FROM direct"),
+    "impact_transitive": (lambda g: impact.dependents(_deep(g)), "SELECT target, (SELECT count(DISTINCT src) FROM deep WHERE dst = target) AS n_direct, count(*) AS n_total FROM up GROUP BY 1"),
+    "impact_method": (lambda g: impact.by_method(g, "A").select("target", F.lit("A").alias("method"), "n_direct"), "SELECT target, 'A' AS method, count(*) AS n_direct FROM direct WHERE consumes = '' OR list_contains(string_split(consumes, ','), 'A') GROUP BY 1"),
+    "impact_chains": (lambda g, spark, d: impact.chains(_deep(g), g.nodes.where("path like 'lib/%/p3'").first()[0]), None),
+    "impact_events": (lambda g: impact.events(g), "SELECT dst AS target, src AS node, type FROM ev UNION SELECT a.src, b.src, b.type FROM ev a JOIN ev b ON a.dst = b.dst AND a.type = 'emits' AND b.type = 'listens' AND a.src <> b.src"),
+    "effective_aspects": (lambda g: aspects.effective(g), "SELECT node, aspect FROM eff"),
+    "aspect_provenance": (lambda g: aspects.provenance(g), "SELECT node, aspect, arg_min(source, (prio, rank, source)) AS source FROM (SELECT * FROM src UNION ALL SELECT node, implied, 3, '', 'implied' FROM src JOIN impl ON src.aspect = impl.aspect) GROUP BY 1, 2"),
+    "aspect_impact_counts": (lambda g: aspects.effective(g).groupBy("aspect").agg(F.count("*").alias("n_nodes")).join(g.flow_aspects.groupBy("aspect").agg(F.count("*").alias("n")), "aspect", "left").select("aspect", "n_nodes", F.coalesce("n", F.lit(0)).cast("long").alias("n_flows")), "SELECT aspect, count(*) AS n_nodes, (SELECT count(*) FROM flow_aspects f WHERE f.aspect = eff.aspect) AS n_flows FROM eff GROUP BY 1"),
+    "implies_closure": (lambda g: aspects.implies_closure(g).select("aspect", "implied", C("depth").alias("pos")), "SELECT aspect, implied, depth::BIGINT AS pos FROM impl"),
+    "flow_participants": (lambda g: aspects.flow_membership(g).join(g.flow_nodes.withColumn("d", F.lit(True)).distinct(), ["node", "flow"], "left").select("flow", "node", C("d").isNotNull().alias("declared")), "SELECT flow, node, (flow, node) IN (SELECT (flow, node) FROM flow_nodes) AS declared FROM member"),
+    "co_aspect_pairs": (lambda g, spark, d: impact.co_aspect(aspects.effective(g), "lib/Brand-11"), "SELECT 'lib/Brand-11' AS a, node AS b, count(*) AS n_shared FROM eff WHERE node <> 'lib/Brand-11' AND aspect IN (SELECT aspect FROM eff WHERE node = 'lib/Brand-11') GROUP BY 2"),
+    "v_unknown_type": (lambda g: rules.unknown_type(g, ["module", "service"]), "SELECT path AS node, type FROM nodes WHERE type NOT IN ('module', 'service')"),
+    "v_unknown_aspect": (lambda g: rules.unknown_aspect(g, _aspects_ok(g)), "SELECT path AS node, aspect FROM node_aspects WHERE aspect NOT IN (SELECT id FROM aspect_ok)"),
+    "v_broken_relation": (lambda g, spark, d: rules.broken_relation(g, _nodes_ok(spark, d, g)), "SELECT DISTINCT src AS node, dst AS target FROM relations WHERE dst NOT IN (SELECT path FROM node_ok)"),
+    "v_broken_siblings": (lambda g, spark, d: rules.siblings(rules.broken_relation(g, _nodes_ok(spark, d, g)), _nodes_ok(spark, d, g)), "SELECT target, (SELECT count(*) FROM nodes n JOIN node_ok k ON k.path = n.path WHERE n.parent_path = regexp_replace(target, '/[^/]*$', '')) AS n_siblings FROM (SELECT DISTINCT dst AS target FROM relations WHERE dst NOT IN (SELECT path FROM node_ok))"),
+    "v_broken_flow_ref": (lambda g, spark, d: rules.broken_flow_ref(g, g.nodes.where("path not like '%0'")), "SELECT flow, node FROM flow_nodes WHERE node NOT IN (SELECT path FROM nodes WHERE path NOT LIKE '%0')"),
+    "v_broken_flow_aspect": (lambda g: rules.broken_flow_aspect(g, _aspects_ok(g)), "SELECT flow, aspect FROM flow_aspects WHERE aspect NOT IN (SELECT id FROM aspect_ok)"),
+    "v_implied_missing": (lambda g: rules.implied_missing(g, _aspects_ok(g)), "SELECT id AS aspect, implied FROM implies WHERE implied NOT IN (SELECT id FROM aspect_ok)"),
+    "v_structural_cycle": (lambda g, spark, d: rules.structural_cycle(_cycle_edges(spark), spark.createDataFrame([("b",)], "node string")), "SELECT DISTINCT root AS node FROM cyc WHERE root = node"),
+    "v_missing_artifact": (lambda g: rules.missing_artifact(g), "SELECT path AS node, 'responsibility.md' AS artifact, 'always' AS reason_kind FROM nodes WHERE NOT blackbox AND path NOT IN (SELECT node FROM owner WHERE filename = 'responsibility.md') UNION ALL SELECT DISTINCT dst, 'interface.md', 'incoming' FROM relations WHERE dst NOT IN (SELECT node FROM owner WHERE filename = 'interface.md')"),
+    "v_shallow": (lambda g: rules.shallow(g), "SELECT node, filename AS artifact, length(trim(text, ' ' || chr(9) || chr(10) || chr(13)))::BIGINT AS n FROM owner WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 50"),
+    "v_budget": (lambda g: rules.over_budget(g), "SELECT node, CASE WHEN status = 'error' THEN 'W006' ELSE 'W005' END AS code FROM budget JOIN nodes ON path = node WHERE status <> 'ok' AND NOT blackbox"),
+    "v_fanout": (lambda g: rules.fan_out(g), "SELECT src AS node, count(*) AS n FROM relations GROUP BY 1 HAVING count(*) > 10"),
+    "v_unpaired_event": (lambda g: rules.unpaired_event(g), "SELECT src AS node, dst AS other, type AS direction FROM ev a WHERE NOT EXISTS (SELECT 1 FROM ev b WHERE b.src = a.dst AND b.dst = a.src AND b.type <> a.type)"),
+    "v_required_aspect": (lambda g: rules.required_aspect(g, "library", "size/3", aspects.implies_closure(g)), "SELECT path AS node, 'size/3' AS aspect FROM nodes WHERE type = 'library' AND path NOT IN (SELECT n.path FROM node_aspects n LEFT JOIN impl ON impl.aspect = n.aspect WHERE n.aspect = 'size/3' OR implied = 'size/3')"),
+    "v_overlap": (lambda g: rules.overlapping(g.mappings.unionAll(g.mappings.where("mapping like '%/en'").select(F.lit("zz").alias("node"), "mapping")), g.mappings.where("mapping like '%/%'").select("node", F.regexp_replace("node", "/[^/]*$", "").alias("ancestor"))), "SELECT a.mapping AS mapping_a, b.mapping AS mapping_b, greatest(a.node, b.node) AS blamed FROM (SELECT * FROM mappings UNION ALL SELECT 'zz', mapping FROM mappings WHERE mapping LIKE '%/en') a JOIN (SELECT * FROM mappings UNION ALL SELECT 'zz', mapping FROM mappings WHERE mapping LIKE '%/en') b ON a.node <> b.node AND ((a.mapping = b.mapping AND a.node < b.node) OR (starts_with(a.mapping, b.mapping||'/') AND NOT (a.node <> 'zz' AND b.node = regexp_replace(a.node, '/[^/]*$', ''))))"),
+    "v_anchor_missing": (lambda g: rules.anchors_missing(g), "SELECT DISTINCT substr(b.text, 1, 60) AS anchor FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM owner o WHERE contains(o.text, substr(b.text, 1, 60)))"),
+    "owner_of_file": (lambda g: drift.owners(g), "SELECT file, node, mapping, mapping = file AS direct FROM (SELECT file, m.node, m.mapping, row_number() OVER (PARTITION BY file ORDER BY length(m.mapping) DESC, m.mapping DESC) AS k FROM files JOIN mappings m ON file = m.mapping OR starts_with(file, m.mapping||'/')) WHERE k = 1"),
+    "drift_files": (lambda g: drift.files(g), "SELECT node, path, change, category FROM dfiles"),
+    "drift_status": (lambda g: drift.status(g), "SELECT node, status FROM dstatus"),
+    "drift_counts": (lambda g: drift.status(g).groupBy("status").agg(F.count("*").alias("n")), "SELECT status, count(*) AS n FROM dstatus GROUP BY 1"),
+    "drift_sections_topn": (lambda g: drift.sections(g, 10), "SELECT section, node, rn FROM (SELECT section, node, row_number() OVER (PARTITION BY section ORDER BY node) AS rn FROM (SELECT 'source' AS section, node FROM dstatus WHERE status IN ('source-drift', 'full-drift', 'missing') UNION ALL SELECT 'graph', node FROM dstatus WHERE status IN ('graph-drift', 'full-drift'))) WHERE rn <= 10"),
+    "canonical_digest": (lambda g: drift.digest(g.current), "SELECT node, sha256(string_agg(path||':'||hash, chr(10) ORDER BY path)) AS digest FROM curr GROUP BY 1"),
+    "state_gc": (lambda g: drift.garbage(g), "SELECT DISTINCT node FROM baseline WHERE node NOT IN (SELECT node FROM curr)"),
+    "status_nodes": (lambda g: g.nodes.groupBy("type").agg(F.count("*").alias("n"), F.sum(C("blackbox").cast("long")).alias("n_blackbox")), "SELECT type, count(*) AS n, sum(blackbox::INT)::BIGINT AS n_blackbox FROM nodes GROUP BY 1"),
+    "status_relations": (lambda g: g.relations.groupBy(F.when(C("type").isin(closure.STRUCTURAL), "structural").otherwise("event").alias("class")).agg(F.count("*").alias("n")), "SELECT CASE WHEN type IN ('uses', 'calls', 'extends', 'implements') THEN 'structural' ELSE 'event' END AS class, count(*) AS n FROM relations GROUP BY 1"),
+    "status_quality": (lambda g, spark, d: g.artifacts.agg(F.count("*").alias("filled")).crossJoin(g.nodes.agg((F.count("*") * 3).alias("slots"))).select("filled", "slots", F.floor(C("filled") * 100 / C("slots") + 0.5).cast("long").alias("percent")), "SELECT filled, slots, floor(filled * 100.0 / slots + 0.5)::BIGINT AS percent FROM (SELECT count(*) AS filled FROM owner), (SELECT count(*) * 3 AS slots FROM nodes)"),
+    "fanout_argmax": (lambda g: g.relations.groupBy("src").agg(F.count("*").alias("n")).agg(F.min(F.struct((-C("n")).alias("k"), "src")).alias("b")).select(C("b.src").alias("node"), (-C("b.k")).alias("n")), "SELECT src AS node, count(*) AS n FROM relations GROUP BY 1 ORDER BY n DESC, node LIMIT 1"),
+}
+CTES["r"] = "SELECT src AS root, dst AS node, 1 AS d FROM deep UNION SELECT r.root, e.dst, r.d + 1 FROM r JOIN deep e ON e.src = r.node"
+CTES["cyc"] = f"SELECT src AS root, dst AS node FROM ({_BOXED}) UNION SELECT cyc.root, e.dst FROM cyc JOIN ({_BOXED}) e ON e.src = cyc.node"
+
+QUERIES = {k: _star(f) for k, (f, _) in _ALL.items()}
+ORACLES = {k: _sql(q) for k, (_, q) in _ALL.items() if q}
