@@ -42,7 +42,15 @@ def test_reverse_diamond(spark):
     assert [r.chain for r in impact.chains(edges(spark, "ab bc"), "c").collect()] == ["c <- b <- a"]
 
 
-@pytest.mark.parametrize("name", ["context_budget", "aspect_provenance", "impact_events", "v_overlap", "owner_of_file", "drift_status", "canonical_digest", "v_unpaired_event"])
+def test_scope(spark):
+    nodes = spark.createDataFrame([("a",), ("a/b",), ("ab",)], "path string")
+    issues = spark.createDataFrame([("X", "error", n) for n in ("a", "a/b", "ab", None)], "code string, severity string, node string")
+    assert sorted(str(r.node) for r in rules.scoped(issues, "a", nodes).collect()) == ["None", "a", "a/b"]
+    with pytest.raises(ValueError, match="invalid scope"):
+        rules.scoped(issues, "c", nodes)
+
+
+@pytest.mark.parametrize("name", ["context_budget", "aspect_provenance", "impact_events", "v_overlap", "owner_of_file", "drift_status", "canonical_digest", "v_unpaired_event", "deps_changed_expand", "impact_scope_total", "v_bad_condition", "v_duplicate_aspect", "v_implies_cycle", "v_missing_schema", "v_mapping_missing", "v_scoped"])
 def test_catalogue(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import GraphTables
-from .closure import reach, structural, written
+from .aspects import effective
+from .closure import ancestors, reach, structural, written
 
 
 def direct(g: GraphTables) -> DataFrame:
@@ -56,3 +57,25 @@ def co_aspect(effective: DataFrame, target: str) -> DataFrame:
     """(a, b, n_shared): nodes that share an effective aspect with the target."""
     mine = effective.where(F.col("node") == target).select("aspect")
     return effective.where(F.col("node") != target).join(mine, "aspect").groupBy(F.col("node").alias("b")).agg(F.count("*").alias("n_shared")).select(F.lit(target).alias("a"), "b", "n_shared")
+
+
+def changed(g: GraphTables, paths: DataFrame) -> DataFrame:
+    """(node, reason): the deepest node around each changed path, then one hop of structural dependents."""
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    around = paths.select(F.col("path").alias("changed"), F.explode(up).alias("node")).join(g.nodes.select(F.col("path").alias("node")), "node")
+    hit = written(around.groupBy("changed").agg(F.max_by("node", F.length("node")).alias("node")).select("node").distinct())
+    hop = structural(g.relations).join(hit.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct().join(hit, "node", "left_anti")
+    return hit.select("node", F.lit("changed").alias("reason")).unionAll(hop.select("node", F.lit("dependent").alias("reason")))
+
+
+def scope_total(g: GraphTables, edges: DataFrame) -> DataFrame:
+    """(target, n_nodes, n_flows, n_aspects) of every node: dependents, descendants and event nodes together;
+    flows that name the node; effective aspects."""
+    back = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("root <> node").select(F.col("root").alias("target"), "node")
+    below = ancestors(g.nodes).select(F.col("ancestor").alias("target"), "node")
+    n = back.unionAll(below).unionAll(events(g).select("target", "node")).distinct().groupBy("target").agg(F.count("*").alias("n_nodes"))
+    flows = g.flow_nodes.distinct().groupBy(F.col("node").alias("target")).agg(F.count("*").alias("n_flows"))
+    have = effective(g).groupBy(F.col("node").alias("target")).agg(F.count("*").alias("n_aspects"))
+    out = g.nodes.select(F.col("path").alias("target")).join(n, "target", "left").join(flows, "target", "left").join(have, "target", "left")
+    return out.select("target", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_nodes", "n_flows", "n_aspects")))

@@ -116,3 +116,44 @@ def anchors_missing(g: GraphTables) -> DataFrame:
 
 def structural_edges(g: GraphTables) -> DataFrame:
     return structural(g.relations).select("src", "dst")
+
+
+def bad_condition(conditions: DataFrame, aspects: DataFrame) -> DataFrame:
+    """(artifact, aspect): artifact types (artifact, condition) whose condition names an unknown aspect."""
+    named = conditions.select("artifact", F.regexp_extract("condition", "^(?:has_aspect|has_tag):(.*)$", 1).alias("aspect")).where("condition rlike '^(has_aspect|has_tag):'")
+    return missing(named, "aspect", aspects, "id").select("artifact", "aspect")
+
+
+def duplicate_aspect(aspects: DataFrame) -> DataFrame:
+    """(id, n): aspect ids bound more than once."""
+    return aspects.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def implies_cycle(implies: DataFrame) -> DataFrame:
+    """(aspect): aspects that imply themselves through others."""
+    return cyclic_core(implies.select(F.col("id").alias("src"), F.col("implied").alias("dst"))).select(F.col("node").alias("aspect"))
+
+
+def missing_schema(schemas: DataFrame, required: tuple[str, ...] = ("node", "aspect", "flow")) -> DataFrame:
+    """(schema): required schemas that are not there."""
+    return schemas.sparkSession.createDataFrame([(x,) for x in required], "schema string").join(schemas.select("schema").distinct(), "schema", "left_anti")
+
+
+def mapping_missing(mappings: DataFrame, files: DataFrame) -> DataFrame:
+    """(node, mapping): mappings that are neither a file nor a directory above one."""
+    parts = F.split("file", "/")
+    there = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("mapping")).distinct()
+    return mappings.join(there, "mapping", "left_anti").select("node", "mapping")
+
+
+def issue(rows: DataFrame, code: str, severity: str, node: str | None) -> DataFrame:
+    """(code, severity, node) of a rule's rows; those of no node have null. A column named code takes precedence."""
+    at = F.col(node) if node else F.lit(None).cast("string")
+    return rows.select((F.col("code") if "code" in rows.columns else F.lit(code)).alias("code"), F.lit(severity).alias("severity"), at.alias("node"))
+
+
+def scoped(issues: DataFrame, scope: str, nodes: DataFrame) -> DataFrame:
+    """Issues of a node and the nodes below it; issues of no node always pass. Raises on an unknown scope."""
+    if nodes.where(F.col("path") == scope).isEmpty():
+        raise ValueError(f"invalid scope: {scope}")
+    return issues.where((F.col("node") == scope) | F.col("node").startswith(scope + "/") | F.col("node").isNull())

@@ -64,7 +64,7 @@ def _sql(query: str) -> str:
     found: dict[str, str] = {}
     _need(query, found)
     with_ = ", ".join(f"{k} AS ({CTES[k]})" for k in CTES if k in found)
-    return f"WITH RECURSIVE {with_} {query}"
+    return f"WITH RECURSIVE {with_} {query}" if with_ else query
 
 
 def _nodes_ok(spark, d, g):
@@ -143,8 +143,47 @@ _ALL = {
     "status_quality": (lambda g, spark, d: g.artifacts.agg(F.count("*").alias("filled")).crossJoin(g.nodes.agg((F.count("*") * 3).alias("slots"))).select("filled", "slots", F.floor(C("filled") * 100 / C("slots") + 0.5).cast("long").alias("percent")), "SELECT filled, slots, floor(filled * 100.0 / slots + 0.5)::BIGINT AS percent FROM (SELECT count(*) AS filled FROM owner), (SELECT count(*) * 3 AS slots FROM nodes)"),
     "fanout_argmax": (lambda g: g.relations.groupBy("src").agg(F.count("*").alias("n")).agg(F.min(F.struct((-C("n")).alias("k"), "src")).alias("b")).select(C("b.src").alias("node"), (-C("b.k")).alias("n")), "SELECT src AS node, count(*) AS n FROM relations GROUP BY 1 ORDER BY n DESC, node LIMIT 1"),
 }
+_CONDITIONS = [("responsibility.md", "always"), ("audit.md", "has_aspect:size/7"), ("plan.md", "has_aspect:size/3"), ("old.md", "has_tag:gone")]
+_ALL |= {
+    "deps_changed_expand": (lambda g: impact.changed(g, drift.files(g).select(F.concat_ws("/", "node", "path").alias("path"))), "SELECT DISTINCT node, 'changed' AS reason FROM dfiles UNION ALL SELECT DISTINCT src, 'dependent' FROM relations WHERE type IN ('uses', 'calls', 'extends', 'implements') AND dst IN (SELECT node FROM dfiles) AND src NOT IN (SELECT node FROM dfiles)"),
+    "impact_scope_total": (lambda g: impact.scope_total(g, _deep(g)), "SELECT path AS target, coalesce(n, 0) AS n_nodes, coalesce(f, 0) AS n_flows, coalesce(e, 0) AS n_aspects FROM nodes LEFT JOIN (SELECT target, count(*) AS n FROM (SELECT target, node FROM up UNION SELECT ancestor, node FROM anc UNION SELECT dst, src FROM ev UNION SELECT a.src, b.src FROM ev a JOIN ev b ON a.dst = b.dst AND a.type = 'emits' AND b.type = 'listens' AND a.src <> b.src) GROUP BY 1) a ON a.target = path LEFT JOIN (SELECT node, count(DISTINCT flow) AS f FROM flow_nodes GROUP BY 1) b ON b.node = path LEFT JOIN (SELECT node, count(*) AS e FROM eff GROUP BY 1) c ON c.node = path"),
+    "v_bad_condition": (lambda g, spark, d: rules.bad_condition(spark.createDataFrame(_CONDITIONS, "artifact string, condition string"), _aspects_ok(g)), "SELECT artifact, split_part(c, ':', 2) AS aspect FROM (VALUES ('responsibility.md', 'always'), ('audit.md', 'has_aspect:size/7'), ('plan.md', 'has_aspect:size/3'), ('old.md', 'has_tag:gone')) t(artifact, c) WHERE c LIKE 'has_%:%' AND split_part(c, ':', 2) NOT IN (SELECT id FROM aspect_ok)"),
+    "v_duplicate_aspect": (lambda g: rules.duplicate_aspect(g.aspects.unionAll(g.aspects.where("id like 'seg/%'"))), "SELECT id, count(*) AS n FROM (SELECT id FROM aspects UNION ALL SELECT id FROM aspects WHERE id LIKE 'seg/%') GROUP BY 1 HAVING count(*) > 1"),
+    "v_implies_cycle": (lambda g, spark, d: rules.implies_cycle(g.implies.unionAll(spark.createDataFrame([("size/3", "size/50")], "id string, implied string"))), "SELECT DISTINCT root AS aspect FROM icyc WHERE root = node"),
+    "v_missing_schema": (lambda g, spark, d: rules.missing_schema(spark.createDataFrame([("node",), ("flow",)], "schema string")), "SELECT schema FROM (VALUES ('node'), ('aspect'), ('flow')) t(schema) EXCEPT SELECT schema FROM (VALUES ('node'), ('flow')) u(schema)"),
+    "v_mapping_missing": (lambda g: rules.mapping_missing(g.mappings, g.files.where("file not like '%/en/%'")), "SELECT node, mapping FROM mappings WHERE NOT EXISTS (SELECT 1 FROM files WHERE file NOT LIKE '%/en/%' AND (file = mapping OR starts_with(file, mapping||'/')))"),
+}
 CTES["r"] = "SELECT src AS root, dst AS node, 1 AS d FROM deep UNION SELECT r.root, e.dst, r.d + 1 FROM r JOIN deep e ON e.src = r.node"
 CTES["cyc"] = f"SELECT src AS root, dst AS node FROM ({_BOXED}) UNION SELECT cyc.root, e.dst FROM cyc JOIN ({_BOXED}) e ON e.src = cyc.node"
+CTES["imp2"] = "SELECT id AS src, implied AS dst FROM implies UNION ALL SELECT 'size/3', 'size/50'"
+CTES["icyc"] = "SELECT src AS root, dst AS node FROM imp2 UNION SELECT icyc.root, i.dst FROM icyc JOIN imp2 i ON i.src = icyc.node"
+
+# Codes and severities are fixed values: (rule, code, severity, column of the node); a rule of no node has none.
+_ISSUES = [
+    ("v_unknown_type", "E002", "error", "node"), ("v_unknown_aspect", "E003", "error", "node"), ("v_broken_relation", "E004", "error", "node"),
+    ("v_broken_flow_ref", "E006", "error", None), ("v_broken_flow_aspect", "E007", "error", None), ("v_overlap", "E009", "error", "blamed"),
+    ("v_structural_cycle", "E010", "error", "node"), ("v_bad_condition", "E013", "error", None), ("v_duplicate_aspect", "E014", "error", None),
+    ("v_implied_missing", "E016", "error", None), ("v_implies_cycle", "E017", "error", None), ("v_missing_artifact", "W001", "warning", "node"),
+    ("v_shallow", "W002", "warning", "node"), ("v_budget", "W005", "warning", "node"), ("v_fanout", "W007", "warning", "node"),
+    ("v_unpaired_event", "W009", "warning", "node"), ("v_missing_schema", "W010", "warning", None), ("v_required_aspect", "W011", "warning", "node"),
+    ("v_mapping_missing", "W012", "warning", "node"), ("v_anchor_missing", "W014", "warning", None),
+]
+
+
+def _issues(spark, d):
+    """(code, severity, node): the rows of all rules together."""
+    out = None
+    for name, code, severity, node in _ISSUES:
+        one = rules.issue(_star(_ALL[name][0])(spark, d), code, severity, node)
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_ISSUES_SQL = " UNION ALL ".join(f"SELECT {'code' if name == 'v_budget' else repr(code)} AS code, '{severity}' AS severity, {node or 'NULL::VARCHAR'} AS node FROM ({_ALL[name][1]})" for name, code, severity, node in _ISSUES)
+_ALL |= {
+    "v_issue_counts": (lambda g, spark, d: _issues(spark, d).groupBy("code", "severity").agg(F.count("*").alias("n")), f"SELECT code, severity, count(*) AS n FROM ({_ISSUES_SQL}) GROUP BY 1, 2"),
+    "v_scoped": (lambda g, spark, d: rules.scoped(_issues(spark, d), "lib/Brand-11", g.nodes).groupBy("code").agg(F.count("*").alias("n")), f"SELECT code, count(*) AS n FROM ({_ISSUES_SQL}) WHERE node IS NULL OR node = 'lib/Brand-11' OR starts_with(node, 'lib/Brand-11/') GROUP BY 1"),
+}
 
 QUERIES = {k: _star(f) for k, (f, _) in _ALL.items()}
 ORACLES = {k: _sql(q) for k, (_, q) in _ALL.items() if q}
