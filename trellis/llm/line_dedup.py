@@ -30,6 +30,10 @@ from .common import Workspace, words
 
 MIN_WORDS = 50
 _KEY = ["k1", "k2"]
+#: A character of a word.
+_WORD = r"[^\x20\x09-\x0D]"
+#: Most rows of the broadcast table that tells which documents may lose lines (64 bits each).
+_BIT_WORDS = 2**18
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -43,17 +47,13 @@ def _ranked(groups: DataFrame, order: list[str]) -> DataFrame:
 
 def repeated_lines(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2, pos) of every line to delete, without repeats. ``docs``: k1, k2, text."""
-    lines = (
-        docs.select(*_KEY, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .withColumn("n", F.size(words(F.col("line")))).where("n > 0")
-    )
-    line = ws.save(lines.select(*_KEY, "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n"), "lines")
-    by_doc = Window.partitionBy(*_KEY).orderBy("at")
-    # Rows equal in doc_id and text give the same lines again; one of each is enough.
-    line = line.dropDuplicates([*_KEY, "at"]).select("*", F.row_number().over(by_doc).alias("pos"))
+    worded = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"].rlike(_WORD))
+    lines = docs.select(*_KEY, F.posexplode(worded).alias("pos", "x"))
+    line = ws.save(lines.select(*_KEY, "x.at", "pos", F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(1), "x.line").alias("h2"), F.size(words(F.col("x.line"))).alias("n")), "lines")
     ids = _ranked(line.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c"), ["h1", "h2"])
     ids = ws.save(ids, "rank0")
-    seq = ws.save(line.join(ids, ["h1", "h2"]).select(*_KEY, "at", "pos", "n", F.col("rank").alias("r0")), "seq0")
+    # Rows equal in doc_id and text give the same lines again; one of each is enough. Dealt by document, as the windows need it.
+    seq = line.join(ids, ["h1", "h2"]).select(*_KEY, "at", "pos", "n", F.col("rank").alias("r0")).repartition(*_KEY).dropDuplicates([*_KEY, "at"])
 
     # Only stretches of neighbours that all repeat can hold a run. A line has a word at least, so the
     # shortest qualifying run from a line, or up to it, is among min_words lines.
@@ -121,8 +121,17 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = repeated_lines(ws, _keyed(docs.select("doc_id", "text")).select(*_KEY, "text"), min_words)
     gone = ws.save(gone.groupBy(*_KEY).agg(F.collect_set("at").alias("gone")), "gone")
     rows = _keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text")).select("row", *_KEY)
-    # Only documents that lose lines need their deletions beside them.
-    joined = rows.join(gone, _KEY, "left").withColumn("lines", F.split("row.text", "\n"))
+    # Only documents that may lose lines are dealt out to meet their deletions. The others are told by a
+    # table of 64-bit words of hash bits, at most _BIT_WORDS rows at any size of input; a false sign costs a
+    # document's place in the join, no more.
+    h = F.xxhash64(*_KEY)
+    word, bit = F.pmod(h, F.lit(_BIT_WORDS)), F.shiftrightunsigned(h, 58).cast("int")
+    signs = gone.select(word.alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(k1, k2), 58) as int))").alias("b"))
+    signs = ws.save(signs.groupBy("word").agg(F.bit_or("b").alias("bits")), "signs")
+    signed = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(signs), "word", "left")
+    may = F.coalesce(F.getbit("bits", F.col("bit")) == 1, F.lit(False))
+    lost = signed.where(may).select("row", *_KEY).join(gone, _KEY, "left").select("row", "gone")
+    joined = signed.where(~may).select("row", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")).unionAll(lost).withColumn("lines", F.split("row.text", "\n"))
     # Numbers of the lines kept, then the lines by number: linear in the document's lines.
     joined = joined.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n"))
@@ -137,6 +146,6 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without later copies of repeated runs; documents that lose their last word go."""
     out = dedup(docs)
-    left = out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(_WORD))
     columns = [F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
     return left.select(*columns)
