@@ -89,6 +89,10 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         return self.encode_inside(" " + text) if text else []
 
+    def gives(self, ids: list[int], s: str) -> bool:
+        """Whether pieces of a stretch inside a text decode to it."""
+        return b"".join(map(self.bytes.__getitem__, ids)) == s.encode()
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "replace")
 
@@ -188,21 +192,31 @@ def states(matrices: list[dict[str, list[str]]]) -> list[str]:
     return [next(iter(x)) if len(x) == 1 else "" for x in reversed(out)]
 
 
-def trace_chunk(codec: Codec, s: str, lo: int, hi: int, start: str, stop: str) -> list[int]:
-    """Ids of the pieces that start in the chunk, between its two states."""
+def interior(codec: Codec, s: str, lo: int, hi: int) -> tuple[str, list[int] | None, str]:
+    """A chunk cut at its first and last border that every path has: (head, ids of the inside, tail).
+
+    Without such a border the head is the whole of ``s`` and the ids are None.
+    """
+    inner = _inner(s, lo, hi)
+    return (s, None, "") if inner is None else (s[: inner[0]], codec.encode_inside(s[inner[0] : inner[1]]), s[inner[1] :])
+
+
+def trace_edges(codec: Codec, head: str, tail: str | None, lo: int, hi: int, start: str, stop: str) -> tuple[list[int], list[int], bool]:
+    """Ids of the pieces before and after a chunk's inside, between its two states, and whether they decode exactly.
+
+    ``tail`` is None for a chunk without an inside; ``hi`` counts from the start of the tail, or else of the head.
+    """
     n, last = start.split("|", 1)
     at, (m, piece) = lo + int(n), stop.split("|", 1)
-    inner = _inner(s, lo, hi)
-    if inner is None:
-        return codec.trace(codec.reach(s, at, last, hi), hi + int(m), piece, at)
-    out: list[int] = []
-    if at < inner[0]:
-        ends = codec.reach(s, at, last, inner[0])
-        out += codec.trace(ends, inner[0], next(iter(ends[inner[0]])), at)
-    out += codec.encode_inside(s[inner[0] : inner[1]])
-    if inner[1] < hi:
-        out += codec.trace(codec.reach(s, inner[1], "", hi), hi + int(m), piece, inner[1])
-    return out
+    if tail is None:
+        out = codec.trace(codec.reach(head, at, last, hi), hi + int(m), piece, at)
+        return out, [], codec.gives(out, head[at : hi + int(m)])
+    before: list[int] = []
+    if at < len(head):
+        ends = codec.reach(head, at, last, len(head))
+        before = codec.trace(ends, len(head), next(iter(ends[len(head)])), at)
+    after = codec.trace(codec.reach(tail, 0, "", hi), hi + int(m), piece, 0) if hi else []
+    return before, after, codec.gives(before, head[at:]) and codec.gives(after, tail[: hi + int(m)] if hi else "")
 
 
 _CODECS: dict[int, Codec] = {}
@@ -267,14 +281,23 @@ def _encode_giants(docs: DataFrame, model, chunk: int) -> DataFrame:
     # One chunk is one unit of work, wherever its document was; rows that repeat give the same chunks.
     chunks = ws.save(chunks.dropDuplicates([*key, "i"]), "chunks")
 
-    def matrix(batches):
+    def through(batches):
         codec = _codec(model)
         for b in _pieces(batches):
             rows = b.to_pylist()
-            out = [json.dumps(transfer(codec, r["s"], r["lo"], r["hi"], r["i"] == 0, r["i"] == r["n"] - 1)) for r in rows]
-            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["i"], pa.array(out, pa.string())], [*key, "i", "m"])
-
-    matrices = ws.save(chunks.mapInArrow(matrix, "k1 long, k2 long, i long, m string"), "matrices")
+            m = [json.dumps(transfer(codec, r["s"], r["lo"], r["hi"], r["i"] == 0, r["i"] == r["n"] - 1)) for r in rows]
+            heads, ids, tails = zip(*(interior(codec, r["s"], r["lo"], r["hi"]) for r in rows))
+            exact = [x is None or codec.gives(x, r["s"][len(h) : len(r["s"]) - len(t)]) for r, h, x, t in zip(rows, heads, ids, tails)]
+            hi = [r["hi"] if x is None else r["hi"] - len(r["s"]) + len(t) for r, x, t in zip(rows, ids, tails)]
+            tails = [None if x is None else t for x, t in zip(ids, tails)]
+            yield pa.RecordBatch.from_arrays(
+                [b["k1"], b["k2"], b["i"], b["lo"], pa.array(hi, pa.int64()), pa.array(m, pa.string()), pa.array(heads, pa.string()), pa.array(tails, pa.string()), _id_arrays([x or [] for x in ids]), pa.array(exact, pa.bool_())],
+                [*key, "i", "lo", "hi", "m", "head", "tail", "ids", "exact"],
+            )
+
+    # The inside of a chunk does not hang on its states, so it is encoded as the matrix is made; only the
+    # short texts on both sides of it wait for the states.
+    passed = ws.save(chunks.mapInArrow(through, "k1 long, k2 long, i long, lo long, hi long, m string, head string, tail string, ids array<int>, exact boolean"), "passed")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
@@ -282,25 +305,21 @@ def _encode_giants(docs: DataFrame, model, chunk: int) -> DataFrame:
         return pdf[[*key, "i"]].assign(start=at[:-1], stop=at[1:])
 
     # A document's matrices are a few numbers for each CHUNK of its text.
-    borders = matrices.groupBy(*key).applyInPandas(choose, "k1 long, k2 long, i long, start string, stop string")
+    borders = passed.select(*key, "i", "m").groupBy(*key).applyInPandas(choose, "k1 long, k2 long, i long, start string, stop string")
 
     def back(batches):
         codec = _codec(model)
         for b in _pieces(batches):
-            lists = [trace_chunk(codec, r["s"], r["lo"], r["hi"], r["start"], r["stop"]) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["i"], _id_arrays(lists)], [*key, "i", "ids"])
-
-    traced = chunks.join(borders, [*key, "i"]).mapInArrow(back, "k1 long, k2 long, i long, ids array<int>")
-    whole = traced.groupBy(*key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
-
-    def check(batches):
-        codec = _codec(model)
-        for b in _pieces(batches, 16):
-            ids = b["ids"].to_pylist()
-            exact = [codec.decode(x) == t for x, t in zip(ids, b["text"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(len, ids), pa.int64()), b["ids"], pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "ids", "exact"])
-
-    return keyed.join(whole, key).select("doc_id", "text", "ids").mapInArrow(check, "doc_id long, n_tokens long, ids array<int>, exact boolean")
+            found = [trace_edges(codec, r["head"], r["tail"], r["lo"], r["hi"], r["start"], r["stop"]) for r in b.to_pylist()]
+            for part, side in ((0, 0), (2, 1)):
+                yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["i"], pa.array([part] * len(found), pa.int32()), _id_arrays([x[side] for x in found]), pa.array([x[2] for x in found], pa.bool_())], [*key, "i", "part", "ids", "exact"])
+
+    edges = passed.select(*key, "i", "lo", "hi", "head", "tail").join(borders, [*key, "i"])
+    edges = edges.select(*key, "i", "lo", "hi", "head", "tail", "start", "stop").mapInArrow(back, "k1 long, k2 long, i long, part int, ids array<int>, exact boolean")
+    parts = passed.select(*key, "i", F.lit(1).alias("part"), "ids", "exact").unionAll(edges)
+    # The stretches follow each other without gap or overlap, so the whole is exact if each of them is.
+    whole = parts.groupBy(*key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "part", "ids"))), lambda x: x["ids"])).alias("ids"), F.bool_and("exact").alias("exact"))
+    return keyed.select("doc_id", *key).join(whole, key).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
