@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -41,6 +41,11 @@ _MARK = "▁"
 _UNIT = re.compile(r" +[^ ]*|[^ ]+")
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as 32-bit integers in a row."""
+    return array("i", ids).tobytes()
+
+
 class Codec:
     """Encoder and decoder for the bytes of a byte-pair SentencePiece model."""
 
@@ -62,32 +67,43 @@ class Codec:
             else:
                 self.bytes.append(b"")
         self.longest = max(map(len, self.scores))
-        self.units: dict[str, list[int]] = {}
+        self.units: dict[str, bytes] = {}  # packed ids
+        self.table = pa.array(self.bytes, pa.large_binary())
         self.fits = lru_cache(200_000)(self._fits)
         self.mark = [self.byte_ids[b] for b in _MARK.encode()]
 
     def piece_ids(self, piece: str) -> list[int]:
         return [self.ids[piece]] if piece in self.ids else [self.byte_ids[b] for b in piece.encode()]
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units) -> None:
         if len(self.units) > _CACHE:
             self.units.clear()
         new = list(set(units).difference(self.units))
         plain = [u for u in new if _MARK not in u]
-        self.units.update(zip(plain, self.library.encode(plain, num_threads=1)))
+        self.units.update(zip(plain, map(pack, self.library.encode(plain, num_threads=1))))
         for u in new:
             if _MARK in u:
                 parts = [self.library.encode(x) if x else [] for x in u.split(_MARK)]
-                self.units[u] = parts[0] + [i for p in parts[1:] for i in self.mark + p]
+                self.units[u] = pack(parts[0] + [i for p in parts[1:] for i in self.mark + p])
 
-    def encode_inside(self, s: str) -> list[int]:
-        """Ids of a text that starts and ends at a border; the blank before it is part of it."""
-        units = _UNIT.findall(s)
-        self._learn(units)
-        return list(chain.from_iterable(map(self.units.__getitem__, units)))
+    def encode_inside(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts that start and end at a border; the blank before each is part of it."""
+        units = [_UNIT.findall(s) for s in texts]
+        self._learn(chain.from_iterable(units))
+        return [b"".join(map(self.units.__getitem__, u)) for u in units]
 
     def encode(self, text: str | None) -> list[int]:
-        return self.encode_inside(" " + text) if text else []
+        return array("i", self.encode_inside([" " + text])[0]).tolist() if text else []
+
+    def decode_inside(self, packed: list[bytes]) -> list[bytes]:
+        """What the pieces of each sequence give, as one concatenation of the table's rows."""
+        joined = b"".join(packed)
+        if not joined:
+            return [b""] * len(packed)
+        rows = self.table.take(pa.array(np.frombuffer(joined, np.int32)))
+        _, offsets, data = rows.buffers()
+        at = np.frombuffer(offsets, np.int64)[np.cumsum([0, *map(len, packed)]) // 4].tolist()
+        return [data.slice(x, y - x).to_pybytes() for x, y in zip(at, at[1:])]
 
     def gives(self, ids: list[int], s: str) -> bool:
         """Whether pieces of a stretch inside a text decode to it."""
@@ -192,13 +208,13 @@ def states(matrices: list[dict[str, list[str]]]) -> list[str]:
     return [next(iter(x)) if len(x) == 1 else "" for x in reversed(out)]
 
 
-def interior(codec: Codec, s: str, lo: int, hi: int) -> tuple[str, list[int] | None, str]:
-    """A chunk cut at its first and last border that every path has: (head, ids of the inside, tail).
+def cut_edges(s: str, lo: int, hi: int) -> tuple[str, str, str | None]:
+    """A chunk cut at its first and last border that every path has: (head, inside, tail).
 
-    Without such a border the head is the whole of ``s`` and the ids are None.
+    Without such a border the head is the whole of ``s`` and the tail is None.
     """
     inner = _inner(s, lo, hi)
-    return (s, None, "") if inner is None else (s[: inner[0]], codec.encode_inside(s[inner[0] : inner[1]]), s[inner[1] :])
+    return (s, "", None) if inner is None else (s[: inner[0]], s[inner[0] : inner[1]], s[inner[1] :])
 
 
 def trace_edges(codec: Codec, head: str, tail: str | None, lo: int, hi: int, start: str, stop: str) -> tuple[list[int], list[int], bool]:
@@ -230,9 +246,9 @@ def _codec(model) -> Codec:
     return _CODECS[key]
 
 
-def _id_arrays(lists: list[list[int]]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))))
+def _id_arrays(packed: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
 def _pieces(batches, rows: int = 256):
@@ -251,11 +267,10 @@ def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> Data
     def small(batches):
         codec = _codec(model)
         for b in _pieces(batches):
-            texts = b["text"].to_pylist()
-            codec._learn(list(chain.from_iterable(_UNIT.findall(" " + t) for t in texts if t)))
-            lists = [codec.encode(t) for t in texts]
-            exact = [codec.decode(x) == (t or "") for x, t in zip(lists, texts)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(len, lists), pa.int64()), _id_arrays(lists), pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "ids", "exact"])
+            texts = [" " + t if t else "" for t in b["text"].to_pylist()]
+            ids = codec.encode_inside(texts)
+            exact = [x == t.encode() for x, t in zip(codec.decode_inside(ids), texts)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), _id_arrays(ids), pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "ids", "exact"])
 
     schema = "doc_id long, n_tokens long, ids array<int>, exact boolean"
     giant = F.coalesce(F.length("text"), F.lit(0)) > chunk
@@ -286,12 +301,12 @@ def _encode_giants(docs: DataFrame, model, chunk: int) -> DataFrame:
         for b in _pieces(batches):
             rows = b.to_pylist()
             m = [json.dumps(transfer(codec, r["s"], r["lo"], r["hi"], r["i"] == 0, r["i"] == r["n"] - 1)) for r in rows]
-            heads, ids, tails = zip(*(interior(codec, r["s"], r["lo"], r["hi"]) for r in rows))
-            exact = [x is None or codec.gives(x, r["s"][len(h) : len(r["s"]) - len(t)]) for r, h, x, t in zip(rows, heads, ids, tails)]
-            hi = [r["hi"] if x is None else r["hi"] - len(r["s"]) + len(t) for r, x, t in zip(rows, ids, tails)]
-            tails = [None if x is None else t for x, t in zip(ids, tails)]
+            heads, insides, tails = zip(*(cut_edges(r["s"], r["lo"], r["hi"]) for r in rows))
+            ids = codec.encode_inside(insides)
+            exact = [x == t.encode() for x, t in zip(codec.decode_inside(ids), insides)]
+            hi = [r["hi"] if t is None else r["hi"] - len(r["s"]) + len(t) for r, t in zip(rows, tails)]
             yield pa.RecordBatch.from_arrays(
-                [b["k1"], b["k2"], b["i"], b["lo"], pa.array(hi, pa.int64()), pa.array(m, pa.string()), pa.array(heads, pa.string()), pa.array(tails, pa.string()), _id_arrays([x or [] for x in ids]), pa.array(exact, pa.bool_())],
+                [b["k1"], b["k2"], b["i"], b["lo"], pa.array(hi, pa.int64()), pa.array(m, pa.string()), pa.array(heads, pa.string()), pa.array(tails, pa.string()), _id_arrays(ids), pa.array(exact, pa.bool_())],
                 [*key, "i", "lo", "hi", "m", "head", "tail", "ids", "exact"],
             )
 
@@ -299,20 +314,25 @@ def _encode_giants(docs: DataFrame, model, chunk: int) -> DataFrame:
     # short texts on both sides of it wait for the states.
     passed = ws.save(chunks.mapInArrow(through, "k1 long, k2 long, i long, lo long, hi long, m string, head string, tail string, ids array<int>, exact boolean"), "passed")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        at = states([json.loads(m) for m in pdf["m"]])
-        return pdf[[*key, "i"]].assign(start=at[:-1], stop=at[1:])
+    def choose(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                at = states([json.loads(x["m"]) for x in r["chunks"]])
+                n = len(r["chunks"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["k1"]] * n, pa.int64()), pa.array([r["k2"]] * n, pa.int64()), pa.array([x["i"] for x in r["chunks"]], pa.int64()), pa.array(at[:-1], pa.string()), pa.array(at[1:], pa.string())],
+                    [*key, "i", "start", "stop"],
+                )
 
     # A document's matrices are a few numbers for each CHUNK of its text.
-    borders = passed.select(*key, "i", "m").groupBy(*key).applyInPandas(choose, "k1 long, k2 long, i long, start string, stop string")
+    borders = passed.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("chunks")).mapInArrow(choose, "k1 long, k2 long, i long, start string, stop string")
 
     def back(batches):
         codec = _codec(model)
         for b in _pieces(batches):
             found = [trace_edges(codec, r["head"], r["tail"], r["lo"], r["hi"], r["start"], r["stop"]) for r in b.to_pylist()]
             for part, side in ((0, 0), (2, 1)):
-                yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["i"], pa.array([part] * len(found), pa.int32()), _id_arrays([x[side] for x in found]), pa.array([x[2] for x in found], pa.bool_())], [*key, "i", "part", "ids", "exact"])
+                yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["i"], pa.array([part] * len(found), pa.int32()), _id_arrays([pack(x[side]) for x in found]), pa.array([x[2] for x in found], pa.bool_())], [*key, "i", "part", "ids", "exact"])
 
     edges = passed.select(*key, "i", "lo", "hi", "head", "tail").join(borders, [*key, "i"])
     edges = edges.select(*key, "i", "lo", "hi", "head", "tail", "start", "stop").mapInArrow(back, "k1 long, k2 long, i long, part int, ids array<int>, exact boolean")
