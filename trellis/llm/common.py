@@ -54,6 +54,24 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
 
 
+#: Most rows of the broadcast table in ``maybe_among`` (64 bits each), at any size of input.
+SIGN_WORDS = 2**18
+
+
+def maybe_among(ws: Workspace, df: DataFrame, keys: DataFrame, key: str, tag: str) -> DataFrame:
+    """``df`` without rows whose ``key`` is surely not in ``keys``; a null key is in no set.
+
+    The keys' hash bits, written as ``tag``, are a broadcast table of at most SIGN_WORDS rows. Rows that
+    pass by chance are left to the join that follows, so only its cost depends on how full the table is.
+    """
+    word = lambda: F.pmod(F.xxhash64(key), F.lit(SIGN_WORDS))
+    bit = F.shiftrightunsigned(F.xxhash64(key), 58).cast("int").alias("_bit")
+    bits = keys.select(word().alias("_word"), bit).select("_word", F.expr("shiftleft(1L, _bit)").alias("b"))
+    signs = ws.save(bits.groupBy("_word").agg(F.bit_or("b").alias("_bits")), tag)
+    found = df.where(F.col(key).isNotNull()).select(*df.columns, word().alias("_word"), bit).join(F.broadcast(signs), "_word")
+    return found.where(F.getbit("_bits", F.col("_bit")) == 1).select(*df.columns)
+
+
 def components(ws: Workspace, edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star.
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components
+from .common import Workspace, components, maybe_among
 
 REGISTERS, BANDS, MANTISSA = 240, 40, 10
 ROWS = REGISTERS // BANDS
@@ -248,7 +248,8 @@ class _Confirmer:
         likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
         likely = self.ws.save(likely.mapInArrow(_estimate_batches, "a long, b long"), f"likely{self.k}")
         ids = likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).distinct()
-        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+        ids = self.ws.save(ids, f"ids{self.k}")
+        texts = maybe_among(self.ws, self.docs.select(F.col("doc_id").alias("id"), "text"), ids, "id", f"signs{self.k}").join(ids, "id", "left_semi")
         texts = self.ws.save(texts, f"texts{self.k}")
         text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
         links = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
@@ -304,7 +305,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         parts = parts.unionAll(_blocks(ws, large))
     parts = ws.save(parts, "parts")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(parts.select("id").distinct(), "id", "left_semi")
+    ids = parts.select("id").distinct()
+    texts = maybe_among(ws, docs.select(F.col("doc_id").alias("id"), "text"), ids, "id", "part_signs").join(ids, "id", "left_semi")
     # Rows with one doc_id are one document: any of their texts may link it.
     texts = ws.save(texts, "part_texts")
     more = parts.join(texts, "id").groupBy("part").applyInArrow(_block_links, "a long, b long")
