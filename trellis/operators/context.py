@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import GraphTables
 from .aspects import flow_membership, implies_closure
-from .closure import ancestors, structural
+from .closure import EVENT, ancestors, structural
 
 WARNING, ERROR = 10_000, 20_000
 
@@ -24,21 +24,27 @@ def artifact_units(g: GraphTables) -> DataFrame:
 
 
 def layers(g: GraphTables) -> DataFrame:
-    """(node, layer_type, units): one row per layer of each node's package."""
+    """(node, layer_type, units): one row per layer of each node's package.
+
+    Relations to ancestors have none. A structural one may open with 'Consumes: a, b'; an event reads
+    'Target: t' and 'You publish t.', or 'Source: t' and 'You listen for t.'.
+    """
     own = artifact_units(g)
     node = g.nodes.select(F.col("path").alias("node"))
     glob = node.select("node", F.lit("global").alias("layer_type"), F.lit(24).cast("long").alias("units"))
     own_layer = node.join(own, "node", "left").select("node", F.lit("own").alias("layer_type"), (F.length("node") + F.coalesce("units", F.lit(0))).cast("long").alias("units"))
     above = ancestors(g.nodes).join(own.withColumnRenamed("node", "ancestor"), "ancestor", "left").select("node", F.lit("hierarchy").alias("layer_type"), (F.length("ancestor") + F.coalesce("units", F.lit(0))).cast("long").alias("units"))
-    rel = structural(g.relations).where(F.col("type") != "calls")
-    not_own = rel.join(ancestors(g.nodes).select(F.col("node").alias("src"), F.col("ancestor").alias("dst")), ["src", "dst"], "left_anti")
-    related = not_own.join(own.withColumnRenamed("node", "dst"), "dst", "left").select(F.col("src").alias("node"), F.lit("relational").alias("layer_type"), (F.length("dst") + F.coalesce("units", F.lit(0))).cast("long").alias("units"))
+    not_own = g.relations.join(ancestors(g.nodes).select(F.col("node").alias("src"), F.col("ancestor").alias("dst")), ["src", "dst"], "left_anti")
+    named = F.length(F.array_join("consumes", ", "))
+    used = F.when(F.size("consumes") > 0, named + 10 + F.when(F.col("units").isNull(), 0).otherwise(2)).otherwise(0)
+    related = structural(not_own).join(own.withColumnRenamed("node", "dst"), "dst", "left").select(F.col("src").alias("node"), F.lit("relational").alias("layer_type"), (F.length("dst") + F.coalesce("units", F.lit(0)) + used).cast("long").alias("units"))
+    event = not_own.where(F.col("type").isin(EVENT)).select(F.col("src").alias("node"), F.lit("relational").alias("layer_type"), (2 * F.length("dst") + F.when(F.col("type") == "emits", 22).otherwise(25) + F.when(F.size("consumes") > 0, named + 11).otherwise(0)).cast("long").alias("units"))
     flows = flow_membership(g).select("node", F.lit("flows").alias("layer_type"), (F.length("flow") + 14).cast("long").alias("units"))
     ids = g.node_aspects.select(F.col("path").alias("node"), "aspect").unionAll(ancestors(g.nodes).join(g.node_aspects.withColumnRenamed("path", "ancestor"), "ancestor").select("node", "aspect")).unionAll(flow_membership(g).join(g.flow_aspects, "flow").select("node", "aspect")).distinct()
     full = ids.unionAll(ids.join(implies_closure(g), "aspect").select("node", F.col("implied").alias("aspect"))).distinct()
     aspects = full.select("node", F.lit("aspects").alias("layer_type"), F.length("aspect").cast("long").alias("units"))
     out = glob
-    for x in (above, own_layer, related, flows, aspects):
+    for x in (above, own_layer, related, event, flows, aspects):
         out = out.unionAll(x)
     return out
 

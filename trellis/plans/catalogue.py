@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -89,6 +90,11 @@ def _deep(g):
     return g.relations.where(C("type").isin("uses", "extends"))
 
 
+def _deep_only(g):
+    """The graph with the relations that the SQL of context_budget reads; the queries named _all have every relation."""
+    return replace(g, relations=_deep(g))
+
+
 def _cycle_edges(spark):
     return spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x"), ("a", "b"), ("b", "a"), ("s", "s"), ("q", "x")], "src string, dst string")
 
@@ -96,8 +102,8 @@ def _cycle_edges(spark):
 _BOXED = "SELECT * FROM (VALUES ('x','y'),('y','z'),('z','x'),('a','b'),('b','a'),('s','s'),('q','x')) e(src, dst) WHERE src <> 'b' AND dst <> 'b'"
 
 _ALL = {
-    "context_budget": (lambda g: context.budget(g), "SELECT node, tokens, status FROM budget"),
-    "context_layers": (lambda g: context.layers(g).groupBy("node", "layer_type").agg(F.count("*").alias("n_layers"), F.sum("units").alias("units")), "SELECT node, layer_type, count(*) AS n_layers, sum(units)::BIGINT AS units FROM layers GROUP BY 1, 2"),
+    "context_budget": (lambda g: context.budget(_deep_only(g)), "SELECT node, tokens, status FROM budget"),
+    "context_layers": (lambda g: context.layers(_deep_only(g)).groupBy("node", "layer_type").agg(F.count("*").alias("n_layers"), F.sum("units").alias("units")), "SELECT node, layer_type, count(*) AS n_layers, sum(units)::BIGINT AS units FROM layers GROUP BY 1, 2"),
     "hierarchy_closure": (lambda g: closure.ancestors(g.nodes), "SELECT node, ancestor, distance FROM anc"),
     "descendant_counts": (lambda g: closure.ancestors(g.nodes).groupBy(C("ancestor").alias("node")).agg(F.count("*").alias("n")), "SELECT ancestor AS node, count(*) AS n FROM anc GROUP BY 1"),
     "tree_depth_limited": (lambda g: g.nodes.where("depth <= 2").select(C("path").alias("node"), "depth"), "SELECT path AS node, depth FROM nodes WHERE depth <= 2"),
@@ -125,7 +131,7 @@ _ALL = {
     "v_structural_cycle": (lambda g, spark, d: rules.structural_cycle(_cycle_edges(spark), spark.createDataFrame([("b",)], "node string")), "SELECT DISTINCT root AS node FROM cyc WHERE root = node"),
     "v_missing_artifact": (lambda g: rules.missing_artifact(g), "SELECT path AS node, 'responsibility.md' AS artifact, 'always' AS reason_kind FROM nodes WHERE NOT blackbox AND path NOT IN (SELECT node FROM owner WHERE filename = 'responsibility.md') UNION ALL SELECT DISTINCT dst, 'interface.md', 'incoming' FROM relations WHERE dst NOT IN (SELECT node FROM owner WHERE filename = 'interface.md')"),
     "v_shallow": (lambda g: rules.shallow(g), "SELECT node, filename AS artifact, length(trim(text, ' ' || chr(9) || chr(10) || chr(13)))::BIGINT AS n FROM owner WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 50"),
-    "v_budget": (lambda g: rules.over_budget(g), "SELECT node, CASE WHEN status = 'error' THEN 'W006' ELSE 'W005' END AS code FROM budget JOIN nodes ON path = node WHERE status <> 'ok' AND NOT blackbox"),
+    "v_budget": (lambda g: rules.over_budget(_deep_only(g)), "SELECT node, CASE WHEN status = 'error' THEN 'W006' ELSE 'W005' END AS code FROM budget JOIN nodes ON path = node WHERE status <> 'ok' AND NOT blackbox"),
     "v_fanout": (lambda g: rules.fan_out(g), "SELECT src AS node, count(*) AS n FROM relations GROUP BY 1 HAVING count(*) > 10"),
     "v_unpaired_event": (lambda g: rules.unpaired_event(g), "SELECT src AS node, dst AS other, type AS direction FROM ev a WHERE NOT EXISTS (SELECT 1 FROM ev b WHERE b.src = a.dst AND b.dst = a.src AND b.type <> a.type)"),
     "v_required_aspect": (lambda g: rules.required_aspect(g, "library", "size/3", aspects.implies_closure(g)), "SELECT path AS node, 'size/3' AS aspect FROM nodes WHERE type = 'library' AND path NOT IN (SELECT n.path FROM node_aspects n LEFT JOIN impl ON impl.aspect = n.aspect WHERE n.aspect = 'size/3' OR implied = 'size/3')"),
@@ -158,6 +164,14 @@ CTES["cyc"] = f"SELECT src AS root, dst AS node FROM ({_BOXED}) UNION SELECT cyc
 CTES["imp2"] = "SELECT id AS src, implied AS dst FROM implies UNION ALL SELECT 'size/3', 'size/50'"
 CTES["icyc"] = "SELECT src AS root, dst AS node FROM imp2 UNION SELECT icyc.root, i.dst FROM icyc JOIN imp2 i ON i.src = icyc.node"
 
+CTES["layers_all"] = CTES["layers"].replace("FROM deep LEFT JOIN own_units ON node = dst WHERE", "FROM relations LEFT JOIN own_units ON node = dst WHERE type IN ('uses', 'calls', 'extends', 'implements') AND").replace("SELECT src, 'relational', length(dst) + coalesce(units, 0) FROM", "SELECT src, 'relational', length(dst) + coalesce(units, 0) + CASE WHEN consumes <> '' THEN 10 + length(replace(consumes, ',', ', ')) + CASE WHEN units IS NULL THEN 0 ELSE 2 END ELSE 0 END FROM") + " UNION ALL SELECT src, 'relational', 2 * length(dst) + CASE type WHEN 'emits' THEN 22 ELSE 25 END FROM ev WHERE NOT EXISTS (SELECT 1 FROM anc WHERE anc.node = src AND ancestor = dst)"
+CTES["budget_all"] = CTES["budget"].replace("FROM layers", "FROM layers_all")
+_ALL |= {
+    "context_budget_all": (lambda g: context.budget(g), _ALL["context_budget"][1].replace("budget", "budget_all")),
+    "context_layers_all": (lambda g: context.layers(g).groupBy("node", "layer_type").agg(F.count("*").alias("n_layers"), F.sum("units").alias("units")), _ALL["context_layers"][1].replace("FROM layers", "FROM layers_all")),
+    "v_budget_all": (lambda g: rules.over_budget(g), _ALL["v_budget"][1].replace("FROM budget", "FROM budget_all")),
+}
+
 # Codes and severities are fixed values: (rule, code, severity, column of the node); a rule of no node has none.
 _ISSUES = [
     ("v_unknown_type", "E002", "error", "node"), ("v_unknown_aspect", "E003", "error", "node"), ("v_broken_relation", "E004", "error", "node"),
@@ -170,10 +184,10 @@ _ISSUES = [
 ]
 
 
-def _issues(spark, d):
+def _issues(spark, d, listed=_ISSUES):
     """(code, severity, node): the rows of all rules together."""
     out = None
-    for name, code, severity, node in _ISSUES:
+    for name, code, severity, node in listed:
         one = rules.issue(_star(_ALL[name][0])(spark, d), code, severity, node)
         out = one if out is None else out.unionAll(one)
     return out
@@ -184,6 +198,11 @@ _ALL |= {
     "v_issue_counts": (lambda g, spark, d: _issues(spark, d).groupBy("code", "severity").agg(F.count("*").alias("n")), f"SELECT code, severity, count(*) AS n FROM ({_ISSUES_SQL}) GROUP BY 1, 2"),
     "v_scoped": (lambda g, spark, d: rules.scoped(_issues(spark, d), "lib/Brand-11", g.nodes).groupBy("code").agg(F.count("*").alias("n")), f"SELECT code, count(*) AS n FROM ({_ISSUES_SQL}) WHERE node IS NULL OR node = 'lib/Brand-11' OR starts_with(node, 'lib/Brand-11/') GROUP BY 1"),
 }
+_ISSUES_ALL = [(f"{name}_all" if name == "v_budget" else name, *more) for name, *more in _ISSUES]
+_ALL |= {
+    "v_issue_counts_all": (lambda g, spark, d: _issues(spark, d, _ISSUES_ALL).groupBy("code", "severity").agg(F.count("*").alias("n")), _ALL["v_issue_counts"][1].replace("FROM budget", "FROM budget_all")),
+    "v_scoped_all": (lambda g, spark, d: rules.scoped(_issues(spark, d, _ISSUES_ALL), "lib/Brand-11", g.nodes).groupBy("code").agg(F.count("*").alias("n")), _ALL["v_scoped"][1].replace("FROM budget", "FROM budget_all")),
+}
 
 QUERIES = {k: _star(f) for k, (f, _) in _ALL.items()}
 ORACLES = {k: _sql(q) for k, (_, q) in _ALL.items() if q}
