@@ -25,7 +25,7 @@ def test_layers_of_calls_and_events(spark):
     assert got == sorted((node, len(text)) for node, text in texts)
 
 
-WHOLE = ["context_budget_all", "context_layers_all", "v_budget_all", "v_issue_counts_all", "v_scoped_all"]
+WHOLE = ["context_budget_all", "context_layers_all", "v_budget_all", "v_issue_counts_all", "v_scoped_all", "deps_tree_depth3_all", "deps_transitive_all", "deps_stages_all", "impact_transitive_all", "impact_scope_total_all", "impact_methods_all"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -37,3 +37,11 @@ def test_whole_queries(spark, name):
     cols = sorted(want.columns)
     rows = lambda d: sorted(map(tuple, d[cols].astype(str).values.tolist()))
     assert sorted(got.columns) == cols and rows(got) == rows(want)
+
+
+def test_suppliers_are_dependents(spark):
+    direct = QUERIES["impact_direct"](spark, SF).groupBy("target").count()
+    total = QUERIES["impact_transitive_all"](spark, SF)
+    assert total.join(direct, "target", "full_outer").where("not n_direct <=> count").isEmpty()
+    assert {r.method for r in QUERIES["impact_methods_all"](spark, SF).select("method").distinct().collect()} == {"A", "N", "R"}
+    assert QUERIES["impact_chains"](spark, SF.replace("0.001", "0.01")).where("chain rlike '/s[0-9]+$'").count() > 0

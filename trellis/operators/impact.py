@@ -28,6 +28,14 @@ def by_method(g: GraphTables, method: str) -> DataFrame:
     return d.groupBy("target").agg(F.count("*").alias("n_direct"))
 
 
+def by_methods(g: GraphTables) -> DataFrame:
+    """(target, method, n_direct) for every method that any relation names: dependents that use it, or name none."""
+    d = direct(g).select("target", F.split("consumes", ",").alias("m"), (F.col("consumes") == "").alias("any"))
+    methods = direct(g).where("consumes <> ''").select(F.explode(F.split("consumes", ",")).alias("method")).distinct()
+    one = d.where("not any").select("target", F.explode(F.array_distinct("m")).alias("method"))
+    return one.unionAll(d.where("any").select("target").crossJoin(methods)).groupBy("target", "method").agg(F.count("*").alias("n_direct"))
+
+
 def chains(g_edges: DataFrame, target: str) -> DataFrame:
     """(target, chain): shortest path texts from the target to each transitive, not direct, dependent.
 

@@ -113,7 +113,7 @@ _ALL = {
     "impact_direct": (lambda g: impact.direct(g), "SELECT target, dependent, type, consumes FROM direct"),
     "impact_transitive": (lambda g: impact.dependents(_deep(g)), "SELECT target, (SELECT count(DISTINCT src) FROM deep WHERE dst = target) AS n_direct, count(*) AS n_total FROM up GROUP BY 1"),
     "impact_method": (lambda g: impact.by_method(g, "A").select("target", F.lit("A").alias("method"), "n_direct"), "SELECT target, 'A' AS method, count(*) AS n_direct FROM direct WHERE consumes = '' OR list_contains(string_split(consumes, ','), 'A') GROUP BY 1"),
-    "impact_chains": (lambda g, spark, d: impact.chains(_deep(g), g.nodes.where("path like 'lib/%/p3'").first()[0]), None),
+    "impact_chains": (lambda g, spark, d: impact.chains(closure.structural(g.relations), g.nodes.where("path like 'lib/%/p3'").first()[0]), None),
     "impact_events": (lambda g: impact.events(g), "SELECT dst AS target, src AS node, type FROM ev UNION SELECT a.src, b.src, b.type FROM ev a JOIN ev b ON a.dst = b.dst AND a.type = 'emits' AND b.type = 'listens' AND a.src <> b.src"),
     "effective_aspects": (lambda g: aspects.effective(g), "SELECT node, aspect FROM eff"),
     "aspect_provenance": (lambda g: aspects.provenance(g), "SELECT node, aspect, arg_min(source, (prio, rank, source)) AS source FROM (SELECT * FROM src UNION ALL SELECT node, implied, 3, '', 'implied' FROM src JOIN impl ON src.aspect = impl.aspect) GROUP BY 1, 2"),
@@ -172,6 +172,33 @@ _ALL |= {
     "v_budget_all": (lambda g: rules.over_budget(g), _ALL["v_budget"][1].replace("FROM budget", "FROM budget_all")),
 }
 
+# The same closures over every structural relation, suppliers' calls included.
+CTES["links"] = "SELECT * FROM deep UNION ALL SELECT * FROM wide"
+
+
+def _over_links(sql):
+    return re.sub(r"\b(deep|up|r)\b", lambda m: {"deep": "links", "up": "up_all", "r": "r_all"}[m[0]], sql)
+
+
+CTES["up_all"], CTES["r_all"] = _over_links(CTES["up"]), _over_links(CTES["r"])
+
+
+def _stages(g):
+    """Stages of the nodes that may be built, services with libraries; blackboxes are no candidates."""
+    candidates = g.nodes.where("type in ('library', 'service') and not blackbox").select(C("path").alias("node"))
+    among = closure.structural(g.relations).join(candidates.select(C("node").alias("dst")), "dst", "left_semi")
+    return closure.stages(candidates, among)
+
+
+_ALL |= {
+    "deps_tree_depth3_all": (lambda g: closure.dependency_paths(closure.structural(g.relations), 3), _over_links(_ALL["deps_tree_depth3"][1])),
+    "deps_transitive_all": (lambda g: closure.reach(closure.structural(g.relations)).select("root", "node", C("depth").alias("min_depth")), _over_links(_ALL["deps_transitive"][1])),
+    "deps_stages_all": (_stages, "SELECT path AS node, coalesce(max(d) + 1, 1)::BIGINT AS stage FROM nodes LEFT JOIN r_all ON root = path WHERE type IN ('library', 'service') AND NOT blackbox GROUP BY 1"),
+    "impact_transitive_all": (lambda g: impact.dependents(closure.structural(g.relations)), _over_links(_ALL["impact_transitive"][1])),
+    "impact_scope_total_all": (lambda g: impact.scope_total(g, closure.structural(g.relations)), _over_links(_ALL["impact_scope_total"][1])),
+    "impact_methods_all": (lambda g: impact.by_methods(g), "SELECT target, method, count(*) AS n_direct FROM direct JOIN (SELECT DISTINCT unnest(string_split(consumes, ',')) AS method FROM direct WHERE consumes <> '') ON consumes = '' OR list_contains(string_split(consumes, ','), method) GROUP BY 1, 2"),
+}
+
 # Codes and severities are fixed values: (rule, code, severity, column of the node); a rule of no node has none.
 _ISSUES = [
     ("v_unknown_type", "E002", "error", "node"), ("v_unknown_aspect", "E003", "error", "node"), ("v_broken_relation", "E004", "error", "node"),
