@@ -1,10 +1,15 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a file is a possible header and every whole file a possible licence file. Both are compared
-with the templates: term weights are log-scaled counts times the inverse frequency of the term among the
-templates, words that no template has count towards the length with the largest weight, and the best
-template at MIN_COSINE or more is the line's licence. A file's own licence is the one of its best line (or
-of the whole file); it is a licence file if matched lines are at least FILE_SHARE of its words.
+Term weights are log-scaled counts times the inverse frequency of the term among the templates; words that
+no template has count towards the length with the largest weight. Line breaks and comment marks are no words.
+Every window of as many words as a notice has, at every offset of the text, is compared with that notice, so
+wrapped notices and those within a longer line are found; single lines and whole files are compared with all
+notices, and whole files with the full licence texts of ``licence_texts``, weighted among themselves. A file's
+own licence is the best of cosine MIN_COSINE or more; it is a licence file if matched words are at least
+FILE_SHARE of its words, or the file as a whole matches.
+
+A notice is slid over a text only if the text has terms with MIN_COSINE squared of the notice's squared length;
+by Cauchy-Schwarz no window can match otherwise.
 
 A directory's licence is that of its licence files, or failing these the one most of its licensed files
 carry. A file without a licence of its own inherits from the nearest ancestor directory that has one:
@@ -19,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,6 +46,11 @@ MIN_COSINE, FILE_SHARE = 0.75, 0.5
 _TOKEN = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]")
 
 
+def bodies() -> dict[str, list[str]]:
+    """Full licence texts by name."""
+    return {p.stem: [p.read_text()] for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
 def _tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
@@ -47,16 +58,19 @@ def _tokens(text: str) -> list[str]:
 class Templates:
     """TF-IDF vectors of the templates, as an inverted index by term."""
 
-    def __init__(self, templates: dict[str, list[str]] = TEMPLATES):
+    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, full: dict[str, list[str]] | None = None):
+        self.full = Templates(full) if full else None
         texts = [(name, Counter(_tokens(t))) for name, ts in sorted(templates.items()) for t in ts]
         df = Counter(w for _, c in texts for w in c)
         self.idf = {w: 1 + math.log((1 + len(texts)) / (1 + n)) for w, n in df.items()}
         self.unknown = 1 + math.log(1 + len(texts))
         self.names, self.postings = [n for n, _ in texts], {}
+        self.weights, self.widths = [], [sum(c.values()) for _, c in texts]
         for k, (_, c) in enumerate(texts):
             norm = math.sqrt(sum((self._tf(n) * self.idf[w]) ** 2 for w, n in c.items()))
             for w, n in c.items():
                 self.postings.setdefault(w, []).append((k, self._tf(n) * self.idf[w] / norm))
+            self.weights.append({w: self._tf(n) * self.idf[w] / norm for w, n in c.items()})
 
     @staticmethod
     def _tf(n: int) -> float:
@@ -79,34 +93,73 @@ class Templates:
         score, k = max((v, -k) for k, v in dots.items())
         return round(score / math.sqrt(norm2), 9), self.names[-k]
 
+    def cosine(self, k: int, c: Counter) -> float:
+        """Cosine of one template and a text's term counts."""
+        norm2 = sum((self._tf(n) * self.idf.get(w, self.unknown)) ** 2 for w, n in c.items())
+        return round(sum(self._tf(c[w]) * self.idf[w] * y for w, y in self.weights[k].items() if w in c) / math.sqrt(norm2), 9)
+
+    def windows(self, tokens: list[str]) -> list[tuple[float, str, int, int]]:
+        """(cosine, name, start, end) of matching windows: the best of each template, then the best apart from those taken."""
+        present, out = self.postings.keys() & set(tokens), []
+        mass = [0.0] * len(self.weights)
+        for w in present:
+            for k, y in self.postings[w]:
+                mass[k] += y * y
+        tf = [0.0] + [self._tf(n) for n in range(1, max(self.widths) + 2)]
+        floor = MIN_COSINE**2 - 1e-6
+        for k, weight in enumerate(self.weights):
+            if mass[k] < floor:
+                continue
+            width, counts, norm2, dot, hits = min(self.widths[k], len(tokens)), {}, 0.0, 0.0, []
+            for i, w in enumerate(tokens):
+                for t, step in ((w, 1), (tokens[i - width], -1)) if i >= width else ((w, 1),):
+                    n, g = counts.get(t, 0), self.idf.get(t, self.unknown)
+                    counts[t] = n + step
+                    norm2 += (tf[n + step] ** 2 - tf[n] ** 2) * g * g
+                    dot += (tf[n + step] - tf[n]) * g * weight.get(t, 0.0)
+                if i >= width - 1 and dot > 0 and dot * dot >= floor * norm2:
+                    start = i + 1 - width
+                    score = self.cosine(k, Counter(tokens[start : i + 1]))
+                    if score >= MIN_COSINE:
+                        hits.append((-score, start))
+            taken: set[int] = set()
+            for score, start in sorted(hits):
+                if start not in taken and start + width - 1 not in taken:
+                    taken.update(range(start, start + width))
+                    out.append((-score, self.names[k], start, start + width))
+        return out
+
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
         """Licence, cosine and whether the text is a licence file."""
         if not text or not text.strip():
             return None, 0.0, False
-        best: tuple[float, str | None] = (0.0, None)
-        matched = total = 0
-        whole: Counter = Counter()
+        tokens: list[str] = []
+        found: list[tuple[float, str, int, int]] = []
         for line in text.split("\n"):
-            tokens = _tokens(line)
-            whole.update(tokens)
-            total += len(tokens)
-            score, name = self.best(Counter(tokens)) if not self.postings.keys().isdisjoint(tokens) else (0.0, None)
+            words = _tokens(line)
+            score, name = self.best(Counter(words)) if not self.postings.keys().isdisjoint(words) else (0.0, None)
+            if score >= MIN_COSINE:
+                found.append((score, name, len(tokens), len(tokens) + len(words)))
+            tokens += words
+        found += self.windows(tokens)
+        whole = Counter(tokens)
+        for templates in (self, self.full) if self.full else (self,):
+            score, name = templates.best(whole)
             if score >= MIN_COSINE:
-                matched += len(tokens)
-                if score > best[0] or score == best[0] and name < best[1]:
-                    best = (score, name)
-        score, name = self.best(whole)
-        if score >= MIN_COSINE:
-            matched = total
-            if score > best[0] or score == best[0] and name < best[1]:
-                best = (score, name)
-        return best[1], best[0], bool(best[1]) and matched >= FILE_SHARE * total
+                found.append((score, name, 0, len(tokens)))
+        if not found:
+            return None, 0.0, False
+        matched = len(set().union(*(range(start, end) for _, _, start, end in found)))
+        score, name = min((-score, name) for score, name, _, _ in found)
+        return name, -score, matched >= FILE_SHARE * len(tokens)
 
 
 def scan(files: DataFrame) -> DataFrame:
     """(key, path, licence, cosine, is_file) per row of ``files`` (key, path, text)."""
+    full = bodies()
+
     def run(batches):
-        templates = Templates()
+        templates = Templates(full=full)
         for b in batches:
             found = [templates.scan(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["key"], b["path"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], ["key", "path", "licence", "cosine", "is_file"])
