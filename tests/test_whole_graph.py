@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import duckdb
 import pytest
 
-from trellis.operators import context
+from trellis.operators import context, rules
 from trellis.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,12 @@ def test_suppliers_are_dependents(spark):
     assert total.join(direct, "target", "full_outer").where("not n_direct <=> count").isEmpty()
     assert {r.method for r in QUERIES["impact_methods_all"](spark, SF).select("method").distinct().collect()} == {"A", "N", "R"}
     assert QUERIES["impact_chains"](spark, SF.replace("0.001", "0.01")).where("chain rlike '/s[0-9]+$'").count() > 0
+
+
+def test_many_anchors(spark):
+    texts = [(f"<{i}> filler",) for i in range(0, 10_500, 5)] + [(None,)]
+    g = SimpleNamespace(anchors=spark.createDataFrame([(f"<{i}>",) for i in range(10_500)] + [("<0>",)], "anchor string"), artifacts=spark.createDataFrame(texts, "content string"))
+    want = {f"<{i}>" for i in range(10_500) if i % 5}
+    for one in ({}, {"at_once": 4000}):
+        got = [r.anchor for r in rules.anchors_missing(g, **one).collect()]
+        assert len(got) == len(want) and set(got) == want

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import GraphTables
 from . import context
-from .closure import cyclic_core, structural
+from .closure import cyclic_core, structural, written
 
 
 def missing(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
@@ -105,13 +105,21 @@ def required_aspect(g: GraphTables, kind: str, aspect: str, implied: DataFrame)
     return g.nodes.where((F.col("type") == kind) & ~F.col("blackbox")).select(F.col("path").alias("node"), F.lit(aspect).alias("aspect")).join(has.distinct(), "node", "left_anti").select("node", "aspect")
 
 
-def anchors_missing(g: GraphTables) -> DataFrame:
-    """(anchor): literal texts that no artifact holds. Anchors are a small list, tested against every text where it lies."""
-    n = g.anchors.count()
-    if n > 10_000:
-        raise ValueError(f"{n} anchors; pass them in parts of 10,000")
-    found = g.artifacts.join(F.broadcast(g.anchors), F.col("content").contains(F.col("anchor"))).select("anchor").distinct()
-    return g.anchors.distinct().join(found, "anchor", "left_anti")
+def anchors_missing(g: GraphTables, at_once: int = 10_000) -> DataFrame:
+    """(anchor): literal texts that no artifact holds. Anchors are tested against every text where it lies, in
+    parts by hash of about ``at_once`` each, so a broadcast is bounded whatever their number."""
+    anchors = g.anchors.distinct()
+    parts = -(-anchors.count() // at_once)
+    if parts <= 1:
+        found = g.artifacts.join(F.broadcast(anchors), F.col("content").contains(F.col("anchor"))).select("anchor").distinct()
+        return anchors.join(found, "anchor", "left_anti")
+    anchors = written(anchors.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts))))
+    found = None
+    for part in range(parts):
+        some = anchors.where(F.col("part") == part).select("anchor")
+        hit = written(g.artifacts.join(F.broadcast(some), F.col("content").contains(F.col("anchor"))).select("anchor").distinct())
+        found = hit if found is None else found.unionAll(hit)
+    return anchors.select("anchor").join(found, "anchor", "left_anti")
 
 
 def structural_edges(g: GraphTables) -> DataFrame:
