@@ -1,11 +1,12 @@
-"""SentencePiece encoding and decoding with byte-pair pieces; giant documents by a max-plus parallel scan.
+"""SentencePiece encoding and decoding with byte-pair pieces; giant documents by chunks with max-plus matrices.
 
 A text is a path through the lattice of its pieces. For byte-pair pieces a path is the encoding if and
 only if each two neighbours are what their joint text is encoded as, so the lattice has weight 0 on
 such neighbours and minus infinity elsewhere; the best path of weight 0 is unique. A state at a chunk's
 border is the piece that reaches or crosses it. A chunk gives the transfer matrix between the states at
 its two borders (weights 0 or minus infinity, so the set of its finite entries); the max-plus product of
-matrices is associative, and the product of all tells which state each border has. Each chunk is then
+matrices is associative, but no scan by products is built: a document's matrices are collected into one row
+and walked one by one, forward and back, for the state of each border. Each chunk is then
 traced back alone between its two states. A document of up to CHUNK characters is one chunk.
 
 No piece spans from a non-blank to a blank, so such a place is a border in every path; between the first
