@@ -201,15 +201,20 @@ def _block_links(table: pa.Table) -> pa.Table:
     """Links across components between the queries of a group (query true) and all of its members.
 
     Counts shared shingles by a matrix product over the shingles two members have; of the links
-    found, those that join components are returned.
+    found, those that join components are returned. Each text of an id is a row of the matrix of its own.
     """
     ids, comps, asked = (table[c].to_pylist() for c in ("id", "comp", "query"))
+    codes = table["text"].combine_chunks().dictionary_encode().indices.to_pylist()
     first = {}
-    for k, i in enumerate(ids):
+    for k, i in enumerate(zip(ids, codes)):
         first[i] = k if i not in first or asked[k] else first[i]
-    at = sorted(first.values())
+    at = sorted(k for (_, code), k in first.items() if code is not None)
     texts = table["text"].take(pa.array(at, pa.int64())).to_pylist()
     sets = [shingle_set(t) for t in texts]
+    # Texts without shingles link with nothing.
+    at, sets = [k for k, x in zip(at, sets) if len(x)], [x for x in sets if len(x)]
+    if not at:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     sizes = np.array([len(x) for x in sets])
     shingles, columns = np.unique(np.concatenate(sets), return_inverse=True)
     matrix = np.zeros((len(at), len(shingles)), np.float32)
