@@ -7,13 +7,15 @@ first, so a group of thousands of copies is one node. Registers are cut into BAN
 registers borrow from a full one by fixed random choices, so that two sketches agree in a register
 with about the Jaccard similarity. At 0.8 a link is missed by all bands with probability 5e-6.
 
-Links are found in two rounds, never as all pairs of a large bucket:
-1. every member of a band's bucket against the bucket's smallest id, which joins tight groups;
+A node of the graph is a distinct set, numbered as it is written; its text is that of the smallest
+(doc_id, text hash) that has it. Sets that share a doc_id are linked besides, since rows with one doc_id
+are one document. Other links are found in two rounds, never as all pairs of a large bucket:
+1. every member of a band's bucket against the bucket's smallest number, which joins tight groups;
 2. in buckets whose members are still in several components, all members on their full sets, as one
    matrix product per bucket that returns at most one link for each component. A bucket of more than
-   SMALL members would make that product large: there only the members outside the smallest id's
+   SMALL members would make that product large: there only the members outside the smallest number's
    component are queries, and run against all members of the buckets that overlap, once for all of
-   them, in blocks of BLOCK by BLOCK documents.
+   them, in blocks of about BLOCK sets and at most BLOCK_SHINGLES shingles on either side.
 In the first round pairs are dropped before texts are fetched if set sizes or the collision-corrected
 register estimate rule the link out; the rest are compared on their full sets. Members of one family of
 edited copies resemble each other too much for sketches to tell 0.75 from 0.8, hence round two has no
@@ -21,7 +23,8 @@ estimate. Components come from ``components``.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; a
 null doc_id is linked with nothing, has component null and is kept; rows with one doc_id are one
-document of the graph; repeated rows repeat in the result; an empty table gives an empty result.
+document, with one component, whatever their texts, and all stay or all go; repeated rows repeat in the
+result; an empty table gives an empty result; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -42,8 +45,10 @@ ROWS = REGISTERS // BANDS
 EMPTY = 0xFFFF
 #: A link needs 100 * intersection >= PER_CENT * union.
 PER_CENT = 80
-#: Buckets up to this size are compared whole; beyond, in blocks of this many documents.
-SMALL, BLOCK = 64, 256
+#: Buckets up to SMALL members are compared whole; beyond, in blocks of so many sets and shingles.
+SMALL, BLOCK, BLOCK_SHINGLES = 64, 512, 2_000_000
+#: Shingles at once in a matrix product.
+STRIP = 4096
 #: Estimates this many standard deviations below the threshold rule a pair out.
 SIGMAS = 6.0
 _CACHE = 200_000
@@ -167,11 +172,13 @@ def _sketch_batches(batches):
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             regs.append(sketch(s).tobytes())
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "regs"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["t"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "t", "n_shingles", "digest", "regs"])
 
 
 def _band_batches(batches):
     for b in _pieces(batches, 4096):
+        if not b.num_rows:
+            continue
         regs = np.stack([np.frombuffer(x, np.uint16) for x in b["regs"].to_pylist()])
         keys = band_keys(regs)
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b["id"].to_numpy(zero_copy_only=False), BANDS))], ["key", "id"])
@@ -197,31 +204,44 @@ def _confirm_batches(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shared(sets: list[np.ndarray], queries: np.ndarray) -> np.ndarray:
+    """Shingles that each query shares with each set. Only shingles of two sets or more are columns of the
+    matrix, and only STRIP of them at once."""
+    sizes = np.array([len(x) for x in sets])
+    every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    first = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]])
+    count = np.diff(np.r_[first, len(every)])
+    column = np.repeat(np.cumsum(count > 1) - 1, count)[np.repeat(count > 1, count)]
+    row = row[order][np.repeat(count > 1, count)]
+    out = np.zeros((len(queries), len(sets)))
+    for lo in range(0, int((count > 1).sum()), STRIP):
+        at = slice(*np.searchsorted(column, [lo, lo + STRIP]))
+        matrix = np.zeros((len(sets), STRIP), np.float32)
+        matrix[row[at], column[at] - lo] = 1
+        out += matrix[queries] @ matrix.T
+    return np.rint(out).astype(np.int64)
+
+
 def _block_links(table: pa.Table) -> pa.Table:
     """Links across components between the queries of a group (query true) and all of its members.
 
-    Counts shared shingles by a matrix product over the shingles two members have; of the links
-    found, those that join components are returned. Each text of an id is a row of the matrix of its own.
+    ``table``: id, comp, query, text. A set that is both query and member is one row of the matrix; of the
+    links found, those that join components are returned.
     """
     ids, comps, asked = (table[c].to_pylist() for c in ("id", "comp", "query"))
-    codes = table["text"].combine_chunks().dictionary_encode().indices.to_pylist()
-    first = {}
-    for k, i in enumerate(zip(ids, codes)):
+    first: dict[int, int] = {}
+    for k, i in enumerate(ids):
         first[i] = k if i not in first or asked[k] else first[i]
-    at = sorted(k for (_, code), k in first.items() if code is not None)
-    texts = table["text"].take(pa.array(at, pa.int64())).to_pylist()
-    sets = [shingle_set(t) for t in texts]
+    at = sorted(first.values())
+    sets = [shingle_set(table["text"][k].as_py()) for k in at]
     # Texts without shingles link with nothing.
     at, sets = [k for k, x in zip(at, sets) if len(x)], [x for x in sets if len(x)]
-    if not at:
+    queries = np.flatnonzero([asked[k] for k in at])
+    if not len(queries):
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     sizes = np.array([len(x) for x in sets])
-    shingles, columns = np.unique(np.concatenate(sets), return_inverse=True)
-    matrix = np.zeros((len(at), len(shingles)), np.float32)
-    matrix[np.repeat(np.arange(len(at)), sizes), columns] = 1
-    matrix = matrix[:, matrix.sum(axis=0) > 1]
-    queries = np.flatnonzero([asked[k] for k in at])
-    shared = np.rint(matrix[queries] @ matrix.T).astype(np.int64)
+    shared = _shared(sets, queries)
     linked = 100 * shared >= PER_CENT * (sizes[queries][:, None] + sizes[None, :] - shared)
     comp = np.array([comps[k] for k in at])
     linked &= comp[queries][:, None] != comp[None, :]
@@ -241,8 +261,15 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
 
+def _texts(ws: Workspace, docs: DataFrame, reps: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """(id, text) of the numbered sets ``ids``. ``docs``: doc_id, t, text; copies of a row meet per task first."""
+    wanted = ws.save(reps.select("id", "doc_id", "t").join(ids, "id", "left_semi"), f"{tag}_wanted")
+    likely = maybe_among(ws, docs, wanted, ["doc_id", "t"], f"{tag}_signs")
+    return ws.save(likely.groupBy("doc_id", "t").agg(F.first("text").alias("text")).join(wanted, ["doc_id", "t"]).select("id", "text"), f"{tag}_texts")
+
+
 class _Confirmer:
-    """Candidate pairs (a, b) to confirmed links."""
+    """Candidate pairs (a, b) of numbers to confirmed links."""
 
     def __init__(self, ws: Workspace, docs: DataFrame, reps: DataFrame):
         self.ws, self.docs, self.reps, self.k = ws, docs, reps, 0
@@ -253,28 +280,27 @@ class _Confirmer:
         likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
         likely = self.ws.save(likely.mapInArrow(_estimate_batches, "a long, b long"), f"likely{self.k}")
         ids = likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).distinct()
-        ids = self.ws.save(ids, f"ids{self.k}")
-        texts = maybe_among(self.ws, self.docs.select(F.col("doc_id").alias("id"), "text"), ids, "id", f"signs{self.k}").join(ids, "id", "left_semi")
-        texts = self.ws.save(texts, f"texts{self.k}")
+        texts = _texts(self.ws, self.docs, self.reps, ids, f"pairs{self.k}")
         text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
         links = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
         links = self.ws.save(links.mapInArrow(_confirm_batches, "a long, b long").distinct(), f"links{self.k}")
-        self.ws.drop(f"texts{self.k}")
+        self.ws.drop(f"pairs{self.k}_texts", f"pairs{self.k}_wanted", f"pairs{self.k}_signs", f"likely{self.k}")
         return links
 
 
-def _blocks(ws: Workspace, large: DataFrame) -> DataFrame:
+def _blocks(ws: Workspace, large: DataFrame, reps: DataFrame) -> DataFrame:
     """Rows (part, id, comp, query) of the block comparisons for members of large buckets.
 
-    ``large``: key, id, hub, comp. Buckets that overlap form a family, in which every document occurs
-    once; documents outside the component of one of their buckets' hubs are the family's queries.
+    ``large``: key, id, hub, comp. Buckets that overlap form a family, in which every set occurs
+    once; sets outside the component of one of their buckets' hubs are the family's queries.
     """
     family = components(ws, large.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "families")
     hubs = large.where("id = hub").select("key", F.col("comp").alias("hub_comp"))
     member = large.join(hubs, "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("hub_comp")).alias("outside"))
-    member = ws.save(member.join(family.withColumnRenamed("component", "family"), "id"), "family_members")
-    size = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("q")).where("q > 0")
-    member = member.join(size, "family")
+    member = ws.save(member.join(reps.select("id", F.col("n").alias("w")), "id").join(family.withColumnRenamed("component", "family"), "id"), "family_members")
+    parts = lambda some: F.ceil(F.greatest(F.sum(some) / BLOCK, F.sum(F.col("w") * some) / BLOCK_SHINGLES)).cast("int")
+    size = member.groupBy("family").agg(parts(F.lit(1)).alias("n"), parts(F.col("outside").cast("int")).alias("q")).where("q > 0")
+    member = member.join(ws.save(size, "family_sizes"), "family")
     of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = member.select("family", "id", "comp", every("q").alias("i"), of("n").alias("j"), F.lit(False).alias("query"))
@@ -285,43 +311,56 @@ def _blocks(ws: Workspace, large: DataFrame) -> DataFrame:
 def cluster(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text)."""
     ws = Workspace(docs.sparkSession, "near-dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = ws.save(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, digest binary, regs binary"), "sketches")
-    reps = sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
-    reps = ws.save(reps, "sets_by_digest")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    sig = ws.save(docs.mapInArrow(_sketch_batches, "doc_id long, t long, n_shingles long, digest binary, regs binary"), "sketches")
+    known = sig.where("n_shingles > 0 and doc_id is not null")
+    reps = known.groupBy("digest").agg(F.min(F.struct("doc_id", "t")).alias("r"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    reps = ws.save(reps.select(F.monotonically_increasing_id().alias("id"), "digest", "r.doc_id", "r.t", "n", "regs"), "sets_by_digest")
+
+    # Rows with one doc_id but several sets: the sets are linked, whatever they hold.
+    several = ws.save(sig.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id"), "several")
+    theirs = known.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(reps.select("digest", "id"), "digest").select("doc_id", "id")
+    theirs = ws.save(theirs, "sets_of_several")
+    least = ws.save(theirs.groupBy("doc_id").agg(F.min("id").alias("a")), "least_of_several")
+    same = theirs.join(least, "doc_id").where("a != id").select("a", F.col("id").alias("b"))
+
     # A set of three or fewer is linked with equal sets only, which are collapsed.
     bands = ws.save(reps.where("n > 3").select("id", "regs").mapInArrow(_band_batches, "key long, id long"), "bands")
-    buckets = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    buckets = ws.save(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1"), "buckets")
     members = ws.save(bands.join(buckets, "key"), "members")
-    ws.drop("bands")
+    ws.drop("bands", "buckets")
 
     confirm = _Confirmer(ws, docs, reps)
-    links = confirm(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    links = ws.save(confirm(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()).unionAll(same).distinct(), "links")
     comp = ws.save(components(ws, links, "first"), "comp1")
 
     # The second round: buckets that still hold several components.
     placed = members.where("c > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
     placed = ws.save(placed.select("key", "id", "hub", "c", "comp"), "placed")
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    split = ws.save(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "split_keys")
     placed = ws.save(placed.join(split, "key"), "split")
+    ws.drop("members", "placed")
     placed = placed.withColumn("large", F.col("c") > SMALL)
     parts = placed.where("not large").select(F.col("key").cast("string").alias("part"), "id", "comp", F.lit(True).alias("query"))
     large = placed.where("large")
     if not large.isEmpty():
-        parts = parts.unionAll(_blocks(ws, large))
+        parts = parts.unionAll(_blocks(ws, large, reps))
     parts = ws.save(parts, "parts")
-    ids = parts.select("id").distinct()
-    texts = maybe_among(ws, docs.select(F.col("doc_id").alias("id"), "text"), ids, "id", "part_signs").join(ids, "id", "left_semi")
-    # Rows with one doc_id are one document: any of their texts may link it.
-    texts = ws.save(texts, "part_texts")
+    texts = _texts(ws, docs, reps, parts.select("id").distinct(), "parts")
     more = parts.join(texts, "id").groupBy("part").applyInArrow(_block_links, "a long, b long")
     more = ws.save(more.distinct(), "links_across")
     if not more.isEmpty():
         comp = ws.save(components(ws, links.unionAll(more), "second"), "comp2")
-
-    label = reps.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("label"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")))
+    ws.drop("parts_texts", "parts", "split")
+
+    # Each set's component by number, then the smallest doc_id of any set in it.
+    labels = ws.save(reps.select("id", "doc_id", "digest").join(comp, "id", "left").withColumn("label", F.coalesce("component", "id")).select("digest", "label", "doc_id"), "labels")
+    lowest = ws.save(labels.groupBy("label").agg(F.min("doc_id").alias("component_id")), "lowest")
+    labels = ws.save(labels.join(lowest, "label").select("digest", "component_id"), "components")
+    mine = sig.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(labels, "digest").groupBy("doc_id").agg(F.min("component_id").alias("mine"))
+    out = sig.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left").join(ws.save(mine, "mine"), "doc_id", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("mine", own))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -332,4 +371,5 @@ def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, and those without a doc_id."""
     gone = cluster(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
