@@ -230,3 +230,23 @@ def test_base_patterns_and_added_spans(spark):
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1)
     assert [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in row.spans.split(",")) if k == "secret"] == ["password=da90f32ccfa9408d1c"]
+
+
+def test_positions_beyond_any_packing(spark):
+    """Counts of texts whose length is just below, at and above a power of two."""
+    texts = [" ".join(["a b c"] + [f"w{i}" for i in range(n - 6)] + ["a b c"]) for n in (15, 16, 17, 127, 128, 129, 4095, 4096, 70000)]
+    got = quality.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"), "doc_id").orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_repeat_words) for r in got] == [(len(t.split()), 6) for t in texts]
+
+
+def test_shards_are_even_with_equal_rows(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 97)) for i in range(20000)] + [(None, None)] * 10000 + [(7, "y" * 50)] * 3000, "doc_id long, text string")
+    rows = sharding.shard(docs).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 33000 and len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 0.011 * sum(sizes.values()) / 24 + 150
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {r.map_version for r in rows} == {2}
+    want = Counter((i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in [(i, "x" * (i % 97)) for i in range(20000)] + [(None, "")] * 10000 + [(7, "y" * 50)] * 3000)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want

@@ -1,28 +1,35 @@
 """Sharding by fixed virtual slots: records hash into thousands of slots, a versioned map gives slots to shards.
 
-A record's slot depends on its doc_id and text alone and never changes. Bytes are summed by slot, and the
-map places the slots on shards so that shard sizes are near equal: heaviest slot first, each to the
-lightest shard. The map is a small table (SLOTS rows, whatever the input) kept as numbered versions;
-rebalancing edits the newest version, moving as few slots as it takes, and writes the next one.
-
-Defined results: a null text has no bytes and checksum 0; a null doc_id is hashed like any value; rows equal
-in doc_id and text share a slot; an empty table gives an empty result and a map of equal slot counts.
+A record's slot depends on its doc_id and text alone and never changes. Bytes are summed by slot. Rows equal in
+both share a slot, so a slot of more than SPLIT times the mean is cut into sub-slots of about the mean by a number
+each row gets when it is written; sub-slots are numbered after the fixed slots. The map is a small table (the
+slots, and fewer than twice as many sub-slots, whatever the input) kept as numbered versions: version 1 deals the
+fixed slots round, and rebalancing by the measured bytes edits it into the next version. An edit moves as few
+slots as it takes until shard sizes are within TOLERANCE of the mean, or no move brings them closer.
+
+Defined results: a null text has no bytes and checksum 0; a null doc_id is hashed like any value; rows equal in
+doc_id and text may lie in different shards; an empty table gives an empty result and a map of equal slot counts;
+further columns play no part.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, shared_dir
+from ..storage import shared_dir
+from .common import Workspace
 
 SLOTS, SHARDS = 6144, 24
 #: Bytes of a record besides its text.
 OVERHEAD = 8
 #: rebalance() leaves shards that are within this share of the mean.
 TOLERANCE = 0.01
+#: Slots of more than this many times the mean are cut into sub-slots.
+SPLIT = 2
 
 
 def assign(weights: dict[int, int], slots: int, shards: int) -> dict[int, int]:
@@ -39,8 +46,8 @@ def assign(weights: dict[int, int], slots: int, shards: int) -> dict[int, int]:
 def rebalance(current: dict[int, int], weights: dict[int, int], shards: int) -> dict[int, int]:
     """An edited map for new weights or a new shard count.
 
-    Slots of shards that are gone go to the lightest; then the heaviest shard hands slots to the lightest
-    one while that brings both closer to the mean. All other slots stay where they are.
+    Slots of shards that are gone, and slots that the map does not have yet, go to the lightest; then the heaviest
+    shard hands slots to the lightest one while that brings both closer to the mean. All others stay where they are.
     """
     out = dict(current)
     size = dict.fromkeys(range(shards), 0)
@@ -49,7 +56,8 @@ def rebalance(current: dict[int, int], weights: dict[int, int], shards: int) ->
         if shard < shards:
             size[shard] += weights.get(slot, 0)
             held[shard].add(slot)
-    for slot in sorted((k for k, s in current.items() if s >= shards), key=lambda k: (-weights.get(k, 0), k)):
+    homeless = [k for k, s in current.items() if s >= shards] + [k for k in weights if k not in current]
+    for slot in sorted(homeless, key=lambda k: (-weights.get(k, 0), k)):
         to = min(size, key=lambda s: (size[s], s))
         out[slot] = to
         size[to] += weights.get(slot, 0)
@@ -90,19 +98,30 @@ class SlotMap:
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) per row."""
+    """(doc_id, size, text_crc32, fixed_slot, number) per row; the number is the row's own once it is written."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id",
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", text), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.xxhash64("doc_id", text), F.lit(slots)).cast("int").alias("fixed_slot"),
+        F.monotonically_increasing_id().alias("number"),
     )
 
 
-def slot_weights(recs: DataFrame) -> dict[int, int]:
-    """Bytes by slot; partial sums per task, SLOTS rows at most."""
-    return {r[0]: r[1] for r in recs.groupBy("virtual_slot").agg(F.sum("size")).collect()}
+def split_slots(recs: DataFrame, slots: int) -> DataFrame:
+    """``recs`` with ``virtual_slot``: the fixed slot, or a sub-slot where the fixed one holds too much."""
+    spark = recs.sparkSession
+    weights = {r[0]: r[1] for r in recs.groupBy("fixed_slot").agg(F.sum("size")).collect()}  # SLOTS rows at most
+    mean = max(1, sum(weights.values()) / slots)
+    hot, base = [], slots
+    for slot, w in sorted(weights.items()):
+        if w > SPLIT * mean:
+            hot.append((slot, base, math.ceil(w / mean)))
+            base += hot[-1][2]
+    table = F.broadcast(spark.createDataFrame(hot, "fixed_slot int, base int, pieces int"))
+    sub = F.col("base") + F.pmod(F.xxhash64("number"), F.col("pieces")).cast("int")
+    return recs.join(table, "fixed_slot", "left").withColumn("virtual_slot", F.coalesce(sub, F.col("fixed_slot"))).drop("base", "pieces")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
@@ -112,22 +131,22 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFram
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "sharding")
-    recs = ws.save(records(docs, slots), "records")
-    by_slot = recs.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()  # SLOTS rows at most
+    recs = split_slots(ws.save(records(docs, slots), "records"), slots)
+    by_slot = recs.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()  # bounded as the map is
     weights, counts = {r[0]: r[1] for r in by_slot}, {r[0]: r[2] for r in by_slot}
     versions = SlotMap(spark, ws.path("slot-map"))
-    versions.write(1, assign(weights, slots, shards))
-    mapping = versions.read(1)
+    versions.write(1, assign({}, slots, shards))
+    mapping, version = versions.edit(1, weights, shards), 2
     before, rows = dict.fromkeys(range(shards), 0), []
-    for slot in range(slots):
+    for slot in sorted(mapping):
         rows.append((slot, mapping[slot], before[mapping[slot]]))
         before[mapping[slot]] += counts.get(slot, 0)
     table = spark.createDataFrame(rows, "virtual_slot int, shard int, before long")
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "number"))
     return recs.withColumn("place", place).join(F.broadcast(table), "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("before") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        "virtual_slot", F.lit(1).alias("map_version"),
+        "virtual_slot", F.lit(version).alias("map_version"),
     )
 
 
