@@ -1,9 +1,10 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
 A document is compared with the reference of its language: the histogram of character classes and
-the histogram of common words, both gathered from all documents of the language. The distance is
-Jensen-Shannon's (square root of the divergence to base 2, so 0 to 1). Short documents are noisy,
-so each comparison has a minimum length below which it never rejects.
+the histogram of common words, both summed over all documents of the language that pass the base rules,
+so rows those rules reject do not shape it. It follows that a verdict hangs on the corpus it is given in.
+The distance is Jensen-Shannon's (square root of the divergence to base 2, so 0 to 1). Short documents are
+noisy, so each comparison has a minimum length below which it never rejects.
 
 Defined results: a null text is the empty text; a null or unknown language is the group "other",
 whose common words are not compared; an empty table gives an empty result; repeated rows are each
@@ -39,20 +40,25 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _window_keys(w: Column) -> Column:
-    """A sorted number for each three-word window: 40 bits of hash, then its position; null below four words."""
+def _shift(name: str, x: Column, bits: Column) -> Column:
+    return F.call_function(name, x, bits)
+
+
+def _window_keys(w: Column, bits: Column) -> Column:
+    """A sorted number for each three-word window: bits of its hash, then its position in the last ``bits``, which
+    hold any position of this text; null below four words."""
     n = F.size(w)
     shifted = F.arrays_zip(*(F.slice(w, k, n - 2).alias(f"w{k}") for k in (1, 2, 3)))
-    key = lambda x, i: F.shiftleft(F.xxhash64(x["w1"], x["w2"], x["w3"]), 24).bitwiseOR(i.cast("long"))
+    key = lambda x, i: _shift("shiftleft", F.xxhash64(x["w1"], x["w2"], x["w3"]), bits).bitwiseOR(i.cast("long"))
     return F.when(n >= 4, F.sort_array(F.transform(shifted, key)))
 
 
-def _alike(keys: Column, w: Column) -> Column:
-    """Windows (text, position) whose hash occurs twice or more, sorted by text; a superset of the repeated ones."""
+def _alike(keys: Column, w: Column, bits: Column) -> Column:
+    """Windows (text, position) whose hash bits occur twice or more, sorted by text; a superset of the repeated ones."""
     m = F.size(keys) - 1
-    same = F.zip_with(F.slice(keys, 1, m), F.slice(keys, 2, m), lambda a, b: F.when(F.shiftright(a, 24) == F.shiftright(b, 24), F.array(a, b)))
+    same = F.zip_with(F.slice(keys, 1, m), F.slice(keys, 2, m), lambda a, b: F.when(_shift("shiftright", a, bits) == _shift("shiftright", b, bits), F.array(a, b)))
     at = F.array_distinct(F.flatten(F.filter(same, lambda p: p.isNotNull())))
-    place = lambda x: x.bitwiseAND((1 << 24) - 1).cast("int")
+    place = lambda x: x.bitwiseAND(_shift("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
     return F.sort_array(F.transform(at, lambda x: F.struct(F.concat_ws(" ", F.get(w, place(x)), F.get(w, place(x) + 1), F.get(w, place(x) + 2)).alias("t"), place(x).alias("i"))))
 
 
@@ -95,7 +101,7 @@ def histograms(df: DataFrame) -> DataFrame:
 
 
 def references(hist: DataFrame) -> dict[str, dict[str, list[float]]]:
-    """Shares by language over all documents; five rows at most, whatever the input."""
+    """Shares by language over the rows of ``hist``; five rows at most, whatever the input."""
     sums = [F.sum(F.col("h_chars")[i]).alias(f"c{i}") for i in range(7)] + [F.sum(F.col("h_words")[i]).alias(f"w{i}") for i in range(13)]
     out = {}
     for r in hist.groupBy("h_lang").agg(*sums).collect():
@@ -129,20 +135,20 @@ def judge(docs: DataFrame, *carry: str) -> DataFrame:
     and compared with them.
     """
     df = histograms(docs)
-    df = df.withColumns({
-        "_keys": _window_keys(F.col("_w")),
+    df = df.withColumn("_bits", F.length(F.bin(F.size("_w").cast("long")))).withColumns({
+        "_keys": _window_keys(F.col("_w"), F.col("_bits")),
         "n_words": F.size("_w").cast("long"),
         "_lines": F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     })
     df = df.withColumns({
-        "_win": _alike(F.col("_keys"), F.col("_w")),
+        "_win": _alike(F.col("_keys"), F.col("_w"), F.col("_bits")),
         "n_symbols": F.col("h_chars")[3].cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     }).withColumn("n_repeat_words", _repeat_count(F.col("_win")))
     df = df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     df = df.withColumn("n_text", F.length("_t"))
     df = Workspace(docs.sparkSession, "quality").save(df.select(*carry, "h_lang", "h_chars", "h_words", "n_text", *RESULT[:6]), "counts")
-    refs = references(df)
+    refs = references(df.where("not base_failed"))
     df = df.withColumns({
         "char_distance": _distance(F.col("h_chars"), {k: v["c"] for k, v in refs.items()}),
         "word_distance": F.coalesce(_distance(F.col("h_words"), {k: v["w"] for k, v in refs.items() if k != "other"}), F.lit(0.0)),
@@ -157,7 +163,7 @@ RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return judge(docs, "doc_id")
+    return judge(docs, "doc_id").drop("char_distance", "word_distance")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
