@@ -4,7 +4,8 @@ A document is a sequence of line ids (lines with at least one word, compared exa
 doubling ranks all suffixes by their first 1, 2, 4, ... lines: the rank of a 2k-prefix is the
 order of its pair (rank of the k-prefix, rank of the k-prefix k lines on). Suffixes whose rank is
 unique are dropped from later rounds, as nothing repeats them. Suffixes with equal rank form the
-intervals of the array whose longest common prefix reaches that length.
+intervals of the array whose longest common prefix reaches that length. No prefix is extended beyond the
+shortest qualifying run (below), so the intervals found are those of that length, not the maximal ones.
 
 A run qualifies with MIN_WORDS words or more. A line goes exactly if it lies in a qualifying run an
 identical copy of which begins earlier, by (doc_id, position). For that no longer prefix is needed
@@ -26,14 +27,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, words
+from .common import Workspace, signs_of, words
 
 MIN_WORDS = 50
 _KEY = ["k1", "k2"]
 #: A character of a word.
 _WORD = r"[^\x20\x09-\x0D]"
-#: Most rows of the broadcast table that tells which documents may lose lines (64 bits each).
-_BIT_WORDS = 2**18
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -108,7 +107,7 @@ def repeated_lines(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -
         spans = spans.unionAll(x)
     spans = ws.save(spans, "named")
     # An interval's first copy stays; the start packed in a struct keeps partial sums per task.
-    first = spans.groupBy(*name).agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    first = ws.save(spans.groupBy(*name).agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("c")).where("c > 1"), "first")
     later = spans.join(first, name).where(F.struct(*_KEY, "pos") > F.col("first"))
     gone = later.select(*_KEY, F.explode(F.sequence("pos", F.col("pos") + F.col("m") - 1)).alias("pos")).distinct()
     return gone.join(runs.select(*_KEY, "pos", "at"), [*_KEY, "pos"]).select(*_KEY, "at")
@@ -121,15 +120,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = repeated_lines(ws, _keyed(docs.select("doc_id", "text")).select(*_KEY, "text"), min_words)
     gone = ws.save(gone.groupBy(*_KEY).agg(F.collect_set("at").alias("gone")), "gone")
     rows = _keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text")).select("row", *_KEY)
-    # Only documents that may lose lines are dealt out to meet their deletions. The others are told by a
-    # table of 64-bit words of hash bits, at most _BIT_WORDS rows at any size of input; a false sign costs a
-    # document's place in the join, no more.
+    # Only documents that may lose lines are dealt out to meet their deletions. The others are told by a table
+    # of hash bits sized by the count of deletions; a false sign costs a document's place in the join, no more.
+    signs, n_words = signs_of(ws, gone, _KEY, "signs")
     h = F.xxhash64(*_KEY)
-    word, bit = F.pmod(h, F.lit(_BIT_WORDS)), F.shiftrightunsigned(h, 58).cast("int")
-    signs = gone.select(word.alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(k1, k2), 58) as int))").alias("b"))
-    signs = ws.save(signs.groupBy("word").agg(F.bit_or("b").alias("bits")), "signs")
-    signed = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(signs), "word", "left")
-    may = F.coalesce(F.getbit("bits", F.col("bit")) == 1, F.lit(False))
+    signed = rows.withColumns({"_word": F.pmod(h, F.lit(n_words)), "_bit": F.shiftrightunsigned(h, 58).cast("int")}).join(F.broadcast(signs), "_word", "left")
+    may = F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))
     lost = signed.where(may).select("row", *_KEY).join(gone, _KEY, "left").select("row", "gone")
     joined = signed.where(~may).select("row", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")).unionAll(lost).withColumn("lines", F.split("row.text", "\n"))
     # Numbers of the lines kept, then the lines by number: linear in the document's lines.
