@@ -1,25 +1,33 @@
-"""SentencePiece encoding and decoding with byte-pair pieces; giant documents by chunks with max-plus matrices.
+"""SentencePiece encoding and decoding with byte-pair pieces; giant documents by a max-plus scan over chunks.
 
 A text is a path through the lattice of its pieces. For byte-pair pieces a path is the encoding if and
 only if each two neighbours are what their joint text is encoded as, so the lattice has weight 0 on
 such neighbours and minus infinity elsewhere; the best path of weight 0 is unique. A state at a chunk's
 border is the piece that reaches or crosses it. A chunk gives the transfer matrix between the states at
-its two borders (weights 0 or minus infinity, so the set of its finite entries); the max-plus product of
-matrices is associative, but no scan by products is built: a document's matrices are collected into one row
-and walked one by one, forward and back, for the state of each border. Each chunk is then
-traced back alone between its two states. A document of up to CHUNK characters is one chunk.
+its two borders (weights 0 or minus infinity, so the set of its finite entries).
+
+The max-plus product of matrices is associative, so border states come from a tree: SPAN neighbouring
+matrices are multiplied in one task, their products again SPAN at a time, up to one matrix per document,
+whose start and end state are known. Then, level by level down, each group of SPAN matrices finds the states
+of its inner borders from those of its two outer ones. No task holds more than SPAN matrices, however
+long the document. Each chunk is then traced back alone between its two states, and the assembled pieces of
+the whole document are decoded once and compared with its text by length and SHA-256.
 
 No piece spans from a non-blank to a blank, so such a place is a border in every path; between the first
 and the last one of a chunk its inside is encoded word by word, each distinct word once, by the
-sentencepiece library. Results are the library's own, with one exception: a literal U+2581, which the
-library would turn into a blank, is written as its three byte pieces, so that decoding is always exact.
+sentencepiece library, as are documents of up to CHUNK characters, which are one chunk. The matrices decide
+the stretches around chunk borders, and whole chunks without such a place.
+
+Results are the library's own, with one exception: a literal U+2581, which the library would turn into a
+blank, is written as its three byte pieces, so that decoding is always exact.
 
-Defined results: a null or empty text has no pieces; rows equal in doc_id and text are encoded alike;
-further columns play no part.
+Defined results: a null or empty text has no pieces; rows equal in doc_id and text are encoded alike; further
+columns play no part; a model for which a border state is not unique is no byte-pair model, and an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from array import array
@@ -37,7 +45,10 @@ from .common import Workspace
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
-_CACHE = 200_000
+#: Matrices that one task multiplies, or resolves.
+SPAN = 64
+#: Distinct stretches without blanks that are remembered, and the longest of them.
+_CACHE, _LONGEST_KEPT = 200_000, 64
 _MARK = "▁"
 _UNIT = re.compile(r" +[^ ]*|[^ ]+")
 
@@ -76,22 +87,27 @@ class Codec:
     def piece_ids(self, piece: str) -> list[int]:
         return [self.ids[piece]] if piece in self.ids else [self.byte_ids[b] for b in piece.encode()]
 
-    def _learn(self, units) -> None:
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """Packed ids by unit. Short units are remembered; long ones, as of scripts without blanks, are not."""
         if len(self.units) > _CACHE:
             self.units.clear()
-        new = list(set(units).difference(self.units))
+        new = list(units.difference(self.units))
         plain = [u for u in new if _MARK not in u]
-        self.units.update(zip(plain, map(pack, self.library.encode(plain, num_threads=1))))
+        found = dict(zip(plain, map(pack, self.library.encode(plain, num_threads=1))))
         for u in new:
             if _MARK in u:
                 parts = [self.library.encode(x) if x else [] for x in u.split(_MARK)]
-                self.units[u] = pack(parts[0] + [i for p in parts[1:] for i in self.mark + p])
+                found[u] = pack(parts[0] + [i for p in parts[1:] for i in self.mark + p])
+        self.units.update((u, x) for u, x in found.items() if len(u) <= _LONGEST_KEPT)
+        return {u: x for u, x in found.items() if len(u) > _LONGEST_KEPT}
 
     def encode_inside(self, texts: list[str]) -> list[bytes]:
         """Packed ids of texts that start and end at a border; the blank before each is part of it."""
         units = [_UNIT.findall(s) for s in texts]
-        self._learn(chain.from_iterable(units))
-        return [b"".join(map(self.units.__getitem__, u)) for u in units]
+        long, short = self._learn(set(chain.from_iterable(units))), self.units
+        if not long:
+            return [b"".join(map(short.__getitem__, u)) for u in units]
+        return [b"".join(long[x] if x in long else short[x] for x in u) for u in units]
 
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.encode_inside([" " + text])[0]).tolist() if text else []
@@ -196,17 +212,18 @@ def product(a: dict[str, list[str]], b: dict[str, list[str]]) -> dict[str, list[
     return {k: to for k, v in a.items() if (to := sorted({x for m in v for x in b.get(m, ())}))}
 
 
-def states(matrices: list[dict[str, list[str]]]) -> list[str]:
-    """The state at every border, from the first to the last: reached from the start and leading to the end."""
-    forward = [{"0|"}]
+def inner_states(matrices: list[dict[str, list[str]]], start: str, stop: str) -> list[str]:
+    """The state at every border of neighbouring matrices, from ``start`` before the first to ``stop`` after the last."""
+    forward = [{start}]
     for m in matrices:
         forward.append({x for k in forward[-1] for x in m.get(k, ())})
-    back = forward[-1]
-    out = [back]
+    back, out = {stop}, [{stop}]
     for m, f in zip(reversed(matrices), reversed(forward[:-1])):
         back = {k for k in f if back.intersection(m.get(k, ()))}
         out.append(back)
-    return [next(iter(x)) if len(x) == 1 else "" for x in reversed(out)]
+    if any(len(x) != 1 for x in out):
+        raise ValueError("a chunk border has no unique state; the model is not a byte-pair one")
+    return [next(iter(x)) for x in reversed(out)]
 
 
 def cut_edges(s: str, lo: int, hi: int) -> tuple[str, str, str | None]:
@@ -240,6 +257,7 @@ _CODECS: dict[int, Codec] = {}
 
 
 def _codec(model) -> Codec:
+    """The codec of a broadcast model, one for each Python worker."""
     key = hash(model.value)
     if key not in _CODECS:
         _CODECS.clear()
@@ -282,7 +300,7 @@ def _encode_giants(docs: DataFrame, model, chunk: int) -> DataFrame:
     ws = Workspace(docs.sparkSession, "pieces")
     key = ["k1", "k2"]
     keyed = docs.withColumns({"k1": F.coalesce("doc_id", F.lit(-(2**63)).cast("long")), "k2": F.xxhash64("text")})
-    around = 32
+    around = _codec(model).longest + 2  # what a piece across a border can reach, and the characters beside it
 
     def cut(batches):
         for b in _pieces(batches, 16):
@@ -307,26 +325,15 @@ def _encode_giants(docs: DataFrame, model, chunk: int) -> DataFrame:
             exact = [x == t.encode() for x, t in zip(codec.decode_inside(ids), insides)]
             hi = [r["hi"] if t is None else r["hi"] - len(r["s"]) + len(t) for r, t in zip(rows, tails)]
             yield pa.RecordBatch.from_arrays(
-                [b["k1"], b["k2"], b["i"], b["lo"], pa.array(hi, pa.int64()), pa.array(m, pa.string()), pa.array(heads, pa.string()), pa.array(tails, pa.string()), _id_arrays(ids), pa.array(exact, pa.bool_())],
-                [*key, "i", "lo", "hi", "m", "head", "tail", "ids", "exact"],
+                [b["k1"], b["k2"], b["i"], b["n"], b["lo"], pa.array(hi, pa.int64()), pa.array(m, pa.string()), pa.array(heads, pa.string()), pa.array(tails, pa.string()), _id_arrays(ids), pa.array(exact, pa.bool_())],
+                [*key, "i", "n", "lo", "hi", "m", "head", "tail", "ids", "exact"],
             )
 
     # The inside of a chunk does not hang on its states, so it is encoded as the matrix is made; only the
     # short texts on both sides of it wait for the states.
-    passed = ws.save(chunks.mapInArrow(through, "k1 long, k2 long, i long, lo long, hi long, m string, head string, tail string, ids array<int>, exact boolean"), "passed")
-
-    def choose(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                at = states([json.loads(x["m"]) for x in r["chunks"]])
-                n = len(r["chunks"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["k1"]] * n, pa.int64()), pa.array([r["k2"]] * n, pa.int64()), pa.array([x["i"] for x in r["chunks"]], pa.int64()), pa.array(at[:-1], pa.string()), pa.array(at[1:], pa.string())],
-                    [*key, "i", "start", "stop"],
-                )
+    passed = ws.save(chunks.mapInArrow(through, "k1 long, k2 long, i long, n long, lo long, hi long, m string, head string, tail string, ids array<int>, exact boolean"), "passed")
 
-    # A document's matrices are a few numbers for each CHUNK of its text.
-    borders = passed.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("chunks")).mapInArrow(choose, "k1 long, k2 long, i long, start string, stop string")
+    borders = _border_states(ws, passed.select(*key, "i", "n", "m"), key)
 
     def back(batches):
         codec = _codec(model)
@@ -338,9 +345,76 @@ def _encode_giants(docs: DataFrame, model, chunk: int) -> DataFrame:
     edges = passed.select(*key, "i", "lo", "hi", "head", "tail").join(borders, [*key, "i"])
     edges = edges.select(*key, "i", "lo", "hi", "head", "tail", "start", "stop").mapInArrow(back, "k1 long, k2 long, i long, part int, ids array<int>, exact boolean")
     parts = passed.select(*key, "i", F.lit(1).alias("part"), "ids", "exact").unionAll(edges)
-    # The stretches follow each other without gap or overlap, so the whole is exact if each of them is.
-    whole = parts.groupBy(*key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "part", "ids"))), lambda x: x["ids"])).alias("ids"), F.bool_and("exact").alias("exact"))
-    return keyed.select("doc_id", *key).join(whole, key).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
+    # The whole document once more: a stretch may be exact and still leave a gap, or overlap its neighbour.
+    stretches = F.array_sort(F.collect_list(F.struct("i", "part", "ids")))
+    whole = parts.groupBy(*key).agg(F.flatten(F.transform(stretches, lambda x: x["ids"])).alias("ids"), F.bool_and("exact").alias("parts_exact"))
+    text = keyed.select("doc_id", *key, F.octet_length("text").cast("long").alias("size"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
+
+    def check(batches):
+        codec = _codec(model)
+        for b in _pieces(batches, 4):
+            ids = b["ids"]
+            found = [codec.decode_inside([ids[k].values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()])[0][1:] for k in range(b.num_rows)]
+            same = [len(x) == n and hashlib.sha256(x).hexdigest() == h for x, n, h in zip(found, b["size"].to_pylist(), b["sha"].to_pylist())]
+            exact = pa.array([p and q for p, q in zip(b["parts_exact"].to_pylist(), same)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(ids[k]) for k in range(b.num_rows)], pa.int64()), ids.cast(pa.list_(pa.int32())), exact], ["doc_id", "n_tokens", "ids", "exact"])
+
+    joined = text.join(whole, key).select("doc_id", "size", "sha", "ids", "parts_exact")
+    return joined.mapInArrow(check, "doc_id long, n_tokens long, ids array<int>, exact boolean")
+
+
+def _border_states(ws: Workspace, matrices: DataFrame, key: list[str], span: int | None = None) -> DataFrame:
+    """(key, i, start, stop) of every matrix: products up a tree of ``span`` at a time, then states down it.
+
+    ``matrices``: key, i (0 to n - 1), n, m (JSON). Each level is a written table, SPAN times smaller than the last.
+    """
+    span = span or SPAN
+    levels, most = [matrices], matrices.agg(F.max("n")).first()[0] or 0
+    names = ["k1", "k2"]
+
+    def multiply(batches):
+        for b in _pieces(batches, 16):
+            out = []
+            for ms in b["ms"].to_pylist():
+                total = json.loads(ms[0]["m"])
+                for x in ms[1:]:
+                    total = product(total, json.loads(x["m"]))
+                out.append(json.dumps(total))
+            yield pa.RecordBatch.from_arrays([b[c] for c in (*names, "i")] + [pa.array(out, pa.string())], [*names, "i", "m"])
+
+    def grouped(level):
+        return level.groupBy(*key, F.floor(F.col("i") / span).alias("i")).agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("at"), "m"))).alias("ms"))
+
+    while most > 1:
+        up = grouped(levels[-1]).mapInArrow(multiply, "k1 long, k2 long, i long, m string")
+        levels.append(ws.save(up, f"products{len(levels)}"))
+        most = -(-most // span)
+
+    def ends(batches):
+        for b in _pieces(batches, 256):
+            stops = []
+            for m in b["m"].to_pylist():
+                to = json.loads(m).get("0|", [])
+                if len(to) != 1:
+                    raise ValueError("a document's end has no unique state; the model is not a byte-pair one")
+                stops.append(to[0])
+            yield pa.RecordBatch.from_arrays([b[c] for c in (*names, "i")] + [pa.array(["0|"] * len(stops), pa.string()), pa.array(stops, pa.string())], [*names, "i", "start", "stop"])
+
+    def resolve(batches):
+        for b in _pieces(batches, 16):
+            for k1, k2, ms, start, stop in zip(*(b[c].to_pylist() for c in (*names, "ms", "start", "stop"))):
+                at = inner_states([json.loads(x["m"]) for x in ms], start, stop)
+                n = len(ms)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array([x["at"] for x in ms], pa.int64()), pa.array(at[:-1], pa.string()), pa.array(at[1:], pa.string())],
+                    [*names, "i", "start", "stop"],
+                )
+
+    schema = "k1 long, k2 long, i long, start string, stop string"
+    states = levels[-1].select(*key, "i", "m").mapInArrow(ends, schema)
+    for level in reversed(levels[:-1]):
+        states = grouped(level).join(states, [*key, "i"]).mapInArrow(resolve, schema)
+    return states
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
