@@ -1,27 +1,34 @@
 """Benchmark decontamination: BM25 inverted index over test items, block-max WAND, then overlap.
 
-The index holds, for each term, the items with it in order, their BM25 weights and the largest weight
-of each block of BLOCK items. Queries are passages: windows of twice the longest item, starting every
-longest item, so that any copy lies whole in one of them and every word of every text is queried.
+The index holds, for each term, the items with it in order, their BM25 weights and, for each block of BLOCK
+items that has the term, the largest of them; terms are numbered by rising largest weight. Queries are
+passages: windows of SPAN times the longest item, starting every longest item, so that a copy lies whole in
+one of them if it takes up, with text inserted into it, at most SPAN - 1 times the longest item; every word of
+every text is queried.
 
 A weight is divided by the least score a true match of its item can have (a match has OVERLAP of the
 item's five-word shingles, so it lacks at most the remaining share of words, at worst the heaviest),
-hence "score >= 1" retrieves every match, whatever the item. Passages are first tested, many at once,
-against the block maxima summed over their terms; those with a block left go through the pivots of
-WAND, which skip items whose block maxima cannot reach 1.
+hence "score >= 1" retrieves every match, whatever the item. Passages are first tested, many at once: the
+terms whose largest weights add up to less than HALF_WAY cannot decide alone, so only blocks of the other
+terms' short lists are summed, and a passage lives if a block's sum and that rest reach 1. Living passages go
+through the pivots of WAND, which skip items whose block maxima cannot reach 1.
 
 A retrieved item is confirmed on the passage: OVERLAP of all its five-word shingles, and half of those
 of its question and of its answer (split after the last question mark, or in the middle of the text).
 Words are lower-case, without punctuation at their ends; an item of fewer than five words is one
 shingle.
 
-The items of one index are bounded by ITEMS; a larger benchmark is taken in that many parts by hash,
-each with its own pass. Defined results: null or wordless texts and items match nothing; a null doc_id
-or item_id is kept as null; a document or item that occurs twice gives one row per pair of ids.
+Document frequencies, their number and the mean length are those of all items, counted by Spark. The postings of
+one index are bounded by ITEMS items and ITEM_BYTES of text; a larger benchmark is taken in that many parts by
+hash, each with its own pass and the same weights. Defined results: null or wordless texts and items match
+nothing; a null doc_id or item_id is kept as null; a document or item that occurs twice gives one row per pair
+of ids; items equal in id and text count once; further columns play no part in ``contaminated`` and stay in
+``drop_contaminated``.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -31,10 +38,13 @@ from pyspark.sql import functions as F
 
 SHINGLE, OVERLAP, HALF = 5, 0.8, 0.5
 K1, B = 1.2, 0.75
-BLOCK = 8
-ITEMS = 20_000
+BLOCK, SPAN, HALF_WAY = 8, 3, 0.5
+#: Most items, and bytes of their texts, in one index.
+ITEMS, ITEM_BYTES = 20_000, 16 << 20
 _CACHE = 200_000
 _ENDS = b".,;:!?\"'()[]{}|*#$%&<>"
+#: Sums of block maxima held at once.
+_SUMS = 1 << 21
 
 
 def _terms(text: str | None) -> list[bytes]:
@@ -45,41 +55,67 @@ def _shingles(t: list[bytes]) -> set:
     return {tuple(t[i : i + SHINGLE]) for i in range(max(1, len(t) - SHINGLE + 1))} if t else set()
 
 
-class Index:
-    """Postings with block maxima for ``items``: (item_id, text)."""
+def _pieces(batches, rows: int = 256):
+    """Arrow batches cut small, so that memory follows a few documents and not the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.items = [(i, t, text) for i, text in items if (t := _terms(text))]
-        n = len(self.items)
-        lengths = [len(t) for _, t, _ in self.items]
-        mean = sum(lengths) / n if n else 1.0
+
+class Statistics:
+    """Of all items with words: their number, mean and largest length, and in how many each term occurs."""
+
+    def __init__(self, n: int, mean: float, longest: int, df: dict[bytes, int]):
+        self.n, self.mean, self.longest, self.df = n, mean, longest, df
+
+    @classmethod
+    def of(cls, items: list[tuple[int | None, str | None]]) -> Statistics:
+        terms = [t for _, text in items if (t := _terms(text))]
         df: dict[bytes, int] = defaultdict(int)
-        for _, t, _ in self.items:
+        for t in terms:
             for w in set(t):
                 df[w] += 1
-        self.vocabulary = {w: k for k, w in enumerate(sorted(df))}
-        self.longest = max(lengths, default=1)
-        n_blocks = -(-n // BLOCK) if n else 0
-        self.block_max = np.zeros((len(self.vocabulary), n_blocks), np.float32)
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        lengths = [len(t) for t in terms]
+        return cls(len(terms), sum(lengths) / len(lengths) if terms else 1.0, max(lengths, default=1), df)
+
+
+class Index:
+    """Postings with block maxima for ``items``: (item_id, text); weights by ``statistics``, those of all items."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], statistics: Statistics | None = None):
+        self.items = [(i, t, text) for i, text in items if (t := _terms(text))]
+        st = statistics or Statistics.of(items)
+        n, df = st.n, st.df
+        self.longest = st.longest
+        self.n_blocks = max(1, -(-len(self.items) // BLOCK))
+        postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         self.parts = []
         for at, (_, t, text) in enumerate(self.items):
             tf: dict[bytes, int] = defaultdict(int)
             for w in t:
                 tf[w] += 1
-            weight = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(t) / mean)) for w, c in tf.items()}
+            weight = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(t) / st.mean)) for w, c in tf.items()}
             lacking = int((1 - OVERLAP) * len(_shingles(t)) + 1e-9)
             least = sum(weight.values()) - sum(sorted(weight.values(), reverse=True)[:lacking])
             for w, x in weight.items():
-                k = self.vocabulary[w]
-                x = x / least * (1 + 1e-6)
-                postings[k].append((at, x))
-                self.block_max[k, at // BLOCK] = max(self.block_max[k, at // BLOCK], x)
+                postings[w].append((at, x / least * (1 + 1e-6)))
             mark = (text or "").rfind("?") + 1
             cut = len(_terms(text[:mark])) if mark else len(t) // 2
             self.parts.append((_shingles(t), _shingles(t[:cut]), _shingles(t[cut:])))
-        self.postings = {k: (np.array([a for a, _ in p]), np.array([x for _, x in p])) for k, p in postings.items()}
-        self.top = {k: float(x.max()) for k, (_, x) in self.postings.items()}
+        order = sorted(postings, key=lambda w: (max(x for _, x in postings[w]), w))
+        self.vocabulary = {w: k for k, w in enumerate(order)}
+        self.postings = [([a for a, _ in postings[w]], [x for _, x in postings[w]]) for w in order]
+        self.top = np.array([max(x) for _, x in self.postings])
+        # Per term, the blocks that have it and the largest weight in each: one list after the other.
+        self.maxima = []
+        for at, x in self.postings:
+            best: dict[int, float] = {}
+            for a, y in zip(at, x):
+                best[a // BLOCK] = max(best.get(a // BLOCK, 0.0), y)
+            self.maxima.append(best)
+        self.start = np.cumsum([0, *(len(m) for m in self.maxima)])
+        self.block = np.fromiter((k for m in self.maxima for k in m), np.int64, int(self.start[-1]))
+        self.most = np.fromiter((x for m in self.maxima for x in m.values()), np.float64, int(self.start[-1]))
         self._ids: dict[bytes, int] = {}
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -95,7 +131,7 @@ class Index:
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Items with score >= 1 for a set of terms, by block-max WAND."""
-        lists = [[self.postings[k][0], self.postings[k][1], 0, self.top[k], k] for k in terms]
+        lists = [[*self.postings[k], 0, float(self.top[k]), self.maxima[k]] for k in terms]
         found = []
         while True:
             lists = [x for x in lists if x[2] < len(x[0])]
@@ -108,27 +144,53 @@ class Index:
                     break
             if pivot < 0:
                 return found
-            item = int(lists[pivot][0][lists[pivot][2]])
+            item = lists[pivot][0][lists[pivot][2]]
             while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][2]] == item:
                 pivot += 1
             block = item // BLOCK
-            if sum(float(self.block_max[x[4], block]) for x in lists[: pivot + 1]) < 1:
+            if sum(x[4].get(block, 0.0) for x in lists[: pivot + 1]) < 1:
                 # No item of this block can reach the threshold with these lists: go past it, or to the next list's item.
-                to = min([(block + 1) * BLOCK, *(int(x[0][x[2]]) for x in lists[pivot + 1 : pivot + 2])])
+                to = min([(block + 1) * BLOCK, *(x[0][x[2]] for x in lists[pivot + 1 : pivot + 2])])
                 for x in lists[: pivot + 1]:
-                    x[2] += int(np.searchsorted(x[0][x[2] :], to))
+                    x[2] = bisect_left(x[0], to, x[2])
                 continue
             if lists[0][0][lists[0][2]] == item:
                 score = 0.0
                 for x in lists[: pivot + 1]:
-                    score += float(x[1][x[2]])
+                    score += x[1][x[2]]
                     x[2] += 1
                 if score >= 1:
                     found.append((item, score))
             else:
                 for x in lists[:pivot]:
                     if x[0][x[2]] < item:
-                        x[2] += int(np.searchsorted(x[0][x[2] :], item))
+                        x[2] = bisect_left(x[0], item, x[2])
+
+    def _alive(self, window: np.ndarray, term: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether some block can reach 1, by passage; ``window`` and ``term`` are sorted, ``first`` where each passage begins."""
+        top = self.top[term]
+        size = np.diff(np.r_[first, len(term)])
+        total = np.add.reduceat(top, first)
+        before = np.cumsum(top) - top
+        before -= np.repeat(before[first], size)
+        # Terms come by rising weight: the leading ones that stay below HALF_WAY together are the rest.
+        decides = before + top >= HALF_WAY
+        rest = np.add.reduceat(np.where(decides, 0.0, top), first)
+        out = np.zeros(len(first), bool)
+        passage = np.repeat(np.arange(len(first)), size)
+        at = np.flatnonzero(decides & (total >= 1)[passage])
+        step = max(1, _SUMS // self.n_blocks)
+        for lo in range(0, len(first), step):
+            some = at[np.searchsorted(passage[at], lo) : np.searchsorted(passage[at], lo + step)]
+            if not len(some):
+                continue
+            begin, n = self.start[term[some]], self.start[term[some] + 1] - self.start[term[some]]
+            entry = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+            key = np.repeat(passage[some] - lo, n) * self.n_blocks + self.block[entry]
+            count = min(step, len(first) - lo)
+            sums = np.bincount(key, self.most[entry], count * self.n_blocks).reshape(count, self.n_blocks)
+            out[lo : lo + count] = sums.max(axis=1) + rest[lo : lo + count] >= 1 - 1e-9
+        return out
 
     def matches(self, text: str | None) -> dict[int, tuple[float, float]]:
         """Confirmed items of a text: best score and share of shingles, by place in ``items``."""
@@ -137,28 +199,28 @@ class Index:
         if not len(ids) or not self.items:
             return {}
         step = self.longest
-        n = max(1, -(-len(ids) // step) - 1)
+        n = max(1, -(-len(ids) // step) - SPAN + 1)
         at = np.flatnonzero(ids >= 0)
-        # A word lies in the windows that start at the step before it and at the one before that.
-        window = np.concatenate([at // step, at // step - 1])
-        term = np.concatenate([ids[at], ids[at]])
+        # A word lies in the windows that start at the step before it and at the SPAN - 1 before that.
+        window = np.concatenate([at // step - k for k in range(SPAN)])
+        term = np.concatenate([ids[at]] * SPAN)
         ok = (window >= 0) & (window < n)
         both = np.unique(window[ok] * len(self.vocabulary) + term[ok])
         if not len(both):
             return {}
         window, term = both // len(self.vocabulary), both % len(self.vocabulary)
         first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
-        live = np.add.reduceat(self.block_max[term], first, axis=0).max(axis=1) >= 1
         out: dict[int, tuple[float, float]] = {}
         words = None
-        for f in np.flatnonzero(live):
+        for f in np.flatnonzero(self._alive(window, term, first)):
             end = first[f + 1] if f + 1 < len(first) else len(term)
             for item, score in self.search(term[first[f] : end].tolist()):
                 if words is None:
                     words = _terms(text)
                 w = int(window[first[f]])
-                here = _shingles(words[w * step : (w + 2) * step]) if len(self.items[item][1]) >= SHINGLE else None
-                share = self._share(here, words[w * step : (w + 2) * step], item)
+                passage = words[w * step : (w + SPAN) * step]
+                here = _shingles(passage) if len(self.items[item][1]) >= SHINGLE else None
+                share = self._share(here, passage, item)
                 if share is not None and share > out.get(item, (0, 0))[1]:
                     out[item] = (score, share)
         return out
@@ -173,22 +235,40 @@ class Index:
         return share if share >= OVERLAP and part(question) >= HALF and part(answer) >= HALF else None
 
 
-def _indexes(spark, items: DataFrame):
-    """Broadcast indexes, each over at most about ITEMS items."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    parts = max(1, -(-items.count() // ITEMS))
+def _item_words(batches):
+    """(term, length of the item) per distinct term of an item; the first row of an item also has its length as ``size``."""
+    for b in _pieces(batches):
+        rows = []
+        for text in b["text"].to_pylist():
+            t = _terms(text)
+            rows += [(w, len(t) if k == 0 else None) for k, w in enumerate(set(t))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["term", "size"])
+
+
+def _indexes(spark, items: DataFrame, most_items: int | None = None):
+    """Broadcast indexes, each over at most about ``most_items`` items, with the weights of all items."""
+    most_items = most_items or ITEMS
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    words = items.select("text").mapInArrow(_item_words, "term binary, size long")
+    sums = words.agg(F.count("size"), F.sum("size"), F.max("size")).first()
+    size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = max(1, -(-size[0] // most_items), -(-(size[1] or 0) // ITEM_BYTES))
+    frequency = words.groupBy("term").agg(F.count("*").alias("df"))
     for k in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in part.collect()]))
+        theirs = frequency if parts == 1 else frequency.join(part.select("text").mapInArrow(_item_words, "term binary, size long").select("term").distinct(), "term", "left_semi")
+        df = {bytes(r[0]): r[1] for r in theirs.collect()}  # terms of one part, bounded as its text is
+        statistics = Statistics(sums[0], sums[1] / sums[0] if sums[0] else 1.0, sums[2] or 1, df)
+        yield spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in part.collect()), key=str), statistics))
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, most_items: int | None = None) -> DataFrame:
     """(doc_id, item_id, score, overlap): one row per confirmed pair."""
     found = None
-    for index in _indexes(docs.sparkSession, items):
+    for index in _indexes(docs.sparkSession, items, most_items):
         def run(batches, index=index):
             ix = index.value
-            for b in batches:
+            for b in _pieces(batches):
                 rows = [(d, ix.items[k][0], s, o) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()) for k, (s, o) in ix.matches(t).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "score", "overlap"])
 
@@ -202,11 +282,11 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, most_items: int | None = None) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows are tested one by one, whatever their ids."""
-    for index in _indexes(docs.sparkSession, items):
+    for index in _indexes(docs.sparkSession, items, most_items):
         def run(batches, index=index):
-            for b in batches:
+            for b in _pieces(batches):
                 yield b.filter(pa.array([not index.value.matches(t) for t in b["text"].to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
