@@ -1,19 +1,21 @@
 """Toxicity by a classifier chain: linear models in a row, each fed the probabilities of those before it.
 
-The categories are predicted in the order of ``CATEGORIES``. Training labels are columns of the labels table;
-a category that has none of its own (as in ``labels``, with one column) is a graded one derived from the
-labelled texts: the chain first predicts whether a toxic word occurs at all, then whether several
-different ones do, then the label. Toxic words are found, not listed: terms that occur in enough toxic
-documents and nearly only there, by their smoothed log-odds. Each later model is trained with the out-of-fold
-probabilities of the earlier ones, so it sees them as noisy as they will be on new text.
-
-Training uses at most MAX_TRAIN labelled rows, those with the smallest hash of doc_id. Everything else
-covers all documents. Features: hashed words (letters only, lower case) with weight
-1 / sqrt(distinct words), plus the earlier probabilities.
+The categories are predicted in the order of ``CATEGORIES``. The labels table has one column of toxicity, so the
+earlier categories are graded ones that the texts alone decide: whether a toxic word occurs at all, then
+whether several different ones do; the last is the label. Toxic words are found, not listed: terms that occur in
+LEAST_DOCS toxic documents of LEAST_FOLDS folds and nearly only there, by their smoothed log-odds. Each later
+model is trained with the out-of-fold probabilities of the earlier ones, so it sees them as noisy as they will be
+on new text. Copies share a fold (that of their smallest rare word), so words of one much-copied document are
+neither toxic words nor learnt by heart.
+
+Training uses at most MAX_TRAIN labelled doc_ids, those with the smallest hash, one row each. Everything else
+covers all documents. Features: distinct words (letters only, lower case, 32-bit hashes) that LEAST_DOCS labelled
+documents of LEAST_FOLDS folds hold and whose log-odds are LEAST_TELLING or more either way, and the earlier
+probabilities.
 
 Defined results: a null text has no words; without labelled rows of both kinds all probabilities are the
-share of the labels (0 without labels); null doc_ids are scored but never train; repeated rows each get
-their score.
+share of the labels (0 without labels); null doc_ids are scored but never train; of rows that share a doc_id the
+one with the smallest text hash trains; repeated rows each get their score; further columns play no part.
 """
 
 from __future__ import annotations
@@ -28,86 +30,101 @@ from pyspark.sql import functions as F
 
 CATEGORIES = ["any_insult", "several_insults", "toxic"]
 MAX_TRAIN = 4000
-BUCKETS, FOLDS, STEPS, RATE, DECAY = 1 << 16, 5, 60, 1.0, 1e-4
-LEXICON, LEAST_DOCS, LEAST_ODDS = 64, 5, 3.0
+FOLDS, STEPS, RATE, DECAY = 5, 200, 0.1, 1e-4
+LEAST_DOCS, LEAST_FOLDS, LEAST_ODDS, LEAST_TELLING = 5, 3, 3.0, 1.5
+#: Words in at most this share of the labelled documents tell copies of one document.
+RARE = 0.02
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
-_BUCKET: dict[str, int] = {}
+_HASH: dict[str, int] = {}
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct hashed words of the whole text."""
+    """Sorted distinct 32-bit hashes of the words of the whole text."""
     words = set(_WORD.findall((text or "").lower()))
-    if len(_BUCKET) > _CACHE:
-        _BUCKET.clear()
-    for w in words.difference(_BUCKET):
-        _BUCKET[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
-    return np.unique(np.fromiter(map(_BUCKET.__getitem__, words), np.int64, len(words)))
+    if len(_HASH) > _CACHE:
+        _HASH.clear()
+    for w in words.difference(_HASH):
+        _HASH[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+    return np.unique(np.fromiter(map(_HASH.__getitem__, words), np.int64, len(words)))
 
 
 class _Rows:
-    """Sparse rows of weight 1 / sqrt(length), with dense columns beside them."""
+    """Sparse rows over the columns ``known`` (sorted hashes), with dense columns beside them."""
 
-    def __init__(self, rows: list[np.ndarray], extra: np.ndarray):
-        n = np.array([len(r) for r in rows])
-        self.row = np.repeat(np.arange(len(rows)), n)
-        self.col = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
-        self.value = np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)
-        self.n, self.extra = len(rows), extra
+    def __init__(self, rows: list[np.ndarray], known: np.ndarray, extra: np.ndarray):
+        every = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        at = np.searchsorted(known, every)
+        has = at < len(known)
+        has[has] = known[at[has]] == every[has]
+        self.row, self.col, self.n, self.extra = row[has], at[has], len(rows), extra
 
     def scores(self, w, v, b):
-        return np.bincount(self.row, w[self.col] * self.value, self.n) + self.extra @ v + b
+        return np.bincount(self.row, w[self.col], self.n) + self.extra @ v + b
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray) -> tuple:
+def fit(rows: list[np.ndarray], known: np.ndarray, extra: np.ndarray, y: np.ndarray) -> tuple:
     """Logistic regression by Adagrad on full batches, classes weighted equally; a constant without both classes."""
     if y.min() == y.max():
         p = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
-        return np.zeros(BUCKETS), np.zeros(extra.shape[1]), float(np.log(p / (1 - p)))
-    x = _Rows(rows, extra)
+        return np.zeros(len(known)), np.zeros(extra.shape[1]), float(np.log(p / (1 - p)))
+    x = _Rows(rows, known, extra)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    w, v, b = np.zeros(BUCKETS), np.zeros(extra.shape[1]), 0.0
-    sw, sv, sb = np.full(BUCKETS, 1e-8), np.full(extra.shape[1], 1e-8), 1e-8
+    w, v, b = np.zeros(len(known)), np.zeros(extra.shape[1]), 0.0
+    sw, sv, sb = np.full(len(known), 1e-8), np.full(extra.shape[1], 1e-8), 1e-8
     for _ in range(STEPS):
         g = (_sigmoid(x.scores(w, v, b)) - y) * weight
-        gw = np.bincount(x.col, g[x.row] * x.value, BUCKETS) + DECAY * w
+        gw = np.bincount(x.col, g[x.row], len(known)) + DECAY * w
         gv, gb = extra.T @ g + DECAY * v, g.sum()
         sw, sv, sb = sw + gw**2, sv + gv**2, sb + gb**2
         w, v, b = w - RATE * gw / np.sqrt(sw), v - RATE * gv / np.sqrt(sv), b - RATE * gb / np.sqrt(sb)
     return w, v, float(b)
 
 
-def probability(model: tuple, rows: list[np.ndarray], extra: np.ndarray) -> np.ndarray:
-    return _sigmoid(_Rows(rows, extra).scores(*model))
+def probability(model: tuple, rows: list[np.ndarray], known: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    return _sigmoid(_Rows(rows, known, extra).scores(*model))
 
 
-class Chain:
-    """Models by category, in order."""
+def folds(rows: list[np.ndarray]) -> np.ndarray:
+    """Fold of each row, by its smallest rare word, or else all its words: copies of one document have these in common."""
+    words, df = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.empty(0, np.int64),) * 2
+    rare = words[df <= max(2, RARE * len(rows))]
+    def key(r):
+        some = np.intersect1d(r, rare, assume_unique=True)
+        return int(some[0]) if len(some) else zlib.crc32(r.tobytes())
+    return np.array([zlib.crc32(str(key(r)).encode()) % FOLDS for r in rows], np.int64)
 
-    def __init__(self, rows: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray):
-        n, pos = len(rows), int(toxic.sum())
-        hits = np.zeros((2, BUCKETS))
-        for r, t in zip(rows, toxic):
-            hits[int(t), r] += 1
+
+class Chain:
+    """Models by category, in order, over the columns ``known``."""
+
+    def __init__(self, rows: list[np.ndarray], toxic: np.ndarray):
+        n, pos, fold = len(rows), int(toxic.sum()), folds(rows)
+        words, at = np.unique(np.concatenate(rows), return_inverse=True)
+        row = np.repeat(np.arange(n), [len(r) for r in rows])
+        hits = np.array([np.bincount(at[toxic[row] == t], minlength=len(words)) for t in (0, 1)])
+        in_folds = lambda some: sum(np.bincount(at[some & (fold[row] == k)], minlength=len(words)) > 0 for k in range(FOLDS))
         odds = np.log((hits[1] + 0.5) / (pos + 1)) - np.log((hits[0] + 0.5) / (n - pos + 1))
-        found = np.flatnonzero((hits[1] >= LEAST_DOCS) & (odds >= LEAST_ODDS))
-        self.lexicon = found[np.argsort(-hits[1][found], kind="stable")][:LEXICON]
+        self.known = words[(hits.sum(axis=0) >= LEAST_DOCS) & (abs(odds) >= LEAST_TELLING) & (in_folds(np.ones(len(row), bool)) >= LEAST_FOLDS)]
+        self.lexicon = words[(hits[1] >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (in_folds(toxic[row] == 1) >= LEAST_FOLDS)]
         level = np.array([np.isin(r, self.lexicon, assume_unique=True).sum() for r in rows])
-        labels = [(toxic == 1) & (level >= 1), (toxic == 1) & (level >= 2), toxic == 1]
         self.models, extra = [], np.zeros((n, 0))
-        for y in labels:
+        for y in (level >= 1, level >= 2, toxic == 1):
             y = y.astype(float)
             out = np.zeros(n)
             for k in range(FOLDS):
                 here, there = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
                 if len(here) and len(there):
-                    m = fit([rows[i] for i in there], extra[there], y[there])
-                    out[here] = probability(m, [rows[i] for i in here], extra[here])
-            self.models.append(fit(rows, extra, y))
+                    m = fit([rows[i] for i in there], self.known, extra[there], y[there])
+                    out[here] = probability(m, [rows[i] for i in here], self.known, extra[here])
+                elif len(here):
+                    out[here] = y.mean()
+            self.models.append(fit(rows, self.known, extra, y))
             extra = np.column_stack([extra, out])
         self.out_of_fold = extra
         self.threshold = _cut(extra[:, -1], toxic)
@@ -116,7 +133,7 @@ class Chain:
         """(documents, categories) probabilities."""
         extra = np.zeros((len(rows), 0))
         for m in self.models:
-            extra = np.column_stack([extra, probability(m, rows, extra)])
+            extra = np.column_stack([extra, probability(m, rows, self.known, extra)])
         return extra
 
 
@@ -133,31 +150,33 @@ def _cut(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain | None:
-    """The chain, from a bounded sample of labelled rows; features are made on the executors."""
+    """The chain, from a bounded sample of labelled doc_ids; features are made on the executors."""
     some = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     some = docs.sparkSession.createDataFrame(some.collect(), "doc_id long, toxic int")
 
     def run(batches):
-        for b in batches:
-            rows = [features(t) for t in b["text"].to_pylist()]
-            offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows) if rows else [], pa.int32()))], ["doc_id", "toxic", "f"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                rows = [features(t) for t in b["text"].to_pylist()]
+                offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows) if rows else [], pa.int64()))], ["doc_id", "toxic", "f"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = docs.join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, toxic int, f array<int>").toArrow().sort_by("doc_id")
+    labelled = docs.join(F.broadcast(some), "doc_id")
+    # One row for each doc_id, so the driver gets max_train at most, however often one is repeated.
+    chosen = labelled.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("x")).select("doc_id", "x.text", "x.toxic")
+    got = chosen.mapInArrow(run, "doc_id long, toxic int, f array<long>").toArrow().sort_by("doc_id")
     if got.num_rows == 0:
         return None
-    ids = got["doc_id"].to_numpy()
-    keep = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])  # rows that repeat a doc_id train once
-    rows = [np.array(got["f"][int(k)].as_py(), np.int64) for k in keep]
-    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids[keep]])
-    return Chain(rows, got["toxic"].to_numpy()[keep].astype(float), fold)
+    rows = [np.array(x.as_py(), np.int64) for x in got["f"]]
+    return Chain(rows, got["toxic"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
     """(doc_id, p_<category>..., toxic) per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(None if chain is None else (chain.models, chain.threshold))
+    shared = docs.sparkSession.sparkContext.broadcast(None if chain is None else (chain.models, chain.known, chain.threshold))
     names = [f"p_{c}" for c in CATEGORIES]
 
     def run(batches):
@@ -168,7 +187,7 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
                 cut = 0.5
                 if shared.value is not None:
                     one = Chain.__new__(Chain)
-                    one.models, cut = shared.value
+                    one.models, one.known, cut = shared.value
                     p = one.predict([features(t) for t in b["text"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x) for x in p.T), pa.array(p[:, -1] >= cut)], ["doc_id", *names, "toxic"])
 
