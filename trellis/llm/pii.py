@@ -7,7 +7,9 @@ weights. It is trained by gradient ascent on the likelihood of TRAINING, a small
 patterns below, and decodes each line by Viterbi in numpy, many lines at once. A span of the field that
 touches a base span is dropped; base spans always stay.
 
-Defined results: a null text is the empty text, without spans; repeated rows each get their row.
+Lines whose every word leads for "no data" by more than any transition could make up are not decoded; the
+result is that of decoding them. Defined results: a null text is the empty text, without spans; a null doc_id is
+kept; repeated rows each get their row; further columns play no part.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def word_features(word: str) -> list[str]:
     core = word.strip(_TRIM)
     digits = len(_NOT_DIGIT.sub("", core))
     key = re.match(r"([A-Za-z_]+)[=:]", core)
-    return ["shape " + shape(core)[:24], f"digits {min(digits, 12)}", f"start {shape(word[:1])}", "key " + (key[1].lower() if key else ""), "long mixed" if len(core) >= 16 and digits and re.search("[A-Za-z]", core) and core.isalnum() else "plain"]
+    return ["shape " + shape(core), f"digits {min(digits, 12)}", f"start {shape(word[:1])}", "key " + (key[1].lower() if key else ""), "long mixed" if len(core) >= 16 and digits and re.search("[A-Za-z]", core) and core.isalnum() else "plain"]
 
 
 def training() -> list[list[tuple[str, str]]]:
@@ -227,8 +229,11 @@ class Finder:
     def _ids(self, words: list[str]) -> np.ndarray:
         if len(self.known) > 200_000:
             self.known, self.rows, self.table, self.safe = {}, {}, self.table[:0], self.safe[:0]
+        long = {}
         for w in set(words).difference(self.known):
-            self.known[w] = self._row(w)
+            (self.known if len(w) <= 64 else long)[w] = self._row(w)
+        if long:
+            return np.fromiter((long[w] if w in long else self.known[w] for w in words), np.int64, len(words))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def spans(self, texts: list[str]) -> list[tuple[list, list]]:
@@ -276,9 +281,10 @@ def _lines(text: str):
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, their digest, and all spans, per row of ``docs`` (doc_id, text)."""
+    """doc_id, counts and digest of base spans, all spans, and how many the field added, secrets among them, per row
+    of ``docs`` (doc_id, text)."""
     field = docs.sparkSession.sparkContext.broadcast(Field(training()))
-    names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_secret", "n_added", "n_found"]
 
     def run(batches):
         finder = Finder(field.value)
@@ -289,9 +295,10 @@ def find(docs: DataFrame) -> DataFrame:
                 join = lambda s: ",".join(f"{k}:{a}:{e}" for k, a, e in s)
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS[:4]]
                 hashes = [hashlib.sha256(join(base).encode()).hexdigest() for base, _ in found]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *counts, pa.array(hashes), pa.array([join(s) for _, s in found])], names)
+                more = [[sum(x[0] == "secret" for x in s) for _, s in found], [len(s) - len(base) for base, s in found], [len(s) for _, s in found]]
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *counts, pa.array(hashes, pa.string()), pa.array([join(s) for _, s in found], pa.string()), *(pa.array(x, pa.int64()) for x in more)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_added long, n_found long")
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
