@@ -8,11 +8,15 @@ archive's name only when complete (written under an attempt's name, then renamed
 time stamps, so a repeated task writes the same bytes.
 
 Equal payloads of at least ``least`` bytes are stored once: the record with the smallest page_id is the
-response, the others are revisits that refer to it and carry length and digest in their headers.
+response, the others are revisits that refer to it and carry length and digest in their headers. Which record
+that is comes from a table without payloads (row number, page_id, url, digest), so rows of one payload may be any
+share of the input: payloads themselves are dealt by row number. The number is that of the row in the
+source, which must give its rows in the same order twice; a row whose digest has changed is an error.
 
 Defined results: a null html is an empty payload; a null url leaves the header out; a null page_id is
-never referred to, and is a revisit only if another page has the payload; rows that share page_id and
-payload are alike.
+never referred to, and is a revisit only if a page with an id has the payload; of rows that share page_id and
+payload, that with the smallest url (null first), then row number, is the response; every record has a record id
+of its own, made from page_id, digest and row number; further columns play no part.
 """
 
 from __future__ import annotations
@@ -41,20 +45,24 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, refers_to=None, revisit: bool = False, payload_digest: str | None = None) -> bytes:
-    """One WARC record with its closing blank lines."""
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"
+def record_id(page_id, payload_digest: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}:{number}')}>"
+
+
+def record(page_id, url, payload: bytes, number: int = 0, refers_to: tuple[int, int] | None = None) -> bytes:
+    """One WARC record with its closing blank lines; ``refers_to``: page_id and row number of the response it revisits."""
+    sha = digest(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + _END
-    head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": name(page_id), "WARC-Date": "1970-01-01T00:00:00Z"}
+    head = {"WARC-Type": "revisit" if refers_to else "response", "WARC-Record-ID": record_id(page_id, sha, number), "WARC-Date": "1970-01-01T00:00:00Z"}
     if url is not None:
         head["WARC-Target-URI"] = url.replace("\r", "%0D").replace("\n", "%0A")
-    head["WARC-Payload-Digest"] = "sha1:" + (payload_digest or digest(payload))
+    head["WARC-Payload-Digest"] = "sha1:" + sha
     head["X-Payload-Length"] = len(payload)
     if page_id is not None:
         head["X-Page-Id"] = page_id
-    if revisit:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": name(refers_to), "X-Refers-To-Page-Id": refers_to}
-    block = http if revisit else http + payload
+    if refers_to:
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to[0], sha, refers_to[1]), "X-Refers-To-Page-Id": refers_to[0]}
+    block = http if refers_to else http + payload
     head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": len(block)}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode("utf-8", "surrogatepass") + b"\r\n" + block + _END
 
@@ -68,14 +76,14 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def inflated(stream):
-    """The content of a gzip file piece by piece; members may follow each other."""
+    """The content of a gzip file, at most _PIECE bytes at a time; members may follow each other."""
     z = zlib.decompressobj(31)
     while piece := stream.read(_PIECE):
         while piece:
-            yield z.decompress(piece)
-            piece = z.unused_data
+            yield z.decompress(piece, _PIECE)
+            piece = z.unconsumed_tail
             if z.eof:
-                z = zlib.decompressobj(31)
+                piece, z = z.unused_data, zlib.decompressobj(31)
     yield z.flush()
 
 
@@ -115,6 +123,12 @@ def normalise(source, target, index) -> int:
     return n
 
 
+def _pieces(batches, rows: int = 64):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _files(root: str):
     where, path = fs.FileSystem.from_uri(root)
     where.create_dir(path, recursive=True)
@@ -137,18 +151,28 @@ class _Out:
             self.where.move(self.tmp, self.path)
 
 
-def write_monolithic(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
+def decide(ws: Workspace, pages: DataFrame, least: int) -> DataFrame:
+    """(number, sha1, first, first_number) of every row; ``first`` is null for responses. ``pages``: number, page_id, url, html, sha1."""
+    slim = ws.save(pages.select("number", "page_id", "url", "sha1", (F.octet_length("html") >= least).alias("shared")), "pages")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "number"))
+    first = slim.where("shared").groupBy("sha1").agg(F.min(named).alias("f"), F.count("*").alias("c")).where("c > 1 and f is not null")
+    first = ws.save(first.select("sha1", F.col("f.page_id").alias("first"), F.col("f.number").alias("first_number"), F.lit(True).alias("shared")), "first")
+    other = F.col("number") != F.col("first_number")
+    return slim.join(first, ["sha1", "shared"], "left").select("number", F.col("sha1").alias("sha1_then"), F.when(other, F.col("first")).alias("first"), F.when(other, F.col("first_number")).alias("first_number"))
+
+
+def write_monolithic(ws: Workspace, pages: DataFrame, root: str, least: int = 0) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as gzip streams; returns (archive, records) lazily."""
     payload = F.coalesce("html", F.lit(""))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(F.encode(payload, "UTF-8")).alias("sha1"))
-    first = pages.where(F.octet_length("html") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
-    pages = pages.join(first.select("sha1", "first"), "sha1", "left")
-    pages = pages.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    pages = pages.select(F.monotonically_increasing_id().alias("number"), F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(F.encode(payload, "UTF-8")).alias("sha1"))
+    joined = pages.join(ws.save(decide(ws, pages, least), "decisions"), "number", "left")
+    moved = F.raise_error(F.lit("the source gave its rows in another order the second time")).cast("string")
+    pages = joined.select("page_id", "url", F.when(F.col("sha1").eqNullSafe(F.col("sha1_then")), F.col("html")).otherwise(moved).alias("html"), "number", "first", "first_number")
 
     def run(batches):
         where, folder = _files(root)
         name = f"part-{TaskContext.get().partitionId():06d}"
-        rows = (r for b in batches for r in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html", "refers_to"))))
+        rows = (r for b in _pieces(batches) for r in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html", "number", "first", "first_number"))))
         k, row = 0, next(rows, None)
         while row is not None:
             n = size = 0
@@ -156,7 +180,7 @@ def write_monolithic(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
             z = zlib.compressobj(1, zlib.DEFLATED, 31)
             with _Out(where, archive) as out:
                 while row is not None and size < ROLL:
-                    raw = record(row[0], row[1], row[2].encode("utf-8", "surrogatepass"), row[3], row[3] is not None)
+                    raw = record(row[0], row[1], row[2].encode("utf-8", "surrogatepass"), row[3], None if row[4] is None else row[4:])
                     out.write(z.compress(raw))
                     n, size, row = n + 1, size + len(raw), next(rows, None)
                 out.write(z.flush())
@@ -205,11 +229,12 @@ def read_normalised(manifest: DataFrame, root: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
+    """Writes the archives, normalises them and reads every record back."""
     ws = Workspace(pages.sparkSession, "warc")
-    manifest = ws.save(write_monolithic(pages, ws.path("monolithic"), least), "manifest")
+    manifest = ws.save(write_monolithic(ws, pages, ws.path("monolithic"), least), "manifest")
     n = max(1, manifest.count())
     done = ws.save(normalise_all(manifest.repartition(n, "archive"), ws.path("monolithic"), ws.path("archives")), "normalised")
-    ws.drop("monolithic")
+    ws.drop("monolithic", "pages", "first", "decisions")
     return read_normalised(done.repartition(n, "archive"), ws.path("archives"))
 
 
