@@ -154,13 +154,20 @@ class Templates:
         return name, -score, matched >= FILE_SHARE * len(tokens)
 
 
+def _pieces(batches, rows: int = 256):
+    """Arrow batches cut small, so that memory follows a few files and not the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def scan(files: DataFrame) -> DataFrame:
     """(key, path, licence, cosine, is_file) per row of ``files`` (key, path, text)."""
     full = bodies()
 
     def run(batches):
         templates = Templates(full=full)
-        for b in batches:
+        for b in _pieces(batches):
             found = [templates.scan(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["key"], b["path"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], ["key", "path", "licence", "cosine", "is_file"])
 
