@@ -1,7 +1,12 @@
 """Training-data pipeline: quality rules, line dedup, near dedup, decontamination, SentencePiece pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and reads
-it back as the next stage's docs. All but the last return the columns of ``documents``.
+it back as the next stage's docs. All but the last return the columns of their ``docs``, whatever these are.
+
+Defined results, by stage: a null or empty text fails the base rules and goes; a document whose lines are all
+later copies goes, other texts and their n_chars follow the lines that stay; rows without doc_id are no one's
+copy and stay; a row goes if its text holds a benchmark item, whatever its doc_id; each row left gives one row of
+pieces. Rows that repeat are judged alike in each stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
