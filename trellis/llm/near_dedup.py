@@ -46,7 +46,7 @@ EMPTY = 0xFFFF
 #: A link needs 100 * intersection >= PER_CENT * union.
 PER_CENT = 80
 #: Buckets up to SMALL members are compared whole; beyond, in blocks of so many sets and shingles.
-SMALL, BLOCK, BLOCK_SHINGLES = 64, 512, 2_000_000
+SMALL, BLOCK, BLOCK_SHINGLES = 64, 256, 2_000_000
 #: Shingles at once in a matrix product.
 STRIP = 4096
 #: Estimates this many standard deviations below the threshold rule a pair out.
