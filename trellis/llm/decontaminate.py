@@ -10,8 +10,9 @@ A weight is divided by the least score a true match of its item can have (a matc
 item's five-word shingles, so it lacks at most the remaining share of words, at worst the heaviest),
 hence "score >= 1" retrieves every match, whatever the item. Passages are first tested, many at once: the
 terms whose largest weights add up to less than HALF_WAY cannot decide alone, so only blocks of the other
-terms' short lists are summed, and a passage lives if a block's sum and that rest reach 1. Living passages go
-through the pivots of WAND, which skip items whose block maxima cannot reach 1.
+terms' short lists are summed, and a passage lives if a block's sum and that rest reach 1; for the living ones
+all lists are. Those still living go through the pivots of WAND, which skip items whose block maxima cannot
+reach 1.
 
 A retrieved item is confirmed on the passage: OVERLAP of all its five-word shingles, and half of those
 of its question and of its answer (split after the last question mark, or in the middle of the text).
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 SHINGLE, OVERLAP, HALF = 5, 0.8, 0.5
 K1, B = 1.2, 0.75
-BLOCK, SPAN, HALF_WAY = 8, 3, 0.5
+BLOCK, SPAN, HALF_WAY = 4, 3, 0.5
 #: Most items, and bytes of their texts, in one index.
 ITEMS, ITEM_BYTES = 20_000, 16 << 20
 _CACHE = 200_000
@@ -166,30 +167,36 @@ class Index:
                     if x[0][x[2]] < item:
                         x[2] = bisect_left(x[0], item, x[2])
 
+    def _sums(self, passage: np.ndarray, term: np.ndarray, count: int) -> np.ndarray:
+        """(count, blocks): the terms' block maxima added up by passage."""
+        begin, n = self.start[term], self.start[term + 1] - self.start[term]
+        end = np.cumsum(n)
+        entry = np.repeat(begin - end + n, n)
+        entry += np.arange(len(entry))
+        key = np.repeat(passage * self.n_blocks, n)
+        key += self.block[entry]
+        return np.bincount(key, self.most[entry], count * self.n_blocks).reshape(count, self.n_blocks)
+
     def _alive(self, window: np.ndarray, term: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Whether some block can reach 1, by passage; ``window`` and ``term`` are sorted, ``first`` where each passage begins."""
         top = self.top[term]
         size = np.diff(np.r_[first, len(term)])
-        total = np.add.reduceat(top, first)
         before = np.cumsum(top) - top
         before -= np.repeat(before[first], size)
         # Terms come by rising weight: the leading ones that stay below HALF_WAY together are the rest.
         decides = before + top >= HALF_WAY
         rest = np.add.reduceat(np.where(decides, 0.0, top), first)
-        out = np.zeros(len(first), bool)
+        out = np.add.reduceat(top, first) >= 1
         passage = np.repeat(np.arange(len(first)), size)
-        at = np.flatnonzero(decides & (total >= 1)[passage])
         step = max(1, _SUMS // self.n_blocks)
-        for lo in range(0, len(first), step):
-            some = at[np.searchsorted(passage[at], lo) : np.searchsorted(passage[at], lo + step)]
-            if not len(some):
-                continue
-            begin, n = self.start[term[some]], self.start[term[some] + 1] - self.start[term[some]]
-            entry = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
-            key = np.repeat(passage[some] - lo, n) * self.n_blocks + self.block[entry]
-            count = min(step, len(first) - lo)
-            sums = np.bincount(key, self.most[entry], count * self.n_blocks).reshape(count, self.n_blocks)
-            out[lo : lo + count] = sums.max(axis=1) + rest[lo : lo + count] >= 1 - 1e-9
+        # First the deciding terms' short lists and the rest's bound, then all lists of the passages left.
+        for which, more in ((decides, rest), (True, np.zeros(len(first)))):
+            at = np.flatnonzero(out[passage] & which)
+            for lo in range(0, len(first), step):
+                some = at[slice(*np.searchsorted(passage[at], [lo, lo + step]))]
+                count = min(step, len(first) - lo)
+                sums = self._sums(passage[some] - lo, term[some], count)
+                out[lo : lo + count] &= sums.max(axis=1) + more[lo : lo + count] >= 1 - 1e-9
         return out
 
     def matches(self, text: str | None) -> dict[int, tuple[float, float]]:
@@ -201,14 +208,14 @@ class Index:
         step = self.longest
         n = max(1, -(-len(ids) // step) - SPAN + 1)
         at = np.flatnonzero(ids >= 0)
-        # A word lies in the windows that start at the step before it and at the SPAN - 1 before that.
-        window = np.concatenate([at // step - k for k in range(SPAN)])
-        term = np.concatenate([ids[at]] * SPAN)
-        ok = (window >= 0) & (window < n)
-        both = np.unique(window[ok] * len(self.vocabulary) + term[ok])
+        # Distinct terms of each step, then of the SPAN steps of each window.
+        size = len(self.vocabulary)
+        steps = np.unique(at // step * size + ids[at])
+        every = np.concatenate([steps - k * size for k in range(SPAN)])
+        both = np.unique(every[(every >= 0) & (every < n * size)])
         if not len(both):
             return {}
-        window, term = both // len(self.vocabulary), both % len(self.vocabulary)
+        window, term = both // size, both % size
         first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
         out: dict[int, tuple[float, float]] = {}
         words = None
