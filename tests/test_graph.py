@@ -59,3 +59,44 @@ def test_catalogue(spark, name):
     cols = sorted(want.columns)
     rows = lambda d: sorted(map(tuple, d[cols].astype(str).values.tolist()))
     assert sorted(got.columns) == cols and rows(got) == rows(want)
+
+
+def test_reach_against_breadth_first(spark):
+    import random
+
+    for seed in range(4):
+        r = random.Random(seed)
+        pairs = {(r.randint(0, 40), r.randint(0, 40)) for _ in range(70)} | {(100 + i, 101 + i) for i in range(30)}
+        df = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string")
+        for cap in (None, 1, 3, 7):
+            want = {}
+            for root in {a for a, _ in pairs}:
+                seen, now, d = {}, {root}, 0
+                while now and (cap is None or d < cap):
+                    d += 1
+                    now = {b for a, b in pairs if a in now} - set(seen)
+                    seen |= dict.fromkeys(now, d)
+                want |= {(str(root), str(n)): d for n, d in seen.items()}
+            assert {(x.root, x.node): x.depth for x in closure.reach(df, cap).collect()} == want
+
+
+def test_stages_ignore_targets_outside(spark):
+    a = spark.createDataFrame([("a",), ("b",)], "node string")
+    e = spark.createDataFrame([("a", "x"), ("b", "a"), ("b", "a"), ("x", "a")], "src string, dst string")
+    assert {r.node: r.stage for r in closure.stages(a, e).collect()} == {"a": 1, "b": 2}
+    assert [(r.stage, r.parallel, r.nodes) for r in closure.stage_list(a, e.limit(0)).collect()] == [(1, True, ["a", "b"])]
+    assert closure.stages(a.limit(0), e).count() == 0
+
+
+def test_dependencies_and_tree(spark):
+    nodes = spark.createDataFrame([("a", False), ("b", True), ("c", False)], "path string, blackbox boolean")
+    rel = spark.createDataFrame([("a", 0, "b", "uses"), ("a", 1, "c", "emits"), ("b", 0, "a", "calls"), ("b", 1, "c", "calls"), ("a", 2, "b", "calls"), ("c", 0, "gone", "listens")], "src string, ord long, dst string, type string")
+    deps = closure.dependencies(nodes, rel)
+    assert sorted(tuple(r) for r in deps.where("root = 'a'").collect()) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)]
+    with pytest.raises(ValueError, match="gone"):
+        closure.dependencies(nodes, rel, "all")
+    with pytest.raises(ValueError, match="not found: z"):
+        closure.dependencies(nodes, rel, roots=spark.createDataFrame([("z",)], "root string"))
+    tree = closure.dependency_tree(nodes, rel, "a").orderBy("ords").collect()
+    assert [(r.ords, r.node, r.type, r.blackbox) for r in tree] == [([0], "b", "uses", True), ([0, 1], "c", "calls", False), ([1], "c", "emits", False), ([2], "b", "calls", True), ([2, 1], "c", "calls", False)]
+    assert closure.dependency_tree(nodes, rel, "a", "structural", 1).count() == 2
