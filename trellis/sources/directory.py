@@ -7,14 +7,14 @@ Unreadable node files become rows of ``node_errors``; one bad aspect or flow fil
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .tables import GraphTables, Settings
+
 try:
     import yaml
 except ImportError:  # only this source needs it
@@ -165,28 +165,7 @@ def _all_or_none(parsed: DataFrame) -> DataFrame:
     return parsed.crossJoin(F.broadcast(bad)).where("not bad").drop("bad", "error")
 
 
-@dataclass
-class Directory:
-    """config (dict, or None with config_error) and the tables of the graph directory."""
-
-    config: dict | None
-    config_error: str | None
-    nodes: DataFrame
-    node_errors: DataFrame
-    node_aspects: DataFrame
-    relations: DataFrame
-    mappings: DataFrame
-    artifacts: DataFrame
-    aspects: DataFrame
-    implies: DataFrame
-    flows: DataFrame
-    flow_nodes: DataFrame
-    flow_aspects: DataFrame
-    schemas: DataFrame
-    without_node: DataFrame
-
-
-def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False) -> Directory:
+def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False) -> GraphTables:
     """Read a graph directory. ValueError for a bad configuration unless tolerated; then every file is an artifact."""
     files = listing(spark, root)
     config, config_error = None, None
@@ -211,7 +190,6 @@ def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False)
     nodes = kept.where("error is null").drop("error")
     tree = nodes.select("path", "name", "type", "blackbox", "yaml_raw", F.size(parts).cast("long").alias("depth")).join(F.broadcast(top), F.lit(True), "left")
     tree = tree.withColumn("parent_path", F.when(F.col("path") == "", F.lit(None)).when(F.col("depth") == 1, F.col("top")).otherwise(F.regexp_replace("path", "/[^/]*$", ""))).drop("top")
-    own = nodes.select("path", F.inline("aspects"))
     text = lambda df, key: df.select(F.col("dir").alias(key), "filename", F.decode("content", "UTF-8").alias("content"))
     notes = model.where(F.col("filename") != NODE)
     if config:
@@ -230,9 +208,21 @@ def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False)
     lacking = named.join(definitions, "flow", "left").select("flow", F.coalesce("content", F.lit(b"")).alias("content"))  # an empty file is an error
     flows = _all_or_none(_parsed(lacking, "flow", FLOW_COLS, parse_flow))
     schemas = _below(files, "schemas").where("dir = '' and filename rlike '[.]ya?ml$'").select(F.regexp_replace(F.regexp_replace("filename", "[.]ya?ml$", ""), "^yg-", "").alias("schema"))
-    return Directory(
-        config, config_error, tree, kept.where("error is not null").select("path", "error"), own,
-        nodes.select(F.col("path").alias("src"), F.inline("relations")), nodes.select(F.col("path").alias("node"), F.posexplode("mapping").alias("ord", "mapping")),
-        text(notes, "node").join(nodes.select(F.col("path").alias("node")), "node", "left_semi"), aspects.drop("implies"), aspects.select("id", F.explode("implies").alias("implied")),
-        flows.select("flow", "name"), flows.select("flow", F.posexplode("nodes").alias("ord", "node")), flows.select("flow", F.posexplode("aspects").alias("ord", "aspect")), schemas, without,
-    )
+    make = spark.createDataFrame
+    kinds = [(name, k, c["required"], c["when"], c["description"], c["included_in_relations"]) for k, (name, c) in enumerate((config or {"artifacts": {}})["artifacts"].items())]
+    types = [(name, c["required_aspects"]) for name, c in (config or {"node_types": {}})["node_types"].items()]
+    quality = (config or {}).get("quality", {})
+    settings = Settings(config["name"], config["version"], quality["min_artifact_length"], quality["max_direct_relations"], **quality["context_budget"]) if config else Settings()
+    beside = lambda some, name, key, known: text(some.where(F.col("filename") != name), key).join(known, key, "left_semi")
+    return GraphTables(
+        nodes=tree, node_errors=kept.where("error is not null").select("path", "error"),
+        node_aspects=nodes.select("path", F.posexplode("aspects").alias("ord", "a")).select("path", "ord", "a.aspect", "a.exceptions", "a.anchors"),
+        relations=nodes.select(F.col("path").alias("src"), F.inline("relations")), mappings=nodes.select(F.col("path").alias("node"), F.posexplode("mapping").alias("ord", "mapping")),
+        artifacts=text(notes, "node").join(nodes.select(F.col("path").alias("node")), "node", "left_semi"),
+        aspects=aspects.drop("implies"), implies=aspects.select("id", F.posexplode("implies").alias("ord", "implied")),
+        aspect_artifacts=beside(aspect_files, ASPECT, "aspect", aspects.select(F.col("id").alias("aspect"))),
+        flows=flows.select("flow", "name"), flow_nodes=flows.select("flow", F.posexplode("nodes").alias("ord", "node")), flow_aspects=flows.select("flow", F.posexplode("aspects").alias("ord", "aspect")),
+        flow_artifacts=beside(flow_files, FLOW, "flow", flows.select("flow")), schemas=schemas, without_node=without,
+        artifact_types=make(kinds, "filename string, ord int, required string, when string, description string, included boolean"), node_types=make(types, "type string, required_aspects array<string>"),
+        settings=settings, config=config, config_error=config_error, root=root,
+    )

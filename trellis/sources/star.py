@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import GraphTables
+from .tables import GraphTables, Settings
+
+# The artifact types of the projection, as the default configuration has them, and its node types.
+ARTIFACT_TYPES = [("responsibility.md", 0, "always", None, "What it does", True), ("interface.md", 1, "when", "has_incoming_relations", "How it is called", True), ("internals.md", 2, "never", None, "", False)]
+NODE_TYPES = [("module", []), ("service", []), ("library", ["size/1", "size/3"])]
+SCHEMAS = [("node",), ("flow",)]
 
 
 def from_star_schema(spark: SparkSession, sf_dir: str) -> GraphTables:
@@ -33,21 +38,23 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> GraphTables:
         node(parts, c("path"), c("module"), "library"),
     ):
         nodes = nodes.unionAll(more)
-    nodes = nodes.withColumn("depth", F.size(F.split("path", "/")).cast("long"))
+    name = F.element_at(F.split("path", "/"), -1)
+    nodes = nodes.withColumns({"depth": F.size(F.split("path", "/")).cast("long"), "name": name, "yaml_raw": F.concat(F.lit("name: "), name, F.lit("\ntype: "), "type", F.lit("\n"))})
 
     key = parts.select("p_partkey", "path")
     dst = key.select(c("p_partkey").alias("d"), c("path").alias("dst"))
     deep = key.where("p_partkey >= 1").select(c("path").alias("src"), F.explode(F.array(
         F.struct(F.lit(0).cast("long").alias("ord"), F.floor(c("p_partkey") / 2).alias("d"), F.lit("extends").alias("type")),
-        F.struct(F.lit(1).cast("long").alias("ord"), F.floor(c("p_partkey") / 3).alias("d"), F.lit("uses").alias("type")))).alias("e"))
-    deep = deep.select("src", "e.ord", "e.d", "e.type").join(dst, "d").select("src", "ord", "dst", "type", F.lit(None).cast("array<string>").alias("consumes"))
+        F.struct(F.lit(1).cast("long").alias("ord"), F.floor(c("p_partkey") / 3).alias("d"), F.lit("uses").alias("type")))).alias("e"), "p_partkey")
+    fails = F.when((c("type") == "uses") & (c("p_partkey") % 5 == 0), "use the last known part").alias("failure")
+    deep = deep.select("src", "e.ord", "e.d", "e.type", "p_partkey").join(dst, "d").select("src", "ord", "dst", "type", F.lit(None).cast("array<string>").alias("consumes"), fails, none.alias("event_name"))
     wide = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sort_array(F.collect_set("l_returnflag")).alias("consumes"))
     wide = wide.join(s_path.select("s_suppkey", c("path").alias("src")), c("l_suppkey") == c("s_suppkey")).join(dst, c("l_partkey") == c("d"))
-    wide = wide.select("src", (F.lit(2) + c("l_partkey")).cast("long").alias("ord"), "dst", F.lit("calls").alias("type"), "consumes")
+    wide = wide.select("src", (F.lit(2) + c("l_partkey")).cast("long").alias("ord"), "dst", F.lit("calls").alias("type"), "consumes", none.alias("failure"), none.alias("event_name"))
     ev = t("events").where(c("event_type").isin("purchase", "view")).select("event_type", "user_id", (c("event_id") % 50).alias("d")).distinct()
     ev = ev.join(dst, "d").join(c_path.select("c_custkey", c("path").alias("cpath")), c("user_id") == c("c_custkey"))
     buys = c("event_type") == "purchase"
-    ev = ev.select(F.when(buys, c("cpath")).otherwise(c("dst")).alias("src"), F.lit(0).cast("long").alias("ord"), F.when(buys, c("dst")).otherwise(c("cpath")).alias("dst"), F.when(buys, "emits").otherwise("listens").alias("type"), F.lit(None).cast("array<string>").alias("consumes"))
+    ev = ev.select(F.when(buys, c("cpath")).otherwise(c("dst")).alias("src"), F.lit(0).cast("long").alias("ord"), F.when(buys, c("dst")).otherwise(c("cpath")).alias("dst"), F.when(buys, "emits").otherwise("listens").alias("type"), F.lit(None).cast("array<string>").alias("consumes"), none.alias("failure"), F.when(buys, "Purchase").alias("event_name"))
 
     sizes = spark.range(1, 51)
     size = lambda x: cat("size/", x)
@@ -56,7 +63,14 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> GraphTables:
     node_aspects = parts.select("path", size(c("p_size")).alias("aspect")).unionAll(parts.select(c("module").alias("path"), cat("brand/", F.substring("module", 5, 100)).alias("aspect")).distinct()).unionAll(c_path.select("path", cat("seg/", c("c_mktsegment")).alias("aspect")))
     flow_nodes = prio.where("o_custkey % 10 = 0").join(c_path, c("o_custkey") == c("c_custkey")).select(cat("prio-", c("p")).alias("flow"), c("path").alias("node")).unionAll(npath.where("n_nationkey = 0").select(F.lit("tour").alias("flow"), c("npath").alias("node")))
     flow_aspects = prio.select(cat("prio-", c("p")).alias("flow"), cat("prio/", c("p")).alias("aspect")).distinct().unionAll(spark.range(1).select(F.lit("tour").alias("flow"), F.lit("size/8").alias("aspect")))
-    flows = flow_aspects.select("flow").distinct()
+    k = F.when(c("id").like("size/%"), F.substring("id", 6, 10).cast("int"))
+    aspects = aspects.select("id", F.concat(F.lit("Aspect "), "id").alias("name"), none.alias("description"), F.element_at(F.array(F.lit("schema"), F.lit("protocol"), F.lit("implementation")), k % 3 + 1).alias("stability"))
+    rule = aspects.select(c("id").alias("aspect"), F.lit("content.md").alias("filename"), F.concat(F.lit("Rule of "), "id", F.lit(".\n")).alias("content"))
+    aspect_artifacts = rule.unionAll(rule.where("aspect like 'size/%0'").select("aspect", F.lit("notes.md").alias("filename"), F.concat(F.lit("Notes on "), "aspect").alias("content")))
+    flows = flow_aspects.select("flow").distinct().select("flow", F.concat(F.lit("Flow "), "flow").alias("name"))
+    flow_artifacts = flows.where("flow <> 'tour'").select("flow", F.lit("description.md").alias("filename"), F.concat(F.lit("Steps of "), "flow", F.lit(".\n")).alias("content"))
+    zero = F.lit(0).cast("long").alias("ord")
+    legacy = F.when(c("aspect").like("size/%") & c("path").endswith("0"), F.array(F.lit("old packaging"), F.lit("samples"))).alias("exceptions")
 
     docs = t("documents")
     name = F.element_at(F.array(*map(F.lit, ("responsibility.md", "interface.md", "internals.md"))), (c("doc_id") % 3 + 1).cast("int"))
@@ -70,4 +84,14 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> GraphTables:
     state = owner.select(c("path").alias("node"), cat("d", F.lpad(c("doc_id").cast("string"), 12, "0")).alias("path"), "doc_id", "text", F.when(c("source") == "src0", "graph").otherwise("source").alias("category"))
     baseline = state.where("doc_id % 13 <> 5").select("node", "path", F.sha2("text", 256).alias("hash"), "category")
     current = state.where("doc_id % 11 <> 3").select("node", "path", F.sha2(F.when(c("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(c("text")), 256).alias("hash"), "category")
-    return GraphTables(nodes, deep.unionAll(wide).unionAll(ev), node_aspects, aspects, sizes.where("id >= 2").select(size(c("id")).alias("id"), size(F.floor(c("id") / 2)).alias("implied")), flows, flow_nodes, flow_aspects, artifacts, mappings, files, anchors, baseline, current)
+    # The first words of each document of a part, changed for every third document, are anchors of the part's own aspect.
+    found = owner.select(c("path"), F.concat(F.substring("text", 5, 20), F.when(c("doc_id") % 3 == 1, "~").otherwise("")).alias("anchor"), "doc_id")
+    found = found.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "anchor"))), lambda x: x["anchor"]).alias("anchors"))
+    return GraphTables(
+        nodes=nodes, relations=deep.unionAll(wide).unionAll(ev), node_aspects=node_aspects.join(found, "path", "left").select("path", "aspect", zero, legacy, "anchors"),
+        aspects=aspects, implies=sizes.where("id >= 2").select(size(c("id")).alias("id"), zero, size(F.floor(c("id") / 2)).alias("implied")),
+        flows=flows, flow_nodes=flow_nodes.withColumn("ord", F.lit(0).cast("long")), flow_aspects=flow_aspects.withColumn("ord", F.lit(0).cast("long")), artifacts=artifacts, mappings=mappings, files=files, anchors=anchors, baseline=baseline, current=current,
+        aspect_artifacts=aspect_artifacts, flow_artifacts=flow_artifacts, settings=Settings("Star"),
+        artifact_types=spark.createDataFrame(ARTIFACT_TYPES, "filename string, ord int, required string, when string, description string, included boolean"),
+        node_types=spark.createDataFrame(NODE_TYPES, "type string, required_aspects array<string>"), schemas=spark.createDataFrame(SCHEMAS, "schema string"),
+    )
