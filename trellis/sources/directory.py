@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..storage import Rounds
 from .tables import GraphTables, Settings
 
 try:
@@ -167,7 +168,9 @@ def _all_or_none(parsed: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False) -> GraphTables:
     """Read a graph directory. ValueError for a bad configuration unless tolerated; then every file is an artifact."""
-    files = listing(spark, root)
+    # Files are listed and read once, and YAML is parsed once, into written tables.
+    rounds = Rounds(spark, "directory")
+    files = rounds.write(listing(spark, root))
     config, config_error = None, None
     try:
         found = files.where((F.col("dir") == "") & (F.col("filename") == CONFIG)).select("content").first()
@@ -179,7 +182,7 @@ def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False)
         config_error = str(e)
 
     model = _below(files, "model")
-    read = _parsed(model.where(F.col("filename") == NODE).withColumn("path", F.col("dir")), "path", NODE_COLS, parse_node)
+    read = rounds.write(_parsed(model.where(F.col("filename") == NODE).withColumn("path", F.col("dir")), "path", NODE_COLS, parse_node))
     # A node is loaded if every directory above it holds a node that could be read; the model directory itself may hold none.
     parts = F.split("path", "/")
     up = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("")), F.slice(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), 1, F.size(parts) - 1)))
@@ -187,7 +190,7 @@ def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False)
     gaps = read.select("path", F.explode(up).alias("above")).join(ok, "above", "left").where(~F.coalesce("ok", F.col("above") == "")).select("path").distinct()
     kept = read.join(gaps, "path", "left_anti")
     top = ok.where("above = '' and ok").select(F.lit("").alias("top"))
-    nodes = kept.where("error is null").drop("error")
+    nodes = rounds.write(kept.where("error is null").drop("error"))
     tree = nodes.select("path", "name", "type", "blackbox", "yaml_raw", F.size(parts).cast("long").alias("depth")).join(F.broadcast(top), F.lit(True), "left")
     tree = tree.withColumn("parent_path", F.when(F.col("path") == "", F.lit(None)).when(F.col("depth") == 1, F.col("top")).otherwise(F.regexp_replace("path", "/[^/]*$", ""))).drop("top")
     text = lambda df, key: df.select(F.col("dir").alias(key), "filename", F.decode("content", "UTF-8").alias("content"))
@@ -201,12 +204,12 @@ def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False)
     without = all_dirs.join(has_file, "dir", "left").where("not coalesce(node, false)").select("dir", F.when(F.col("node").isNotNull(), "E015").otherwise("W013").alias("code"))
 
     aspect_files = _below(files, "aspects")
-    aspects = _all_or_none(_parsed(aspect_files.where(F.col("filename") == ASPECT).withColumn("id", F.col("dir")), "id", ASPECT_COLS, parse_aspect))
+    aspects = rounds.write(_all_or_none(_parsed(aspect_files.where(F.col("filename") == ASPECT).withColumn("id", F.col("dir")), "id", ASPECT_COLS, parse_aspect)))
     flow_files = _below(files, "flows").where("dir <> ''")
     named = flow_files.select(F.split("dir", "/")[0].alias("flow")).distinct()
     definitions = flow_files.where((F.col("filename") == FLOW) & ~F.col("dir").contains("/")).select(F.col("dir").alias("flow"), "content")
     lacking = named.join(definitions, "flow", "left").select("flow", F.coalesce("content", F.lit(b"")).alias("content"))  # an empty file is an error
-    flows = _all_or_none(_parsed(lacking, "flow", FLOW_COLS, parse_flow))
+    flows = rounds.write(_all_or_none(_parsed(lacking, "flow", FLOW_COLS, parse_flow)))
     schemas = _below(files, "schemas").where("dir = '' and filename rlike '[.]ya?ml$'").select(F.regexp_replace(F.regexp_replace("filename", "[.]ya?ml$", ""), "^yg-", "").alias("schema"))
     make = spark.createDataFrame
     kinds = [(name, k, c["required"], c["when"], c["description"], c["included_in_relations"]) for k, (name, c) in enumerate((config or {"artifacts": {}})["artifacts"].items())]
