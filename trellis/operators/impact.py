@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import GraphTables
-from .aspects import effective
-from .closure import ancestors, reach, structural, written
+from ..storage import Rounds
+from .aspects import above, effective
+from .closure import reach, structural, written
 
 
 def direct(g: GraphTables) -> DataFrame:
@@ -36,35 +37,46 @@ def by_methods(g: GraphTables) -> DataFrame:
     return one.unionAll(d.where("any").select("target").crossJoin(methods)).groupBy("target", "method").agg(F.count("*").alias("n_direct"))
 
 
-def chains(g_edges: DataFrame, target: str) -> DataFrame:
-    """(target, chain): shortest path texts from the target to each transitive, not direct, dependent.
+def chains(g_edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, chain): '<- a <- b' from each target to every dependent that is not a direct one, by a shortest path.
 
-    Among shortest paths the smallest by the dependents' order; a level is one round.
+    ``targets`` (target). Among shortest paths it is the first that a breadth-first walk finds, which takes dependents
+    in load order: the smallest path by these. A level is one round; a row carries one path.
     """
-    e = written(g_edges.select("src", "dst").distinct().where("src <> dst"))
-    now = written(e.where(F.col("dst") == target).select(F.col("src").alias("node"), F.array(F.lit(target), "src").alias("p")))
-    seen, out = now.select("node"), None
-    while not now.isEmpty():
-        step = now.join(e, F.col("node") == F.col("dst")).where(F.col("src") != target).select(F.col("src").alias("n2"), "p").join(seen.withColumnRenamed("node", "n2"), "n2", "left_anti")
-        now = written(step.groupBy("n2").agg(F.min("p").alias("p")).select(F.col("n2").alias("node"), F.concat("p", F.array("n2")).alias("p")))
-        seen = seen.unionAll(now.select("node"))
+    rounds = Rounds(g_edges.sparkSession, "chains")
+    key = lambda c: F.translate(c, "/", "\x01")
+    e = rounds.write(g_edges.select("src", "dst").distinct().where("src <> dst"))
+    start = targets.select("target").distinct()
+    now, n = rounds.counted(start.join(e, F.col("target") == F.col("dst")).select("target", F.col("src").alias("node"), F.array(key("src")).alias("p")))
+    seen, out = start.select("target", F.col("target").alias("node")).unionAll(now.select("target", "node")), None
+    while n:
+        step = now.join(e, F.col("node") == F.col("dst")).groupBy("target", F.col("src").alias("node")).agg(F.min("p").alias("p"))
+        now, n = rounds.counted(step.join(seen, ["target", "node"], "left_anti").select("target", "node", F.concat("p", F.array(key("node"))).alias("p")))
+        seen = seen.unionAll(now.select("target", "node"))
         out = now if out is None else out.unionAll(now)
-    return out.select(F.lit(target).alias("target"), F.array_join("p", " <- ").alias("chain"))
+    out = now.limit(0) if out is None else out
+    return out.select("target", F.concat(F.lit("<- "), F.translate(F.array_join("p", " <- "), "\x01", "/")).alias("chain"))
 
 
 def events(g: GraphTables) -> DataFrame:
-    """(target, node, type): who emits to or listens to the target, and who listens where the target emits."""
-    e = g.relations.where(F.col("type").isin("emits", "listens")).select("src", "dst", "type")
-    to = e.select(F.col("dst").alias("target"), F.col("src").alias("node"), "type")
-    emits = e.where("type = 'emits'").select(F.col("src").alias("target"), F.col("dst").alias("at"))
-    listen = e.where("type = 'listens'").select(F.col("dst").alias("at"), F.col("src").alias("node"), "type")
-    return to.unionAll(emits.join(listen, "at").where("target <> node").select("target", "node", "type")).distinct()
+    """(target, node, type, event): who emits to or listens to the target, and who listens where the target emits.
+
+    A bag, one row for each relation or pair of relations. All targets at once have emits x listens rows for each
+    place where events meet, as the definition has; ask for the targets needed by a filter.
+    """
+    names = g.nodes.select(F.col("path").alias("src"), "name")
+    e = g.relations.where(F.col("type").isin("emits", "listens")).select("src", "dst", "type", "event_name")
+    to = e.join(names, "src").select(F.col("dst").alias("target"), F.col("src").alias("node"), "type", F.coalesce("event_name", "name").alias("event"))
+    emits = e.where("type = 'emits'").select(F.col("src").alias("target"), F.col("dst").alias("at"), F.coalesce("event_name", "dst").alias("said"))
+    listen = e.where("type = 'listens'").select(F.col("dst").alias("at"), F.col("src").alias("node"), "type", "event_name")
+    return to.unionAll(emits.join(listen, "at").where("target <> node").select("target", "node", "type", F.coalesce("event_name", "said")))
 
 
 def co_aspect(effective: DataFrame, target: str) -> DataFrame:
-    """(a, b, n_shared): nodes that share an effective aspect with the target."""
+    """(a, b, n_shared, shared): nodes that share an effective aspect with the target, and which, in byte order."""
     mine = effective.where(F.col("node") == target).select("aspect")
-    return effective.where(F.col("node") != target).join(mine, "aspect").groupBy(F.col("node").alias("b")).agg(F.count("*").alias("n_shared")).select(F.lit(target).alias("a"), "b", "n_shared")
+    both = effective.where(F.col("node") != target).join(mine, "aspect").groupBy(F.col("node").alias("b")).agg(F.sort_array(F.collect_set("aspect")).alias("s"))
+    return both.select(F.lit(target).alias("a"), "b", F.size("s").cast("long").alias("n_shared"), F.array_join("s", ", ").alias("shared"))
 
 
 def changed(g: GraphTables, paths: DataFrame) -> DataFrame:
@@ -81,8 +93,8 @@ def scope_total(g: GraphTables, edges: DataFrame) -> DataFrame:
     """(target, n_nodes, n_flows, n_aspects) of every node: dependents, descendants and event nodes together;
     flows that name the node; effective aspects."""
     back = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("root <> node").select(F.col("root").alias("target"), "node")
-    below = ancestors(g.nodes).select(F.col("ancestor").alias("target"), "node")
-    n = back.unionAll(below).unionAll(events(g).select("target", "node")).distinct().groupBy("target").agg(F.count("*").alias("n_nodes"))
+    below = above(g).select(F.col("ancestor").alias("target"), "node")
+    n = back.unionAll(below).unionAll(events(g).select("target", "node").distinct()).distinct().groupBy("target").agg(F.count("*").alias("n_nodes"))
     flows = g.flow_nodes.distinct().groupBy(F.col("node").alias("target")).agg(F.count("*").alias("n_flows"))
     have = effective(g).groupBy(F.col("node").alias("target")).agg(F.count("*").alias("n_aspects"))
     out = g.nodes.select(F.col("path").alias("target")).join(n, "target", "left").join(flows, "target", "left").join(have, "target", "left")

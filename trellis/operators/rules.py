@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import comparable, prefixes, trim, units
 from ..sources.tables import GraphTables
 from . import context
+from .aspects import circular, implies_closure
 from .closure import cyclic_core, structural, written
 
 
+def load_order(path: str):
+    """A key that puts paths in load order: segment by segment, as bytes."""
+    return F.translate(path, "/", "\x01")
+
+
 def missing(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """Rows whose ``column`` is not among ``known``."""
     return rows.join(known.select(F.col(key).alias(column)).distinct(), column, "left_anti")
@@ -24,13 +31,23 @@ def unknown_aspect(g: GraphTables, aspects: DataFrame) -> DataFrame:
 
 
 def broken_relation(g: GraphTables, nodes: DataFrame) -> DataFrame:
-    return missing(g.relations, "dst", nodes, "path").select(F.col("src").alias("node"), F.col("dst").alias("target")).distinct()
+    """(node, target, suggestion): the suggestion is the first node in load order of those that share most leading
+    segments with the target; none if none shares the first."""
+    broken = missing(g.relations, "dst", nodes, "path").select(F.col("src").alias("node"), F.col("dst").alias("target")).distinct()
+    first = nodes.select("path", F.explode(prefixes("path")).alias("prefix")).groupBy("prefix").agg(F.min(F.struct(load_order("path").alias("k"), "path")).alias("f"))
+    near = broken.select("target").distinct().select("target", F.posexplode(prefixes("target")).alias("shared", "prefix")).join(first, "prefix")
+    best = near.groupBy("target").agg(F.max_by("f.path", "shared").alias("suggestion"))
+    return broken.join(best, "target", "left").select("node", "target", "suggestion")
 
 
 def siblings(broken: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(target, n_siblings): nodes under the missing target's parent, as hints."""
-    parent = broken.select("target", F.regexp_replace("target", "/[^/]*$", "").alias("parent_path")).distinct()
-    return parent.join(nodes.select("parent_path"), "parent_path").groupBy("target").agg(F.count("*").alias("n_siblings"))
+    """(target, n_siblings, siblings): names under the missing target's parent, sorted, as hints."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    top = lambda c: F.coalesce(c, F.lit(""))
+    parent = broken.select("target", F.regexp_replace("target", "/?[^/]*$", "").alias("parent")).distinct()
+    below = nodes.select(top(F.col("parent_path")).alias("parent"), name("path").alias("name"), "path").where("path <> ''")
+    found = parent.join(below, "parent").groupBy("target").agg(F.sort_array(F.collect_set("name")).alias("s"))
+    return found.select("target", F.size("s").cast("long").alias("n_siblings"), F.array_join("s", ", ").alias("siblings"))
 
 
 def broken_flow_ref(g: GraphTables, nodes: DataFrame) -> DataFrame:
@@ -45,19 +62,19 @@ def implied_missing(g: GraphTables, aspects: DataFrame) -> DataFrame:
     return missing(g.implies, "implied", aspects, "id").select(F.col("id").alias("aspect"), "implied")
 
 
-def overlapping(mappings: DataFrame, related: DataFrame) -> DataFrame:
-    """(mapping_a, mapping_b, blamed): equal or nested mappings of different nodes; nested ones of related nodes are legal.
+def overlapping(mappings: DataFrame) -> DataFrame:
+    """(mapping_a, mapping_b, blamed): equal mappings of different nodes, and a mapping_a inside a mapping_b of a node
+    neither above nor below its own; blamed is the later node in load order.
 
-    ``related``: (node, ancestor). Prefixes of one side meet the other by equality.
+    Prefixes of one side meet the other by equality.
     """
-    parts = F.split("mapping", "/")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    a = mappings.select(F.col("node").alias("na"), F.col("mapping").alias("ma"), F.explode(up).alias("mb"))
+    mappings = mappings.select("node", comparable("mapping").alias("mapping")).where("mapping <> ''")
+    a = mappings.select(F.col("node").alias("na"), F.col("mapping").alias("ma"), F.explode(prefixes("mapping")).alias("mb"))
     b = mappings.select(F.col("node").alias("nb"), F.col("mapping").alias("mb"))
-    both = a.join(b, "mb").where("na <> nb and (ma <> mb or na < nb)")
-    kin = related.select(F.col("node").alias("na"), F.col("ancestor").alias("nb"), F.lit(True).alias("kin"))
-    legal = both.join(kin, ["na", "nb"], "left")
-    return legal.where("ma = mb or kin is null").select(F.col("ma").alias("mapping_a"), F.col("mb").alias("mapping_b"), F.greatest("na", "nb").alias("blamed"))
+    before = load_order("na") < load_order("nb")
+    both = a.join(b, "mb").where((F.col("na") != F.col("nb")) & ((F.col("ma") != F.col("mb")) | before))
+    kin = F.col("na").startswith(F.concat("nb", F.lit("/"))) | F.col("nb").startswith(F.concat("na", F.lit("/")))
+    return both.where((F.col("ma") == F.col("mb")) | ~kin).select(F.col("ma").alias("mapping_a"), F.col("mb").alias("mapping_b"), F.when(before, F.col("nb")).otherwise(F.col("na")).alias("blamed"))
 
 
 def structural_cycle(edges: DataFrame, blackbox: DataFrame) -> DataFrame:
@@ -66,17 +83,35 @@ def structural_cycle(edges: DataFrame, blackbox: DataFrame) -> DataFrame:
     return cyclic_core(plain)
 
 
-def missing_artifact(g: GraphTables) -> DataFrame:
-    """(node, artifact, reason_kind): responsibility.md always, interface.md with incoming relations; not for blackboxes in the first case."""
-    have = g.artifacts.select("node", "filename").distinct()
-    always = g.nodes.where("not blackbox").select(F.col("path").alias("node"), F.lit("responsibility.md").alias("filename"), F.lit("always").alias("reason_kind"))
-    incoming = g.relations.select(F.col("dst").alias("node")).distinct().select("node", F.lit("interface.md").alias("filename"), F.lit("incoming").alias("reason_kind"))
-    return always.unionAll(incoming).join(have, ["node", "filename"], "left_anti").select("node", F.col("filename").alias("artifact"), "reason_kind")
-
+def missing_artifact(g: GraphTables, types: DataFrame | None = None) -> DataFrame:
+    """(node, artifact, reason_kind, n): artifact types whose condition holds for a node that lacks them.
 
-def shallow(g: GraphTables, least: int = 50) -> DataFrame:
-    blank = r"^[\s ﻿]+|[\s ﻿]+$"
-    n = context.units(F.regexp_replace("content", blank, ""))
+    always: not for blackboxes; incoming and outgoing: n relations of any class; aspect: the node's own entry.
+    ``types`` (filename, required, when) is the configuration's, a small table.
+    """
+    types = g.artifact_types if types is None else types
+    when = F.col("when")
+    kind = F.when(F.col("required") == "always", "always").when(when == "has_incoming_relations", "incoming").when(when == "has_outgoing_relations", "outgoing").when(when.rlike("^(has_aspect|has_tag):"), "aspect")
+    wanted = types.where("required <> 'never'").select(F.col("filename").alias("artifact"), kind.alias("reason_kind"), F.regexp_replace("when", "^(has_aspect|has_tag):", "").alias("aspect")).where("reason_kind is not null")
+    count = lambda c, n: g.relations.groupBy(F.col(c).alias("path")).agg(F.count("*").alias(n))
+    own = g.node_aspects.groupBy("path").agg(F.collect_set("aspect").alias("own"))
+    rows = g.nodes.select("path", "blackbox").join(count("dst", "n_in"), "path", "left").join(count("src", "n_out"), "path", "left").join(own, "path", "left").join(F.broadcast(wanted))
+    is_ = lambda k: F.col("reason_kind") == k
+    n = F.when(is_("incoming"), F.col("n_in")).when(is_("outgoing"), F.col("n_out")).when(is_("aspect"), F.array_contains("own", F.col("aspect")).cast("long")).when(is_("always"), (~F.col("blackbox")).cast("long"))
+    rows = rows.select(F.col("path").alias("node"), "artifact", "reason_kind", F.coalesce(n, F.lit(0)).cast("long").alias("n")).where("n > 0")
+    return rows.join(g.artifacts.select("node", F.col("filename").alias("artifact")).distinct(), ["node", "artifact"], "left_anti")
+
+
+def first_sources(g: GraphTables, most: int = 5) -> DataFrame:
+    """(node, n_sources, sources): how many nodes relate to a node, and the first ``most`` of them in byte order."""
+    one = g.relations.select(F.col("dst").alias("node"), "src").distinct().groupBy("node").agg(F.sort_array(F.collect_list("src")).alias("all"))
+    return one.select("node", F.size("all").cast("long").alias("n_sources"), F.array_join(F.slice("all", 1, most), ", ").alias("sources"))
+
+
+def shallow(g: GraphTables, least: int | None = None) -> DataFrame:
+    """(node, artifact, n): artifacts with fewer units than the least, without the blanks around them."""
+    least = g.settings.min_artifact_length if least is None else least
+    n = units(trim(F.coalesce("content", F.lit(""))))
     return g.artifacts.select("node", F.col("filename").alias("artifact"), n.alias("n")).where(F.col("n") < least)
 
 
@@ -85,7 +120,8 @@ def over_budget(g: GraphTables) -> DataFrame:
     return b.where("status <> 'ok'").select("node", F.when(F.col("status") == "error", "W006").otherwise("W005").alias("code"))
 
 
-def fan_out(g: GraphTables, most: int = 10) -> DataFrame:
+def fan_out(g: GraphTables, most: int | None = None) -> DataFrame:
+    most = g.settings.max_direct_relations if most is None else most
     return g.relations.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") > most)
 
 
@@ -98,11 +134,27 @@ def unpaired_event(g: GraphTables) -> DataFrame:
     return row(emits.join(turned(listens), ["src", "dst"], "left_anti"), "emits").unionAll(row(listens.join(turned(emits), ["src", "dst"], "left_anti"), "listens"))
 
 
-def required_aspect(g: GraphTables, kind: str, aspect: str, implied: DataFrame) -> DataFrame:
-    """(node, aspect): nodes of a type that lack an aspect it requires, implied ones counted."""
+def required_aspect(g: GraphTables, types: DataFrame | None = None) -> DataFrame:
+    """(node, aspect): aspects that a node's type requires and neither its own aspects nor what they imply cover.
+
+    Not for blackboxes, nor for nodes whose aspects lead into a cycle; an aspect must be defined to cover.
+    """
+    closure = implies_closure(g)
     own = g.node_aspects.select(F.col("path").alias("node"), "aspect")
-    has = own.unionAll(own.join(implied, "aspect").select("node", F.col("implied").alias("aspect"))).where(F.col("aspect") == aspect).select("node")
-    return g.nodes.where((F.col("type") == kind) & ~F.col("blackbox")).select(F.col("path").alias("node"), F.lit(aspect).alias("aspect")).join(has.distinct(), "node", "left_anti").select("node", "aspect")
+    covered = own.unionAll(own.join(closure, "aspect").select("node", F.col("implied").alias("aspect")))
+    covered = covered.join(g.aspects.select(F.col("id").alias("aspect")), "aspect", "left_semi").distinct()
+    loops = own.join(circular(closure), "aspect", "left_semi").select("node").distinct()
+    need = (g.node_types if types is None else types).select("type", F.explode("required_aspects").alias("aspect"))
+    rows = g.nodes.where("not blackbox").select(F.col("path").alias("node"), "type").join(F.broadcast(need), "type").select("node", "aspect")
+    return rows.join(loops, "node", "left_anti").join(covered, ["node", "aspect"], "left_anti").select("node", "aspect")
+
+
+def anchor_not_found(g: GraphTables, texts: DataFrame) -> DataFrame:
+    """(node, aspect, anchor): anchors of a node's aspect that none of the node's texts holds. ``texts``: node, content;
+    a node without texts has no rows."""
+    wanted = g.node_aspects.select(F.col("path").alias("node"), "aspect", F.explode("anchors").alias("anchor"))
+    seen = wanted.join(texts.select("node", "content"), "node").groupBy("node", "aspect", "anchor").agg(F.max(F.coalesce(F.col("content").contains(F.col("anchor")), F.lit(False))).alias("found"))
+    return seen.where("not found").select("node", "aspect", "anchor")
 
 
 def anchors_missing(g: GraphTables, at_once: int = 10_000) -> DataFrame:
@@ -149,8 +201,7 @@ def missing_schema(schemas: DataFrame, required: tuple[str, ...] = ("node", "asp
 
 def mapping_missing(mappings: DataFrame, files: DataFrame) -> DataFrame:
     """(node, mapping): mappings that are neither a file nor a directory above one."""
-    parts = F.split("file", "/")
-    there = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("mapping")).distinct()
+    there = files.select(F.explode(prefixes("file")).alias("mapping")).distinct()
     return mappings.join(there, "mapping", "left_anti").select("node", "mapping")
 
 
@@ -160,6 +211,14 @@ def issue(rows: DataFrame, code: str, severity: str, node: str | None) -> DataFr
     return rows.select((F.col("code") if "code" in rows.columns else F.lit(code)).alias("code"), F.lit(severity).alias("severity"), at.alias("node"))
 
 
+def relevant(g: GraphTables, issues: DataFrame, node: str) -> DataFrame:
+    """Errors that bear on one node's package: of no node, or of itself, an ancestor or a direct relation's target."""
+    near = g.nodes.where(F.col("path") == node).select(F.explode(F.concat(prefixes("path"), F.array(F.lit("")))).alias("node"))
+    near = near.unionAll(g.relations.where(F.col("src") == node).select("dst")).distinct()
+    errors = issues.where("severity = 'error'")
+    return errors.where("node is null").unionAll(errors.join(near, "node", "left_semi").select(*issues.columns))
+
+
 def scoped(issues: DataFrame, scope: str, nodes: DataFrame) -> DataFrame:
     """Issues of a node and the nodes below it; issues of no node always pass. Raises on an unknown scope."""
     if nodes.where(F.col("path") == scope).isEmpty():

@@ -64,7 +64,7 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> GraphTables:
     flow_nodes = prio.where("o_custkey % 10 = 0").join(c_path, c("o_custkey") == c("c_custkey")).select(cat("prio-", c("p")).alias("flow"), c("path").alias("node")).unionAll(npath.where("n_nationkey = 0").select(F.lit("tour").alias("flow"), c("npath").alias("node")))
     flow_aspects = prio.select(cat("prio-", c("p")).alias("flow"), cat("prio/", c("p")).alias("aspect")).distinct().unionAll(spark.range(1).select(F.lit("tour").alias("flow"), F.lit("size/8").alias("aspect")))
     k = F.when(c("id").like("size/%"), F.substring("id", 6, 10).cast("int"))
-    aspects = aspects.select("id", F.concat(F.lit("Aspect "), "id").alias("name"), none.alias("description"), F.element_at(F.array(F.lit("schema"), F.lit("protocol"), F.lit("implementation")), k % 3 + 1).alias("stability"))
+    aspects = aspects.select("id", F.concat(F.lit("Aspect "), "id").alias("name"), none.alias("description"), F.when(k % 3 == 0, "schema").when(k % 3 == 1, "protocol").when(k % 3 == 2, "implementation").alias("stability"))
     rule = aspects.select(c("id").alias("aspect"), F.lit("content.md").alias("filename"), F.concat(F.lit("Rule of "), "id", F.lit(".\n")).alias("content"))
     aspect_artifacts = rule.unionAll(rule.where("aspect like 'size/%0'").select("aspect", F.lit("notes.md").alias("filename"), F.concat(F.lit("Notes on "), "aspect").alias("content")))
     flows = flow_aspects.select("flow").distinct().select("flow", F.concat(F.lit("Flow "), "flow").alias("name"))
@@ -90,7 +90,7 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> GraphTables:
     return GraphTables(
         nodes=nodes, relations=deep.unionAll(wide).unionAll(ev), node_aspects=node_aspects.join(found, "path", "left").select("path", "aspect", zero, legacy, "anchors"),
         aspects=aspects, implies=sizes.where("id >= 2").select(size(c("id")).alias("id"), zero, size(F.floor(c("id") / 2)).alias("implied")),
-        flows=flows, flow_nodes=flow_nodes.withColumn("ord", F.lit(0).cast("long")), flow_aspects=flow_aspects.withColumn("ord", F.lit(0).cast("long")), artifacts=artifacts, mappings=mappings, files=files, anchors=anchors, baseline=baseline, current=current,
+        flows=flows, flow_nodes=flow_nodes.withColumn("ord", F.lit(0).cast("long")), flow_aspects=flow_aspects.withColumn("ord", F.lit(0).cast("long")), artifacts=artifacts, mappings=mappings.withColumn("ord", F.lit(0).cast("long")), files=files, anchors=anchors, baseline=baseline, current=current,
         aspect_artifacts=aspect_artifacts, flow_artifacts=flow_artifacts, settings=Settings("Star"),
         artifact_types=spark.createDataFrame(ARTIFACT_TYPES, "filename string, ord int, required string, when string, description string, included boolean"),
         node_types=spark.createDataFrame(NODE_TYPES, "type string, required_aspects array<string>"), schemas=spark.createDataFrame(SCHEMAS, "schema string"),
