@@ -51,7 +51,7 @@ CTES = {
     "layers": "SELECT path AS node, 'global' AS layer_type, 18::BIGINT AS units FROM nodes UNION ALL SELECT path, 'own', 17 + length('name: '||name||chr(10)||'type: '||type) + coalesce(own_u, 0) FROM nodes LEFT JOIN own_units ON node = path UNION ALL SELECT anc.node, 'hierarchy', coalesce(all_u, 0) FROM anc LEFT JOIN own_units o ON o.node = ancestor UNION ALL SELECT src, 'relational', CASE WHEN rel_u IS NULL THEN length(rtrim(pre, chr(10))) ELSE length(pre) + rel_u END FROM rels LEFT JOIN own_units ON node = dst WHERE type IN ('uses', 'calls', 'extends', 'implements') UNION ALL SELECT src, 'relational', length(said) FROM rels WHERE type IN ('emits', 'listens') UNION ALL SELECT node, 'flows', length(t) FROM member JOIN flow_t ON flow_t.flow = member.flow UNION ALL SELECT eff.node, 'aspects', length(t) + coalesce(length(note), 0) FROM eff JOIN asp_t ON id = eff.aspect LEFT JOIN note ON note.node = eff.node AND note.aspect = eff.aspect",
     "budget": "SELECT node, tokens, CASE WHEN tokens >= 20000 THEN 'error' WHEN tokens >= 10000 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT node, ceil((sum(units) + 2 * (count(*) - 1)) / 4.0)::BIGINT AS tokens FROM layers GROUP BY 1)",
     "dfiles": "SELECT coalesce(b.node, c.node) AS node, coalesce(b.path, c.path) AS path, CASE WHEN b.hash IS NULL THEN 'added' WHEN c.hash IS NULL THEN 'deleted' ELSE 'changed' END AS change, coalesce(c.category, b.category) AS category FROM baseline b FULL OUTER JOIN curr c ON b.node = c.node AND b.path = c.path WHERE b.hash IS DISTINCT FROM c.hash",
-    "dstatus": "SELECT n.node, CASE WHEN b.node IS NULL THEN 'source-drift' WHEN c.node IS NULL THEN 'missing' WHEN d.node IS NULL THEN 'ok' WHEN d.g AND d.s THEN 'full-drift' WHEN d.g THEN 'graph-drift' ELSE 'source-drift' END AS status FROM (SELECT node FROM baseline UNION SELECT node FROM curr) n LEFT JOIN (SELECT DISTINCT node FROM baseline) b ON b.node = n.node LEFT JOIN (SELECT DISTINCT node FROM curr) c ON c.node = n.node LEFT JOIN (SELECT node, bool_or(category = 'graph') AS g, bool_or(category = 'source') AS s FROM dfiles GROUP BY 1) d ON d.node = n.node",
+    "dstatus": "SELECT n.node, CASE WHEN b.node IS NULL THEN CASE WHEN c.node IS NULL THEN 'unmaterialized' ELSE 'source-drift' END WHEN c.node IS NULL THEN 'missing' WHEN d.node IS NULL THEN 'ok' WHEN d.g AND d.s THEN 'full-drift' WHEN d.g THEN 'graph-drift' ELSE 'source-drift' END AS status FROM (SELECT path AS node FROM parts) n LEFT JOIN (SELECT DISTINCT node FROM baseline) b ON b.node = n.node LEFT JOIN (SELECT DISTINCT node FROM curr) c ON c.node = n.node LEFT JOIN (SELECT node, bool_or(category = 'graph') AS g, bool_or(category = 'source') AS s FROM dfiles GROUP BY 1) d ON d.node = n.node",
     "node_ok": "SELECT path FROM nodes EXCEPT SELECT path FROM parts WHERE p_partkey % 97 = 13",
     "aspect_ok": "SELECT id FROM aspects WHERE id <> 'prio/5' AND NOT (id LIKE 'size/%' AND coalesce(try_cast(substr(id, 6) AS INT) % 7, 1) = 0)",
     "direct": "SELECT dst AS target, src AS dependent, arg_max(type, ord) AS type, coalesce(arg_max(coalesce(consumes, ''), ord), '') AS consumes FROM relations WHERE type IN ('uses', 'calls', 'extends', 'implements') GROUP BY 1, 2",
@@ -93,6 +93,11 @@ def _star(f):
     return run
 
 
+def _mapped(g):
+    """Every part is mapped: those without a document in either snapshot were never made."""
+    return g.nodes.where("type = 'library'").select(C("path").alias("node"))
+
+
 def _stages(g):
     """Stages of the nodes that may be built, services with libraries; blackboxes are no candidates."""
     candidates = g.nodes.where("type in ('library', 'service') and not blackbox").select(C("path").alias("node"))
@@ -143,13 +148,15 @@ _ALL = {
     "v_overlap": (lambda g: rules.overlapping(g.mappings.select("node", "mapping").unionAll(g.mappings.where("mapping like '%/en'").select(F.lit("zz").alias("node"), "mapping"))), "SELECT a.mapping AS mapping_a, b.mapping AS mapping_b, CASE WHEN replace(a.node, '/', chr(1)) < replace(b.node, '/', chr(1)) THEN b.node ELSE a.node END AS blamed FROM claims a JOIN claims b ON a.node <> b.node AND ((a.mapping = b.mapping AND replace(a.node, '/', chr(1)) < replace(b.node, '/', chr(1))) OR (starts_with(a.mapping, b.mapping||'/') AND NOT starts_with(a.node, b.node||'/') AND NOT starts_with(b.node, a.node||'/')))"),
     "v_anchor_missing": (lambda g: rules.anchors_missing(g), "SELECT DISTINCT substr(b.text, 1, 60) AS anchor FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM owner o WHERE contains(o.text, substr(b.text, 1, 60)))"),
     "v_anchor_not_found": (lambda g: rules.anchor_not_found(g, g.artifacts), "SELECT node, aspect, anchor FROM (SELECT o.node, 'size/'||p_size AS aspect, substr(text, 5, 20)||CASE WHEN doc_id % 3 = 1 THEN '~' ELSE '' END AS anchor FROM owner o JOIN parts ON path = o.node WHERE text IS NOT NULL) w WHERE NOT EXISTS (SELECT 1 FROM owner o WHERE o.node = w.node AND contains(o.text, anchor)) GROUP BY 1, 2, 3"),
-    "owner_of_file": (lambda g: drift.owners(g), "SELECT file, node, mapping, mapping = file AS direct FROM (SELECT file, m.node, m.mapping, row_number() OVER (PARTITION BY file ORDER BY length(m.mapping) DESC, m.mapping DESC) AS k FROM files JOIN mappings m ON file = m.mapping OR starts_with(file, m.mapping||'/')) WHERE k = 1"),
+    "owner_of_file": (lambda g: drift.owners(g), "SELECT file, node, mapping, mapping = file AS direct FROM (SELECT file, m.node, m.mapping, row_number() OVER (PARTITION BY file ORDER BY length(m.mapping) DESC, replace(m.node, '/', chr(1))) AS k FROM files JOIN mappings m ON file = m.mapping OR starts_with(file, m.mapping||'/')) WHERE k = 1"),
     "drift_files": (lambda g: drift.files(g), "SELECT node, path, change, category FROM dfiles"),
-    "drift_status": (lambda g: drift.status(g), "SELECT node, status FROM dstatus"),
-    "drift_counts": (lambda g: drift.status(g).groupBy("status").agg(F.count("*").alias("n")), "SELECT status, count(*) AS n FROM dstatus GROUP BY 1"),
-    "drift_sections_topn": (lambda g: drift.sections(g, 10), "SELECT section, node, rn FROM (SELECT section, node, row_number() OVER (PARTITION BY section ORDER BY node) AS rn FROM (SELECT 'source' AS section, node FROM dstatus WHERE status IN ('source-drift', 'full-drift', 'missing') UNION ALL SELECT 'graph', node FROM dstatus WHERE status IN ('graph-drift', 'full-drift'))) WHERE rn <= 10"),
+    "drift_status": (lambda g: drift.status(g, _mapped(g)), "SELECT node, status FROM dstatus"),
+    "drift_counts": (lambda g: drift.status(g, _mapped(g)).groupBy("status").agg(F.count("*").alias("n")), "SELECT status, count(*) AS n FROM dstatus GROUP BY 1"),
+    "drift_sections_topn": (lambda g: drift.sections(drift.status(g, _mapped(g)), 10), "SELECT section, node, rn, total FROM (SELECT section, node, row_number() OVER (PARTITION BY section ORDER BY node) AS rn, count(*) OVER (PARTITION BY section) AS total FROM (SELECT 'source' AS section, node FROM dstatus WHERE status IN ('source-drift', 'full-drift', 'missing', 'unmaterialized') UNION ALL SELECT 'graph', node FROM dstatus WHERE status IN ('graph-drift', 'full-drift'))) WHERE rn <= 10"),
     "canonical_digest": (lambda g: drift.digest(g.current), "SELECT node, sha256(string_agg(path||':'||hash, chr(10) ORDER BY path)) AS digest FROM curr GROUP BY 1"),
-    "state_gc": (lambda g: drift.garbage(g), "SELECT DISTINCT node FROM baseline WHERE node NOT IN (SELECT node FROM curr)"),
+    "state_gc": (lambda g, spark, d: drift.garbage(g, _nodes_ok(spark, d, g)), "SELECT DISTINCT node FROM baseline WHERE node NOT IN (SELECT path FROM node_ok)"),
+    "tracked_files": (lambda g: drift.tracked(g), "SELECT node, path, min(category) AS category FROM trk GROUP BY 1, 2"),
+    "child_exclusions": (lambda g: drift.exclusions(g), "SELECT DISTINCT a.node, b.mapping AS prefix FROM mappings a JOIN mappings b ON starts_with(b.node, a.node||'/') AND (b.mapping = a.mapping OR starts_with(b.mapping, a.mapping||'/'))"),
     "status_nodes": (lambda g: g.nodes.groupBy("type").agg(F.count("*").alias("n"), F.sum(C("blackbox").cast("long")).alias("n_blackbox")), "SELECT type, count(*) AS n, sum(blackbox::INT)::BIGINT AS n_blackbox FROM nodes GROUP BY 1"),
     "status_relations": (lambda g: g.relations.groupBy(F.when(C("type").isin(closure.STRUCTURAL), "structural").otherwise("event").alias("class")).agg(F.count("*").alias("n")), "SELECT CASE WHEN type IN ('uses', 'calls', 'extends', 'implements') THEN 'structural' ELSE 'event' END AS class, count(*) AS n FROM relations GROUP BY 1"),
     "status_quality": (lambda g, spark, d: g.artifacts.agg(F.count("*").alias("filled")).crossJoin(g.nodes.agg((F.count("*") * 3).alias("slots"))).select("filled", "slots", F.floor(C("filled") * 100 / C("slots") + 0.5).cast("long").alias("percent")), "SELECT filled, slots, floor(filled * 100.0 / slots + 0.5)::BIGINT AS percent FROM (SELECT count(*) AS filled FROM owner), (SELECT count(*) * 3 AS slots FROM nodes)"),
@@ -188,6 +195,14 @@ _ALL["context_text_digest"] = (
     lambda g: context.packages(g).select("node", "tokens", "status", F.sha2("text", 256).alias("digest")),
     "SELECT b.node, tokens, status, sha256('<context-package node-path=\"'||b.node||'\" node-name=\"'||name||'\" token-count=\"'||tokens||'\">'||chr(10)||chr(10)||body||chr(10)||chr(10)||'</context-package>') AS digest FROM bodies b JOIN budget ON budget.node = b.node JOIN nodes ON path = b.node",
 )
+CTES["own_files"] = "SELECT path AS node, 'graph/model/'||path||'/yg-node.yaml' AS f FROM nodes UNION ALL SELECT node, 'graph/model/'||node||'/'||filename FROM owner"
+CTES["trk"] = (
+    "SELECT node, f AS path, 'graph' AS category FROM own_files UNION ALL SELECT anc.node, f, 'graph' FROM anc JOIN own_files o ON o.node = anc.ancestor"
+    " UNION ALL SELECT node, 'graph/aspects/'||aspect||'/'||x, 'graph' FROM eff, (VALUES ('yg-aspect.yaml'), ('content.md'), ('notes.md')) v(x) WHERE x <> 'notes.md' OR aspect LIKE 'size/%0'"
+    " UNION ALL SELECT src, 'graph/model/'||o.node||'/'||o.filename, 'graph' FROM links JOIN owner o ON o.node = dst WHERE o.filename <> 'internals.md' OR NOT EXISTS (SELECT 1 FROM owner p WHERE p.node = o.node AND p.filename <> 'internals.md')"
+    " UNION ALL SELECT node, 'graph/flows/'||flow||'/'||x, 'graph' FROM member, (VALUES ('yg-flow.yaml'), ('description.md')) v(x) WHERE x <> 'description.md' OR flow <> 'tour'"
+    " UNION ALL SELECT node, mapping, 'source' FROM mappings"
+)
 CTES["claims"] = "SELECT node, mapping FROM mappings UNION ALL SELECT 'zz', mapping FROM mappings WHERE mapping LIKE '%/en'"
 CTES["cyc"] = f"SELECT src AS root, dst AS node FROM ({_BOXED}) UNION SELECT cyc.root, e.dst FROM cyc JOIN ({_BOXED}) e ON e.src = cyc.node"
 CTES["imp2"] = "SELECT id AS src, implied AS dst FROM implies UNION ALL SELECT 'size/3', 'size/50'"
