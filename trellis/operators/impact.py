@@ -99,3 +99,11 @@ def scope_total(g: GraphTables, edges: DataFrame) -> DataFrame:
     have = effective(g).groupBy(F.col("node").alias("target")).agg(F.count("*").alias("n_aspects"))
     out = g.nodes.select(F.col("path").alias("target")).join(n, "target", "left").join(flows, "target", "left").join(have, "target", "left")
     return out.select("target", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_nodes", "n_flows", "n_aspects")))
+
+
+def flow_scope(g: GraphTables) -> DataFrame:
+    """(flow, node, declared): a flow's nodes that exist and all nodes below them; declared ones are named by the flow."""
+    named = g.flow_nodes.select("flow", "node").distinct().join(g.nodes.select(F.col("path").alias("node")), "node", "left_semi").select("flow", "node")
+    below = above(g).join(named.withColumnRenamed("node", "ancestor"), "ancestor").select("flow", "node")
+    both = named.withColumn("declared", F.lit(True)).unionAll(below.withColumn("declared", F.lit(False)))
+    return both.groupBy("flow", "node").agg(F.max("declared").alias("declared"))

@@ -128,7 +128,8 @@ _ALL = {
     "aspect_provenance": (lambda g: aspects.provenance(g), "SELECT node, aspect, arg_min(source, (prio, rank, source)) AS source FROM (SELECT * FROM src UNION ALL SELECT node, implied, 3, '', 'implied' FROM src JOIN impl ON src.aspect = impl.aspect) GROUP BY 1, 2"),
     "aspect_impact_counts": (lambda g: aspects.effective(g).groupBy("aspect").agg(F.count("*").alias("n_nodes")).join(g.flow_aspects.groupBy("aspect").agg(F.count("*").alias("n")), "aspect", "left").select("aspect", "n_nodes", F.coalesce("n", F.lit(0)).cast("long").alias("n_flows")), "SELECT aspect, count(*) AS n_nodes, (SELECT count(*) FROM flow_aspects f WHERE f.aspect = eff.aspect) AS n_flows FROM eff GROUP BY 1"),
     "implies_closure": (lambda g: aspects.implies_closure(g).select("aspect", "implied", C("depth").alias("pos")), "SELECT aspect, implied, depth::BIGINT AS pos FROM impl"),
-    "flow_participants": (lambda g: aspects.flow_membership(g).join(g.flow_nodes.withColumn("d", F.lit(True)).distinct(), ["node", "flow"], "left").select("flow", "node", C("d").isNotNull().alias("declared")), "SELECT flow, node, (flow, node) IN (SELECT (flow, node) FROM flow_nodes) AS declared FROM member"),
+    "flow_participants": (lambda g: impact.flow_scope(g), "SELECT flow, node, (flow, node) IN (SELECT (flow, node) FROM flow_nodes) AS declared FROM member"),
+    "status_coverage": (lambda g: aspects.effective(g).agg(F.countDistinct("node").alias("covered")).crossJoin(g.nodes.agg(F.count("*").alias("nodes"))).crossJoin(g.relations.agg(F.count("*").alias("r"))).crossJoin(g.mappings.agg(F.countDistinct("node").alias("mapped"), F.count("*").alias("mapped_paths"))).select("nodes", "covered", "mapped", "mapped_paths", F.floor(C("r") * 10 / C("nodes") + 0.5).cast("long").alias("avg_relations_x10")), "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT node) FROM eff) AS covered, (SELECT count(DISTINCT node) FROM mappings) AS mapped, (SELECT count(*) FROM mappings) AS mapped_paths, floor((SELECT count(*) FROM relations) * 10.0 / (SELECT count(*) FROM nodes) + 0.5)::BIGINT AS avg_relations_x10"),
     "co_aspect_pairs": (lambda g, spark, d: impact.co_aspect(aspects.effective(g), "lib/Brand-11"), "SELECT 'lib/Brand-11' AS a, node AS b, count(*) AS n_shared, string_agg(aspect, ', ' ORDER BY aspect) AS shared FROM eff WHERE node <> 'lib/Brand-11' AND aspect IN (SELECT aspect FROM eff WHERE node = 'lib/Brand-11') GROUP BY 2"),
     "v_unknown_type": (lambda g: rules.unknown_type(g, ["module", "service"]), "SELECT path AS node, type FROM nodes WHERE type NOT IN ('module', 'service')"),
     "v_unknown_aspect": (lambda g: rules.unknown_aspect(g, _aspects_ok(g)), "SELECT path AS node, aspect FROM node_aspects WHERE aspect NOT IN (SELECT id FROM aspect_ok)"),
