@@ -39,7 +39,9 @@ def test_reach_on_a_cycle(spark):
 def test_reverse_diamond(spark):
     out = {r.target: (r.n_direct, r.n_total) for r in impact.dependents(edges(spark, "ba ca cb")).collect()}
     assert out["a"] == (2, 2) and out["b"] == (1, 1)
-    assert [r.chain for r in impact.chains(edges(spark, "ab bc"), "c").collect()] == ["c <- b <- a"]
+    one = spark.createDataFrame([("c",)], "target string")
+    assert [r.chain for r in impact.chains(edges(spark, "ab bc"), one).collect()] == ["<- b <- a"]
+    assert sorted(r.chain for r in impact.chains(edges(spark, "bc ac xb xa yx ca"), one).collect()) == ["<- a <- x", "<- a <- x <- y"]
 
 
 def test_scope(spark):
