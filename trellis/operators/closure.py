@@ -40,16 +40,13 @@ def of_class(relations: DataFrame, which: str) -> DataFrame:
     return relations if which == "all" else relations.where(F.col("type").isin(STRUCTURAL if which == "structural" else EVENT))
 
 
-def reach(edges: DataFrame, max_depth: int | None = None, roots: DataFrame | None = None) -> DataFrame:
-    """(root, node, depth): all nodes reachable over edges (src, dst), with the fewest steps; safe on cycles.
-
-    ``roots`` (root) limits where paths begin. Paths of up to 2^STRIDE_ROUNDS steps are found by doubling, then every
-    round extends the outermost pairs by all of these at once: a shortest path beyond some depth has a pair of exactly
-    that depth on it. Each round sheds known pairs by an anti-join and is one written, counted table.
-    """
+def numbered_reach(edges: DataFrame, max_depth: int | None = None, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``reach`` as (root, node, depth) with numbers for nodes, and the written table (id, name) of the numbers."""
     rounds = Rounds(edges.sparkSession, "reach")
-    edges = edges.select("src", "dst").distinct()
-    one = edges.withColumn("d", F.lit(1).cast("long"))
+    edges = rounds.write(edges.select("src", "dst").distinct())
+    names = rounds.write(edges.select(F.col("src").alias("name")).unionAll(edges.select("dst")).distinct().select(F.monotonically_increasing_id().alias("id"), "name"))
+    number = lambda c: names.select(F.col("id").alias(f"{c}_id"), F.col("name").alias(c))
+    one = edges.join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), F.lit(1).cast("long").alias("d"))
     stride = 1
     if max_depth is None or max_depth > 1:
         for _ in range(STRIDE_ROUNDS):
@@ -61,11 +58,11 @@ def reach(edges: DataFrame, max_depth: int | None = None, roots: DataFrame | Non
     steps = rounds.write(one)
     new = steps.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.col("d").alias("depth"))
     if roots is not None:
-        new = new.join(roots.select("root").distinct(), "root", "left_semi")
+        new = new.join(roots.select(F.col("root").alias("name")).distinct().join(names, "name").select(F.col("id").alias("root")), "root", "left_semi")
     if max_depth is not None:
         new = new.where(F.col("depth") <= max_depth)
     if max_depth is not None and max_depth <= stride:
-        return new
+        return new, names
     known, depth = new, stride
     while True:
         outer = new.where(F.col("depth") == depth)
@@ -75,7 +72,20 @@ def reach(edges: DataFrame, max_depth: int | None = None, roots: DataFrame | Non
         new, n = rounds.counted(step.join(known, ["root", "node"], "left_anti"))
         known, depth = known.unionAll(new), depth + stride
         if not n or max_depth is not None and depth >= max_depth:
-            return known
+            return known, names
+
+
+def reach(edges: DataFrame, max_depth: int | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """(root, node, depth): all nodes reachable over edges (src, dst), with the fewest steps; safe on cycles.
+
+    ``roots`` (root) limits where paths begin. Nodes are numbered, so rounds move pairs of numbers. Paths of up to
+    2^STRIDE_ROUNDS steps are found by doubling, then every round extends the outermost pairs by all of these at once: a
+    shortest path beyond some depth has a pair of exactly that depth on it. Each round sheds known pairs by an anti-join
+    and is one written, counted table.
+    """
+    pairs, names = numbered_reach(edges, max_depth, roots)
+    named = lambda c: names.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    return pairs.join(named("root"), "root").join(named("node"), "node").select(F.col("root_name").alias("root"), F.col("node_name").alias("node"), "depth")
 
 
 def dependencies(nodes: DataFrame, relations: DataFrame, which: str = "structural", max_depth: int | None = None, roots: DataFrame | None = None) -> DataFrame:

@@ -80,12 +80,13 @@ class Assembly:
 
     def __init__(self, g: GraphTables, only: DataFrame | None = None):
         self.g, self.closure = g, implies_closure(g)
+        self.edges = written(g.relations)  # read several times, and dear where it is an aggregate
         self.member = written(flow_membership(g))
         self.above = above(g)
         self.base = written(sources(g, self.member).select("node", "aspect").distinct())
         nodes = g.nodes if only is None else g.nodes.join(only.select(F.col("node").alias("path")).distinct(), "path", "left_semi")
         # A relation to a missing node, or an aspect that leads into a cycle, leaves a node without a package.
-        lost = g.relations.join(g.nodes.select(F.col("path").alias("dst")), "dst", "left_anti").select(F.col("src").alias("path"))
+        lost = self.edges.join(g.nodes.select(F.col("path").alias("dst")), "dst", "left_anti").select(F.col("src").alias("path"))
         round_ = self.base.join(circular(self.closure), "aspect", "left_semi").select(F.col("node").alias("path"))
         self.nodes = written(nodes.select("path", "parent_path", "depth", "name", "yaml_raw", "blackbox").join(lost.unionAll(round_).distinct(), "path", "left_anti"))
         self.ids = self.nodes.select(F.col("path").alias("node"))
@@ -96,7 +97,7 @@ class Assembly:
     def relations(self) -> DataFrame:
         """Relations of assembled nodes, without those to an ancestor, with the target's name."""
         names = self.g.nodes.select(F.col("path").alias("dst"), F.col("name").alias("dst_name"))
-        out = self.g.relations.join(self.ids.withColumnRenamed("node", "src"), "src", "left_semi")
+        out = self.edges.join(self.ids.withColumnRenamed("node", "src"), "src", "left_semi")
         return out.join(self.above.select(F.col("node").alias("src"), F.col("ancestor").alias("dst")), ["src", "dst"], "left_anti").join(names, "dst")
 
     def aspects(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import GraphTables
 from ..storage import Rounds
 from .aspects import above, effective
-from .closure import reach, structural, written
+from .closure import numbered_reach, reach, structural, written
 
 
 def direct(g: GraphTables) -> DataFrame:
@@ -19,8 +19,9 @@ def direct(g: GraphTables) -> DataFrame:
 
 def dependents(edges: DataFrame) -> DataFrame:
     """(target, n_direct, n_total) over reversed edges; the target itself is not its dependent."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reach(back).where("root <> node").groupBy(F.col("root").alias("target")).agg(F.sum((F.col("depth") == 1).cast("long")).alias("n_direct"), F.count("*").alias("n_total"))
+    pairs, names = numbered_reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    counts = pairs.where("root <> node").groupBy("root").agg(F.sum((F.col("depth") == 1).cast("long")).alias("n_direct"), F.count("*").alias("n_total"))
+    return counts.join(names.select(F.col("id").alias("root"), F.col("name").alias("target")), "root").select("target", "n_direct", "n_total")
 
 
 def by_method(g: GraphTables, method: str) -> DataFrame:
