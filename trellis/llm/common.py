@@ -80,6 +80,13 @@ def maybe_among(ws: Workspace, df: DataFrame, keys: DataFrame, columns: list[str
     return found.where(F.getbit("_bits", F.col("_bit")) == 1).select(*df.columns)
 
 
+def flagged(df: DataFrame, signs: DataFrame, n_words: int, columns: list[str]) -> DataFrame:
+    """``df`` with a column ``_may``: false where ``columns`` are surely not among the keys of ``signs_of``."""
+    h = F.xxhash64(*columns)
+    out = df.withColumns({"_word": F.pmod(h, F.lit(n_words)), "_bit": F.shiftrightunsigned(h, 58).cast("int")}).join(F.broadcast(signs), "_word", "left")
+    return out.withColumn("_may", F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))).drop("_word", "_bit", "_bits")
+
+
 def components(ws: Workspace, edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star.
 

@@ -82,4 +82,39 @@ lost AS (SELECT rid, count(*) AS c FROM gone GROUP BY 1)
 SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(c, 0)::BIGINT AS n_removed_lines FROM d LEFT JOIN kept ON kept.rid = d.rid LEFT JOIN lost ON lost.rid = d.rid
 """
 
-ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_quality": _op4(), "op5_line_dedup": _OP5, "op7_near_dedup": _OP7}
+_OP13 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS x FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE doc_id IS NOT NULL)),
+f AS (SELECT x, min(doc_id) AS first FROM w GROUP BY 1),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM w JOIN f USING (x), range(13) s(k) WHERE f.first < w.doc_id),
+each AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS t FROM each WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = each.rid AND gone.i = each.i) GROUP BY 1),
+lost AS (SELECT rid, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN lost USING (rid)
+"""
+
+
+def _op12(dims: int = 64) -> str:
+    """Four rounds as four pairs of expressions; a part's index is kept in the low bits of its least distance."""
+    p = dims // 4
+    x = lambda t, form="{}": ", ".join(form.format(f"{t}x{i}") + f" AS x{i}" for i in range(p))
+    gap = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(p))
+    finite = "len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND {finite})",
+        f"part AS MATERIALIZED (SELECT vec_id, label, p, {', '.join(f'v[{p} * p + {i + 1}] AS x{i}' for i in range(p))} FROM v, range(4) s(p))",
+        f"book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i, {x('')} FROM part WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256))",
+    ]
+    for k in range(5):
+        steps.append(f"near{k} AS MATERIALIZED (SELECT a.vec_id, a.p, min(({gap}) * 256 + b.i) AS m FROM part a JOIN book{k} b ON a.p = b.p GROUP BY 1, 2)")
+        if k < 4:
+            steps.append(f"sum{k} AS (SELECT p, m % 256 AS i, count(*) AS n, {', '.join(f'sum(x{i}) AS x{i}' for i in range(p))} FROM part JOIN near{k} USING (vec_id, p) GROUP BY 1, 2)")
+            moved = ", ".join(f"coalesce(floor(s.x{i}::DOUBLE / s.n)::BIGINT, b.x{i}) AS x{i}" for i in range(p))
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT b.p, b.i, {moved} FROM book{k} b LEFT JOIN sum{k} s ON s.p = b.p AND s.i = b.i)")
+    steps.append("code AS (SELECT vec_id, string_agg(format('{:02x}', m % 256), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM near4 GROUP BY 1)")
+    flat = "concat_ws(',', " + ", ".join(f"x{i}" for i in range(p)) + ")"
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg({flat}, ',' ORDER BY p, i)) FROM book4) AS codebooks_sha256 FROM code JOIN v USING (vec_id)"""
+
+
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_quality": _op4(), "op5_line_dedup": _OP5, "op7_near_dedup": _OP7, "op12_vector_codes": _op12(), "op13_substring": _OP13}
