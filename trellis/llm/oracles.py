@@ -117,4 +117,22 @@ def _op12(dims: int = 64) -> str:
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg({flat}, ',' ORDER BY p, i)) FROM book4) AS codebooks_sha256 FROM code JOIN v USING (vec_id)"""
 
 
-ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_quality": _op4(), "op5_line_dedup": _OP5, "op7_near_dedup": _OP7, "op12_vector_codes": _op12(), "op13_substring": _OP13}
+# The checksum takes a byte, then eight shifts marked -1, at a time; clicks of a client are walked by their number.
+_OP11 = """
+WITH RECURSIVE c AS (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
+e AS (SELECT click_id, client_id, epoch_us(ts) AS t, epoch_us(arrived_at) // 3600000000 AS h,
+  xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(click_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS crc FROM c),
+g AS (SELECT min(h) AS lo, max(h) AS hi FROM e),
+b AS (SELECT click_id, client_id, t, least(9, coalesce((h - lo) * 10 // (hi - lo + 1), 9) + coalesce(crc % 7 = 0, false)::INT)::INT AS batch FROM e, g),
+w AS (SELECT k, (SELECT max(t) FROM b WHERE batch < k) - 21600000000 AS w FROM range(10) s(k)),
+p AS (SELECT b.*, coalesce(t < w, false) AS late FROM b JOIN w ON k = batch),
+s AS MATERIALIZED (SELECT *, coalesce((SELECT min(k) FROM w WHERE k > p.batch AND w > p.t), 9)::INT AS settled, row_number() OVER (PARTITION BY client_id ORDER BY t, click_id NULLS FIRST) AS n FROM p WHERE NOT late),
+r AS (SELECT client_id, n, click_id, settled, t, 3300000000 AS credit, NULL::BIGINT AS since, NULL::BIGINT AS until FROM s WHERE n = 1 UNION ALL
+  SELECT client_id, n, click_id, settled, t, CASE WHEN have >= 300000000 THEN have - 300000000 ELSE have END, CASE WHEN have < 300000000 THEN coalesce(since, t) END, CASE WHEN have < 300000000 THEN t + 300000000 - have END
+  FROM (SELECT s.*, r.since, least(3600000000, r.credit + s.t - r.t) AS have FROM r JOIN s ON s.client_id = r.client_id AND s.n = r.n + 1))
+SELECT click_id, CASE WHEN since IS NULL THEN 'admitted' ELSE 'throttled' END AS outcome, settled AS batch, credit AS credit_after, since AS penalty_start_us, until AS penalty_end_us FROM r
+UNION ALL SELECT click_id, 'late', batch, NULL, NULL, NULL FROM p WHERE late
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op4_quality": _op4(), "op5_line_dedup": _OP5, "op7_near_dedup": _OP7, "op11_throttle": _OP11, "op12_vector_codes": _op12(), "op13_substring": _OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, line_dedup, near_dedup, pieces, pii, quality, sharding, substring, toxicity, vector_codes, warc
+from . import decontaminate, licenses, line_dedup, near_dedup, pieces, pii, quality, sharding, substring, throttle, toxicity, vector_codes, warc
 from .oracles import ORACLES as _SQL
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_pii": pii.op9_pii,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_throttle": throttle.op11_throttle,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_substring": substring.op13_substring,
     "pipeline": corpus_pipeline.run,
