@@ -5,7 +5,7 @@ import pytest
 
 from trellis.llm.registry import ORACLES, QUERIES
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks".split()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -22,4 +22,4 @@ def test_sql(spark, name, sf):
 
 
 def test_registry():
-    assert sorted(QUERIES) == sorted([f"op{k}_{n}" for k, n in enumerate("warc toxicity sharding quality line_dedup licenses near_dedup sentencepiece pii decontamination".split(), 1)] + ["pipeline"])
+    assert sorted(QUERIES) == sorted([f"op{k}_{n}" for k, n in enumerate("warc toxicity sharding quality line_dedup licenses near_dedup sentencepiece pii decontamination throttle vector_codes substring".split(), 1)] + ["pipeline"])
