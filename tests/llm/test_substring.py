@@ -69,5 +69,6 @@ def test_rolling_hashes_follow_the_words():
             same = [[words[i : i + size] == words[j : j + size] for j in range(len(h))] for i in range(len(h))]
             assert np.array_equal(h[:, None] == h[None], np.array(same))
     assert len(S.Rolling(v[0], S.BASES[0]).windows(8)) == 0
-    marks, inner = S.window_marks(v[0], 5, 2), S.Rolling(v[0], S.BASES[0]).windows(2)
+    one = S.Rolling(v[0], S.BASES[0])
+    marks, inner = S.window_marks(one, 5, 2), one.windows(2)
     assert marks.tolist() == [inner[i : i + 4].min() for i in range(3)]

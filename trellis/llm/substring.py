@@ -7,16 +7,17 @@ also starts in a document with a smaller doc_id; windows are judged on the input
    smallest doc_id's text goes on, as every window of the others begins in it too.
 2. Every window is hashed by a rolling polynomial, a difference of two prefix sums. Its mark is the smallest
    hash of the INNER-word windows inside it, so equal windows have equal marks and neighbours mostly share
-   theirs: about one word in four bears one. Spark counts in how many documents each mark is found. A window
-   whose mark is in one document alone is unique, so only the others' hashes are counted, with the smallest
-   and largest doc_id that have them.
+   theirs: there is about one mark to four words. Spark counts how often each is found. A window whose mark is
+   found once is unique, so only the others' hashes are counted, with the smallest and largest doc_id that have
+   them.
 3. The windows whose hash is in several documents meet its smallest doc_id; positions of later ones merge into
    maximal intervals, which are joined to the texts that lose any.
 
 Counts and minima have partial sums in each task; the joins are equi-joins on hashes, so rows of a hash that a
-third of the documents share are split by the skew join. A broadcast table of hash bits of bounded size
-(``maybe_among``) spares a join the rows that cannot match; results do not hang on it. Two windows count as
-equal if two independent 64-bit hashes agree.
+third of the documents share are split by the skew join. A broadcast table of hash bits (``Bits``, ``signs_of``),
+8 MB at most, spares a step the rows that cannot match. Results do not hang on it: with many more repeated marks
+than it has bits, every window is counted and joined. Two windows count as equal if two independent 64-bit
+hashes agree.
 
 Defined results: a null text has no words; what is left of a text are its words joined by one space; a null
 doc_id is smaller or larger than none, so its row loses nothing and takes nothing from others; rows with one
@@ -32,27 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, flagged, maybe_among, signs_of
+from .common import Workspace, flagged, sign_words, signs_of
 
 WINDOW, INNER = 13, 7
-#: Odd bases of the two polynomials, and how many words' hashes a worker remembers.
-BASES, MOST_KNOWN = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 400_000
+#: Odd bases of the two polynomials.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _KEY = ["k", "t"]
 
 
-class _WordHashes(dict):
-    """128-bit hashes by word, forgotten when there are too many."""
-
-    def __missing__(self, w: bytes) -> bytes:
-        if len(self) >= MOST_KNOWN:
-            self.clear()
-        h = self[w] = xxhash.xxh3_128_digest(w)
-        return h
-
-
-_HASHES = _WordHashes()
-
-
 def words(text: str | None) -> list[bytes]:
     """bytes.split() parts at the six blanks of ASCII alone."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -65,16 +53,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64)
+
+
 class Rolling:
-    """Hashes of all windows of one text's words, for any length, under one of the two polynomials."""
+    """Hashes of all windows of a sequence of words, for any length, under one of the two polynomials."""
 
     def __init__(self, values: np.ndarray, base: int):
         n = len(values)
         with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64)
+            self.power = _powers(base, n)
             # The sum runs backwards: word i weighs base^(n - 1 - i), and an odd base has an inverse modulo 2^64.
-            back = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)], dtype=np.uint64)
-            self.sums = np.r_[np.uint64(0), np.cumsum(values * back[:n], dtype=np.uint64)]
+            self.sums = np.r_[np.uint64(0), np.cumsum(values * _powers(pow(base, -1, 1 << 64), n)[:n], dtype=np.uint64)]
 
     def windows(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
@@ -86,59 +78,89 @@ class Rolling:
 
 def _values(ws: list[bytes]) -> np.ndarray:
     """(2, words) values, one row for each polynomial."""
-    return np.frombuffer(b"".join(map(_HASHES.__getitem__, ws)), np.uint64).reshape(-1, 2).T
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, ws)), np.uint64).reshape(-1, 2).T
 
 
-def window_marks(values: np.ndarray, window: int, inner: int) -> np.ndarray:
+def window_marks(rolling: Rolling, window: int, inner: int) -> np.ndarray:
     """For each window of ``window`` words, its smallest ``inner``-word hash."""
-    h = Rolling(values, BASES[0]).windows(inner)
-    n, span = len(values) - window + 1, window - inner + 1
+    low, have, span = rolling.windows(inner), 1, window - inner + 1  # minima over 1, 2, 4, ... neighbours
+    n = len(low) - span + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    low, have = h, 1  # minima over 1, 2, 4, ... neighbours
     while 2 * have <= span:
         low, have = np.minimum(low[:-have], low[have:]), 2 * have
     return np.minimum(low[:n], low[span - have : span - have + n])
 
 
+class Slice:
+    """The words of some texts as one sequence, so that arrays are long; ``at`` are the windows within one text."""
+
+    def __init__(self, texts: list[str | None], window: int):
+        split = [words(t) for t in texts]
+        lengths = np.array([len(x) for x in split])
+        self.values = _values([w for x in split for w in x])
+        self.first = np.cumsum(lengths) - lengths
+        self.counts = np.maximum(lengths - window + 1, 0)
+        self.row = np.repeat(np.arange(len(texts)), self.counts)
+        self.pos = np.arange(len(self.row)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        self.at = self.first[self.row] + self.pos
+
+
 def _slices(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
-def _repeat(column, counts: list[int]):
-    return column.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
 def _marks(docs: DataFrame, window: int, inner: int) -> DataFrame:
-    """(mark, k): the distinct marks of each text."""
+    """(mark): the marks of each text, once for each stretch of windows that share one."""
 
     def run(batches):
         for b in _slices(batches):
-            found = [np.unique(window_marks(_values(words(t))[0], window, inner)) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), _repeat(b["k"], [len(x) for x in found])], ["mark", "k"])
+            s = Slice(b["text"].to_pylist(), window)
+            mark = window_marks(Rolling(s.values[0], BASES[0]), window, inner)[s.at]
+            new = np.r_[True, (mark[1:] != mark[:-1]) | (s.row[1:] != s.row[:-1])][: len(mark)]
+            yield pa.RecordBatch.from_arrays([_long(mark[new])], ["mark"])
+
+    return docs.select("text").mapInArrow(run, "mark long")
 
-    return docs.mapInArrow(run, "mark long, k long")
 
+class Bits:
+    """A bounded table of hash bits: a hash is surely not among ``keys`` if its bit is not set."""
 
-def _windows(docs: DataFrame, window: int, inner: int) -> DataFrame:
-    """(k, t, pos, mark, h1, h2) of every window."""
+    def __init__(self, ws: Workspace, keys: DataFrame, column: str):
+        self.size = sign_words(keys.count())
+        bit = F.shiftrightunsigned(column, 58).cast("int").alias("bit")
+        word = keys.select(F.col(column).bitwiseAND(F.lit(self.size - 1)).alias("word"), bit)
+        rows = word.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+        table = np.zeros(self.size, np.int64)
+        table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+        self.shared = ws.spark.sparkContext.broadcast(table.view(np.uint64))
+
+    def may(self, h: np.ndarray) -> np.ndarray:
+        return (self.shared.value[(h & np.uint64(self.size - 1)).astype(np.int64)] >> (h >> np.uint64(58))) & np.uint64(1) == 1
+
+
+def _windows(docs: DataFrame, window: int, inner: int, marks: Bits | None, hashes: Bits | None = None) -> DataFrame:
+    """(k, t, pos, h1, h2) of the windows whose mark, and those whose hash, may be among these."""
 
     def run(batches):
-        for b in _slices(batches, 64):
-            mark, hash1, hash2, pos = [], [], [], []
-            for text in b["text"].to_pylist():
-                v = _values(words(text))
-                mark.append(window_marks(v[0], window, inner))
-                for out, values, base in zip((hash1, hash2), v, BASES):
-                    out.append(Rolling(values, base).windows(window))
-                pos.append(np.arange(len(mark[-1]), dtype=np.int32))
-            counts = [len(x) for x in pos]
-            longs = [pa.array(np.concatenate(x).view(np.int64)) for x in (mark, hash1, hash2)]
-            yield pa.RecordBatch.from_arrays([_repeat(b["k"], counts), _repeat(b["t"], counts), pa.array(np.concatenate(pos)), *longs], ["k", "t", "pos", "mark", "h1", "h2"])
+        for b in _slices(batches):
+            s = Slice(b["text"].to_pylist(), window)
+            one = Rolling(s.values[0], BASES[0])
+            at, row, pos = s.at, s.row, s.pos
+            h1 = one.windows(window)
+            keep = (hashes.may(h1[at]) if hashes else marks.may(window_marks(one, window, inner)[at])) if len(at) else np.zeros(0, bool)
+            at, row, pos = at[keep], row[keep], pos[keep]
+            h2 = Rolling(s.values[1], BASES[1]).windows(window)
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b["k"].take(rows), b["t"].take(rows), pa.array(pos.astype(np.int32)), _long(h1[at]), _long(h2[at])], ["k", "t", "pos", "h1", "h2"])
 
-    return docs.select("k", "t", "text").mapInArrow(run, "k long, t long, pos int, mark long, h1 long, h2 long")
+    return docs.select("k", "t", "text").mapInArrow(run, "k long, t long, pos int, h1 long, h2 long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -174,11 +196,10 @@ def repeated_spans(ws: Workspace, docs: DataFrame, window: int = WINDOW, inner:
     """
     texts, later = _leading(ws, docs)
     marks = _marks(texts, window, inner).groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    marks = ws.save(marks, "marks")
-    shared = maybe_among(ws, _windows(texts, window, inner), marks, ["mark"], "mark_signs").select("h1", "h2", "k")
+    shared = _windows(texts, window, inner, Bits(ws, ws.save(marks, "marks"), "mark"))
     firsts = shared.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("h1", "h2", "first")
     firsts = ws.save(firsts, "windows")
-    likely = maybe_among(ws, _windows(texts, window, inner), firsts, ["h1", "h2"], "window_signs").select("h1", "h2", "k", "t", "pos")
+    likely = _windows(texts, window, inner, None, Bits(ws, firsts, "h1"))
     gone = likely.join(firsts, ["h1", "h2"]).where("k > first").select("k", "t", "pos")
     some = _spans(gone.dropDuplicates(["k", "t", "pos"]), window).withColumn("whole", F.lit(False))
     return some.unionByName(later.select("k", "t", F.lit(None).cast(some.schema["spans"].dataType).alias("spans"), F.lit(True).alias("whole")))
