@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import GraphTables
 from ..storage import Rounds
 from .aspects import above, effective
-from .closure import numbered_reach, reach, structural, written
+from . import bitmaps
+from .closure import structural, written
 
 
 def direct(g: GraphTables) -> DataFrame:
@@ -18,10 +19,16 @@ def direct(g: GraphTables) -> DataFrame:
 
 
 def dependents(edges: DataFrame) -> DataFrame:
-    """(target, n_direct, n_total) over reversed edges; the target itself is not its dependent."""
-    pairs, names = numbered_reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    counts = pairs.where("root <> node").groupBy("root").agg(F.sum((F.col("depth") == 1).cast("long")).alias("n_direct"), F.count("*").alias("n_total"))
-    return counts.join(names.select(F.col("id").alias("root"), F.col("name").alias("target")), "root").select("target", "n_direct", "n_total")
+    """(target, n_direct, n_total) over reversed edges; the target itself is not its dependent. No row for each pair."""
+    rounds = Rounds(edges.sparkSession, "dependents")
+    edges = rounds.write(edges.select("src", "dst").distinct())
+    # Those that others depend on come last, so that each class lies close together.
+    numbers = bitmaps.numbered(rounds, edges.select(F.col("src").alias("name"), F.lit(0).alias("group")).unionAll(edges.select("dst", F.lit(1))))
+    back = bitmaps.by_number(edges.select(F.col("dst").alias("root"), F.col("src").alias("node")), numbers, "root", "node")
+    total = bitmaps.counts(bitmaps.without_root(bitmaps.reach_bits(rounds, back))).where("n > 0")
+    first = edges.where("src <> dst").groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("n_direct"))
+    total = total.join(numbers.select(F.col("id").alias("root"), F.col("name").alias("target")), "root")
+    return total.join(first, "target", "left").select("target", F.coalesce("n_direct", F.lit(0)).cast("long").alias("n_direct"), F.col("n").alias("n_total"))
 
 
 def by_method(g: GraphTables, method: str) -> DataFrame:
@@ -31,11 +38,15 @@ def by_method(g: GraphTables, method: str) -> DataFrame:
 
 
 def by_methods(g: GraphTables) -> DataFrame:
-    """(target, method, n_direct) for every method that any relation names: dependents that use it, or name none."""
-    d = direct(g).select("target", F.split("consumes", ",").alias("m"), (F.col("consumes") == "").alias("any"))
-    methods = direct(g).where("consumes <> ''").select(F.explode(F.split("consumes", ",")).alias("method")).distinct()
-    one = d.where("not any").select("target", F.explode(F.array_distinct("m")).alias("method"))
-    return one.unionAll(d.where("any").select("target").crossJoin(methods)).groupBy("target", "method").agg(F.count("*").alias("n_direct"))
+    """(target, method, n_direct) for every method that any relation names: dependents that use it, or name none.
+
+    Dependents that name none are counted by target first, so only counts meet the methods.
+    """
+    d = written(direct(g).select("target", F.split("consumes", ",").alias("m"), (F.col("consumes") == "").alias("any")))
+    one = d.where("not any").select("target", F.explode(F.array_distinct("m")).alias("method")).groupBy("target", "method").agg(F.count("*").alias("n"))
+    methods = one.select("method").distinct()
+    rest = d.where("any").groupBy("target").agg(F.count("*").alias("n")).crossJoin(methods).select("target", "method", "n")
+    return one.unionAll(rest).groupBy("target", "method").agg(F.sum("n").alias("n_direct"))
 
 
 def chains(g_edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -90,12 +101,44 @@ def changed(g: GraphTables, paths: DataFrame) -> DataFrame:
     return hit.select("node", F.lit("changed").alias("reason")).unionAll(hop.select("node", F.lit("dependent").alias("reason")))
 
 
+def event_bits(rounds: Rounds, events_: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(root, block, w...): the nodes of ``events`` for each target, as bits. ``events_``: src, dst, type.
+
+    Who listens at a place is one set for the place, and each emitter takes it over: no row for each pair.
+    """
+    e = rounds.write(bitmaps.by_number(events_.select("src", "dst", "type").distinct(), numbers, "src", "dst"))
+    to = bitmaps.bits_of(e.select(F.col("dst").alias("root"), F.col("src").alias("node")).distinct())
+    heard = bitmaps.bits_of(e.where("type = 'listens'").select(F.col("dst").alias("root"), F.col("src").alias("node")))
+    said = e.where("type = 'emits'").select(F.col("src").alias("root"), F.col("dst").alias("node"))
+    return bitmaps.united(to.unionAll(bitmaps.without_root(bitmaps.along(said, heard))))
+
+
+def event_counts(g: GraphTables) -> DataFrame:
+    """(target, n_nodes): how many nodes ``events`` has for each target."""
+    rounds = Rounds(g.nodes.sparkSession, "events")
+    e = rounds.write(g.relations.where(F.col("type").isin("emits", "listens")).select("src", "dst", "type").distinct())
+    numbers = bitmaps.numbered(rounds, e.select(F.col("src").alias("name"), F.lit(0).alias("group")).unionAll(e.select("dst", F.lit(0))))
+    n = bitmaps.counts(event_bits(rounds, e, numbers)).where("n > 0")
+    return n.join(numbers.select(F.col("id").alias("root"), F.col("name").alias("target")), "root").select("target", F.col("n").alias("n_nodes"))
+
+
 def scope_total(g: GraphTables, edges: DataFrame) -> DataFrame:
     """(target, n_nodes, n_flows, n_aspects) of every node: dependents, descendants and event nodes together;
-    flows that name the node; effective aspects."""
-    back = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("root <> node").select(F.col("root").alias("target"), "node")
+    flows that name the node; effective aspects. The nodes are united as bits, without a row for each pair."""
+    rounds = Rounds(g.nodes.sparkSession, "scope")
+    e = rounds.write(edges.select("src", "dst").distinct())
+    ev = rounds.write(g.relations.where(F.col("type").isin("emits", "listens")).select("src", "dst", "type").distinct())
     below = above(g).select(F.col("ancestor").alias("target"), "node")
-    n = back.unionAll(below).unionAll(events(g).select("target", "node").distinct()).distinct().groupBy("target").agg(F.count("*").alias("n_nodes"))
+    named = lambda df, c, k=0: df.select(F.col(c).alias("name"), F.lit(k).alias("group"))
+    names = named(g.nodes, "path")
+    for more in (named(e, "src"), named(e, "dst", 1), named(ev, "src"), named(ev, "dst")):
+        names = names.unionAll(more)
+    numbers = bitmaps.numbered(rounds, names)
+    back = bitmaps.by_number(e.select(F.col("dst").alias("root"), F.col("src").alias("node")), numbers, "root", "node")
+    back = bitmaps.without_root(bitmaps.reach_bits(rounds, back))
+    inside = bitmaps.bits_of(bitmaps.by_number(below.select(F.col("target").alias("root"), "node"), numbers, "root", "node"))
+    n = bitmaps.counts(bitmaps.united(back.unionAll(inside).unionAll(event_bits(rounds, ev, numbers))))
+    n = n.join(numbers.select(F.col("id").alias("root"), F.col("name").alias("target")), "root").select("target", F.col("n").alias("n_nodes"))
     flows = g.flow_nodes.distinct().groupBy(F.col("node").alias("target")).agg(F.count("*").alias("n_flows"))
     have = effective(g).groupBy(F.col("node").alias("target")).agg(F.count("*").alias("n_aspects"))
     out = g.nodes.select(F.col("path").alias("target")).join(n, "target", "left").join(flows, "target", "left").join(have, "target", "left")

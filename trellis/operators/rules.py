@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import comparable, prefixes, trim, units
+from ..functions.text import comparable, load_order, prefixes, trim, units
 from ..sources.tables import GraphTables
 from . import context
+from .anchors import found
 from .aspects import circular, implies_closure
 from .closure import cyclic_core, structural, written
 
 
-def load_order(path: str):
-    """A key that puts paths in load order: segment by segment, as bytes."""
-    return F.translate(path, "/", "\x01")
-
-
 def missing(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """Rows whose ``column`` is not among ``known``."""
     return rows.join(known.select(F.col(key).alias(column)).distinct(), column, "left_anti")
@@ -83,6 +79,13 @@ def structural_cycle(edges: DataFrame, blackbox: DataFrame) -> DataFrame:
     return cyclic_core(plain)
 
 
+def untolerated(g: GraphTables) -> DataFrame:
+    """(src, dst) of structural relations between nodes that are no blackboxes: a cycle with a blackbox is tolerated."""
+    plain = g.nodes.where("not blackbox").select("path")
+    edges = structural(g.relations).join(plain.withColumnRenamed("path", "src"), "src", "left_semi")
+    return edges.join(plain.withColumnRenamed("path", "dst"), "dst", "left_semi").select("src", "dst")
+
+
 def missing_artifact(g: GraphTables, types: DataFrame | None = None) -> DataFrame:
     """(node, artifact, reason_kind, n): artifact types whose condition holds for a node that lacks them.
 
@@ -152,26 +155,15 @@ def required_aspect(g: GraphTables, types: DataFrame | None = None) -> DataFrame
 def anchor_not_found(g: GraphTables, texts: DataFrame) -> DataFrame:
     """(node, aspect, anchor): anchors of a node's aspect that none of the node's texts holds. ``texts``: node, content;
     a node without texts has no rows."""
-    wanted = g.node_aspects.select(F.col("path").alias("node"), "aspect", F.explode("anchors").alias("anchor"))
-    seen = wanted.join(texts.select("node", "content"), "node").groupBy("node", "aspect", "anchor").agg(F.max(F.coalesce(F.col("content").contains(F.col("anchor")), F.lit(False))).alias("found"))
-    return seen.where("not found").select("node", "aspect", "anchor")
+    wanted = g.node_aspects.select(F.col("path").alias("node"), "aspect", F.explode("anchors").alias("anchor")).distinct()
+    wanted = written(wanted.join(texts.select("node").distinct(), "node", "left_semi"))
+    return wanted.join(found(texts, wanted, ["node"]), ["node", "anchor"], "left_anti").select("node", "aspect", "anchor")
 
 
-def anchors_missing(g: GraphTables, at_once: int = 10_000) -> DataFrame:
-    """(anchor): literal texts that no artifact holds. Anchors are tested against every text where it lies, in
-    parts by hash of about ``at_once`` each, so a broadcast is bounded whatever their number."""
+def anchors_missing(g: GraphTables) -> DataFrame:
+    """(anchor): literal texts that no artifact holds."""
     anchors = g.anchors.distinct()
-    parts = -(-anchors.count() // at_once)
-    if parts <= 1:
-        found = g.artifacts.join(F.broadcast(anchors), F.col("content").contains(F.col("anchor"))).select("anchor").distinct()
-        return anchors.join(found, "anchor", "left_anti")
-    anchors = written(anchors.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts))))
-    found = None
-    for part in range(parts):
-        some = anchors.where(F.col("part") == part).select("anchor")
-        hit = written(g.artifacts.join(F.broadcast(some), F.col("content").contains(F.col("anchor"))).select("anchor").distinct())
-        found = hit if found is None else found.unionAll(hit)
-    return anchors.select("anchor").join(found, "anchor", "left_anti")
+    return anchors.join(found(g.artifacts, anchors, []), "anchor", "left_anti")
 
 
 def structural_edges(g: GraphTables) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import thousands
-from ..operators import context, drift, rules
-from ..operators.closure import structural
+from ..operators import context, cycles, drift, rules
 from ..sources import project
 from ..sources.tables import GraphTables
 
@@ -59,7 +58,7 @@ def issues(spark: SparkSession, g: GraphTables, files: DataFrame | None = None,
             _rows(rules.unknown_aspect(g, g.aspects), "E003", _say("Aspect '{aspect}' has no corresponding directory in aspects/"), "node"),
             _rows(rules.duplicate_aspect(g.aspects), "E014", _say("Aspect '{id}' is bound to {n} aspects")),
             _rows(rules.implied_missing(g, g.aspects).join(name_of, "aspect"), "E016", _say("Aspect '{name}' implies '{implied}' but no aspect with that id exists in aspects/")),
-            _rows(rules.implies_cycle(g.implies), "E017", _say("Aspect '{aspect}' implies itself through others")),
+            _rows(cycles.components(g.implies.select(F.col("id").alias("src"), F.col("implied").alias("dst")), None, " → "), "E017", _say("Aspect implies cycle: {path}")),
             _rows(rules.required_aspect(g).join(g.nodes.select(F.col("path").alias("node"), "type"), "node"), "W011", _say("Node '{node}' (type: {type}) missing required aspect coverage for '{aspect}'"), "node"),
             _rows(missing, "W001", F.rtrim(F.concat(_say("Missing required artifact '{artifact}' ({reason}).", reason=reason), F.coalesce(near, F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))), "node"),
             _rows(rules.bad_condition(conditions, g.aspects), "E013", _say("Artifact '{artifact}' condition has_aspect:{aspect} has no corresponding aspect in aspects/")),
@@ -79,7 +78,7 @@ def issues(spark: SparkSession, g: GraphTables, files: DataFrame | None = None,
     out += [
         _rows(rules.missing_schema(g.schemas), "W010", _say("Schema 'yg-{schema}.yaml' missing from schemas/")),
         _rows(hints, "E004", F.concat(_say("Relation target '{target}' does not exist"), F.coalesce(known, F.lit("")), F.coalesce(guess, F.lit(""))), "node"),
-        _rows(rules.structural_cycle(structural(g.relations).join(g.nodes.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst"), g.nodes.where("blackbox").select(F.col("path").alias("node"))), "E010", _say("Node '{node}' lies on a circular dependency"), "node"),
+        _rows(cycles.components(rules.untolerated(g)), "E010", _say("Circular dependency: {path}")),
         _rows(rules.overlapping(g.mappings), "E009", _say("Mapping paths '{mapping_a}' and '{mapping_b}' overlap. Keep one owner mapping and model other concerns via relations."), "blamed"),
         _rows(flow_name(rules.broken_flow_ref(g, g.nodes)), "E006", _say("Flow '{name}' references non-existent node '{node}'")),
         _rows(flow_name(rules.broken_flow_aspect(g, g.aspects)), "E007", _say("Flow '{name}' references aspect '{aspect}' but no aspect with that id exists in aspects/")),
