@@ -38,6 +38,31 @@ def test_copies_train_once_and_share_a_fold(spark):
     assert len({*f[-3:], f[3]}) == 1
 
 
+def test_many_copies_lie_in_one_fold():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40_000, 80)) for _ in range(400)]
+    copies = [np.unique(np.r_[rows[7][rng.random(len(rows[7])) < 0.98], rng.integers(50_000, 60_000, 1)]) for _ in range(21)]  # 5 %
+    f = toxicity.folds(rows + copies)
+    assert len({*f[400:], f[7]}) == 1 and len(set(f[:400])) == toxicity.FOLDS
+    order = rng.permutation(len(f))
+    assert np.array_equal(toxicity.folds([(rows + copies)[i] for i in order]), f[order])
+
+
+def test_a_fold_has_no_say_in_what_tells_it():
+    rng = np.random.default_rng(6)
+    toxic = (rng.random(300) < 0.3).astype(float)
+    rows = [np.unique(np.r_[rng.integers(100, 3000, 30), rng.integers(0, 12, 3) if t else rng.integers(40, 80, 3)]) for t in toxic]
+    one = toxicity.Chain(rows, toxic)
+    mine = one.fold == 2
+    shuffled = toxic.copy()
+    shuffled[mine] = rng.permutation(toxic[mine])
+    two = toxicity.Chain(rows, shuffled)
+    assert not np.array_equal(toxic, shuffled) and len(one.lexicon) and len(one.known)
+    for a, b in zip(one.by_fold[2][3:5], two.by_fold[2][3:5]):
+        assert np.array_equal(a, b)
+    assert np.array_equal(one.out_of_fold[mine, 0], two.out_of_fold[mine, 0])
+
+
 def test_probabilities_of_one_kind_are_their_share(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (None, "idiot")], "doc_id long, text string")
     one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")

@@ -5,8 +5,8 @@ earlier categories are graded ones that the texts alone decide: whether a toxic
 whether several different ones do; the last is the label. Toxic words are found, not listed: terms that occur in
 LEAST_DOCS toxic documents of LEAST_FOLDS folds and nearly only there, by their smoothed log-odds. Each later
 model is trained with the out-of-fold probabilities of the earlier ones, so it sees them as noisy as they will be
-on new text. Copies share a fold (that of their smallest rare word), so words of one much-copied document are
-neither toxic words nor learnt by heart.
+on new text; the words that tell a fold are chosen without its rows, too. Copies share a fold, however many they are
+(``copy_groups``), so words of one much-copied document are neither toxic words nor learnt by heart.
 
 Training uses at most MAX_TRAIN labelled doc_ids, those with the smallest hash, one row each. Everything else
 covers all documents. Features: distinct words (letters only, lower case, 32-bit hashes) that LEAST_DOCS labelled
@@ -32,8 +32,9 @@ CATEGORIES = ["any_insult", "several_insults", "toxic"]
 MAX_TRAIN = 4000
 FOLDS, STEPS, RATE, DECAY = 5, 200, 0.1, 1e-4
 LEAST_DOCS, LEAST_FOLDS, LEAST_ODDS, LEAST_TELLING = 5, 3, 3.0, 1.5
-#: Words in at most this share of the labelled documents tell copies of one document.
-RARE = 0.02
+#: Copies share this part of their words; they are looked for by BANDS keys of BAND hashes each.
+ALIKE, BANDS, BAND = 0.8, 16, 6
+_MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, BANDS * BAND, np.uint64) | np.uint64(1)
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
 _HASH: dict[str, int] = {}
@@ -90,43 +91,96 @@ def probability(model: tuple, rows: list[np.ndarray], known: np.ndarray, extra:
     return _sigmoid(_Rows(rows, known, extra).scores(*model))
 
 
+def _bands(row: np.ndarray) -> list[int]:
+    """Keys of a row's word set that similar sets share: BANDS x BAND smallest values under different hashes."""
+    if not len(row):
+        return []
+    with np.errstate(over="ignore"):
+        h = (row.astype(np.uint64)[:, None] + np.uint64(1)) * _MULTIPLIERS
+        low = (h ^ (h >> np.uint64(29))).min(axis=0).reshape(BANDS, BAND)
+    return [zlib.crc32(b.tobytes(), k) for k, b in enumerate(low)]
+
+
+def copy_groups(rows: list[np.ndarray]) -> np.ndarray:
+    """The same number for rows whose word sets share ALIKE of their union, directly or through others.
+
+    Rows that agree in a band are compared with the band's first row; however many copies there are, they agree in
+    nearly every band.
+    """
+    root = np.arange(len(rows))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first: dict[tuple[int, int], int] = {}
+    for i, r in enumerate(rows):
+        for k, key in enumerate(_bands(r)):
+            j = first.setdefault((k, key), i)
+            a, b = find(i), find(j)
+            if a != b:
+                shared = len(np.intersect1d(r, rows[j], assume_unique=True))
+                if shared >= ALIKE * (len(r) + len(rows[j]) - shared):
+                    root[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(len(rows))], np.int64)
+
+
 def folds(rows: list[np.ndarray]) -> np.ndarray:
-    """Fold of each row, by its smallest rare word, or else all its words: copies of one document have these in common."""
-    words, df = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.empty(0, np.int64),) * 2
-    rare = words[df <= max(2, RARE * len(rows))]
-    def key(r):
-        some = np.intersect1d(r, rare, assume_unique=True)
-        return int(some[0]) if len(some) else zlib.crc32(r.tobytes())
-    return np.array([zlib.crc32(str(key(r)).encode()) % FOLDS for r in rows], np.int64)
+    """Fold of each row; copies share theirs. It hangs on the rows of a group, not on their order."""
+    own = np.array([zlib.crc32(r.tobytes()) for r in rows], np.int64)
+    least: dict[int, int] = {}
+    groups = copy_groups(rows).tolist()
+    for g, c in zip(groups, own.tolist()):
+        least[g] = min(least.get(g, c), c)
+    return np.array([zlib.crc32(str(least[g]).encode()) % FOLDS for g in groups], np.int64)
+
+
+def vocabulary(rows: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(known, lexicon): the telling words of these labelled rows, and those found nearly only in toxic ones."""
+    n, pos = len(rows), int(toxic.sum())
+    words, at = np.unique(np.concatenate(rows), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    hits = np.array([np.bincount(at[toxic[row] == t], minlength=len(words)) for t in (0, 1)])
+    in_folds = lambda some: sum(np.bincount(at[some & (fold[row] == k)], minlength=len(words)) > 0 for k in range(FOLDS))
+    odds = np.log((hits[1] + 0.5) / (pos + 1)) - np.log((hits[0] + 0.5) / (n - pos + 1))
+    known = words[(hits.sum(axis=0) >= LEAST_DOCS) & (abs(odds) >= LEAST_TELLING) & (in_folds(np.ones(len(row), bool)) >= LEAST_FOLDS)]
+    lexicon = words[(hits[1] >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (in_folds(toxic[row] == 1) >= LEAST_FOLDS)]
+    return known, lexicon
+
+
+def _targets(rows: list[np.ndarray], toxic: np.ndarray, lexicon: np.ndarray) -> list[np.ndarray]:
+    """What each category's model learns."""
+    level = np.array([np.isin(r, lexicon, assume_unique=True).sum() for r in rows])
+    return [(level >= 1).astype(float), (level >= 2).astype(float), (toxic == 1).astype(float)]
 
 
 class Chain:
-    """Models by category, in order, over the columns ``known``."""
+    """Models by category, in order, over the columns ``known``.
+
+    What a fold is told by out of fold, its words and models alike, is chosen from the other folds' rows alone.
+    """
 
     def __init__(self, rows: list[np.ndarray], toxic: np.ndarray):
-        n, pos, fold = len(rows), int(toxic.sum()), folds(rows)
-        words, at = np.unique(np.concatenate(rows), return_inverse=True)
-        row = np.repeat(np.arange(n), [len(r) for r in rows])
-        hits = np.array([np.bincount(at[toxic[row] == t], minlength=len(words)) for t in (0, 1)])
-        in_folds = lambda some: sum(np.bincount(at[some & (fold[row] == k)], minlength=len(words)) > 0 for k in range(FOLDS))
-        odds = np.log((hits[1] + 0.5) / (pos + 1)) - np.log((hits[0] + 0.5) / (n - pos + 1))
-        self.known = words[(hits.sum(axis=0) >= LEAST_DOCS) & (abs(odds) >= LEAST_TELLING) & (in_folds(np.ones(len(row), bool)) >= LEAST_FOLDS)]
-        self.lexicon = words[(hits[1] >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (in_folds(toxic[row] == 1) >= LEAST_FOLDS)]
-        level = np.array([np.isin(r, self.lexicon, assume_unique=True).sum() for r in rows])
-        self.models, extra = [], np.zeros((n, 0))
-        for y in (level >= 1, level >= 2, toxic == 1):
-            y = y.astype(float)
-            out = np.zeros(n)
-            for k in range(FOLDS):
-                here, there = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-                if len(here) and len(there):
-                    m = fit([rows[i] for i in there], self.known, extra[there], y[there])
-                    out[here] = probability(m, [rows[i] for i in here], self.known, extra[here])
-                elif len(here):
-                    out[here] = y.mean()
+        fold = folds(rows)
+        self.known, self.lexicon = vocabulary(rows, toxic, fold)
+        self.by_fold = {}
+        for k in range(FOLDS):
+            here, there = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+            if len(here) and len(there):
+                others = [rows[i] for i in there]
+                known, lexicon = vocabulary(others, toxic[there], fold[there])
+                self.by_fold[k] = here, there, others, known, lexicon, _targets(others, toxic[there], lexicon)
+        self.models, extra = [], np.zeros((len(rows), 0))
+        for c, y in enumerate(_targets(rows, toxic, self.lexicon)):
+            out = np.full(len(rows), y.mean())
+            for here, there, others, known, _, targets in self.by_fold.values():
+                m = fit(others, known, extra[there], targets[c])
+                out[here] = probability(m, [rows[i] for i in here], known, extra[here])
             self.models.append(fit(rows, self.known, extra, y))
             extra = np.column_stack([extra, out])
-        self.out_of_fold = extra
+        self.fold, self.out_of_fold = fold, extra
         self.threshold = _cut(extra[:, -1], toxic)
 
     def predict(self, rows: list[np.ndarray]) -> np.ndarray:
