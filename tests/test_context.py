@@ -12,10 +12,28 @@ def g(spark, tmp_path_factory):
     return directory.load(spark, sample.write(tmp_path_factory.mktemp("sample")))
 
 
+def blocks(folder, names):
+    return "\n\n".join(f"### {n}\n{sample.FILES[f'{folder}/{n}']}" for n in names)
+
+
+def plain_layers():
+    """The layers of the plan maker, put together by hand."""
+    both = ["description.md", "responsibility.md"]
+    node = sample.FILES["model/plans/plan-maker/yg-node.yaml"].strip()
+    return [
+        "**Project:** Orchard Watering\n", blocks("model/plans", both), f"### yg-node.yaml\n{node}\n\n" + blocks("model/plans/plan-maker", both),
+        blocks("model/gates/gate-driver", both[1:]).rstrip(), blocks("model/sensors/soil-probe", both).rstrip(), blocks("flows/morning-round", ["description.md", "steps.md"]),
+        blocks("aspects/leaves-trace", ["content.md"]), blocks("aspects/metric-units", ["content.md"]),
+    ]
+
+
+TOKENS = -(-len("\n\n".join(plain_layers())) // 4)
+
+
 def test_known_sizes(g):
-    rows = context.layers(g).where("node = 'orders/order-service'").collect()
-    assert sorted(r.units for r in rows) == sorted([38, 93, 355, 39, 76, 119, 378, 331])
-    assert {r.node: (r.tokens, r.status) for r in context.budget(g).collect()}["orders/order-service"] == (361, "ok")
+    rows = context.layers(g).where("node = 'plans/plan-maker'").collect()
+    assert sorted(r.units for r in rows) == sorted(map(len, plain_layers()))
+    assert {r.node: (r.tokens, r.status) for r in context.budget(g).collect()}["plans/plan-maker"] == (TOKENS, "ok")
 
 
 def test_texts_have_the_counted_sizes(g):
@@ -26,62 +44,62 @@ def test_texts_have_the_counted_sizes(g):
 
 
 def test_markdown_package(g):
-    text = context.markdown(g, "orders/order-service", "2026-02-10T12:00:00.000Z")
-    own = sample.FILES["model/orders/order-service/yg-node.yaml"].strip()
-    want = "# Context Package: OrderService\n# Path: orders/order-service\n# Generated: 2026-02-10T12:00:00.000Z\n\n---\n\n"
-    want += "## Global\n\n### Global Context\n\n**Project:** Sample E-Commerce System\n\n\n---\n\n"
-    want += "## Hierarchy\n\n### Module Context (orders/)\n\n### description.md\nOrder management module.\n\n\n### responsibility.md\nOrder management module.\n\n\n---\n\n"
-    want += f"## OwnArtifacts\n\n### Node: OrderService\n\n### yg-node.yaml\n{own}\n\n### description.md\nOrder service handles order lifecycle.\n\n\n### responsibility.md\nOrder service handles order lifecycle.\n\n\n### Materialization Target\n\nsrc/orders/order.service.ts\n\n---\n\n"
-    want += f"## Aspects\n\n### Audit Logging (aspect: requires-audit)\n\n### content.md\n{sample.AUDIT}\n\n### Structured Logging (aspect: requires-logging)\n\n### content.md\n{sample.LOGGING}\n\n---\n\n"
-    want += "## Relational\n\n### Dependency: AuthApi (uses) — auth/auth-api\n\n### responsibility.md\nAuth API service.\n\n### Dependency: UserRepo (uses) — users/user-repo\n\n### description.md\nUser repository.\n\n\n### responsibility.md\nUser repository.\n\n"
-    want += "### Flow: Checkout Flow\n\n### description.md\nCheckout flow description.\n\n\n### sequence.md\nSequence: create order -> validate -> payment -> ship.\n\n\n---\n\n"
-    want += "Context size: 361 tokens\nLayers: global, hierarchy, own, relational, relational, flows, aspects, aspects\n"
+    text = context.markdown(g, "plans/plan-maker", "2026-02-10T12:00:00.000Z")
+    own = sample.FILES["model/plans/plan-maker/yg-node.yaml"].strip()
+    want = "# Context Package: PlanMaker\n# Path: plans/plan-maker\n# Generated: 2026-02-10T12:00:00.000Z\n\n---\n\n"
+    want += "## Global\n\n### Global Context\n\n**Project:** Orchard Watering\n\n\n---\n\n"
+    want += "## Hierarchy\n\n### Module Context (plans/)\n\n### description.md\nA plan says how many litres each row of trees gets tomorrow.\n\n\n### responsibility.md\nTurns weather and soil into plans.\n\n\n---\n\n"
+    want += f"## OwnArtifacts\n\n### Node: PlanMaker\n\n### yg-node.yaml\n{own}\n\n### description.md\nRuns at dusk, once the last reading is in.\n\n\n### responsibility.md\nWrites tomorrow's plan and hands it to the gates.\n\n\n### Materialization Target\n\nfield/plans/maker.py\n\n---\n\n"
+    want += f"## Aspects\n\n### Day Book (aspect: leaves-trace)\n\n### content.md\n{sample.TRACE}\n\n### Metric Units (aspect: metric-units)\n\n### content.md\n{sample.UNITS}\n\n---\n\n"
+    want += "## Relational\n\n### Dependency: GateDriver (uses) — gates/gate-driver\n\n### responsibility.md\nOpens and shuts one gate at a time.\n\n### Dependency: SoilProbe (uses) — sensors/soil-probe\n\n### description.md\nTwo probes stand in every row.\n\n\n### responsibility.md\nDepth of damp soil by row.\n\n"
+    want += "### Flow: Morning Round\n\n### description.md\nWater is out before the sun is.\n\n\n### steps.md\nRead the plan, open, wait, shut, write the day book.\n\n\n---\n\n"
+    want += f"Context size: {TOKENS} tokens\nLayers: global, hierarchy, own, relational, relational, flows, aspects, aspects\n"
     assert text == want
 
 
 def test_tagged_package(g):
-    only = g.nodes.sparkSession.createDataFrame([("orders/order-service",)], "node string")
+    only = g.nodes.sparkSession.createDataFrame([("plans/plan-maker",)], "node string")
     (r,) = context.packages(g, only).collect()
-    assert r.text.startswith('<context-package node-path="orders/order-service" node-name="OrderService" token-count="361">\n\n<global>\n**Project:** Sample E-Commerce System\n\n</global>\n\n<hierarchy path="orders" aspects="requires-audit,requires-logging">\n')
-    assert '<materialization-target paths="src/orders/order.service.ts" />\n\n<aspect name="Audit Logging" id="requires-audit">' in r.text
-    assert '<dependency target="auth/auth-api" type="uses">\n### responsibility.md\nAuth API service.\n</dependency>' in r.text
-    assert r.text.endswith('<flow name="Checkout Flow" aspects="requires-logging">\n### description.md\nCheckout flow description.\n\n\n### sequence.md\nSequence: create order -> validate -> payment -> ship.\n\n</flow>\n\n</context-package>')
+    assert r.text.startswith(f'<context-package node-path="plans/plan-maker" node-name="PlanMaker" token-count="{TOKENS}">\n\n<global>\n**Project:** Orchard Watering\n\n</global>\n\n<hierarchy path="plans" aspects="leaves-trace,metric-units">\n')
+    assert '<materialization-target paths="field/plans/maker.py" />\n\n<aspect name="Day Book" id="leaves-trace">' in r.text
+    assert '<dependency target="gates/gate-driver" type="uses">\n### responsibility.md\nOpens and shuts one gate at a time.\n</dependency>' in r.text
+    assert r.text.endswith('<flow name="Morning Round" aspects="metric-units">\n### description.md\nWater is out before the sun is.\n\n\n### steps.md\nRead the plan, open, wait, shut, write the day book.\n\n</flow>\n\n</context-package>')
 
 
 def test_aspects_and_provenance(g):
     have = {}
     for r in aspects.effective(g).collect():
         have.setdefault(r.node, set()).add(r.aspect)
-    assert have["auth/auth-api"] == {"requires-logging"} and have["orders"] == {"requires-audit", "requires-logging"} and "users" not in have
+    assert have["gates/gate-driver"] == {"metric-units"} and have["plans"] == {"leaves-trace", "metric-units"} and "sensors" not in have
     source = {(r.node, r.aspect): r.source for r in aspects.provenance(g).collect()}
-    assert source["auth/auth-api", "requires-logging"] == "flow checkout-flow" and source["orders", "requires-logging"] == "implied"
-    assert source["orders", "requires-audit"] == source["orders/order-service", "requires-audit"] == "own"
+    assert source["gates/gate-driver", "metric-units"] == "flow morning-round" and source["plans", "metric-units"] == "implied"
+    assert source["plans", "leaves-trace"] == source["plans/plan-maker", "leaves-trace"] == "own"
 
 
 def test_odd_relations_flags_and_order(spark, tmp_path):
     config = sample.CONFIG.replace("interface.md: {required: {when: has_incoming_relations}}", "interface.md: {required: never, included_in_relations: true}")
     changes = {
-        "yg-config.yaml": config, "model/users/user-repo/interface.md": "find()\n \n", "model/auth/interface.md": "  \n",
-        "model/orders/order-service/yg-node.yaml": "name: 'Order \"S\"'\ntype: service\naspects:\n  - {aspect: z, exceptions: [one, two]}\n  - {aspect: nowhere}\nrelations:\n  - {target: orders, type: uses}\n  - {target: users/user-repo, type: calls, consumes: [a, b], failure: retry }\n  - {target: users, type: emits, consumes: [x], event_name: Made}\n  - {target: users, type: listens}\n  - {target: auth, type: uses}\n  - {target: users, type: implements, failure: stop}\n",
-        "model/users/responsibility.md": None, "aspects/z/yg-aspect.yaml": "name: Z\nimplies: [y, requires-logging]\nstability: schema\n", "aspects/y/yg-aspect.yaml": "name: Y\nimplies: [requires-logging]\n", "aspects/y/b.md": "b", "aspects/y/A.md": "a",
+        "yg-config.yaml": config, "model/sensors/soil-probe/interface.md": "find()\n \n", "model/gates/interface.md": "  \n",
+        "model/plans/plan-maker/yg-node.yaml": "name: 'Order \"S\"'\ntype: service\naspects:\n  - {aspect: z, exceptions: [one, two]}\n  - {aspect: nowhere}\nrelations:\n  - {target: plans, type: uses}\n  - {target: sensors/soil-probe, type: calls, consumes: [a, b], failure: retry }\n  - {target: sensors, type: emits, consumes: [x], event_name: Made}\n  - {target: sensors, type: listens}\n  - {target: gates, type: uses}\n  - {target: sensors, type: implements, failure: stop}\n",
+        "model/sensors/responsibility.md": None, "aspects/z/yg-aspect.yaml": "name: Z\nimplies: [y, metric-units]\nstability: schema\n", "aspects/y/yg-aspect.yaml": "name: Y\nimplies: [metric-units]\n", "aspects/y/b.md": "b", "aspects/y/A.md": "a",
     }
     g = directory.load(spark, sample.write(tmp_path, changes=changes))
-    only = spark.createDataFrame([("orders/order-service",)], "node string")
+    only = spark.createDataFrame([("plans/plan-maker",)], "node string")
     (r,) = context.packages(g, only).collect()
     assert r.tokens == context.budget(g, only).first().tokens
     for piece in (
-        'node-name="Order &quot;S&quot;"', '<own-artifacts aspects="z,y,requires-logging,nowhere">', '<dependency target="users/user-repo" type="calls" consumes="a, b" failure="retry">\nConsumes: a, b\n\nOn failure: retry\n\n### interface.md\nfind()\n</dependency>',
-        '<event target="users" type="emits" event-name="Made" consumes="x">\nTarget: users\nYou publish Made.\nConsumes: x\n</event>\n\n<event target="users" type="listens" event-name="Users">\nSource: users\nYou listen for Users.\n</event>',
-        '<dependency target="auth" type="uses">\n### interface.md\n</dependency>', '<dependency target="users" type="implements" failure="stop">\nOn failure: stop\n</dependency>',
+        'node-name="Order &quot;S&quot;"', '<own-artifacts aspects="z,y,metric-units,nowhere">', '<dependency target="sensors/soil-probe" type="calls" consumes="a, b" failure="retry">\nConsumes: a, b\n\nOn failure: retry\n\n### interface.md\nfind()\n</dependency>',
+        '<event target="sensors" type="emits" event-name="Made" consumes="x">\nTarget: sensors\nYou publish Made.\nConsumes: x\n</event>\n\n<event target="sensors" type="listens" event-name="Sensors">\nSource: sensors\nYou listen for Sensors.\n</event>',
+        '<dependency target="gates" type="uses">\n### interface.md\n</dependency>', '<dependency target="sensors" type="implements" failure="stop">\nOn failure: stop\n</dependency>',
         "**Stability tier:** schema\n\n⚠ **Exception for this node:** one; two", '<aspect name="Y" id="y">\n### A.md\na\n\n### b.md\nb\n</aspect>',
     ):
         assert piece in r.text, piece
-    assert 'target="orders"' not in r.text
-    at = [r.text.index(f'id="{x}"') for x in ("requires-audit", "requires-logging", "z", "y")]
+    assert 'target="plans"' not in r.text
+    at = [r.text.index(f'id="{x}"') for x in ("leaves-trace", "metric-units", "z", "y")]
     assert at == sorted(at)
 
 
 def test_nodes_that_cannot_be_assembled(spark, tmp_path):
-    changes = {"aspects/a/yg-aspect.yaml": "name: A\nimplies: [b]\n", "aspects/b/yg-aspect.yaml": "name: B\nimplies: [a]\n", "model/users/yg-node.yaml": "name: U\ntype: module\naspects: [{aspect: a}]\n", "model/auth/yg-node.yaml": "name: A\ntype: module\nrelations: [{target: gone, type: listens}]\n"}
+    changes = {"aspects/a/yg-aspect.yaml": "name: A\nimplies: [b]\n", "aspects/b/yg-aspect.yaml": "name: B\nimplies: [a]\n", "model/sensors/yg-node.yaml": "name: U\ntype: module\naspects: [{aspect: a}]\n", "model/gates/yg-node.yaml": "name: A\ntype: module\nrelations: [{target: gone, type: listens}]\n"}
     g = directory.load(spark, sample.write(tmp_path, changes=changes))
-    assert sorted(r.node for r in context.budget(g).collect()) == ["auth/auth-api", "orders", "orders/order-service"]
+    assert sorted(r.node for r in context.budget(g).collect()) == ["gates/gate-driver", "plans", "plans/plan-maker"]
