@@ -1,9 +1,10 @@
-"""Which of many literal strings occur in texts, by an index of short substrings.
+"""Which of many literal strings occur in texts, by an index of short blocks.
 
-An anchor is filed under the one of its substrings of GRAM characters that the texts hold most rarely; shorter
-anchors under shorter ones. A text can hold an anchor only if it holds that substring, so texts are cut into
-substrings, those that no anchor is filed under are dropped where they are read, and the others meet the anchors by
-equality. What meets is compared literally, a text crossing one join with all its candidates.
+Texts are cut into blocks of some characters, one after the other, so there is one block to as many characters. An
+anchor of twice that length covers a whole block wherever it begins: for each way it can lie over the blocks, it
+is filed under the block that the texts hold most rarely. Blocks of texts that no anchor is filed under are dropped
+where they are read, the others meet the anchors by equality, and what meets is compared literally, a text crossing
+one join with all its candidates. Shorter anchors have shorter blocks.
 """
 
 from __future__ import annotations
@@ -14,19 +15,21 @@ from pyspark.sql import functions as F
 from ..storage import Rounds
 from .sieve import sieve
 
-#: Lengths of the substrings, longest first: each anchor takes the first that is no longer than itself.
-GRAMS = (8, 4, 2, 1)
-#: Characters of a piece of text that is cut at once; finding a position takes a walk from the piece's start.
-PIECE = 256
+#: Lengths of blocks, longest first: an anchor takes the first of which it has 2 q - 1 characters.
+BLOCKS = (8, 4, 2, 1)
 
 
-def _grams(text: Column | str, q: int) -> Column:
-    """All substrings of ``q`` characters of a text that has as many, which is cut in pieces first."""
-    size = F.char_length(text)
-    starts = F.sequence(F.lit(0), F.floor((size - q) / PIECE).cast("int"))
-    pieces = F.transform(starts, lambda i: F.substr(F.col(text) if isinstance(text, str) else text, i * PIECE + 1, F.lit(PIECE + q - 1)))
-    cut = lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s) - q + 1), lambda i: F.substr(s, i, F.lit(q)))
-    return F.array_distinct(F.flatten(F.transform(pieces, cut)))
+def _kind(size: Column) -> Column:
+    kind = F.lit(None).cast("int")
+    for q in reversed(BLOCKS):
+        kind = F.when(size >= 2 * q - 1, q).otherwise(kind)
+    return kind
+
+
+def _blocks(text: str, sizes: list[int]) -> Column:
+    """The distinct whole blocks of a text, of every size."""
+    one = lambda q: F.regexp_extract_all(text, F.lit(f"(?s).{{{q}}}"), F.lit(0))
+    return F.array_distinct(F.concat(*map(one, sizes)))
 
 
 def found(texts: DataFrame, anchors: DataFrame, by: list[str]) -> DataFrame:
@@ -36,35 +39,23 @@ def found(texts: DataFrame, anchors: DataFrame, by: list[str]) -> DataFrame:
     """
     rounds = Rounds(texts.sparkSession, "anchors")
     texts = texts.select(*by, "content").where("content is not null")
-    anchors = rounds.write(anchors.select(*by, "anchor").where("anchor is not null").distinct())
-    here = anchors.where("anchor = ''")
+    q = _kind(F.char_length("anchor"))
+    anchors = rounds.write(anchors.select(*by, "anchor").where("anchor is not null").distinct().withColumn("q", q))
+    sizes = sorted({r[0] for r in anchors.select("q").distinct().collect()} - {None})
+    here = anchors.where("anchor = ''").select(*by, "anchor")
     out = here.join(texts.select(*by).distinct(), by, "left_semi") if by else here.where(F.lit(not texts.isEmpty()))
-    size = F.char_length("anchor")
-    kinds = {r[0] for r in anchors.select(_kind(size)).distinct().collect()}
-    for q in sorted(kinds - {None}, reverse=True):
-        out = out.unionAll(_found(rounds, texts, anchors.where(_kind(size) == q), by, q))
-    return out
-
-
-def _kind(size: Column) -> Column:
-    kind = F.lit(None).cast("int")
-    for q in reversed(GRAMS):
-        kind = F.when(size >= q, q).otherwise(kind)
-    return kind
-
-
-def _found(rounds: Rounds, texts: DataFrame, anchors: DataFrame, by: list[str], q: int) -> DataFrame:
-    grams = rounds.write(anchors.select(*by, "anchor", F.explode(_grams("anchor", q)).alias("gram")))
-    long = texts.where(F.char_length("content") >= q)
-    cut = long.select(*by, F.xxhash64("content").alias("text"), F.explode(_grams("content", q)).alias("gram"))
-    known = grams.select("gram").distinct()
-    often = sieve(rounds, known, ["gram"])(cut).groupBy("gram").agg(F.count("*").alias("n"))
-    # An anchor with a substring that no text holds is in none.
-    place = grams.join(often, "gram", "left").groupBy(*by, "anchor").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("at"))
-    filed = rounds.write(place.where("at.n > 0").select(*by, "anchor", F.col("at.gram").alias("gram")))
-    held = sieve(rounds, filed.select(*by, "gram").distinct(), [*by, "gram"])(cut)
-    wanted = held.join(filed, [*by, "gram"]).groupBy(*by, "text").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = rounds.write(wanted)
-    near = sieve(rounds, wanted, [*by, "text"])(long.withColumn("text", F.xxhash64("content"))).join(wanted, [*by, "text"])
+    if not sizes:
+        return out
+    at = F.sequence(F.lit(0), F.char_length("anchor") - F.col("q"))
+    parts = F.transform(at, lambda i: F.struct((i % F.col("q")).alias("shift"), F.substr(F.col("anchor"), i + 1, F.col("q")).alias("block")))
+    parts = rounds.write(anchors.where("q is not null").select(*by, "anchor", F.explode(parts).alias("x")).select(*by, "anchor", "x.shift", "x.block"))
+    cut = texts.select(*by, F.xxhash64("content").alias("text"), F.explode(_blocks("content", sizes)).alias("block"))
+    often = sieve(rounds, parts.select("block").distinct(), ["block"])(cut).groupBy("block").agg(F.count("*").alias("n"))
+    place = parts.join(often, "block", "left").groupBy(*by, "anchor", "shift").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "block")).alias("at"))
+    # A shift with a block that no text holds is nowhere.
+    filed = rounds.write(place.where("at.n > 0").select(*by, "anchor", F.col("at.block").alias("block")).distinct())
+    held = sieve(rounds, filed.select(*by, "block").distinct(), [*by, "block"])(cut)
+    wanted = rounds.write(held.join(filed, [*by, "block"]).groupBy(*by, "text").agg(F.collect_set("anchor").alias("anchors")))
+    near = sieve(rounds, wanted, [*by, "text"])(texts.withColumn("text", F.xxhash64("content"))).join(wanted, [*by, "text"])
     hits = F.filter("anchors", lambda a: F.contains(F.col("content"), a))
-    return near.select(*by, F.explode(hits).alias("anchor")).distinct()
+    return out.unionAll(near.select(*by, F.explode(hits).alias("anchor")).distinct())

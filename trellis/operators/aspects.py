@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import GraphTables
 from ..storage import Rounds, written
-from .closure import ancestors, reach, with_root
+from .closure import ancestors, with_root
 
 
 def above(g: GraphTables) -> DataFrame:
@@ -16,8 +16,18 @@ def above(g: GraphTables) -> DataFrame:
 
 
 def implies_closure(g: GraphTables) -> DataFrame:
-    """(aspect, implied, depth), without the aspect itself unless it lies on a cycle."""
-    return reach(g.implies.select(F.col("id").alias("src"), F.col("implied").alias("dst"))).select(F.col("root").alias("aspect"), F.col("node").alias("implied"), "depth")
+    """(aspect, implied, depth), without the aspect itself unless it lies on a cycle.
+
+    Paths are doubled until no pair is new: implications are few, and pairs with themselves meet in few rounds.
+    """
+    rounds = Rounds(g.implies.sparkSession, "implied")
+    now, n = rounds.counted(g.implies.select(F.col("id").alias("aspect"), "implied").distinct().withColumn("depth", F.lit(1).cast("long")))
+    before = -1
+    while n and n != before:
+        before = n
+        longer = now.select("aspect", F.col("implied").alias("by"), "depth").join(now.select(F.col("aspect").alias("by"), "implied", F.col("depth").alias("more")), "by")
+        now, n = rounds.counted(now.unionAll(longer.select("aspect", "implied", F.col("depth") + F.col("more"))).groupBy("aspect", "implied").agg(F.min("depth").alias("depth")))
+    return now
 
 
 def circular(closure: DataFrame) -> DataFrame:

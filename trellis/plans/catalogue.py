@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
 
 from pyspark.sql import functions as F
@@ -221,11 +222,19 @@ _ISSUES = [
 ]
 
 
+def _shared(spark, d):
+    """The graph with the tables that many rules read written once; texts stay where they are."""
+    g = from_star_schema(spark, d)
+    tables = ("nodes", "relations", "node_aspects", "aspects", "implies", "flow_nodes", "flow_aspects", "mappings", "files")
+    return dataclasses.replace(g, **{t: closure.written(getattr(g, t)) for t in tables})
+
+
 def _issues(spark, d, listed=_ISSUES):
-    """(code, severity, node): the rows of all rules together."""
-    out = None
+    """(code, severity, node): the rows of all rules together, over one graph."""
+    g, out = _shared(spark, d), None
     for name, code, severity, node in listed:
-        one = rules.issue(_star(_ALL[name][0])(spark, d), code, severity, node)
+        rule = _ALL[name][0]
+        one = rules.issue(rule(g, spark, d) if rule.__code__.co_argcount == 3 else rule(g), code, severity, node)
         out = one if out is None else out.unionAll(one)
     return out
 
