@@ -18,8 +18,11 @@ def above(g: GraphTables) -> DataFrame:
 def implies_closure(g: GraphTables) -> DataFrame:
     """(aspect, implied, depth), without the aspect itself unless it lies on a cycle.
 
-    Paths are doubled until no pair is new: implications are few, and pairs with themselves meet in few rounds.
+    Paths are doubled until no pair is new: implications are few, and pairs with themselves meet in few rounds. The written
+    pairs stay with the graph for the next operator that asks.
     """
+    if g.implied is not None and g.implied[0] is g.implies:
+        return g.implied[1]
     rounds = Rounds(g.implies.sparkSession, "implied")
     now, n = rounds.counted(g.implies.select(F.col("id").alias("aspect"), "implied").distinct().withColumn("depth", F.lit(1).cast("long")))
     before = -1
@@ -27,6 +30,7 @@ def implies_closure(g: GraphTables) -> DataFrame:
         before = n
         longer = now.select("aspect", F.col("implied").alias("by"), "depth").join(now.select(F.col("aspect").alias("by"), "implied", F.col("depth").alias("more")), "by")
         now, n = rounds.counted(now.unionAll(longer.select("aspect", "implied", F.col("depth") + F.col("more"))).groupBy("aspect", "implied").agg(F.min("depth").alias("depth")))
+    g.implied = g.implies, now
     return now
 
 

@@ -145,7 +145,11 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     before = -1
     while n != before and n:
         before = n
-        edges, n = rounds.counted(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        for _ in range(2):
+            edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        edges, n = rounds.counted(edges)
+    if not n:
+        return edges.select(F.col("src").alias("node"))
     return reach(edges).where("root = node").select("node")
 
 

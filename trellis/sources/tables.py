@@ -58,3 +58,4 @@ class GraphTables:
     config: dict | None = None
     config_error: str | None = None
     root: str = ""
+    implied: tuple[DataFrame, DataFrame] | None = None  # implications, and their closure once it is made
