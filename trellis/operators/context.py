@@ -139,8 +139,12 @@ def layers(g: GraphTables, only: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def status_of(g: GraphTables, n_tokens):
+    return F.when(n_tokens >= g.settings.error, "error").when(n_tokens >= g.settings.warning, "warning").otherwise("ok")
+
+
 def _status(g: GraphTables):
-    return F.when(F.col("tokens") >= g.settings.error, "error").when(F.col("tokens") >= g.settings.warning, "warning").otherwise("ok")
+    return status_of(g, F.col("tokens"))
 
 
 def sums(g: GraphTables, only: DataFrame | None = None) -> DataFrame:
@@ -154,22 +158,23 @@ def sums(g: GraphTables, only: DataFrame | None = None) -> DataFrame:
     member = written(flow_membership(g))
     zero = lambda c: F.coalesce(c, F.lit(0))
     row = lambda df, n, lost=F.lit(False), count=F.lit(1), here=F.lit(False): df.select("node", n.cast("long").alias("units"), count.cast("long").alias("n"), lost.alias("lost"), here.alias("here"))
-    nodes = g.nodes if only is None else g.nodes.join(only.select(F.col("node").alias("path")).distinct(), "path", "left_semi")
+    here = lambda df, c="node": df if only is None else df.join(only.select(F.col("node").alias(c)).distinct(), c, "left_semi")
+    nodes = here(g.nodes, "path")
     start = nodes.select(F.col("path").alias("node"), units(trim("yaml_raw")).alias("y")).join(art.select("node", "own"), "node", "left")
     fixed = 14 + len(g.settings.name.encode("utf-16-le")) // 2 + len(NODE_FILE) + 5
     out = row(start, F.col("y") + fixed + zero(F.col("own")), count=F.lit(2), here=F.lit(True))
-    out = out.unionAll(row(above(g).join(art.select(F.col("node").alias("ancestor"), "all"), "ancestor", "left"), zero(F.col("all"))))
+    out = out.unionAll(row(here(above(g)).join(art.select(F.col("node").alias("ancestor"), "all"), "ancestor", "left"), zero(F.col("all"))))
 
     names = g.nodes.select(F.col("path").alias("dst"), F.col("name").alias("dst_name"), F.lit(True).alias("known"))
-    rel = g.relations.join(names, "dst", "left").join(art.select(F.col("node").alias("dst"), "related"), "dst", "left").withColumnRenamed("src", "node")
+    rel = here(g.relations, "src").join(names, "dst", "left").join(art.select(F.col("node").alias("dst"), "related"), "dst", "left").withColumnRenamed("src", "node")
     higher = F.col("node").startswith(F.concat("dst", F.lit("/"))) | (F.col("dst") == "") & (F.col("node") != "")
     pre, is_event = _preamble(), F.col("type").isin(EVENT)
     size = F.when(is_event, units(_event()[1])).otherwise(F.when(F.col("related").isNull(), units(rtrim(pre))).otherwise(units(pre) + F.col("related")))
     counts = (is_event | F.col("type").isin(STRUCTURAL)) & ~higher & F.col("known").isNotNull()
     out = out.unionAll(row(rel, F.when(counts, size).otherwise(0), F.col("known").isNull(), counts.cast("int")))
 
-    out = out.unionAll(row(member.join(_concluded(g.flow_artifacts, "flow"), "flow", "left"), F.coalesce("units", F.lit(len(NO_FLOW_FILES)))))
-    base = sources(g, member).select("node", "aspect").distinct()
+    out = out.unionAll(row(here(member).join(_concluded(g.flow_artifacts, "flow"), "flow", "left"), F.coalesce("units", F.lit(len(NO_FLOW_FILES)))))
+    base = here(sources(g, member)).select("node", "aspect").distinct()
     tiers = g.aspects.select(F.col("id").alias("aspect"), F.when(F.col("stability") != "", units("stability") + len(STABILITY)).alias("tier"))
     known = resolved(base.unionAll(base.join(closure, "aspect").select("node", F.col("implied").alias("aspect"))).distinct(), g.aspects)
     notes = g.node_aspects.where(F.size("exceptions") > 0).select(F.col("path").alias("node"), "aspect", (units(F.array_join("exceptions", "; ")) + len(EXCEPTION)).alias("note"))
