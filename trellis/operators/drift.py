@@ -123,6 +123,30 @@ def digest(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("node").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
 
 
+def _lines(path: str, value: str):
+    """SHA-256 of 'path:value' lines in locale order of the paths."""
+    rows = F.array_sort(F.collect_list(F.struct(F.collate(F.col(path), "UNICODE").alias("k"), F.col(value).alias("v"))))
+    return F.sha2(F.array_join(F.transform(rows, lambda x: F.concat(x["k"].cast("string"), F.lit(":"), x["v"])), "\n"), 256)
+
+
+def path_digests(mappings: DataFrame, files: DataFrame) -> DataFrame:
+    """(node, mapping, is_file, digest): a mapped file has its own hash, a mapped directory that of the files below it, named
+    from there. ``files``: path, hash. A mapping that is neither has no row; a file is hashed once for each directory above it
+    that is mapped."""
+    claims = mappings.select("node", comparable("mapping").alias("mapping")).where("mapping <> ''").distinct()
+    below = files.select("path", "hash", F.explode(prefixes("path")).alias("mapping")).join(claims.select("mapping").distinct(), "mapping", "left_semi")
+    rest = F.expr("substring(path, length(mapping) + 2)")
+    one = below.groupBy("mapping").agg(F.max(F.when(F.col("path") == F.col("mapping"), F.col("hash"))).alias("own"), F.count("*").alias("n"))
+    inside = below.where("path <> mapping").select("mapping", rest.alias("rest"), "hash").groupBy("mapping").agg(_lines("rest", "hash").alias("whole"))
+    found = one.join(inside, "mapping", "left").select("mapping", F.col("own").isNotNull().alias("is_file"), F.coalesce("own", "whole").alias("digest"))
+    return claims.join(found, "mapping").select("node", "mapping", "is_file", "digest")
+
+
+def mapping_digests(digests: DataFrame) -> DataFrame:
+    """(node, n_paths, digest): one hash for all mapped paths of a node, of ``path_digests``."""
+    return digests.groupBy("node").agg(F.count("*").alias("n_paths"), _lines("mapping", "digest").alias("digest"))
+
+
 def garbage(g: GraphTables, valid: DataFrame) -> DataFrame:
     """(node) with stored state that is not among ``valid`` (path)."""
     return g.baseline.select("node").distinct().join(valid.select(F.col("path").alias("node")), "node", "left_anti")

@@ -9,7 +9,7 @@ from ..sources.tables import GraphTables
 from ..storage import Rounds
 from .aspects import above, effective
 from . import bitmaps
-from .closure import structural, written
+from .closure import dependencies, stages, structural, written
 
 
 def direct(g: GraphTables) -> DataFrame:
@@ -122,6 +122,45 @@ def event_counts(g: GraphTables) -> DataFrame:
     return n.join(numbers.select(F.col("id").alias("root"), F.col("name").alias("target")), "root").select("target", F.col("n").alias("n_nodes"))
 
 
+def co_aspect_counts(g: GraphTables, have: DataFrame) -> DataFrame:
+    """(target, n_nodes): for every node how many others share an effective aspect with it; ``have``: node, aspect.
+
+    Who has an aspect is one set of bits, and a node unites the sets of its aspects: no row for each pair.
+    """
+    rounds = Rounds(g.nodes.sparkSession, "shared")
+    have = rounds.write(have.select("node", "aspect").distinct())
+    numbers = bitmaps.numbered(rounds, have.select(F.col("node").alias("name"), F.lit(0).alias("group")))
+    kinds = bitmaps.numbered(rounds, have.select(F.col("aspect").alias("name"), F.lit(0).alias("group")))
+    ids = rounds.write(bitmaps.by_number(bitmaps.by_number(have, numbers, "node"), kinds, "aspect"))
+    who = bitmaps.bits_of(ids.select(F.col("aspect").alias("root"), "node"))
+    n = bitmaps.counts(bitmaps.without_root(bitmaps.along(ids.select(F.col("node").alias("root"), F.col("aspect").alias("node")), who)))
+    return n.join(numbers.select(F.col("id").alias("root"), F.col("name").alias("target")), "root").select("target", F.col("n").alias("n_nodes"))
+
+
+def build_stages(g: GraphTables, mode: str = "all", mapped: DataFrame | None = None, node: str | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """(node, stage) of the nodes to build: all, those that ``changed`` finds for ``paths`` (path), or a node and what it
+    depends on. Candidates are ``mapped`` (node; those with a mapping without it) and no blackboxes.
+
+    ValueError for an unknown mode or node, for a candidate's relation to a missing node, and for a cycle.
+    """
+    if mode == "all":
+        some = g.nodes.select(F.col("path").alias("node"))
+    elif mode == "changed":
+        some = changed(g, paths).select("node")
+    elif mode == "node":
+        some = dependencies(g.nodes, g.relations, roots=g.nodes.sparkSession.createDataFrame([(node,)], "root string")).select("node")
+    else:
+        raise ValueError(f"mode must be all, changed or node, not {mode!r}")
+    mapped = g.mappings.select("node") if mapped is None else mapped.select("node")
+    some = some.join(mapped.distinct(), "node", "left_semi").join(g.nodes.where("not blackbox").select(F.col("path").alias("node")), "node", "left_semi")
+    some = written(some.distinct())
+    own = g.relations.join(some.withColumnRenamed("node", "src"), "src", "left_semi")
+    lost = own.join(g.nodes.select(F.col("path").alias("dst")), "dst", "left_anti").first()
+    if lost:
+        raise ValueError(f"relation target not found: {lost['dst']}")
+    return stages(some, structural(g.relations))
+
+
 def scope_total(g: GraphTables, edges: DataFrame) -> DataFrame:
     """(target, n_nodes, n_flows, n_aspects) of every node: dependents, descendants and event nodes together;
     flows that name the node; effective aspects. The nodes are united as bits, without a row for each pair."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable, load_order, prefixes, trim, units
@@ -106,9 +106,13 @@ def missing_artifact(g: GraphTables, types: DataFrame | None = None) -> DataFram
 
 
 def first_sources(g: GraphTables, most: int = 5) -> DataFrame:
-    """(node, n_sources, sources): how many nodes relate to a node, and the first ``most`` of them in byte order."""
-    one = g.relations.select(F.col("dst").alias("node"), "src").distinct().groupBy("node").agg(F.sort_array(F.collect_list("src")).alias("all"))
-    return one.select("node", F.size("all").cast("long").alias("n_sources"), F.array_join(F.slice("all", 1, most), ", ").alias("sources"))
+    """(node, n_sources, sources): how many nodes relate to a node, and the first ``most`` of them in byte order. A limit within
+    each group keeps what is gathered that short, before and after the shuffle."""
+    pairs = written(g.relations.select(F.col("dst").alias("node"), "src").distinct())
+    n = pairs.groupBy("node").agg(F.count("*").alias("n_sources"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("src"))
+    some = pairs.withColumn("k", rank).where(F.col("k") <= most).groupBy("node").agg(F.array_join(F.sort_array(F.collect_list("src")), ", ").alias("sources"))
+    return n.join(some, "node").select("node", "n_sources", "sources")
 
 
 def shallow(g: GraphTables, least: int | None = None) -> DataFrame:
