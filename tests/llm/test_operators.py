@@ -199,6 +199,22 @@ def test_shards_are_even_and_maps_move_little(spark):
     assert versions.edit(1, weights, 23) == versions.read(2) and set(versions.read(2).values()) == set(range(23))
 
 
+def test_a_map_outlives_a_run(spark):
+    root = sharding.shared_dir(spark) + "/lasting-map"
+    base = [(i, f"text {i} " + "y" * (i % 53)) for i in range(1500)]
+    hot = [(9999, "z" * 3000)] * 60
+    rows = lambda some: {(r.doc_id, r.text_crc32): (r.shard, r.virtual_slot) for r in sharding.shard(spark.createDataFrame(some, "doc_id long, text string"), 4, 64, root).collect() if r.doc_id != 9999}
+    one = rows(base)
+    assert sharding.SlotMap(spark, root).last() == 2 and rows(base) == one and sharding.SlotMap(spark, root).last() == 3
+    # A slot that becomes hot is cut; the other records keep their slots, and few of them move.
+    two = rows(base + hot)
+    kept = sharding.pieces_of(sharding.SlotMap(spark, root).read(4), 64)
+    assert kept and all(n & (n - 1) == 0 for n in kept.values())
+    assert all(two[k][1] == v[1] for k, v in one.items() if v[1] % 64 not in kept)
+    again = rows(base + hot)
+    assert all(again[k][1] == v[1] for k, v in two.items()) and sum(again[k][0] != v[0] for k, v in two.items()) <= len(base) // 10
+
+
 def test_toxic_documents_held_out(spark):
     r = random.Random(3)
     bad = ["vile", "moronic", "scummy", "worthless"]
