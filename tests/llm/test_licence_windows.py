@@ -47,3 +47,32 @@ def test_windows_against_brute_force():
         all_ = [(T.cosine(k, Counter(words[i : i + n])), T.names[k]) for k, n in enumerate(T.widths) for i in range(max(1, len(words) - n + 1))]
         best = min(((-c, name) for c, name in all_ if c >= licenses.MIN_COSINE), default=None)
         assert best == min(((-c, name) for c, name, _, _ in T.windows(words)), default=None)
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(2)
+    notices = [None, None, None, GPL, BSD, APACHE, licenses.bodies()["MIT"][0] if "MIT" in licenses.bodies() else BSD]
+    rows = []
+    for k in range(140):
+        notice = rng.choice(notices)
+        text = rng.choice([None, ""]) if k % 19 == 0 else prose(k, 60) + (" " + notice if notice else "")
+        rows.append((None if k % 23 == 0 else k * 5, text, rng.choice(["en", "fr", None]), rng.choice(["s1", "s/2", None])))
+    rows.append(rows[3])
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in licenses.op6_licenses(spark, str(tmp_path)).select("doc_id", "licence", "is_file", "inherited", "from_dir").collect()), key=str)
+    part = lambda x: (x or "?").replace("/", "_") if x is not None else "?"
+    one = [(d, None if d is None else f"{part(s)}/{part(l)}/{d // 64}", T.scan(t)) for d, t, l, s in rows]
+    by = {}
+    for _, at, (name, _, is_file) in one:
+        if at and name:
+            by.setdefault(at, {}).setdefault(name, [0, 0])
+            by[at][name][0] -= bool(is_file)
+            by[at][name][1] -= 1
+    best = {at: min((*n, name) for name, n in some.items())[2] for at, some in by.items()}
+    want = []
+    for d, at, (name, _, is_file) in one:
+        up = ["/".join(at.split("/")[:k]) for k in range(len(at.split("/")), -1, -1)] if at else []
+        near = next((u for u in up if u in best), None) if name is None else None
+        want.append((d, name, is_file, best.get(near), near))
+    assert got == sorted(want, key=str)
+    assert all(r[3] is None for r in got if r[0] is None)

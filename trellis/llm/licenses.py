@@ -198,10 +198,16 @@ def inherit(scanned: DataFrame) -> DataFrame:
     return out.select("key", "path", "licence", "cosine", "is_file", F.when(lacks, F.col("inherited")).alias("inherited"), F.when(lacks, F.col("from_dir")).alias("from_dir"))
 
 
+def tree_path() -> Column:
+    """Documents as files of a tree source/lang/bucket/doc_id. A null part is '?', a name of its own; a slash in a part is no
+    separator; a row without doc_id has no path, so it lies in no directory and inherits nothing."""
+    part = lambda c: F.translate(F.coalesce(c, F.lit("?")), "/", "_")
+    return F.concat(part("source"), F.lit("/"), part("lang"), F.lit("/"), F.floor(F.col("doc_id") / 64).cast("string"), F.lit("/"), F.col("doc_id").cast("string"))
+
+
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree source/lang/bucket/doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"), F.col("doc_id").cast("string"))
+    path = tree_path()
     ws = Workspace(spark, "licences")
     scanned = ws.save(scan(docs.select(F.col("doc_id").cast("long").alias("key"), path.alias("path"), "text")), "scanned")
     return inherit(scanned).withColumnRenamed("key", "doc_id")
