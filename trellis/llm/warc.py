@@ -239,4 +239,5 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
-    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    out = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
