@@ -127,3 +127,15 @@ def test_lines_left_out_have_no_labels():
 def test_whole_shapes():
     long = "Ab1-" * 20
     assert pii.word_features(long)[0] == "shape " + pii.shape(long.strip(pii._TRIM)) and len(pii.shape(long)) > 24
+
+
+def test_long_words_are_not_kept(monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ROWS", 300)
+    monkeypatch.setattr(pii, "MOST_KEPT", 20_000)
+    finder = pii.Finder(pii.Field(pii.training()))
+    rng = random.Random(1)
+    for _ in range(40):
+        text = " ".join("".join(rng.choice("aB3-") for _ in range(rng.randrange(60, 90))) for _ in range(40))
+        finder.spans([text])
+        assert len(finder.rows) <= 340 and finder.kept <= 20_000 + 40 * 200
+    assert len(finder.table) <= 1024

@@ -201,12 +201,16 @@ def _valid(kind: str, found: str) -> bool:
     return kind != "phone" or 7 <= len(digits) <= 15
 
 
+#: What a worker remembers between slices of texts: words, rows of emissions, and characters of their features.
+MOST_KNOWN, MOST_ROWS, MOST_KEPT = 200_000, 50_000, 8_000_000
+
+
 class Finder:
     """All spans of texts: base spans and those the field adds."""
 
     def __init__(self, field: Field):
-        self.field, self.known, self.rows = field, {}, {}
-        self.table, self.safe = np.zeros((0, len(LABELS)), np.float32), np.zeros(0, bool)
+        self.field, self.known, self.rows, self.kept = field, {}, {}, 0
+        self.table, self.safe = np.zeros((1024, len(LABELS)), np.float32), np.zeros(1024, bool)
         # A stretch of other labels gains at most this much by its transitions for each of its words, so
         # where every word's own label O leads by it, no such stretch is on the best path.
         self.slack = 2 * max(0.0, float(field.move.max() - field.move[0, 0]))
@@ -219,16 +223,21 @@ class Finder:
             key = ("Xx" if a == "X" else "x", b)
         else:
             key = tuple(word_features(word))
-        if key not in self.rows:
+        at = self.rows.get(key)
+        if at is None:
+            at = len(self.rows)
+            if at == len(self.table):  # doubled, so that rows are moved once on average
+                self.table, self.safe = np.concatenate([self.table, self.table]), np.concatenate([self.safe, self.safe])
             e = self.field.emission(word)
-            self.rows[key] = len(self.table)
-            self.table = np.concatenate([self.table, e[None].astype(np.float32)])
-            self.safe = np.append(self.safe, e[0] - e[1:].max() >= self.slack)
-        return self.rows[key]
+            self.table[at], self.safe[at] = e, e[0] - e[1:].max() >= self.slack
+            self.rows[key] = at
+            self.kept += sum(map(len, key))
+        return at
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 200_000:
-            self.known, self.rows, self.table, self.safe = {}, {}, self.table[:0], self.safe[:0]
+        if len(self.known) > MOST_KNOWN or len(self.rows) > MOST_ROWS or self.kept > MOST_KEPT:
+            self.known, self.rows, self.kept = {}, {}, 0
+            self.table, self.safe = self.table[:1024].copy(), self.safe[:1024].copy()
         long = {}
         for w in set(words).difference(self.known):
             (self.known if len(w) <= 64 else long)[w] = self._row(w)
