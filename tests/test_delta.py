@@ -14,14 +14,11 @@ def load(spark, at, changes=None):
     return directory.load(spark, sample.write(at, changes=changes))
 
 
+GATE, LATE = "model/gates/gate-driver/responsibility.md", "model/plans/late/yg-node.yaml"
 CHANGES = {
-    "text": ({"model/gates/gate-driver/responsibility.md": "Now much longer than it was before.\n"}, {"gates/gate-driver", "plans/plan-maker"}),
-    "parent": ({"model/sensors/responsibility.md": None}, {"sensors", "sensors/rain-gauge", "sensors/soil-probe"}),
-    "aspect": ({"aspects/metric-units/content.md": "Any."}, {"gates/gate-driver", "plans", "plans/plan-maker"}),
-    "flow": ({"flows/morning-round/steps.md": "Go."}, {"gates/gate-driver", "plans/plan-maker"}),
-    "new node": ({"model/plans/late/yg-node.yaml": "name: Late\ntype: service\nrelations: [{target: sensors, type: uses}]\n"}, {"plans/late"}),
-    "lost node": ({f"model/sensors/soil-probe/{f}": None for f in ("yg-node.yaml", "description.md", "responsibility.md")}, {"sensors/soil-probe", "plans/plan-maker"}),
-    "cycle": ({"aspects/metric-units/yg-aspect.yaml": "name: Metric Units\nimplies: [leaves-trace]\n"}, {"gates/gate-driver", "plans", "plans/plan-maker"}),
+    "text, new node": ({GATE: "Now much longer than it was before.\n", LATE: "name: Late\ntype: service\nrelations: [{target: sensors, type: uses}]\n"}, {"gates/gate-driver", "plans/plan-maker", "plans/late"}),
+    "parent, flow": ({"model/sensors/responsibility.md": None, "flows/morning-round/steps.md": "Go."}, {"sensors", "sensors/rain-gauge", "sensors/soil-probe", "gates/gate-driver", "plans/plan-maker"}),
+    "lost node, cycle": ({f"model/sensors/soil-probe/{f}": None for f in ("yg-node.yaml", "description.md", "responsibility.md")} | {"aspects/metric-units/yg-aspect.yaml": "name: Metric Units\nimplies: [leaves-trace]\n"}, {"sensors/soil-probe", "gates/gate-driver", "plans", "plans/plan-maker"}),
 }
 
 

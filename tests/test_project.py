@@ -123,6 +123,18 @@ def test_old_state_file_is_split(spark, tmp_path):
     assert project.read_state(spark, graph).count() == 1
 
 
+def test_a_broken_rewrite_goes_on(spark, tmp_path):
+    old = "a/b:\n  hash: h\n  files: {x: y}\n"
+    graph = sample.write(tmp_path, changes={".drift-state": old, ".drift-state.new/half.json": '{"hash": "no"}'})
+    assert [(r.node, r.hash) for r in project.read_state(spark, graph).collect()] == [("a/b", "h")]
+    top = tmp_path / "graph"
+    # Stopped after the old file went aside: the new files take their place, the old one goes.
+    (top / ".drift-state").rename(top / ".drift-state.new")
+    (top / ".drift-state.old").write_text(old)
+    assert [(r.node, r.hash) for r in project.read_state(spark, graph).collect()] == [("a/b", "h")]
+    assert sorted(p.name for p in top.glob(".drift-state*")) == [".drift-state"] and not [p for p in top.rglob("*.json.*")]
+
+
 @pytest.mark.parametrize("rules, path, out", [
     ("*.log", "a/b.log", True), ("*.log\n!keep.log", "a/keep.log", False), ("/build", "build/x", True), ("/build", "a/build/x", False), ("build/", "a/build/x", True), ("a/**/z", "a/b/c/z", True), ("a/**/z", "a/z", True),
     ("doc/*.txt", "doc/x.txt", True), ("doc/*.txt", "doc/s/x.txt", False), ("# note\n\n", "x", False), ("[ab].c", "b.c", True), ("x?.c", "xy.c", True), ("x?.c", "x/.c", False), ("dir\n!dir/keep", "dir/keep", True), ("out/", "out", True), (r"\!x", "!x", True),

@@ -12,14 +12,17 @@ import re
 import shutil
 import subprocess
 import tempfile
+import uuid
 from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import _where, gone_at_exit, shared_dir
 from . import directory
 from .tables import GraphTables
 
@@ -221,9 +224,14 @@ STATE_COLS = "node string, hash string, files map<string,string>, mtimes map<str
 
 def read_state(spark: SparkSession, graph: str) -> DataFrame:
     """(node, hash, files, mtimes) of the stored state: a JSON file for each node. Unreadable ones have no row. A single
-    file of an older layout is read, and rewritten as one file for each node."""
+    file of an older layout is read, and rewritten as one file for each node: all of these are written before the
+    old file moves aside, and it goes last, so a break at any point loses nothing; the next read goes on from there."""
     top = f"{_uri(spark, graph)}/{STATE}"
     where, at = _open(top)
+    kind = lambda path: where.get_file_info(path).type
+    new, old = f"{at}.new", f"{at}.old"
+    if kind(at) == fs.FileType.NotFound and kind(old) == fs.FileType.File:
+        where.move(new if kind(new) == fs.FileType.Directory else old, at)
     info = where.get_file_info(at)
     if info.type == fs.FileType.NotFound:
         return spark.createDataFrame([], STATE_COLS)
@@ -235,27 +243,37 @@ def read_state(spark: SparkSession, graph: str) -> DataFrame:
         except ValueError:
             raw = directory.yaml.safe_load(text) if directory.yaml else None
         entries = {k: v for k, v in raw.items() if isinstance(v, dict) and "hash" in v} if isinstance(raw, dict) else {}
-        where.delete_file(at)
         state = spark.createDataFrame([(k, v["hash"], v.get("files") or {}, {p: float(t) for p, t in (v.get("mtimes") or {}).items()}) for k, v in entries.items()], STATE_COLS)
-        write_state(state, graph)
+        if kind(new) == fs.FileType.Directory:
+            where.delete_dir(new)
+        where.create_dir(new)
+        write_state(state, graph, f"{STATE}.new")
+        where.move(at, old)
+        where.move(new, at)
+        where.delete_file(old)
         return state
+    if kind(old) == fs.FileType.File:
+        where.delete_file(old)
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(top, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     parsed = F.from_json("value", "hash string, files map<string,string>, mtimes map<string,double>")
     node = F.regexp_replace(F.url_decode(F.element_at(F.split("file", "/" + re.escape(STATE) + "/"), -1)), r"\.json$", "")
     return text.select(node.alias("node"), parsed.alias("s")).where("s.hash is not null").select("node", "s.hash", "s.files", "s.mtimes")
 
 
-def write_state(state: DataFrame, graph: str) -> int:
-    """Writes a JSON file for each row of ``state``, in nested directories; returns their number."""
-    top = f"{_uri(state.sparkSession, graph)}/{STATE}"
+def write_state(state: DataFrame, graph: str, folder: str = STATE) -> int:
+    """Writes a JSON file for each row of ``state``, in nested directories; returns their number. A file is written under a
+    name of its attempt and then takes its place, so a lost task leaves the old one whole."""
+    top = f"{_uri(state.sparkSession, graph)}/{folder}"
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 where, at = _open(f"{top}/{r['node']}.json")
                 where.create_dir(at.rpartition("/")[0], recursive=True)
-                with where.open_output_stream(at, compression=None) as f:
+                attempt = f"{at}.{uuid.uuid4().hex}"
+                with where.open_output_stream(attempt, compression=None) as f:
                     f.write((json.dumps({"hash": r["hash"], "files": dict(r["files"] or []), "mtimes": dict(r["mtimes"] or [])}, indent=2, ensure_ascii=False) + "\n").encode())
+                where.move(attempt, at)
             yield pa.RecordBatch.from_arrays([b["node"]], ["node"])
 
     return state.select("node", "hash", "files", "mtimes").mapInArrow(run, "node string").count()
@@ -283,7 +301,10 @@ def _git(project: str, *args: str) -> str | None:
 
 
 def at_ref(spark: SparkSession, project: str, graph: str, ref: str = "HEAD") -> GraphTables | None:
-    """The graph as of a commit; None without a repository, the commit, or the graph in it. Driver only."""
+    """The graph as of a commit; None without a repository, the commit, or the graph in it.
+
+    The driver asks git for the files; on a cluster they go to the shared folder, where tasks read them.
+    """
     if ref.startswith("-") or _git(project, "rev-parse", "--verify", ref) is None:
         return None
     folder = tempfile.mkdtemp(prefix="trellis-ref-")
@@ -292,8 +313,14 @@ def at_ref(spark: SparkSession, project: str, graph: str, ref: str = "HEAD") ->
         if _git(project, "archive", ref, graph, "-o", packed) is None:
             return None
         shutil.unpack_archive(packed, folder, "tar", filter="data")
-        return directory.load(spark, f"{folder}/{graph}")  # its files are read at once, into written tables
-    except (ValueError, OSError):
+        place = f"{folder}/{graph}"
+        if not spark.sparkContext.master.startswith("local"):
+            place = f"{shared_dir(spark)}/ref-{uuid.uuid4().hex}"
+            at, files = _where(spark, place)
+            files.copyFromLocalFile(_where(spark, f"file://{folder}/{graph}")[0], at)
+            gone_at_exit(spark, place)
+        return directory.load(spark, place)  # its files are read at once, into written tables
+    except (ValueError, OSError, AnalysisException):
         return None
     finally:
         shutil.rmtree(folder, ignore_errors=True)
