@@ -172,7 +172,10 @@ _ALL |= {
     "v_bad_condition": (lambda g, spark, d: rules.bad_condition(spark.createDataFrame(_CONDITIONS, "artifact string, condition string"), _aspects_ok(g)), "SELECT artifact, split_part(c, ':', 2) AS aspect FROM (VALUES ('responsibility.md', 'always'), ('audit.md', 'has_aspect:size/7'), ('plan.md', 'has_aspect:size/3'), ('old.md', 'has_tag:gone')) t(artifact, c) WHERE c LIKE 'has_%:%' AND split_part(c, ':', 2) NOT IN (SELECT id FROM aspect_ok)"),
     "v_duplicate_aspect": (lambda g: rules.duplicate_aspect(g.aspects.unionAll(g.aspects.where("id like 'seg/%'"))), "SELECT id, count(*) AS n FROM (SELECT id FROM aspects UNION ALL SELECT id FROM aspects WHERE id LIKE 'seg/%') GROUP BY 1 HAVING count(*) > 1"),
     "v_implies_cycle": (lambda g, spark, d: rules.implies_cycle(g.implies.select("id", "implied").unionAll(spark.createDataFrame([("size/3", "size/50")], "id string, implied string"))), "SELECT DISTINCT root AS aspect FROM icyc WHERE root = node"),
-    "v_missing_schema": (lambda g, spark, d: rules.missing_schema(spark.createDataFrame([("node",), ("flow",)], "schema string")), "SELECT schema FROM (VALUES ('node'), ('aspect'), ('flow')) t(schema) EXCEPT SELECT schema FROM (VALUES ('node'), ('flow')) u(schema)"),
+    "v_missing_schema": (
+        lambda g: rules.missing_schema(g.artifacts.select(F.regexp_replace("filename", r"\.md$", "").alias("schema")), ("interface", "internals", "notes")),
+        "SELECT schema FROM (VALUES ('interface'), ('internals'), ('notes')) t(schema) WHERE schema NOT IN (SELECT regexp_replace(filename, '\\.md$', '') FROM owner)",
+    ),
     "v_mapping_missing": (lambda g: rules.mapping_missing(g.mappings, g.files.where("file not like '%/en/%'")), "SELECT node, mapping FROM mappings WHERE NOT EXISTS (SELECT 1 FROM files WHERE file NOT LIKE '%/en/%' AND (file = mapping OR starts_with(file, mapping||'/')))"),
 }
 CTES["r"] = "SELECT src AS root, dst AS node, 1 AS d FROM links UNION SELECT r.root, e.dst, r.d + 1 FROM r JOIN links e ON e.src = r.node"
