@@ -15,7 +15,6 @@ def spark(tmp_path_factory):
         .config("spark.default.parallelism", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.codegen.wholeStage", "false")
-        .config("spark.sql.adaptive.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
