@@ -12,6 +12,7 @@ from ..functions.text import node_path, pluralize, project_path, rounded, short_
 from ..operators import aspects, closure, context, drift, impact, rules
 from ..sources import directory, project
 from ..sources.tables import GraphTables
+from ..sources.tree import tree
 from . import validate
 
 
@@ -176,7 +177,7 @@ class Project:
 
         r = drift.owners(replace(g, files=self.spark.createDataFrame([(file,)], "file string"))).first()
         if r is None:
-            there = not project.project_files(self.spark, self.root).where((F.col("path") == file) | F.col("path").startswith(file + "/")).isEmpty()
+            there = not tree(self.spark, self.root, [file]).isEmpty()
             return f"{file} -> no graph coverage{'' if there else ' (file not found)'}\n"
         note = "" if r.direct else f"  The file has no mapping of its own; its context comes from the directory {r.mapping} above it.\n"
         return f"{file} -> {r.node}\n{note}"

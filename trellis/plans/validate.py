@@ -9,6 +9,7 @@ from ..functions.text import thousands
 from ..operators import context, cycles, drift, rules
 from ..sources import project
 from ..sources.tables import GraphTables
+from ..sources.tree import tree
 
 SCHEMA = "severity string, code string, rule string, message string, node string"
 # Rule names by code.
@@ -110,8 +111,9 @@ def of_scope(g: GraphTables, found: DataFrame, scope: str) -> tuple[DataFrame, i
 
 def of_project(spark: SparkSession, g: GraphTables, root: str) -> DataFrame:
     """``issues`` with the files of the project at ``root``."""
-    files = project.project_files(spark, root)
-    return issues(spark, g, files, project.anchor_texts(spark, root, files, g.mappings))
+    there = drift.written(tree(spark, root))
+    files = there.where("not folder").select("path")
+    return issues(spark, g, there.select("path"), project.anchor_texts(spark, root, files, g.mappings))
 
 
 class Drift:
@@ -119,7 +121,8 @@ class Drift:
 
     def __init__(self, spark: SparkSession, g: GraphTables, root: str, prefix: str):
         self.spark, self.g, self.prefix = spark, g, prefix
-        listed = drift.written(project.project_files(spark, root))
+        entries = drift.written(tree(spark, root))
+        listed = entries.where("not folder").select("path", "mtime", "size")
         self.mapped = g.mappings.where(F.trim("mapping") != "").select("node").distinct()
         self.state = drift.written(project.read_state(spark, f"{root}/{prefix}"))
         stored = self.state.select("node", F.explode_outer("files").alias("path", "hash"), "mtimes").where("path is not null")
@@ -129,7 +132,7 @@ class Drift:
         files = drift.without_lower(files, drift.exclusions(g)).join(listed.select("path", "mtime"), "path")
         hashes = project.hash_files(spark, root, files, self.stored)
         self.current = drift.written(files.select("node", "path").join(hashes, "path").select("node", "path", "hash", "mtime", drift.category("path", prefix).alias("category")))
-        self.there = g.mappings.select("node", F.trim("mapping").alias("m")).join(listed.select(F.explode(drift.prefixes("path")).alias("m")).distinct(), "m").select("node")
+        self.there = g.mappings.select("node", F.trim("mapping").alias("m")).join(entries.select(F.col("path").alias("m")), "m").select("node")
         self.digests = drift.written(drift.digest(self.current).withColumnRenamed("digest", "hash"))
 
     def changes(self) -> DataFrame:

@@ -1,7 +1,7 @@
 """Graph tables from a directory of YAML and Markdown files.
 
-One listing of the files under the graph directory feeds every table; YAML is parsed in batches where the
-files lie. Spark's listing leaves out names that start with '.' or '_', and directories without files.
+One listing of the graph directory by the tree source feeds every table; files are read and YAML is parsed in tasks.
+Directories whose names start with '.' are not entered; other names count, whatever they start with.
 Unreadable node files become rows of ``node_errors``; one bad aspect or flow file empties its whole table.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..storage import Rounds
 from .tables import GraphTables, Settings
+from .tree import contents, tree
 
 try:
     import yaml
@@ -28,6 +29,7 @@ STABILITIES = ["schema", "protocol", "implementation"]
 WHEN, WHEN_PREFIX = ["has_incoming_relations", "has_outgoing_relations"], ("has_aspect:", "has_tag:")
 QUALITY = {"min_artifact_length": 50, "max_direct_relations": 10}
 BUDGET = {"warning": 10_000, "error": 20_000}
+_DOT = r"(^|/)[.]"  # a path with a directory that is not entered
 
 NODE_COLS = "path string, error string, name string, type string, blackbox boolean, yaml_raw string, aspects array<struct<aspect:string,exceptions:array<string>,anchors:array<string>>>, relations array<struct<ord:long,dst:string,type:string,consumes:array<string>,failure:string,event_name:string>>, mapping array<string>"
 ASPECT_COLS = "id string, error string, name string, description string, implies array<string>, stability string"
@@ -129,13 +131,10 @@ def parse_flow(text: str) -> dict:
     return {"name": _text(raw, "name"), "nodes": nodes, "aspects": _strings(raw["aspects"], "aspects") if "aspects" in raw else None}
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(dir, filename, content) of every file below ``root``; ``dir`` is relative, '' at the top."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    top = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    name = F.expr("substring(path, {})".format(len(top) + 2))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(name.alias("path"), "content")
-    return files.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+def listing(spark: SparkSession, entries: DataFrame, root: str) -> DataFrame:
+    """(dir, filename, content) of the files among ``entries``, which the tree source gave for ``root``."""
+    files = entries.where(~F.col("folder") & ~F.col("dir").rlike(_DOT)).select("path", "dir", F.col("name").alias("filename"))
+    return contents(spark, root, files.repartition("path")).drop("path")
 
 
 def _parsed(files: DataFrame, key: str, columns: str, parse) -> DataFrame:
@@ -170,7 +169,8 @@ def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False)
     """Read a graph directory. ValueError for a bad configuration unless tolerated; then every file is an artifact."""
     # Files are listed and read once, and YAML is parsed once, into written tables.
     rounds = Rounds(spark, "directory")
-    files = rounds.write(listing(spark, root))
+    entries = rounds.write(tree(spark, root, ["model", "aspects", "flows", "schemas", CONFIG]))
+    files = rounds.write(listing(spark, entries, root))
     config, config_error = None, None
     try:
         found = files.where((F.col("dir") == "") & (F.col("filename") == CONFIG)).select("content").first()
@@ -191,17 +191,17 @@ def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False)
     kept = read.join(gaps, "path", "left_anti")
     top = ok.where("above = '' and ok").select(F.lit("").alias("top"))
     nodes = rounds.write(kept.where("error is null").drop("error"))
-    tree = nodes.select("path", "name", "type", "blackbox", "yaml_raw", F.size(parts).cast("long").alias("depth")).join(F.broadcast(top), F.lit(True), "left")
-    tree = tree.withColumn("parent_path", F.when(F.col("path") == "", F.lit(None)).when(F.col("depth") == 1, F.col("top")).otherwise(F.regexp_replace("path", "/[^/]*$", ""))).drop("top")
+    hierarchy = nodes.select("path", "name", "type", "blackbox", "yaml_raw", F.size(parts).cast("long").alias("depth")).join(F.broadcast(top), F.lit(True), "left")
+    hierarchy = hierarchy.withColumn("parent_path", F.when(F.col("path") == "", F.lit(None)).when(F.col("depth") == 1, F.col("top")).otherwise(F.regexp_replace("path", "/[^/]*$", ""))).drop("top")
     text = lambda df, key: df.select(F.col("dir").alias(key), "filename", F.decode("content", "UTF-8").alias("content"))
     notes = model.where(F.col("filename") != NODE)
     if config:
         notes = notes.where(F.col("filename").isin(list(config["artifacts"])))
 
-    has_file = model.where("dir <> ''").groupBy("dir").agg(F.max(F.col("filename") == NODE).alias("node"))
-    part = F.split("dir", "/")
-    all_dirs = has_file.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(part)), lambda i: F.array_join(F.slice(part, 1, i), "/"))).alias("dir")).distinct()
-    without = all_dirs.join(has_file, "dir", "left").where("not coalesce(node, false)").select("dir", F.when(F.col("node").isNotNull(), "E015").otherwise("W013").alias("code"))
+    # A directory without a node is told if it holds files, or if it holds directories that a scan enters.
+    inside = entries.where(F.col("path").startswith("model/") & ~F.col("dir").rlike(_DOT)).withColumn("above", F.expr("substring(dir, 7)"))
+    held = inside.groupBy("above").agg(F.max(~F.col("folder") & (F.col("name") == NODE)).alias("node"), F.max(~F.col("folder")).alias("file"), F.max(F.col("folder") & ~F.col("name").startswith(".")).alias("sub"))
+    without = held.where("above <> '' and not node and (file or sub)").select(F.col("above").alias("dir"), F.when(F.col("file"), "E015").otherwise("W013").alias("code"))
 
     aspect_files = _below(files, "aspects")
     aspects = rounds.write(_all_or_none(_parsed(aspect_files.where(F.col("filename") == ASPECT).withColumn("id", F.col("dir")), "id", ASPECT_COLS, parse_aspect)))
@@ -218,7 +218,7 @@ def load(spark: SparkSession, root: str, tolerate_invalid_config: bool = False)
     settings = Settings(config["name"], config["version"], quality["min_artifact_length"], quality["max_direct_relations"], **quality["context_budget"]) if config else Settings()
     beside = lambda some, name, key, known: text(some.where(F.col("filename") != name), key).join(known, key, "left_semi")
     return GraphTables(
-        nodes=tree, node_errors=kept.where("error is not null").select("path", "error"),
+        nodes=hierarchy, node_errors=kept.where("error is not null").select("path", "error"),
         node_aspects=nodes.select("path", F.posexplode("aspects").alias("ord", "a")).select("path", "ord", "a.aspect", "a.exceptions", "a.anchors"),
         relations=nodes.select(F.col("path").alias("src"), F.inline("relations")), mappings=nodes.select(F.col("path").alias("node"), F.posexplode("mapping").alias("ord", "mapping")),
         artifacts=text(notes, "node").join(nodes.select(F.col("path").alias("node")), "node", "left_semi"),

@@ -1,7 +1,6 @@
 """The files around a graph: root search, listings with ignore rules, hashes, stored states, and git snapshots.
 
-Names, sizes and times of files are listed by the driver through the file system's own listing (Spark's leaves out
-names that start with '.' or '_'); contents are read where tasks run, through the same URIs.
+Names, sizes and times of files come from the tree source, contents are read where tasks run, through the same URIs.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from ..storage import _where, gone_at_exit, shared_dir
 from . import directory
 from .tables import GraphTables
+from .tree import contents, opened, tree, uri
 
 IGNORE, STATE = ".gitignore", ".drift-state"
 _PIECE = 1 << 20
@@ -41,26 +41,9 @@ def find_root(start: str, name: str) -> str:
     raise FileNotFoundError(f"no {name} directory here or above {start}")
 
 
-def _uri(spark: SparkSession, path: str) -> str:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
-
-
-def _open(uri: str):
-    where, path = fs.FileSystem.from_uri(uri)
-    return where, path
-
-
 def project_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime, size) of every regular file below ``root``, relative; mtime in milliseconds."""
-    top = _uri(spark, root)
-    at = spark._jvm.org.apache.hadoop.fs.Path(top)
-    where = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows, found = [], where.listFiles(at, True) if where.exists(at) else None
-    while found is not None and found.hasNext():
-        f = found.next()
-        rows.append((f.getPath().toString()[len(top) + 1 :], float(f.getModificationTime()), int(f.getLen())))
-    return spark.createDataFrame(sorted(rows), "path string, mtime double, size long")
+    """(path, mtime, size) of every regular file below ``root``, listed by tasks whenever it is evaluated; mtime in milliseconds."""
+    return tree(spark, root).where("not folder").select("path", "mtime", "size")
 
 
 def _pattern(body: str) -> str:
@@ -122,9 +105,9 @@ def ignores(text: str, path: str) -> bool:
 
 def ignore_files(spark: SparkSession, root: str, files: DataFrame) -> dict[str, str]:
     """Text of each ignore file by its directory; read by the driver, as there are few and small."""
-    top, out = _uri(spark, root), {}
+    top, out = uri(spark, root), {}
     for (path,) in files.where((F.col("path") == IGNORE) | F.col("path").endswith("/" + IGNORE)).select("path").collect():
-        where, at = _open(f"{top}/{path}")
+        where, at = opened(f"{top}/{path}")
         with where.open_input_stream(at, compression=None) as f:
             out[path[: -len(IGNORE)].rstrip("/")] = f.read().decode("utf-8", "replace")
     return out
@@ -168,26 +151,7 @@ def anchor_texts(spark: SparkSession, root: str, files: DataFrame, mappings: Dat
     below = files.select("path", F.explode(prefixes("path")).alias("mapping")).join(mappings.select("node", "mapping"), "mapping")
     inside = F.expr("substring(path, length(mapping) + 1)")
     below = below.where((F.col("path") == F.col("mapping")) | ~inside.rlike(r"/(\.|node_modules(/|$))")).select("node", "path").distinct()
-    return read(spark, root, below).select("node", F.decode("content", "UTF-8").alias("content"))
-
-
-def read(spark: SparkSession, root: str, some: DataFrame) -> DataFrame:
-    """``some`` (path and other columns) with the content of each path; files that cannot be read have no row."""
-    top, names = _uri(spark, root), some.columns
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                where, at = _open(f"{top}/{b['path'][i].as_py()}")
-                try:
-                    with where.open_input_stream(at, compression=None) as f:
-                        data = f.read()
-                except OSError:
-                    continue
-                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, 1) for n in names), pa.array([data], pa.binary())], [*names, "content"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema)
-    return some.mapInArrow(run, f"{kinds}, content binary")
+    return contents(spark, root, below).select("node", F.decode("content", "UTF-8").alias("content"))
 
 
 def hash_files(spark: SparkSession, root: str, files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -195,7 +159,7 @@ def hash_files(spark: SparkSession, root: str, files: DataFrame, stored: DataFra
 
     ``stored`` (path, hash, mtime): a file whose time is that stored keeps its stored hash unread, even if its bytes differ.
     """
-    top = _uri(spark, root)
+    top = uri(spark, root)
     files = files.select("path", "mtime").distinct()
     known = None
     if stored is not None:
@@ -207,7 +171,7 @@ def hash_files(spark: SparkSession, root: str, files: DataFrame, stored: DataFra
         for b in batches:
             hashes = []
             for path in b["path"].to_pylist():
-                where, at = _open(f"{top}/{path}")
+                where, at = opened(f"{top}/{path}")
                 h = hashlib.sha256()
                 with where.open_input_stream(at, compression=None) as f:
                     while piece := f.read(_PIECE):
@@ -226,8 +190,8 @@ def read_state(spark: SparkSession, graph: str) -> DataFrame:
     """(node, hash, files, mtimes) of the stored state: a JSON file for each node. Unreadable ones have no row. A single
     file of an older layout is read, and rewritten as one file for each node: all of these are written before the
     old file moves aside, and it goes last, so a break at any point loses nothing; the next read goes on from there."""
-    top = f"{_uri(spark, graph)}/{STATE}"
-    where, at = _open(top)
+    top = f"{uri(spark, graph)}/{STATE}"
+    where, at = opened(top)
     kind = lambda path: where.get_file_info(path).type
     new, old = f"{at}.new", f"{at}.old"
     if kind(at) == fs.FileType.NotFound and kind(old) == fs.FileType.File:
@@ -263,12 +227,12 @@ def read_state(spark: SparkSession, graph: str) -> DataFrame:
 def write_state(state: DataFrame, graph: str, folder: str = STATE) -> int:
     """Writes a JSON file for each row of ``state``, in nested directories; returns their number. A file is written under a
     name of its attempt and then takes its place, so a lost task leaves the old one whole."""
-    top = f"{_uri(state.sparkSession, graph)}/{folder}"
+    top = f"{uri(state.sparkSession, graph)}/{folder}"
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                where, at = _open(f"{top}/{r['node']}.json")
+                where, at = opened(f"{top}/{r['node']}.json")
                 where.create_dir(at.rpartition("/")[0], recursive=True)
                 attempt = f"{at}.{uuid.uuid4().hex}"
                 with where.open_output_stream(attempt, compression=None) as f:
@@ -281,8 +245,8 @@ def write_state(state: DataFrame, graph: str, folder: str = STATE) -> int:
 
 def collect_garbage(spark: SparkSession, graph: str, valid: DataFrame) -> list[str]:
     """Removes the stored state of nodes that are not in ``valid`` (node), and directories left empty; the nodes, sorted."""
-    top = f"{_uri(spark, graph)}/{STATE}"
-    where, at = _open(top)
+    top = f"{uri(spark, graph)}/{STATE}"
+    where, at = opened(top)
     listed = [f.path[len(at) + 1 : -5] for f in where.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True)) if f.type == fs.FileType.File and f.path.endswith(".json")]
     gone = spark.createDataFrame([(n,) for n in listed], "node string").join(valid.select("node").distinct(), "node", "left_anti")
     removed = sorted(r[0] for r in gone.collect())
