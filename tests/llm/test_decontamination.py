@@ -87,3 +87,37 @@ def test_passages_left_out_have_no_item():
 
         if want:
             assert index._alive(np.zeros(len(terms), np.int64), np.array(terms), np.array([0])).all()
+
+
+def test_copies_spread_over_a_long_text_against_brute_force():
+    """Halves, and parts of five to nine words kept in any order, far apart; the shares of the whole text decide."""
+    index, r = D.Index(ITEMS), random.Random(4)
+    found = 0
+    for gap in (100, 140, 160, 240, 1000):
+        for offset in range(0, 130, 13):
+            k = r.choice(range(28, 40))
+            w = ITEMS[k][1].split()
+            cut = len(w) // 2
+            halves = " ".join([prose(1, offset), *w[:cut], prose(2, gap), *w[cut:], prose(3, 150)])
+            parts = [w[i : i + 12] for i in range(0, len(w), 8)]
+            r.shuffle(parts)
+            mixed = " ".join([prose(4, offset), *(" ".join([*p, prose(gap + j, gap)]) for j, p in enumerate(parts))])
+            scrambled = " ".join([prose(5, offset), *(f"{x} {prose(6 + j, gap // 20)}" for j, x in enumerate(w)), prose(9, 300)])
+            for d, text in enumerate((halves, mixed, scrambled)):
+                got = {(d, index.items[i][0]) for i in index.matches(text)}
+                assert got == brute([(d, text)])
+                found += len(got)
+            assert any(index.items[i][0] == k for i in index.matches(mixed))
+    assert found >= 50
+    assert index.matches(prose(8, 4000)) == {}
+
+
+def test_shingle_hashes_tell_unknown_words_apart():
+    index = D.Index(ITEMS[:5])
+    ids = index.ids(ITEMS[0][1] + " unknownword " + ITEMS[1][1])
+    import numpy as np
+
+    hit = np.isin(D._hashed(ids), index.hashes)
+    n, m = len(ITEMS[0][1].split()), len(ITEMS[1][1].split())
+    assert hit[: n - 4].all() and not hit[n - 4 : n + 1].any() and hit[n + 1 :].all() and len(hit) == n + m + 1 - 4
+    assert len(D._hashed(ids[:4])) == 0

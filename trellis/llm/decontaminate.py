@@ -4,7 +4,9 @@ The index holds, for each term, the items with it in order, their BM25 weights a
 items that has the term, the largest of them; terms are numbered by rising largest weight. Queries are
 passages: windows of SPAN times the longest item, starting every longest item, so that a copy lies whole in
 one of them if it takes up, with text inserted into it, at most SPAN - 1 times the longest item; every word of
-every text is queried.
+every text is queried. A text of several passages is one more passage as a whole, for copies that are spread wider: its items with
+score >= 1 that no window confirmed are confirmed on the shingles of the whole text, wherever they lie. So an item is
+found if the text holds its shares of shingles, whatever lies between them.
 
 A weight is divided by the least score a true match of its item can have (a match has OVERLAP of the
 item's five-word shingles, so it lacks at most the remaining share of words, at worst the heaviest),
@@ -14,6 +16,9 @@ terms' short lists are summed, and a passage lives if a block's sum and that res
 all lists are. Those still living go through the pivots of WAND, which skip items whose block maxima cannot
 reach 1.
 
+Nearly all blocks live in a long whole text, so there scores are added up for all items at once instead of by pivots; of its
+shingles only those that some item has are kept, told by hashes first.
+
 A retrieved item is confirmed on the passage: OVERLAP of all its five-word shingles, and half of those
 of its question and of its answer (split after the last question mark, or in the middle of the text).
 Words are lower-case, without punctuation at their ends; an item of fewer than five words is one
@@ -43,6 +48,7 @@ BLOCK, SPAN, HALF_WAY = 4, 3, 0.5
 #: Most items, and bytes of their texts, in one index.
 ITEMS, ITEM_BYTES = 20_000, 16 << 20
 _CACHE = 200_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = b".,;:!?\"'()[]{}|*#$%&<>"
 #: Sums of block maxima held at once.
 _SUMS = 1 << 21
@@ -56,6 +62,15 @@ def _shingles(t: list[bytes]) -> set:
     return {tuple(t[i : i + SHINGLE]) for i in range(max(1, len(t) - SHINGLE + 1))} if t else set()
 
 
+def _hashed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of SHINGLE term numbers; unknown terms are -1."""
+    n = max(0, len(ids) - SHINGLE + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = h * _FACTOR + (ids[k : n + k].astype(np.uint64) + np.uint64(1))
+    return h
+
+
 def _pieces(batches, rows: int = 256):
     """Arrow batches cut small, so that memory follows a few documents and not the batch."""
     for batch in batches:
@@ -117,6 +132,12 @@ class Index:
         self.start = np.cumsum([0, *(len(m) for m in self.maxima)])
         self.block = np.fromiter((k for m in self.maxima for k in m), np.int64, int(self.start[-1]))
         self.most = np.fromiter((x for m in self.maxima for x in m.values()), np.float64, int(self.start[-1]))
+        # The postings one after the other, and the hashes of all items' shingles.
+        self.begin = np.cumsum([0, *(len(a) for a, _ in self.postings)])
+        self.holder = np.fromiter((a for at, _ in self.postings for a in at), np.int64, int(self.begin[-1]))
+        self.weight = np.fromiter((x for _, w in self.postings for x in w), np.float64, int(self.begin[-1]))
+        hashes = [_hashed(np.array([self.vocabulary[w] for w in t], np.int64)) for _, t, _ in self.items]
+        self.hashes = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self._ids: dict[bytes, int] = {}
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -215,6 +236,10 @@ class Index:
         both = np.unique(every[(every >= 0) & (every < n * size)])
         if not len(both):
             return {}
+        # What the whole text cannot reach, none of its windows can.
+        present = np.unique(ids[at])
+        if n > 1 and not self._alive(np.zeros(len(present), np.int64), present, np.array([0]))[0]:
+            return {}
         window, term = both // size, both % size
         first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
         out: dict[int, tuple[float, float]] = {}
@@ -230,8 +255,27 @@ class Index:
                 share = self._share(here, passage, item)
                 if share is not None and share > out.get(item, (0, 0))[1]:
                     out[item] = (score, share)
+        if n > 1:
+            self._spread(ids, present, text, out)
         return out
 
+    def _spread(self, ids: np.ndarray, present: np.ndarray, text: str, out: dict[int, tuple[float, float]]) -> None:
+        """Adds to ``out`` the items that the text holds as a whole; shorter ones than a shingle lie in one window anyway."""
+        at = np.flatnonzero(np.isin(_hashed(ids), self.hashes))
+        if not len(at):
+            return
+        words = _terms(text)
+        here = {tuple(words[i : i + SHINGLE]) for i in at.tolist()}
+        n = self.begin[present + 1] - self.begin[present]
+        entry = np.repeat(self.begin[present] - np.cumsum(n) + n, n)
+        entry += np.arange(len(entry))
+        scores = np.bincount(self.holder[entry], self.weight[entry], len(self.items))
+        for item in np.flatnonzero(scores >= 1).tolist():
+            if item not in out and len(self.items[item][1]) >= SHINGLE:
+                share = self._share(here, words, item)
+                if share is not None:
+                    out[item] = (float(scores[item]), share)
+
     def _share(self, here: set | None, words: list[bytes], item: int) -> float | None:
         whole, question, answer = self.parts[item]
         if here is None:
