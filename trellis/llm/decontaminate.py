@@ -17,7 +17,7 @@ all lists are. Those still living go through the pivots of WAND, which skip item
 reach 1.
 
 Nearly all blocks live in a long whole text, so there scores are added up for all items at once instead of by pivots; of its
-shingles only those that some item has are kept, told by hashes first.
+shingles only those that some item has are kept, told by hashes first, and a text without any needs no scores.
 
 A retrieved item is confirmed on the passage: OVERLAP of all its five-word shingles, and half of those
 of its question and of its answer (split after the last question mark, or in the middle of the text).
@@ -236,10 +236,6 @@ class Index:
         both = np.unique(every[(every >= 0) & (every < n * size)])
         if not len(both):
             return {}
-        # What the whole text cannot reach, none of its windows can.
-        present = np.unique(ids[at])
-        if n > 1 and not self._alive(np.zeros(len(present), np.int64), present, np.array([0]))[0]:
-            return {}
         window, term = both // size, both % size
         first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
         out: dict[int, tuple[float, float]] = {}
@@ -256,14 +252,17 @@ class Index:
                 if share is not None and share > out.get(item, (0, 0))[1]:
                     out[item] = (score, share)
         if n > 1:
-            self._spread(ids, present, text, out)
+            self._spread(ids, text, out)
         return out
 
-    def _spread(self, ids: np.ndarray, present: np.ndarray, text: str, out: dict[int, tuple[float, float]]) -> None:
+    def _spread(self, ids: np.ndarray, text: str, out: dict[int, tuple[float, float]]) -> None:
         """Adds to ``out`` the items that the text holds as a whole; shorter ones than a shingle lie in one window anyway."""
-        at = np.flatnonzero(np.isin(_hashed(ids), self.hashes))
+        hashes = _hashed(ids)
+        place = np.searchsorted(self.hashes, hashes)
+        at = np.flatnonzero(self.hashes.take(place, mode="clip") == hashes) if len(self.hashes) else place[:0]
         if not len(at):
-            return
+            return  # no item shares a shingle with the text
+        present = np.unique(ids[ids >= 0])
         words = _terms(text)
         here = {tuple(words[i : i + SHINGLE]) for i in at.tolist()}
         n = self.begin[present + 1] - self.begin[present]
