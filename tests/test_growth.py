@@ -32,3 +32,13 @@ def test_shared_aspects_by_class(spark, monkeypatch):
     got = impact.co_aspect_counts(SimpleNamespace(nodes=spark.range(1)), spark.createDataFrame(rows, "node string, aspect string"))
     assert {r.target: r.n_nodes for r in got.collect()} == want
     assert met == [6]  # {x, y}, {z}, {y, z} and {w}
+
+
+def test_siblings_are_gathered_once_for_a_parent(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"m/n{i}", "m") for i in range(3)] + [("m", None)], "path string, parent_path string")
+    broken = spark.createDataFrame([("m/a",), ("m/b",), ("top",), ("q/x",)], "target string")
+    met, plain = [], rules.written
+    monkeypatch.setattr(rules, "written", lambda df: met.append(plain(df)) or met[-1])
+    got = {r.target: (r.n_siblings, r.siblings) for r in rules.siblings(broken, nodes).collect()}
+    assert got == {"m/a": (3, "n0, n1, n2"), "m/b": (3, "n0, n1, n2"), "top": (1, "m")}
+    assert {r.parent for r in met[-1].collect()} == {"m", ""} and met[-1].count() == 2
