@@ -42,3 +42,9 @@ def test_siblings_are_gathered_once_for_a_parent(spark, monkeypatch):
     got = {r.target: (r.n_siblings, r.siblings) for r in rules.siblings(broken, nodes).collect()}
     assert got == {"m/a": (3, "n0, n1, n2"), "m/b": (3, "n0, n1, n2"), "top": (1, "m")}
     assert {r.parent for r in met[-1].collect()} == {"m", ""} and met[-1].count() == 2
+
+
+def test_reach_from_roots_leaves_other_nodes_out(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "d")] + [(f"x{i}", "b") for i in range(20)]
+    pairs, names = closure.numbered_reach(spark.createDataFrame(rows, "src string, dst string"), None, spark.createDataFrame([("a",)], "root string"))
+    assert {r.name for r in names.collect()} == set("abcd") and sorted(r.depth for r in pairs.collect()) == [1, 2, 3]
