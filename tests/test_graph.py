@@ -102,3 +102,11 @@ def test_dependencies_and_tree(spark):
     tree = closure.dependency_tree(nodes, rel, "a").orderBy("ords").collect()
     assert [(r.ords, r.node, r.type, r.blackbox) for r in tree] == [([0], "b", "uses", True), ([0, 1], "c", "calls", False), ([1], "c", "emits", False), ([2], "b", "calls", True), ([2, 1], "c", "calls", False)]
     assert closure.dependency_tree(nodes, rel, "a", "structural", 1).count() == 2
+
+
+def test_stages_of_nodes_that_nothing_leads_to(spark):
+    assert staged(spark, "AB BC XA XC YC") == {"C": 1, "B": 2, "A": 3, "X": 4, "Y": 2}
+    a = spark.createDataFrame([("a",), ("b",), ("lone",)], "node string")
+    assert {r.node: r.stage for r in closure.stages(a, edges(spark, "ab")).collect()} == {"a": 2, "b": 1, "lone": 1}
+    with pytest.raises(ValueError, match="circular dependency among: A, B, T$"):
+        staged(spark, "AB BA TA AL")

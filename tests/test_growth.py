@@ -48,3 +48,11 @@ def test_reach_from_roots_leaves_other_nodes_out(spark):
     rows = [("a", "b"), ("b", "c"), ("c", "d")] + [(f"x{i}", "b") for i in range(20)]
     pairs, names = closure.numbered_reach(spark.createDataFrame(rows, "src string, dst string"), None, spark.createDataFrame([("a",)], "root string"))
     assert {r.name for r in names.collect()} == set("abcd") and sorted(r.depth for r in pairs.collect()) == [1, 2, 3]
+
+
+def test_levels_run_over_what_others_lead_to(spark, tables):
+    rows = [("a", "b"), ("b", "c")] + [(f"x{i}", "a") for i in range(20)]
+    nodes = spark.createDataFrame([(n,) for n in sorted({n for r in rows for n in r})], "node string")
+    got = {r.node: r.stage for r in closure.stages(nodes, spark.createDataFrame(rows, "src string, dst string")).collect()}
+    assert got == {"c": 1, "b": 2, "a": 3} | {f"x{i}": 4 for i in range(20)}
+    assert max(tables) == 3
