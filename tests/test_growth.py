@@ -56,3 +56,16 @@ def test_levels_run_over_what_others_lead_to(spark, tables):
     got = {r.node: r.stage for r in closure.stages(nodes, spark.createDataFrame(rows, "src string, dst string")).collect()}
     assert got == {"c": 1, "b": 2, "a": 3} | {f"x{i}": 4 for i in range(20)}
     assert max(tables) == 3
+
+
+@pytest.mark.parametrize("n", [2, 70])
+def test_flags_of_pairs(spark, n):
+    from trellis.sources import star
+
+    rows = [(i % 5, 1, f"f{i % n}") for i in range(2 * n)] + [(9, 9, None), (0, 1, None)]
+    want = {}
+    for s, _, f in rows:
+        want.setdefault(s, set()).update({f} - {None})
+    out = star.flags_of(spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_returnflag string"), ["l_suppkey", "l_partkey"])
+    assert {r.l_suppkey: r.consumes for r in out.collect()} == {s: sorted(f) for s, f in want.items()}
+    assert ("ObjectHashAggregate" in out._jdf.queryExecution().toString()) == (n > 63)
