@@ -69,3 +69,37 @@ def test_flags_of_pairs(spark, n):
     out = star.flags_of(spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_returnflag string"), ["l_suppkey", "l_partkey"])
     assert {r.l_suppkey: r.consumes for r in out.collect()} == {s: sorted(f) for s, f in want.items()}
     assert ("ObjectHashAggregate" in out._jdf.queryExecution().toString()) == (n > 63)
+
+
+def test_numbers_follow_numbers_in_names(spark):
+    names = ["lib/a/p10", "lib/b/p9", "x/p100", "lib/a/p9"]
+    rows = spark.createDataFrame([(n, 0) for n in names] + [("a", 1)], "name string, group int")
+    got = bitmaps.numbered(closure.Rounds(spark, "test"), rows).orderBy("id").collect()
+    assert [r.name for r in got] == ["lib/a/p9", "lib/b/p9", "lib/a/p10", "x/p100", "a"]
+
+
+def test_sets_of_tops_stay_out_of_rounds(spark, monkeypatch):
+    n = 3 * bitmaps.NEAR
+    edges = [(1, 2), (2, 3), (3, 1), (3, n), (n, n + 1)] + [(100 + i, 1 + i % 2) for i in range(20)] + [(200, n + 1), (200, 200)]
+    down = {}
+    for a, b in edges:
+        down.setdefault(a, set()).add(b)
+    want = {}
+    for a in down:
+        seen, todo = set(), [a]
+        while todo:
+            more = down.get(todo.pop(), set()) - seen
+            seen |= more
+            todo += more
+        want[a] = seen
+    met, plain = [], closure.Rounds.write
+    monkeypatch.setattr(closure.Rounds, "write", lambda self, df: met.append(plain(self, df)) or met[-1])
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    out = bitmaps.reach_bits(closure.Rounds(spark, "test"), spark.createDataFrame(edges, "root long, node long")).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.root, set()).update(r.block * bitmaps.BITS + 64 * j + i for j in range(bitmaps.WORDS) for i in range(64) if r[f"w{j}"] >> i & 1)
+    assert got == want and len({(r.root, r.block) for r in out}) == len(out)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+    sets = [{r.root for r in x.select("root").distinct().collect()} for x in met if "block" in x.columns]
+    assert sets == [{1, 2, 3, n, 200}, {100 + i for i in range(20)}]
