@@ -103,3 +103,13 @@ def test_sets_of_tops_stay_out_of_rounds(spark, monkeypatch):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
     sets = [{r.root for r in x.select("root").distinct().collect()} for x in met if "block" in x.columns]
     assert sets == [{1, 2, 3, n, 200}, {100 + i for i in range(20)}]
+
+
+def test_packages_join_nodes_by_shuffles(spark):
+    from trellis.operators import context
+    from trellis.sources import star
+
+    a = context.Assembly(star.from_star_schema(spark, "/root/testdata/sf0.001"))
+    for df in (a.here(a.member), closure.written(a.g.node_aspects.select("path")).withColumnRenamed("path", "node").transform(a.here)):
+        plan = df._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
