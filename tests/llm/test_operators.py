@@ -73,6 +73,17 @@ def test_base_counts(spark, odd):
         assert not (r.base_failed and r.kept)
 
 
+def test_lines_meet_by_shuffles(spark, monkeypatch):
+    gone, plain = [], line_dedup.Workspace.drop
+    monkeypatch.setattr(line_dedup.Workspace, "drop", lambda self, *names: gone.extend(names) or plain(self, *names))
+    docs = [(k, "\n".join(["one two three", "four five six", f"alone {k}"])) for k in range(20)]
+    out = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), 6)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 * plan.count("SortMergeJoin") == 2  # the bits, for both kinds of rows, and the lines that go
+    assert {"line", "rank0", "spans"} <= set(gone)
+    assert {r.row.doc_id: r.text for r in out.collect()} == {k: t if k == 0 else f"alone {k}" for k, t in docs}
+
+
 @pytest.mark.parametrize("least", [3, 7])
 def test_line_runs(spark, least):
     r = random.Random(least)

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, signs_of, words
+from .common import Workspace, maybe_among, signs_of, words
 
 MIN_WORDS = 50
 _KEY = ["k1", "k2"]
@@ -44,6 +44,7 @@ def _ranked(groups: DataFrame, order: list[str]) -> DataFrame:
     return groups.orderBy(*order).withColumn("rank", F.monotonically_increasing_id())
 
 
+# What grows with the documents is joined by shuffles (hint "merge") at any size, so the plan of a small input is that of a large one.
 def repeated_lines(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2, pos) of every line to delete, without repeats. ``docs``: k1, k2, text."""
     worded = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"].rlike(_WORD))
@@ -52,7 +53,8 @@ def repeated_lines(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -
     ids = _ranked(line.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c"), ["h1", "h2"])
     ids = ws.save(ids, "rank0")
     # Rows equal in doc_id and text give the same lines again; one of each is enough. Dealt by document, as the windows need it.
-    seq = line.join(ids, ["h1", "h2"]).select(*_KEY, "at", "pos", "n", F.col("rank").alias("r0")).repartition(*_KEY).dropDuplicates([*_KEY, "at"])
+    # Lines that surely stand alone are told by hash bits and are not dealt out.
+    seq = maybe_among(ws, line, ids, ["h1", "h2"], "signs0").join(ids.hint("merge"), ["h1", "h2"]).select(*_KEY, "at", "pos", "n", F.col("rank").alias("r0")).repartition(*_KEY).dropDuplicates([*_KEY, "at"])
 
     # Only stretches of neighbours that all repeat can hold a run. A line has a word at least, so the
     # shortest qualifying run from a line, or up to it, is among min_words lines.
@@ -71,6 +73,7 @@ def repeated_lines(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -
         return F.when(total["sum"] >= min_words, total["lines"])
 
     runs = ws.save(ends.select(*_KEY, "at", "pos", "r0", least("_a").alias("fore"), least("_b").alias("back")), "runs")
+    ws.drop("line", "rank0", "signs0")
     most = runs.agg(F.max(F.greatest("fore", "back"))).first()[0]
     if most is None:
         return runs.select(*_KEY, "at").limit(0)
@@ -83,7 +86,8 @@ def repeated_lines(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -
         pair = half.select(*_KEY, "pos", F.col("rank").alias("ra"), second.alias("rb")).where("rb is not null")
         same = _ranked(pair.groupBy("ra", "rb").agg(F.count("*").alias("c")).where("c > 1").drop("c"), ["ra", "rb"])
         same = ws.save(same, f"rank{k}")
-        levels.append(ws.save(pair.join(same, ["ra", "rb"]).select(*_KEY, "pos", "rank"), f"seq{k}"))
+        levels.append(ws.save(pair.join(same.hint("merge"), ["ra", "rb"]).select(*_KEY, "pos", "rank"), f"seq{k}"))
+        ws.drop(f"rank{k}")
 
     # Name the candidate runs: start, length m, and the ranks of the two 2^k-prefixes that cover them.
     spans = (
@@ -97,20 +101,21 @@ def repeated_lines(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -
         lo = level.select(*_KEY, "pos", F.col("rank").alias("ra"))
         hi = level.select(*_KEY, F.col("pos").alias("pos2"), F.col("rank").alias("rb"))
         if k:
-            at_k = at_k.withColumn("pos2", F.col("pos") + F.col("m") - 2**k).join(lo, [*_KEY, "pos"]).join(hi, [*_KEY, "pos2"])
+            at_k = at_k.withColumn("pos2", F.col("pos") + F.col("m") - 2**k).join(lo.hint("merge"), [*_KEY, "pos"]).join(hi.hint("merge"), [*_KEY, "pos2"])
         else:
-            at_k = at_k.join(lo, [*_KEY, "pos"]).withColumn("rb", F.col("ra"))
+            at_k = at_k.join(lo.hint("merge"), [*_KEY, "pos"]).withColumn("rb", F.col("ra"))
         named.append(at_k.select(*_KEY, "pos", "m", F.lit(k).alias("k"), "ra", "rb"))
     name = ["k", "m", "ra", "rb"]
     spans = named[0]
     for x in named[1:]:
         spans = spans.unionAll(x)
     spans = ws.save(spans, "named")
+    ws.drop("spans", *(f"seq{k}" for k in range(1, len(levels))))
     # An interval's first copy stays; the start packed in a struct keeps partial sums per task.
     first = ws.save(spans.groupBy(*name).agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("c")).where("c > 1"), "first")
-    later = spans.join(first, name).where(F.struct(*_KEY, "pos") > F.col("first"))
+    later = spans.join(first.hint("merge"), name).where(F.struct(*_KEY, "pos") > F.col("first"))
     gone = later.select(*_KEY, F.explode(F.sequence("pos", F.col("pos") + F.col("m") - 1)).alias("pos")).distinct()
-    return gone.join(runs.select(*_KEY, "pos", "at"), [*_KEY, "pos"]).select(*_KEY, "at")
+    return gone.join(runs.select(*_KEY, "pos", "at").hint("merge"), [*_KEY, "pos"]).select(*_KEY, "at")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -126,7 +131,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     h = F.xxhash64(*_KEY)
     signed = rows.withColumns({"_word": F.pmod(h, F.lit(n_words)), "_bit": F.shiftrightunsigned(h, 58).cast("int")}).join(F.broadcast(signs), "_word", "left")
     may = F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))
-    lost = signed.where(may).select("row", *_KEY).join(gone, _KEY, "left").select("row", "gone")
+    lost = signed.where(may).select("row", *_KEY).join(gone.hint("merge"), _KEY, "left").select("row", "gone")
     joined = signed.where(~may).select("row", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")).unionAll(lost).withColumn("lines", F.split("row.text", "\n"))
     # Numbers of the lines kept, then the lines by number: linear in the document's lines.
     joined = joined.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")))
