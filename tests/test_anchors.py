@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from trellis.operators import anchors
 
 
@@ -29,3 +31,15 @@ def test_nothing(spark):
     none = spark.createDataFrame([], "content string")
     assert anchors.found(none, spark.createDataFrame([("",), ("a",)], "anchor string"), []).count() == 0
     assert anchors.found(spark.createDataFrame([("abc",)], "content string"), spark.createDataFrame([], "anchor string"), []).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_anchors_of_a_key_meet_its_texts(spark, monkeypatch, few):
+    texts = [("a", "one two three"), ("a", "four"), ("b", "one two three"), ("c", None), (None, "one")]
+    some = [("a", "two"), ("a", "four"), ("a", "fourth"), ("a", ""), ("b", "four"), ("b", "three"), ("c", ""), (None, "one"), ("d", "one")]
+    blocks, plain = [], anchors.found
+    monkeypatch.setattr(anchors, "found", lambda t, a, by: blocks.append(a.count()) or plain(t, a, by))
+    monkeypatch.setattr(anchors, "FEW", few)
+    got = anchors.found_near(spark.createDataFrame(texts, "node string, content string"), spark.createDataFrame(some, "node string, anchor string"), ["node"])
+    assert sorted(map(tuple, got.collect())) == [("a", ""), ("a", "four"), ("a", "two"), ("b", "three")]
+    assert blocks == {0: [8], 2: [4], 64: []}[few]
