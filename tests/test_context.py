@@ -2,8 +2,9 @@
 
 import pytest
 import sample
+from pyspark.sql import functions as F
 
-from trellis.operators import aspects, context
+from trellis.operators import aspects, closure, context
 from trellis.sources import directory
 
 
@@ -103,3 +104,17 @@ def test_nodes_that_cannot_be_assembled(spark, tmp_path):
     changes = {"aspects/a/yg-aspect.yaml": "name: A\nimplies: [b]\n", "aspects/b/yg-aspect.yaml": "name: B\nimplies: [a]\n", "model/sensors/yg-node.yaml": "name: U\ntype: module\naspects: [{aspect: a}]\n", "model/gates/yg-node.yaml": "name: A\ntype: module\nrelations: [{target: gone, type: listens}]\n"}
     g = directory.load(spark, sample.write(tmp_path, changes=changes))
     assert sorted(r.node for r in context.budget(g).collect()) == ["gates/gate-driver", "plans", "plans/plan-maker"]
+
+
+def test_layer_sums_are_sums_of_layers(spark):
+    from trellis.sources import star
+
+    g = star.from_star_schema(spark, "/root/testdata/sf0.001")
+    g.relations = closure.written(g.relations.unionAll(g.relations.where("dst like '%/p1'").withColumn("dst", F.lit("gone"))))
+    want = context.layers(g).groupBy("node", "layer_type").agg(F.count("*").alias("n_layers"), F.sum("units").alias("units"))
+    out = context.layer_sums(g)
+    got = {tuple(r) for r in out.collect()}
+    assert got == {tuple(r) for r in want.collect()} and len(got) > 100
+    # No join takes out nodes or ancestors.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
