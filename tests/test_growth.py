@@ -113,3 +113,13 @@ def test_packages_join_nodes_by_shuffles(spark):
     for df in (a.here(a.member), closure.written(a.g.node_aspects.select("path")).withColumnRenamed("path", "node").transform(a.here)):
         plan = df._jdf.queryExecution().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_changes_read_written_relations(spark, monkeypatch):
+    from trellis.plans import deep
+
+    seen = []
+    monkeypatch.setattr(deep.context, "budget", lambda g: spark.range(1))
+    monkeypatch.setattr(deep.delta, "budget_changes", lambda before, after, stored: seen.extend([before, after]))
+    deep.budget_changes(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and not any("lineitem" in f for g in seen for f in g.relations.inputFiles())
