@@ -123,3 +123,20 @@ def test_changes_read_written_relations(spark, monkeypatch):
     monkeypatch.setattr(deep.delta, "budget_changes", lambda before, after, stored: seen.extend([before, after]))
     deep.budget_changes(spark, "/root/testdata/sf0.001")
     assert len(seen) == 2 and not any("lineitem" in f for g in seen for f in g.relations.inputFiles())
+
+
+def test_pairs_are_no_rows_of_rounds(spark, tables):
+    n, tops = 9, 200
+    rows = [(f"c{i}", f"c{i + 1}") for i in range(n)] + [(f"c{n}", f"c{n - 1}")] + [(f"t{i}", "c0") for i in range(tops)]
+    down, want = {}, {}
+    for a, b in rows:
+        down.setdefault(a, []).append(b)
+    for a in down:
+        near = now = set(down[a])
+        want, d = want | {(a, x): 1 for x in now}, 1
+        while now:
+            now, d = {y for x in now for y in down[x]} - near, d + 1
+            near, want = near | now, want | {(a, x): d for x in now}
+    got = closure.reach(spark.createDataFrame(rows, "src string, dst string")).collect()
+    assert {(r.root, r.node): r.depth for r in got} == want and len(got) == len(want) > n * tops
+    assert max(tables) < 40
