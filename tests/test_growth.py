@@ -140,3 +140,14 @@ def test_pairs_are_no_rows_of_rounds(spark, tables):
     got = closure.reach(spark.createDataFrame(rows, "src string, dst string")).collect()
     assert {(r.root, r.node): r.depth for r in got} == want and len(got) == len(want) > n * tops
     assert max(tables) < 40
+
+
+def test_tracked_files_leave_relations_as_they_are(spark):
+    import re
+
+    from trellis.operators import drift
+    from trellis.sources import star
+
+    out = drift.tracked(star.from_star_schema(spark, "/root/testdata/sf0.001"))
+    assert not re.search(r"Aggregate \[node#\d+, dst#\d+\]", out._jdf.queryExecution().optimizedPlan().toString())
+    assert out.count() == out.select("node", "path").distinct().count() > 0
