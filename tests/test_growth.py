@@ -151,3 +151,15 @@ def test_tracked_files_leave_relations_as_they_are(spark):
     out = drift.tracked(star.from_star_schema(spark, "/root/testdata/sf0.001"))
     assert not re.search(r"Aggregate \[node#\d+, dst#\d+\]", out._jdf.queryExecution().optimizedPlan().toString())
     assert out.count() == out.select("node", "path").distinct().count() > 0
+
+
+def test_text_of_a_relation_is_made_once(spark):
+    from trellis.functions.text import units
+    from trellis.operators import context
+    from trellis.sources import star
+
+    texts = ["", "plain", "né", "\U0001d11e x", " ", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", units("t").alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: None if t is None else len(t.encode("utf-16-be")) // 2 for i, t in enumerate(texts)}
+    plan = context.sums(star.from_star_schema(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" AS said#") == 1 and "octet_length(said#" in plan
