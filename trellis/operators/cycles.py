@@ -16,13 +16,18 @@ from ..storage import Rounds
 #: Steps of a loop that go into one written table.
 AT_ONCE = 4
 
-def _numbered(rounds: Rounds, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct edges (src, dst) of numbers, and (id, name) of the numbers."""
+def _numbered(rounds: Rounds, edges: DataFrame, hubs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int | None]:
+    """Distinct edges (src, dst) of numbers, (id, name) of the numbers, and the number from which on they are hubs."""
     edges = rounds.write(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     names = edges.select(F.col("src").alias("name")).unionAll(edges.select("dst")).distinct()
-    numbers = rounds.write(names.orderBy(load_order("name")).select(F.monotonically_increasing_id().alias("id"), "name"))
+    if hubs is None:
+        names = names.withColumn("hub", F.lit(False))
+    else:
+        names = names.join(hubs.select(F.col("node").alias("name"), F.lit(True).alias("hub")).distinct(), "name", "left").select("name", F.coalesce("hub", F.lit(False)).alias("hub"))
+    numbers = rounds.write(names.orderBy("hub", load_order("name")).select(F.monotonically_increasing_id().alias("id"), "name", "hub"))
+    first = None if hubs is None else numbers.where("hub").agg(F.min("id")).first()[0]
     number = lambda c: numbers.select(F.col("id").alias(f"{c}_id"), F.col("name").alias(c))
-    return edges.join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), numbers
+    return edges.join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), numbers.select("id", "name"), first
 
 
 def trimmed(rounds: Rounds, edges: DataFrame) -> tuple[DataFrame, int]:
@@ -89,45 +94,62 @@ def strong_components(rounds: Rounds, edges: DataFrame) -> DataFrame:
         live = live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
 
 
-def witnesses(rounds: Rounds, edges: DataFrame, members: DataFrame) -> DataFrame:
+def witnesses(rounds: Rounds, edges: DataFrame, members: DataFrame, first: int | None = None) -> DataFrame:
     """(component, path): a shortest cycle of each component as numbers from its smallest node back to it; of several
     the smallest.
 
     Walks go on from every member at once, over members that are no smaller than where they began, one smallest walk
-    for each pair of ends. A component stops at its first closed walk, which is a cycle as it is a shortest one.
+    for each pair of ends. A component stops at its first closed walk, which is a cycle as it is a shortest one. Nodes
+    from ``first`` on are hubs: a walk passes one within a step and does not name it. Loops are told before any pair of ends is made.
     """
     at = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     inner = edges.join(at("src"), "src").join(at("dst"), "dst").where("src_in = dst_in")
     inner = rounds.write(inner.select(F.col("src_in").alias("component"), "src", "dst"))
-    now = inner.where("dst >= src").select("component", F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
-    now, n = rounds.counted(now)
-    out = now.select("component", "path").where("false")
+    straight, into, onward = inner, None, None
+    if first is not None:
+        straight, into, onward = inner.where(f"src < {first} and dst < {first}"), inner.where(f"dst >= {first}"), inner.where(f"src >= {first}")
+    loops = straight.where("src = dst").select("component", F.col("src").alias("start"))
+    if first is not None:
+        through = into.select("component", F.col("src").alias("start"), F.col("dst").alias("hub"))
+        loops = loops.unionAll(through.join(onward.select("component", F.col("src").alias("hub"), F.col("dst").alias("start")), ["component", "start", "hub"]).select("component", "start"))
+    out = rounds.write(loops.groupBy("component").agg(F.min("start").alias("start")).select("component", F.array("start", "start").alias("path")))
+    starts = members if first is None else members.where(F.col("node") < first)
+    now = starts.select("component", F.col("node").alias("start"), "node", F.array("node").alias("path"))
+    now, n = rounds.counted(now.join(out.select("component"), "component", "left_anti"))
+    shortest = lambda df: df.groupBy("component", "start", "node").agg(F.min("path").alias("path"))
     while n:
-        closed = now.where("node = start").groupBy("component").agg(F.min("path").alias("path"))
+        left = now.withColumnRenamed("node", "src")
+        after = lambda rows, by: rows.join(by, ["component", "src"]).where("dst >= start").select("component", "start", F.col("dst").alias("node"), "path")
+        step = after(left, straight)
+        if first is not None:
+            step = step.unionAll(after(shortest(after(left, into)).withColumnRenamed("node", "src"), onward))
+        now = rounds.write(shortest(step.withColumn("path", F.concat("path", F.array("node")))))
+        closed = rounds.write(now.where("node = start").groupBy("component").agg(F.min("path").alias("path")))
         out = out.unionAll(closed)
-        left = now.join(closed.select("component"), "component", "left_anti").withColumnRenamed("node", "src")
-        step = left.join(inner, ["component", "src"]).where("dst >= start").groupBy("component", "start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        now, n = rounds.counted(step)
+        now, n = rounds.counted(now.join(closed.select("component"), "component", "left_anti"))
     return out
 
 
-def _described(rounds: Rounds, edges: DataFrame, members: DataFrame, tolerated: bool) -> DataFrame:
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    return witnesses(rounds, edges, members).join(sizes, "component").select("component", "size", F.lit(tolerated).alias("tolerated"), "path")
+def _described(rounds: Rounds, edges: DataFrame, members: DataFrame, tolerated: bool, first: int | None) -> DataFrame:
+    sizes = (members if first is None else members.where(F.col("node") < first)).groupBy("component").agg(F.count("*").alias("size"))
+    return witnesses(rounds, edges, members, first).join(sizes, "component").select("component", "size", F.lit(tolerated).alias("tolerated"), "path")
 
 
-def components(edges: DataFrame, blackbox: DataFrame | None = None, arrow: str = " -> ") -> DataFrame:
+def components(edges: DataFrame, blackbox: DataFrame | None = None, arrow: str = " -> ", hubs: DataFrame | None = None) -> DataFrame:
     """(component, size, tolerated, path): the components of a graph (src, dst) that hold cycles, with their first node in
     load order, how many nodes they have, and a shortest cycle as text.
 
     A cycle is tolerated if it has a node of ``blackbox`` (node). So components are those of the other nodes, and
     besides, tolerated, those of the whole graph that have none of these inside. Null ends are no edges.
+
+    A hub (``hubs``: node) stands for an edge from each node that leads to it to each node it leads to, so that these need no rows. It
+    is no node of the graph: it is not counted and no path names it. No hub leads to a hub.
     """
     rounds = Rounds(edges.sparkSession, "cycles")
-    edges, numbers = _numbered(rounds, edges)
+    edges, numbers, first = _numbered(rounds, edges, hubs)
     edges = rounds.write(edges)
     if blackbox is None:
-        out = _described(rounds, edges, strong_components(rounds, edges), False)
+        out = _described(rounds, edges, strong_components(rounds, edges), False, first)
     else:
         boxed = numbers.join(blackbox.select(F.col("node").alias("name")).distinct(), "name", "left_semi").select("id")
         boxed = rounds.write(boxed)
@@ -137,7 +159,7 @@ def components(edges: DataFrame, blackbox: DataFrame | None = None, arrow: str =
         whole = strong_components(rounds, edges)
         worse = whole.join(bad.select("node"), "node", "left_semi").select("component").distinct()
         mild = rounds.write(whole.join(worse, "component", "left_anti").select("node", "component"))
-        out = _described(rounds, plain, bad, False).unionAll(_described(rounds, edges, mild, True))
+        out = _described(rounds, plain, bad, False, first).unionAll(_described(rounds, edges, mild, True, first))
     name = lambda c: numbers.select(F.col("id").alias(c), "name")
     out = rounds.write(out)
     steps = out.select(F.col("component").alias("of"), F.posexplode("path").alias("pos", "id")).join(name("id"), "id")
