@@ -76,3 +76,15 @@ def test_query_against_brute_force(spark, tmp_path):
         want.append((d, name, is_file, best.get(near), near))
     assert got == sorted(want, key=str)
     assert all(r[3] is None for r in got if r[0] is None)
+
+
+def test_directories_are_not_broadcast(spark, tmp_path):
+    rows = [(i, f"s{i % 3}/en/{i // 8}/{i}", "MIT" if i % 7 == 0 else None, 0.0, i % 14 == 0) for i in range(200)] + [(200, None, None, 0.0, False)]
+    spark.createDataFrame(rows, "key long, path string, licence string, cosine double, is_file boolean").write.parquet(f"{tmp_path}/scanned")
+    out = licenses.inherit(spark.read.parquet(f"{tmp_path}/scanned"))
+    found = {r.key: r.inherited for r in out.collect()}
+    plan = out._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    own = {i: f"s{i % 3}/en/{i // 8}" for i in range(200)}
+    have = {own[i] for i in range(200) if i % 7 == 0}
+    assert found == {i: "MIT" if i % 7 and own[i] in have else None for i in range(200)} | {200: None}

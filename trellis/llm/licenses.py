@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import dealt
 from .common import Workspace
 
 # Short notices and opening or core sentences of common licences.
@@ -184,16 +185,17 @@ def inherit(scanned: DataFrame) -> DataFrame:
     """Adds ``inherited`` and ``from_dir`` to files without a licence of their own.
 
     Directory licences are summed per task before the shuffle, and files meet their directories through
-    the distinct directories, so a directory with a third of all files is one row on either side.
+    the distinct directories, so a directory with a third of all files is one row on either side. Tables of
+    directories grow with the files and their written rows are small for what they take in memory, so none is broadcast.
     """
     own_dir = F.regexp_replace("path", r"(^|/)[^/]*$", "")
     counts = scanned.where("licence is not null and path is not null").groupBy(own_dir.alias("dir"), "licence").agg(F.sum(F.col("is_file").cast("long")).alias("files"), F.count("*").alias("n"))
     best = counts.groupBy("dir").agg(F.min(F.struct((-F.col("files")).alias("f"), (-F.col("n")).alias("n"), "licence")).alias("b")).select("dir", F.col("b.licence").alias("inherited"))
     dirs = scanned.where("path is not null").select(own_dir.alias("at")).distinct()
     ancestors = dirs.select("at", F.explode(_directories(F.concat("at", F.lit("/x")))).alias("a")).select("at", "a.dir", "a.depth").distinct()
-    nearest = ancestors.join(best, "dir").groupBy("at").agg(F.max(F.struct("depth", "dir", "inherited")).alias("b"))
+    nearest = dealt(ancestors).join(best, "dir").groupBy("at").agg(F.max(F.struct("depth", "dir", "inherited")).alias("b"))
     nearest = nearest.select("at", F.col("b.dir").alias("from_dir"), "b.inherited")
-    out = scanned.withColumn("at", own_dir).join(nearest, "at", "left")
+    out = scanned.withColumn("at", own_dir).join(dealt(nearest), "at", "left")
     lacks = F.col("licence").isNull()
     return out.select("key", "path", "licence", "cosine", "is_file", F.when(lacks, F.col("inherited")).alias("inherited"), F.when(lacks, F.col("from_dir")).alias("from_dir"))
 
