@@ -163,3 +163,41 @@ def test_text_of_a_relation_is_made_once(spark):
     assert {r.i: r.n for r in got} == {i: None if t is None else len(t.encode("utf-16-be")) // 2 for i, t in enumerate(texts)}
     plan = context.sums(star.from_star_schema(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(" AS said#") == 1 and "octet_length(said#" in plan
+
+
+@pytest.mark.parametrize("depths", [False, True])
+def test_sets_by_levels_against_breadth_first(spark, depths):
+    import random
+
+    r = random.Random(5)
+    n, far = 40, 3 * bitmaps.BITS
+    rows = {(a, r.randrange(max(a - 9, 0), a)) for a in range(1, n) for _ in range(2)} | {(far + i, r.randrange(n)) for i in range(60)}
+    rows |= {(100, 101), (101, 102), (102, 100), (102, 30), (7, 103), (103, 104), (104, 103), (50, 50), (50, 3), (5, 5), (200, 201), (201, 201), (far + 1, 100)}
+    down, want = {}, {}
+    for a, b in rows:
+        down.setdefault(a, set()).add(b)
+    for a in down:
+        near, now, d = set(), down[a], 1
+        while now:
+            want |= {(a, x): d for x in now}
+            near, now, d = near | now, {y for x in now for y in down.get(x, ())} - near - now, d + 1
+    df = spark.createDataFrame(sorted(rows) + sorted(rows)[:5], "root long, node long")
+    out = bitmaps.reached(closure.Rounds(spark, "test"), df, depths).collect()
+    bits = [((x.block * bitmaps.BITS + 64 * j + i, x.root), x.depth if depths else 1) for x in out for j in range(bitmaps.WORDS) for i in range(64) if x[f"w{j}"] >> i & 1]
+    assert len(bits) == len(dict(bits)) and dict(bits) == {k: d if depths else 1 for k, d in want.items()}
+    if depths:
+        short = bitmaps.listed(bitmaps.reached(closure.Rounds(spark, "test"), df, True, 3), spark.createDataFrame([(i, str(i)) for i in {x for row in rows for x in row}], "id long, name string"))
+        assert {(int(x.name), int(x.root)): x.depth for x in short.collect()} == {k: d for k, d in want.items() if d <= 3}
+    else:
+        total = {x.root: x.n for x in bitmaps.bit_counts(bitmaps.reached(closure.Rounds(spark, "test"), df)).collect()}
+        assert total == {a: sum(k[0] == a for k in want) for a in down}
+
+
+def test_each_set_is_written_once(spark, monkeypatch):
+    met, plain = [], closure.Rounds.write
+    monkeypatch.setattr(closure.Rounds, "write", lambda self, df, *by: met.append(plain(self, df, *by)) or met[-1])
+    edges = [(f"n{i}", f"n{i + k}") for i in range(6) for k in (1, 2)] + [(f"t{i}", "n0") for i in range(9)]
+    got = {r.root: (r.n_direct, r.n_total) for r in impact.needs(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {f"n{i}": (2, 7 - i) for i in range(6)} | {f"t{i}": (1, 8) for i in range(9)}
+    sets = [r.root for x in met if "block" in x.columns and "level" not in x.columns for r in x.collect()]
+    assert len(sets) == len(set(sets)) == 8
