@@ -118,3 +118,18 @@ def test_layer_sums_are_sums_of_layers(spark):
     # No join takes out nodes or ancestors.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+def test_digests_are_those_of_the_texts(g, spark, monkeypatch):
+    gates = g.relations.where("dst = 'gates/gate-driver'")
+    again = gates.withColumn("type", F.lit("calls")).withColumn("consumes", F.array(F.lit('a"b'))).unionAll(gates).unionAll(gates.withColumn("dst", F.lit("gates")))
+    empty = gates.select("src", F.lit(7).cast(g.relations.schema["ord"].dataType).alias("ord"), F.lit("plans/plan-maker").alias("dst"), "type", "consumes", F.lit("wait \n").alias("failure"), "event_name")
+    from dataclasses import replace
+
+    more = replace(g, relations=g.relations.unionByName(again).unionByName(empty.withColumn("dst", F.lit("bare"))), nodes=g.nodes.unionByName(g.nodes.where("path = 'gates'").withColumn("path", F.lit("bare"))))
+    want = {r.node: (r.tokens, r.status, r.digest) for r in context.packages(more).select("node", "tokens", "status", F.sha2("text", 256).alias("digest")).collect()}
+    met, plain = [], closure.Rounds.write
+    monkeypatch.setattr(closure.Rounds, "write", lambda self, df, *by: met.append(plain(self, df, *by)) or met[-1])
+    assert {r.node: (r.tokens, r.status, r.digest) for r in context.digests(more).collect()} == want and len(want) == 8
+    sent = [r for x in met if "start" in x.columns for r in x.collect()]
+    assert sum(r.of == "gates/gate-driver" for r in sent) == 3 and not any(r.of and "one gate at a time" in r.tagged for r in sent)
