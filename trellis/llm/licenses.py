@@ -44,6 +44,8 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 MIN_COSINE, FILE_SHARE = 0.75, 0.5
+#: Parts that a directory's descendants are dealt to where they meet its licence.
+SPREAD = 32
 _TOKEN = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]")
 
 
@@ -193,7 +195,10 @@ def inherit(scanned: DataFrame) -> DataFrame:
     best = counts.groupBy("dir").agg(F.min(F.struct((-F.col("files")).alias("f"), (-F.col("n")).alias("n"), "licence")).alias("b")).select("dir", F.col("b.licence").alias("inherited"))
     dirs = scanned.where("path is not null").select(own_dir.alias("at")).distinct()
     ancestors = dirs.select("at", F.explode(_directories(F.concat("at", F.lit("/x")))).alias("a")).select("at", "a.dir", "a.depth").distinct()
-    nearest = dealt(ancestors).join(best, "dir").groupBy("at").agg(F.max(F.struct("depth", "dir", "inherited")).alias("b"))
+    # Every directory has the topmost ones as ancestors, so these meet in SPREAD parts.
+    ancestors = ancestors.withColumn("part", F.pmod(F.xxhash64("at"), F.lit(SPREAD)))
+    best = best.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    nearest = dealt(ancestors).join(best, ["dir", "part"]).groupBy("at").agg(F.max(F.struct("depth", "dir", "inherited")).alias("b"))
     nearest = nearest.select("at", F.col("b.dir").alias("from_dir"), "b.inherited")
     out = scanned.withColumn("at", own_dir).join(dealt(nearest), "at", "left")
     lacks = F.col("licence").isNull()
